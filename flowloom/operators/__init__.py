@@ -1,0 +1 @@
+"""Operators of the code-flow graph engine."""

@@ -1,0 +1 @@
+"""Plans of the code-flow graph engine."""

@@ -1,0 +1 @@
+"""Sources of the code-flow graph engine."""

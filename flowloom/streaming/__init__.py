@@ -1,0 +1 @@
+"""Streaming of the code-flow graph engine."""
