@@ -3,9 +3,13 @@
 from __future__ import annotations
 
 from flowloom.llm.quality import op4_quality_rules
+from flowloom.llm.toxicity import op9_toxicity
+from flowloom.llm.warc import op7_warc
 
 QUERIES = {
     "op4_quality_rules": op4_quality_rules,
+    "op7_warc": op7_warc,
+    "op9_toxicity": op9_toxicity,
 }
 
 ORACLE: dict[str, str] = {}
