@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+from flowloom.llm.pii import op10_pii
 from flowloom.llm.quality import op4_quality_rules
 from flowloom.llm.toxicity import op9_toxicity
 from flowloom.llm.warc import op7_warc
@@ -10,6 +11,7 @@ QUERIES = {
     "op4_quality_rules": op4_quality_rules,
     "op7_warc": op7_warc,
     "op9_toxicity": op9_toxicity,
+    "op10_pii": op10_pii,
 }
 
 ORACLE: dict[str, str] = {}
