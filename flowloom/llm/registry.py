@@ -2,12 +2,14 @@
 
 from __future__ import annotations
 
+from flowloom.llm.html_extract import op2_html_extraction
 from flowloom.llm.pii import op10_pii
 from flowloom.llm.quality import op4_quality_rules
 from flowloom.llm.toxicity import op9_toxicity
 from flowloom.llm.warc import op7_warc
 
 QUERIES = {
+    "op2_html_extraction": op2_html_extraction,
     "op4_quality_rules": op4_quality_rules,
     "op7_warc": op7_warc,
     "op9_toxicity": op9_toxicity,
