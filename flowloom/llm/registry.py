@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from flowloom.llm.html_extract import op2_html_extraction
+from flowloom.llm.packing import op3_best_fit_packing
 from flowloom.llm.pii import op10_pii
 from flowloom.llm.quality import op4_quality_rules
 from flowloom.llm.toxicity import op9_toxicity
@@ -10,6 +11,7 @@ from flowloom.llm.warc import op7_warc
 
 QUERIES = {
     "op2_html_extraction": op2_html_extraction,
+    "op3_best_fit_packing": op3_best_fit_packing,
     "op4_quality_rules": op4_quality_rules,
     "op7_warc": op7_warc,
     "op9_toxicity": op9_toxicity,
