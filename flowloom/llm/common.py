@@ -6,6 +6,7 @@ import atexit
 import tempfile
 import uuid
 
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -71,6 +72,20 @@ def text_or_empty(column: str = "text"):
     return F.coalesce(F.col(column).cast("string"), F.lit(""))
 
 
+def by_size(batches, column: int, limit: int = 4 << 20):
+    """Slices of Arrow batches with at most ``limit`` bytes of text, or a single longer row."""
+    for batch in batches:
+        sizes = pc.binary_length(batch.column(column)).fill_null(0).to_pylist()
+        first = held = 0
+        for i, n in enumerate(sizes):
+            if held and held + n > limit:
+                yield batch.slice(first, i - first)
+                first, held = i, 0
+            held += n
+        if first < len(sizes):
+            yield batch.slice(first)
+
+
 def labelled_sample(docs: DataFrame, labels: DataFrame, label: str, per_class: int, where=None) -> list[tuple[str, int]]:
     """(text, label) of at most ``per_class`` documents for each of the labels 0 and 1.
 

@@ -3,6 +3,8 @@
 from __future__ import annotations
 
 from flowloom.llm.html_extract import op2_html_extraction
+from flowloom.llm.line_dedup import op5_line_dedup
+from flowloom.llm.near_dedup import op8_minhash_near_dedup
 from flowloom.llm.packing import op3_best_fit_packing
 from flowloom.llm.pii import op10_pii
 from flowloom.llm.quality import op4_quality_rules
@@ -13,7 +15,9 @@ QUERIES = {
     "op2_html_extraction": op2_html_extraction,
     "op3_best_fit_packing": op3_best_fit_packing,
     "op4_quality_rules": op4_quality_rules,
+    "op5_line_dedup": op5_line_dedup,
     "op7_warc": op7_warc,
+    "op8_minhash_near_dedup": op8_minhash_near_dedup,
     "op9_toxicity": op9_toxicity,
     "op10_pii": op10_pii,
 }
