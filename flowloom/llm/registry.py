@@ -8,10 +8,12 @@ from flowloom.llm.near_dedup import op8_minhash_near_dedup
 from flowloom.llm.packing import op3_best_fit_packing
 from flowloom.llm.pii import op10_pii
 from flowloom.llm.quality import op4_quality_rules
+from flowloom.llm.suffix_dedup import op1_suffix_array_dedup
 from flowloom.llm.toxicity import op9_toxicity
 from flowloom.llm.warc import op7_warc
 
 QUERIES = {
+    "op1_suffix_array_dedup": op1_suffix_array_dedup,
     "op2_html_extraction": op2_html_extraction,
     "op3_best_fit_packing": op3_best_fit_packing,
     "op4_quality_rules": op4_quality_rules,
