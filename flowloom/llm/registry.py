@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+from flowloom.llm.decontaminate import op6_decontamination
 from flowloom.llm.html_extract import op2_html_extraction
 from flowloom.llm.line_dedup import op5_line_dedup
 from flowloom.llm.near_dedup import op8_minhash_near_dedup
@@ -18,6 +19,7 @@ QUERIES = {
     "op3_best_fit_packing": op3_best_fit_packing,
     "op4_quality_rules": op4_quality_rules,
     "op5_line_dedup": op5_line_dedup,
+    "op6_decontamination": op6_decontamination,
     "op7_warc": op7_warc,
     "op8_minhash_near_dedup": op8_minhash_near_dedup,
     "op9_toxicity": op9_toxicity,
