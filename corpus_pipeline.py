@@ -1,10 +1,79 @@
-"""A corpus pipeline of five operators: quality rules, line dedup, near-dedup, decontamination, packing."""
+"""A corpus pipeline of five operators: quality rules, line dedup, near-dedup, decontamination, packing.
+
+Each stage takes (spark, docs, sf_dir) and works on all that the stage before it kept;
+``run`` writes each result as Parquet in the shared folder and reads it again. All stages but
+the last return the columns of ``documents``. SQL can't express the trained and iterative
+stages, so ``ORACLE_SQL`` is None and the stages are tested against brute force.
+
+Repeated rows and nulls: a null text fails the base rules and goes in the first stage; rows
+with equal doc_id and text are one document, of which near-dedup keeps one row.
+"""
 
 from __future__ import annotations
 
-STAGES: list = []
+import pyarrow as pa
+from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import functions as F
+
+from flowloom.llm import decontaminate, line_dedup, near_dedup, packing, quality
+from flowloom.llm.common import bound_batches, cut, table
+
 ORACLE_SQL = None
 
 
-def run(spark, sf_dir):
-    raise NotImplementedError
+def quality_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents that pass the base rules and whose content share is high enough."""
+    bound_batches(spark)
+    field = quality.fitted(docs, table(spark, sf_dir, "labels"))
+    at = docs.columns.index("text")
+
+    def run(batches):
+        for batch in batches:
+            yield batch.filter(pa.array([quality.judge(t or "", field)[6] for t in batch.column(at).to_pylist()], pa.bool_()))
+
+    return docs.mapInArrow(run, docs.schema)
+
+
+def line_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Texts without lines that match an earlier one; a text without any line left goes."""
+    found = line_dedup.dedup_lines(docs).where((F.col("_removed") == 0) | F.col("_kept").rlike(r"\S"))
+    text = F.when(F.col("_removed") == 0, F.col("text")).otherwise(F.col("_kept"))
+    new = {"text": text} | ({"n_chars": F.length(text).cast(docs.schema["n_chars"].dataType)} if "n_chars" in docs.columns else {})
+    return found.withColumns(new).select(*docs.columns)
+
+
+def near_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """One document of each class of near copies."""
+    keyed = near_dedup.keyed_docs(docs)
+    classes = near_dedup.near_classes(keyed.select("_d", "_th", "_text"))
+    go = classes.where(F.struct("_d", "_th") != F.col("_class")).select("_d", "_th").distinct()
+    # the join has dealt and sorted the rows by key, so the window needs no shuffle of its own
+    one = F.row_number().over(Window.partitionBy("_d", "_th").orderBy("_d"))
+    return keyed.join(go, ["_d", "_th"], "left_anti").withColumn("_row", one).where("_row = 1").select(*docs.columns)
+
+
+def clean_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents that leak no item of the benchmark."""
+    found = decontaminate.leaks(docs, table(spark, sf_dir, "benchmark")).select("_d", "_th").distinct()
+    return near_dedup.keyed_docs(docs).join(found, ["_d", "_th"], "left_anti").select(*docs.columns)
+
+
+def packing_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Where each piece of the remaining documents goes."""
+    return packing.pack(docs)
+
+
+STAGES = [
+    ("quality rules", quality_stage),
+    ("line dedup", line_stage),
+    ("MinHash near-dedup", near_stage),
+    ("benchmark decontamination", clean_stage),
+    ("best-fit packing", packing_stage),
+]
+
+
+def run(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents")
+    for _, stage in STAGES:
+        docs = cut(stage(spark, docs, sf_dir), "stage")
+    return docs
