@@ -65,7 +65,7 @@ class Graph:
     def edge(self) -> DataFrame:
         if self.edges is not None:
             return self.edges
-        return self.spark.createDataFrame([], schema.EDGE_SCHEMA).withColumn("_ord", F.lit(0).cast("bigint"))
+        return self.spark.createDataFrame([], schema.edge_schema()).withColumn("_ord", F.lit(0).cast("bigint"))
 
     def edges_of(self, *types: str) -> DataFrame:
         return self.edge.where(F.col("edge_type").isin(list(types)))
@@ -79,7 +79,7 @@ class Graph:
         """Upserts a batch by id, the last write winning. The whole batch is checked first, in one action; nothing changes if a row fails."""
         nodes = {t: schema.conform(df, schema.node_schema(t)) for t, df in (nodes or {}).items()}
         if edges is not None:
-            edges = schema.conform(edges.withColumn("id", F.lit(None).cast("string")) if "id" not in edges.columns else edges, schema.EDGE_SCHEMA)
+            edges = schema.conform(edges.withColumn("id", F.lit(None).cast("string")) if "id" not in edges.columns else edges, schema.edge_schema())
             edges = edges.withColumn("id", F.coalesce("id", ids.edge_id(edges.columns)))
         checks = [df.select(F.lit(t).alias("t"), schema.node_is_valid(t, df.columns).alias("ok")) for t, df in nodes.items()]
         if edges is not None:

@@ -86,8 +86,12 @@ def match_rank(c: Column, p: Column, trailing: Column, exact: Column, span_count
     )
 
 
-MATCHED_BY = F.when(F.col("rank") == 5, "exact-url").otherwise("pattern")
-CONFIDENCE = F.when(F.col("rank") >= 4, "high").when(F.col("rank") == 2, "medium").otherwise("low")
+def matched_by(rank: Column) -> Column:
+    return F.when(rank == 5, "exact-url").otherwise("pattern")
+
+
+def confidence(rank: Column) -> Column:
+    return F.when(rank >= 4, "high").when(rank == 2, "medium").otherwise("low")
 
 
 def _slow(callers: DataFrame, endpoints: DataFrame) -> DataFrame:
@@ -136,7 +140,7 @@ def match(callers: DataFrame, endpoints: DataFrame, proxy_rules: list[tuple[str,
         parts = F.when(F.size("template_parts") > 0, F.concat(F.array(F.coalesce(urls.strip_prefix(head, prefix), head)), F.slice("template_parts", 2, F.greatest(F.size("template_parts") - 1, F.lit(0)))))
         variant = open_.withColumns({"url": urls.strip_prefix(F.col("url"), prefix), "template_parts": parts}).where("url IS NOT NULL")
         out = out.unionByName(match_direct(variant, endpoints))
-    return out.withColumns({"matched_by": MATCHED_BY, "confidence": CONFIDENCE})
+    return out.withColumns({"matched_by": matched_by(F.col("rank")), "confidence": confidence(F.col("rank"))})
 
 
 def application_scope(apps: DataFrame, pairs: DataFrame) -> DataFrame:

@@ -66,8 +66,8 @@ _PROPS = (
     "toRepository STRING, onDelete STRING, onUpdate STRING, columns ARRAY<STRING>, filters ARRAY<STRING>, kind STRING, method STRING, field STRING, action STRING, "
     "templateName STRING, bundler STRING, entryName STRING, configPath STRING"
 )
-EDGE_SCHEMA = StructType.fromDDL(f"id STRING, edge_type STRING, from_id STRING, to_id STRING, {_PROPS}")
-PROPERTIES = tuple(StructType.fromDDL(_PROPS).fieldNames())
+EDGE = f"id STRING, edge_type STRING, from_id STRING, to_id STRING, {_PROPS}"
+PROPERTIES = tuple(p.split()[0] for p in _PROPS.split(", "))
 
 #: Allowed values of enumerated columns.
 ENUMS: dict[tuple[str, str], str] = {
@@ -91,6 +91,10 @@ def node_schema(node_type: str) -> StructType:
     return StructType.fromDDL(NODES[node_type].replace("! ", " "))
 
 
+def edge_schema() -> StructType:
+    return StructType.fromDDL(EDGE)
+
+
 def required(node_type: str) -> list[str]:
     return [part.split("!")[0].strip() for part in NODES[node_type].split(", ") if "! " in part]
 
