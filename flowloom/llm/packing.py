@@ -214,7 +214,9 @@ def solve(histogram: dict[int, int], capacity: int = CAPACITY, rounds: int = ROU
         mean = sum(covered.values()) / len(covered)
         for n in open_:
             weight[n] = min(1.5, max(0.67, weight[n] * float(np.exp(0.1 * (mean - covered[n])))))
-    return _plan(_best_fit(taken, left, capacity), capacity)
+    rounded, plain = _best_fit(taken, left, capacity), _best_fit([], need, capacity)
+    # few pieces round badly: best fit alone is taken where it needs fewer sequences
+    return _plan(min(rounded, plain, key=lambda x: sum(times for _, times in x)), capacity)
 
 
 def _best_fit(taken, left, capacity):

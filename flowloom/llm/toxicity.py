@@ -194,7 +194,8 @@ class Channel:
         found = set(map(self.restore, raw))
         for m in _SPACED.finditer(text):
             if any(c.isalpha() for c in m[0]):
-                found.add(self.restore("".join(m[0].split())))
+                run = "".join(m[0].split())
+                found.update(map(self.restore, (run, run[1:], run[:-1])))  # a word of one letter may stand beside it
         found.discard("")
         return found
 
@@ -204,13 +205,20 @@ class ToxicScore:
     channel: Channel
     weights: dict
     bias: float
+    alone: dict  # how surely a word by itself tells
 
-    def score(self, text: str) -> float:
+    def of(self, found: list[str]) -> float:
+        """The score of a text that has these of the listed words: the regression's, or that of its most telling word."""
         if not self.weights:
             return 0.0
-        w = self.weights
-        z = self.bias + sum(w[x] for x in self.channel.words(text) if x in w)
-        return 1 / (1 + math.exp(-max(-30.0, min(30.0, z))))
+        z = self.bias + sum(self.weights[x] for x in found)
+        return max(1 / (1 + math.exp(-max(-30.0, min(30.0, z)))), max((self.alone[x] for x in found), default=0.0))
+
+    def listed(self, text: str) -> list[str]:
+        return sorted(x for x in self.channel.words(text) if x in self.weights)
+
+    def score(self, text: str) -> float:
+        return self.of(self.listed(text))
 
 
 def fit_score(channel: Channel, sample: list[tuple[str, int]], odds: float | None = None, min_llr: float = MIN_LLR) -> ToxicScore:
@@ -220,7 +228,7 @@ def fit_score(channel: Channel, sample: list[tuple[str, int]], odds: float | Non
     """
     n = Counter(y for _, y in sample)
     if len(n) < 2:
-        return ToxicScore(channel, {}, 0.0)
+        return ToxicScore(channel, {}, 0.0, {})
     bags = [(channel.words(t), y) for t, y in sample]
     df = {y: Counter() for y in (0, 1)}
     for words, y in bags:
@@ -254,7 +262,14 @@ def fit_score(channel: Channel, sample: list[tuple[str, int]], odds: float | Non
         if np.abs(step).max() < 1e-6:
             break
     shift = math.log(odds / (n[1] / n[0])) if odds else 0.0
-    return ToxicScore(channel, dict(zip(chosen, b[:-1].tolist())), float(b[-1]) + shift)
+
+    def alone(word: str) -> float:
+        """Lower confidence bound of the share of label 1 among texts with the word, at the labels' own odds."""
+        k = df[1][word]
+        p, m, z = k / (k + df[0][word] * math.exp(-shift)), k + df[0][word], 2.58
+        return (p + z * z / (2 * m) - z * math.sqrt(p * (1 - p) / m + z * z / (4 * m * m))) / (1 + z * z / m)
+
+    return ToxicScore(channel, dict(zip(chosen, b[:-1].tolist())), float(b[-1]) + shift, {w: alone(w) for w in chosen})
 
 
 def held_out(doc_id):
@@ -277,9 +292,8 @@ def toxicity(docs: DataFrame, model: ToxicScore, threshold: float = THRESHOLD) -
         for batch in batches:
             scores, words = [], []
             for text in batch.column(2).to_pylist():
-                found = sorted(x for x in model.channel.words(text) if x in model.weights)
-                z = model.bias + sum(model.weights[x] for x in found)
-                scores.append(1 / (1 + math.exp(-max(-30.0, min(30.0, z)))) if model.weights else 0.0)
+                found = model.listed(text)
+                scores.append(model.of(found))
                 words.append(" ".join(found))
             yield pa.RecordBatch.from_arrays(
                 [batch.column(0), batch.column(1), pa.array(scores, pa.float64()), pa.array([int(s >= threshold) for s in scores], pa.int32()), pa.array(words, pa.string())],

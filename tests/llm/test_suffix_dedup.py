@@ -26,6 +26,27 @@ def brute(texts):
     return out
 
 
+def test_index_equals_brute_force():
+    rng = random.Random(2)
+    for _ in range(60):
+        pieces, groups = [], []
+        for k in range(rng.randint(1, 6)):
+            unit = bytes(rng.choice(b"ab") for _ in range(rng.randint(1, 9)))
+            pieces.append((unit * 400)[: rng.randint(1, 1500)] if rng.random() < 0.7 else bytes(rng.choice(b"abc") for _ in range(rng.randint(1, 60))))
+            groups.append(rng.randint(0, 1))
+        got = S.RunLengthIndex(pieces, groups).matching()
+        flat = [(g, p[i:]) for p, g in zip(pieces, groups) for i in range(len(p))]
+        order = sorted(range(len(flat)), key=lambda i: flat[i])
+        want = [0] * len(flat)
+        for x, y in zip(order, order[1:]):
+            if flat[x][0] == flat[y][0]:
+                a, b = flat[x][1], flat[y][1]
+                n = min(len(a), len(b))
+                same = n if a[:n] == b[:n] else next(i for i in range(n) if a[i] != b[i])
+                want[x], want[y] = max(want[x], same), max(want[y], same)
+        assert got.tolist() == want
+
+
 def check(spark, tmp_path, texts, name):
     path = tmp_path / name
     rows = [(None if i == 3 else i // 2 if i < 2 else i, t, "en") for i, t in enumerate(texts)]
