@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import atexit
+import gc
 import tempfile
 import uuid
 
@@ -63,9 +64,25 @@ def cut(df: DataFrame, kind: str = "table") -> DataFrame:
     Cuts the lineage with files that outlive any executor; unlike ``checkpoint()`` the
     copy is columnar, so later reads take only the columns they need.
     """
-    path = fresh_path(df.sparkSession, kind)
-    df.write.parquet(path)
-    return df.sparkSession.read.schema(df.schema).parquet(path)
+    spark = df.sparkSession
+    path = fresh_path(spark, kind)
+    df.write.option("compression", "zstd").parquet(path)
+    release(spark)
+    out = spark.read.schema(df.schema).parquet(path)
+    out._flowloom_path = path
+    return out
+
+
+def discard(*tables: DataFrame) -> None:
+    """Removes tables made by ``cut`` that nothing reads any more."""
+    for df in tables:
+        _remove(df.sparkSession, df._flowloom_path)
+
+
+def release(spark: SparkSession) -> None:
+    """Lets Spark delete shuffle files that no live frame needs: it does so when the driver collects its garbage."""
+    gc.collect()
+    spark.sparkContext._jvm.System.gc()
 
 
 def text_or_empty(column: str = "text"):
@@ -86,25 +103,38 @@ def by_size(batches, column: int, limit: int = 4 << 20):
             yield batch.slice(first)
 
 
+def hashed_sample(rows: DataFrame, key: str, size: int, count: int) -> DataFrame:
+    """About ``size`` rows and at most that many, the ones whose key has the least hashes.
+
+    ``count`` is the number of rows. The hash is first cut off where a few more rows than
+    wanted remain in all tasks together, so no task sends on its own full sample.
+    """
+    top = 1 << 30
+    bound = top if count <= size else min(top, int(top * (1.2 * size + 50) / count) + 1)
+    return rows.where(F.pmod(F.xxhash64(key), F.lit(top)) < bound).orderBy(F.pmod(F.xxhash64(key), F.lit(top)), key).limit(size)
+
+
 def labelled_sample(docs: DataFrame, labels: DataFrame, label: str, per_class: int, where=None) -> list[tuple[str, int]]:
     """(text, label) of at most ``per_class`` documents for each of the labels 0 and 1.
 
-    Labelled ids are ordered by a hash, so the sample is the same in every run. The
-    list of ids is bounded by ``per_class`` and so safe to broadcast; the texts of that
-    many documents are all that reaches the driver.
+    Labelled ids are chosen by a hash, so the sample is the same in every run. The list of
+    ids is bounded by ``per_class`` and so safe to broadcast; the texts of that many
+    documents are all that reaches the driver.
     """
-    chosen = []
     ok = labels.where(F.col("doc_id").isNotNull() & F.col(label).isin(0, 1))
     if where is not None:
         ok = ok.where(where)
+    counts = {r["k"]: r["n"] for r in ok.groupBy(F.col(label).alias("k")).agg(F.count("*").alias("n")).collect()}
+    chosen = []
     for k in (0, 1):
         ids = ok.where(F.col(label) == k).select(F.col("doc_id").alias("_id"), F.lit(k).alias("_label"))
-        chosen.append(ids.orderBy(F.xxhash64("_id"), "_id").limit(per_class))
+        chosen.append(hashed_sample(ids, "_id", per_class, counts.get(k, 0)))
     ids = chosen[0].unionAll(chosen[1]).dropDuplicates(["_id"])
     rows = (
         docs.select(F.col("doc_id").alias("_id"), text_or_empty().alias("_text"))
         .join(F.broadcast(ids), "_id")
         .select("_id", "_text", "_label")
+        .limit(4 * per_class)  # an id can be repeated
         .collect()
     )
     rows.sort(key=lambda r: (r["_id"], r["_text"]))

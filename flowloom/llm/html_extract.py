@@ -31,7 +31,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from flowloom.llm.common import bound_batches, table
+from flowloom.llm.common import bound_batches, hashed_sample, table
 
 #: Pages that the driver samples to grow the trees.
 SAMPLE = 300
@@ -462,7 +462,8 @@ def extract_pages(pages: DataFrame, trees: Trees) -> DataFrame:
 
 def fitted(pages: DataFrame, sample: int = SAMPLE) -> Trees:
     """Trees fitted on at most ``sample`` pages, chosen by a hash of their ids."""
-    some = pages.where(F.col("html").isNotNull()).select("page_id", "html").orderBy(F.xxhash64("page_id"), "page_id").limit(sample).collect()
+    some = pages.where(F.col("html").isNotNull()).select("page_id", "html")
+    some = hashed_sample(some, "page_id", sample, some.count()).collect()
     return fit_trees([r["html"] for r in some])
 
 
