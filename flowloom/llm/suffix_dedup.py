@@ -18,8 +18,10 @@ corpus is first cut down, without loss, to pieces that can hold such a string:
    a run extends to the left as its neighbour does). What matches ``LENGTH`` bytes or more is
    marked. Windows of a document that overlap are joined first, so no byte matches itself.
 4. An anchor with more than ``GROUP`` distinct windows (a very common passage whose
-   contexts all differ) isn't put into one task: its windows' strings are hashed at each
-   place relative to the anchor and counted by an aggregate, which is exact as well.
+   contexts all differ) isn't put into one task: its windows are grouped by the ``HALF``
+   bytes on either side of the anchor, one side of which any match has in common. A group
+   that is still too large has its strings hashed at each place relative to the anchor and
+   counted by an aggregate, which is exact as well.
 5. The marks go back to all places of their window by an equi-join that Spark can split,
    and are merged in each document.
 
@@ -42,17 +44,21 @@ import xxhash
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from flowloom.llm.common import bound_batches, by_size, cut, table, text_or_empty
+from flowloom.llm.common import bound_batches, by_size, cut, discard, table, text_or_empty
 
 LENGTH = 200
 K = 50
 SPAN = LENGTH - K + 1
 #: Distinct windows of an anchor that one task indexes; more take the counted way.
 GROUP = 3000
+#: Bytes next to an anchor by which the windows of a very common one are told apart.
+HALF = (LENGTH - K) // 2
 #: Bytes of windows that are indexed at a time.
 BLOCK = 1 << 20
 #: Bits of the table of anchors that can repeat: a fixed size.
 BITS = 1 << 25
+#: Bytes of texts that are hashed at a time; small enough for a processor's cache.
+SLICE = 80 << 10
 #: Longest stretch of a text that is searched for anchors at a time.
 STRETCH = 16 << 20
 _POS = 26
@@ -73,7 +79,7 @@ _POWERS: dict[str, np.ndarray] = {}
 def _powers(n: int) -> tuple[np.ndarray, np.ndarray]:
     """The base's powers and their inverses modulo 2 ** 64."""
     if len(_POWERS.get("up", ())) < n:
-        m = max(n, 1 << 22)
+        m = max(n, 1 << 19)
         for name, b in (("up", _BASE), ("down", pow(_BASE, -1, 1 << 64))):
             x = np.full(m, b, np.uint64)
             x[0] = 1
@@ -173,7 +179,7 @@ def repeated_anchors(keyed: DataFrame) -> DataFrame:
     """(_a) of the anchors that the corpus has twice or more."""
 
     def run(batches):
-        for batch in by_size(batches, 2):
+        for batch in by_size(batches, 2, SLICE):
             _, _, h = _text_anchors([t.encode("utf-8", "surrogatepass") for t in batch.column(2).to_pylist()])
             if len(h):
                 yield pa.RecordBatch.from_arrays([pa.array(h.view(np.int64))], ["_a"])
@@ -186,7 +192,7 @@ def windows(keyed: DataFrame, packed: bytes) -> DataFrame:
 
     def run(batches):
         table_ = np.frombuffer(zlib.decompress(packed), np.uint8)
-        for batch in by_size(batches, 2):
+        for batch in by_size(batches, 2, SLICE):
             texts = [t.encode("utf-8", "surrogatepass") for t in batch.column(2).to_pylist()]
             doc, place, h = _text_anchors(texts)
             hit = _has(table_, h)
@@ -207,7 +213,7 @@ def _window_bytes(keyed: DataFrame, wanted: DataFrame) -> DataFrame:
 
     def run(batches):
         table_ = np.frombuffer(zlib.decompress(packed), np.uint8)
-        for batch in by_size(batches, 2):
+        for batch in by_size(batches, 2, SLICE):
             texts = [t.encode("utf-8", "surrogatepass") for t in batch.column(2).to_pylist()]
             doc, place, _ = _text_anchors(texts)
             th = batch.column(1).to_numpy()[doc] if len(doc) else np.zeros(0, np.int64)
@@ -263,7 +269,7 @@ class RunLengthIndex:
         self._sort()
 
     def _sort(self):
-        """Suffix array by prefix doubling, up to ``LENGTH`` bytes and beyond."""
+        """Suffix array by prefix doubling over whole pieces; equal suffixes come in the order of their pieces."""
         n = len(self.data)
         short = np.minimum(self.left, 8)
         order = np.lexsort((short, self.eight, self.group))
@@ -271,7 +277,7 @@ class RunLengthIndex:
         rank = np.empty(n, np.int64)
         rank[order] = np.cumsum(np.concatenate(([1], (key[:, 1:] != key[:, :-1]).any(0)))) if n else 0
         h = 8
-        while h < 2 * LENGTH and n and rank.max() < n:
+        while n and h < self.left.max() and rank.max() < n:
             after = np.zeros(n, np.int64)
             ok = self.left > h
             at = np.flatnonzero(ok)
@@ -281,6 +287,7 @@ class RunLengthIndex:
             s = both[order]
             rank[order] = np.cumsum(np.concatenate(([1], s[1:] != s[:-1])))
             h *= 2
+        order = np.argsort(rank, kind="stable")
         self.sa = order
         before = self.data[np.maximum(order - 1, 0)].astype(np.int64) if n else np.zeros(0, np.int64)
         bwt = np.where(self.first[order], 256 + np.arange(n), before)  # a piece's first byte has nothing before it
@@ -341,12 +348,12 @@ MARKS = "_a long, _w1 long, _w2 long, _from array<int>, _to array<int>"
 
 
 def _mark(rows: list[tuple]) -> list[tuple]:
-    """``MARKS`` of (a, w1, w2, d, th, pos, left, bytes) rows that hold whole anchors' groups."""
+    """``MARKS`` of the single windows among (group, w1, w2, d, th, pos, left, bytes, n, a) rows that hold whole groups."""
     rows.sort(key=lambda r: (r[0], r[3], r[4], r[5]))
     pieces: list[bytes] = []
     groups, where, group = [], [], -1
     last = None
-    for a, _, _, d, th, pos, left, data in rows:
+    for a, _, _, d, th, pos, left, data, _, _ in rows:
         begin = pos - left
         if last is None or last[0] != a:
             group += 1
@@ -371,7 +378,9 @@ def _mark(rows: list[tuple]) -> list[tuple]:
     covered = np.cumsum(edge)[:-1] > 0
     begins = np.concatenate(([0], index.ends[:-1])) if pieces else []
     out = []
-    for (a, w1, w2, *_), (piece, off, size, left) in zip(rows, where):
+    for (_, w1, w2, *_, n, a), (piece, off, size, left) in zip(rows, where):
+        if n > 1:
+            continue
         at = begins[piece] + off
         if covered[at : at + size].any():
             runs = _runs(covered[at : at + size])
@@ -383,8 +392,24 @@ def _batch(rows: list[tuple], schema: str, kinds: list) -> pa.RecordBatch:
     return pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(zip(*rows), kinds)], [c.split()[0] for c in schema.split(", ")])
 
 
+def split_groups(large: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """Windows of anchors with very many, by what lies next to the anchor: groups that an index takes, and those still too large.
+
+    A string that holds the anchor has ``HALF`` bytes or more before it or after it. Windows
+    with equal bytes there are a group; a window alone in both of its groups has no match.
+    """
+    before = F.when(F.col("_left") >= HALF, F.xxhash64(F.expr(f"substring(_bytes, _left - {HALF - 1}, {HALF + K})")))
+    after = F.when(F.octet_length("_bytes") - F.col("_left") >= HALF + K, F.xxhash64(F.expr(f"substring(_bytes, _left + 1, {HALF + K})")))
+    sides = large.withColumn("_s", F.explode(F.array(F.struct(F.lit(0).alias("k"), before.alias("h")), F.struct(F.lit(1).alias("k"), after.alias("h"))))).where("_s.h IS NOT NULL")
+    sides = sides.withColumn("_g", F.xxhash64("_a", "_s.k", "_s.h")).drop("_s")
+    sizes = sides.groupBy("_g").agg(F.count("*").alias("_size")).where("_size > 1")
+    both = cut(sides.join(sizes, "_g"), "sides")
+    # a window can be in a large group on either side, and must be counted once
+    return both.where(F.col("_size") <= GROUP), both.where(F.col("_size") > GROUP).dropDuplicates(["_a", "_w1", "_w2"])
+
+
 def indexed_marks(grouped: DataFrame) -> DataFrame:
-    """``MARKS`` from the index; each anchor's rows are in one task, at most ``GROUP`` of them."""
+    """``MARKS`` from the index; each group's (_g) rows are in one task, at most ``GROUP`` of them."""
     kinds = [pa.int64()] * 3 + [pa.list_(pa.int32())] * 2
 
     def run(batches):
@@ -400,7 +425,7 @@ def indexed_marks(grouped: DataFrame) -> DataFrame:
         if held and (out := _mark(held)):
             yield _batch(out, MARKS, kinds)
 
-    rows = grouped.select("_a", "_w1", "_w2", "_d", "_th", "_pos", "_left", "_bytes").repartition("_a").sortWithinPartitions("_a")
+    rows = grouped.select("_g", "_w1", "_w2", "_d", "_th", "_pos", "_left", "_bytes", "_n", "_a").repartition("_g").sortWithinPartitions("_g")
     return rows.mapInArrow(run, MARKS)
 
 
@@ -440,19 +465,28 @@ def removed_spans(keyed: DataFrame) -> DataFrame:
     hits = cut(windows(keyed, _bit_table(repeated_anchors(keyed), "_a")), "hits")
     place = F.struct("_d", "_th", "_pos")
     distinct = cut(hits.groupBy("_a", "_w1", "_w2").agg(F.count("*").alias("_n"), F.min(place).alias("_at")), "windows")
-    anchors_ = distinct.groupBy("_a").agg(F.count("*").alias("_kinds")).where("_kinds > 1")
-    several = distinct.join(anchors_, "_a").select("_a", "_w1", "_w2", "_kinds", "_at.*")
-    texts = cut(_window_bytes(keyed, cut(several, "several")), "texts")
+    # windows found twice go whole; they are indexed only as partners of single ones
+    anchors_ = distinct.groupBy("_a").agg(F.count("*").alias("_kinds"), F.min("_n").alias("_least")).where("_kinds > 1 AND _least = 1")
+    several = cut(distinct.join(anchors_, "_a").select("_a", "_w1", "_w2", "_n", "_kinds", "_at.*"), "several")
+    texts = cut(_window_bytes(keyed, several), "texts")
     whole = F.array(F.lit(K - LENGTH)), F.array(F.lit(LENGTH))
     marks = distinct.where("_n > 1").select("_a", "_w1", "_w2", whole[0].alias("_from"), whole[1].alias("_to"))
-    marks = marks.unionByName(indexed_marks(texts.where(F.col("_kinds") <= GROUP)))
+    grouped = texts.where(F.col("_kinds") <= GROUP).withColumn("_g", F.col("_a"))
+    found = indexed_marks(grouped)
     large = texts.where(F.col("_kinds") > GROUP)
     if not large.isEmpty():
-        marks = marks.unionByName(counted_marks(large))
+        small, rest = split_groups(large)
+        found = found.unionByName(indexed_marks(small))
+        if not rest.isEmpty():
+            found = found.unionByName(counted_marks(rest))
+        found = found.groupBy("_a", "_w1", "_w2").agg(F.flatten(F.collect_list("_from")).alias("_from"), F.flatten(F.collect_list("_to")).alias("_to"))
+    found = cut(found, "marks")
+    discard(several, texts)
+    marks = marks.unionByName(found)
     # a window has up to two rows of marks, both bounded by the window's length
-    found = hits.join(cut(marks, "marks"), ["_a", "_w1", "_w2"])
+    found = hits.join(marks, ["_a", "_w1", "_w2"])
     spans = F.arrays_zip(F.transform("_from", lambda x: F.greatest(x + F.col("_pos"), F.lit(0))).alias("s"), F.transform("_to", lambda x: x + F.col("_pos")).alias("e"))
-    return found.select("_d", "_th", F.explode(spans).alias("_x")).distinct().groupBy("_d", "_th").agg(F.collect_list("_x").alias("_spans"))
+    return found.select("_d", "_th", F.explode(spans).alias("_x")).groupBy("_d", "_th").agg(F.collect_set("_x").alias("_spans"))
 
 
 def dedup_spans(docs: DataFrame) -> DataFrame:
