@@ -32,12 +32,12 @@ names start with an underscore so that they don't clash. An empty table gives no
 
 from __future__ import annotations
 
-import hashlib
 import zlib
 from collections import Counter
 
 import numpy as np
 import pyarrow as pa
+import xxhash
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -71,7 +71,7 @@ def words_of(line: str) -> frozenset[str]:
 
 
 def _hash(token: str) -> int:
-    return int.from_bytes(hashlib.blake2b(token.encode("utf-8", "surrogatepass"), digest_size=8).digest(), "little")
+    return xxhash.xxh3_64_intdigest(token.encode("utf-8", "surrogatepass"))
 
 
 def rarity(docs: DataFrame) -> np.ndarray:
@@ -130,7 +130,7 @@ def line_table(docs: DataFrame, counts: np.ndarray, threshold: float = THRESHOLD
             known[chunk] = found
             return found
 
-        for batch in by_size(batches, 2):
+        for batch in by_size(batches, 2, 512 << 10):
             ids: list[int] = []
             sizes, docs_, hashes, numbers = [], [], [], []
             for d, th, text in zip(*(c.to_pylist() for c in batch.columns)):
