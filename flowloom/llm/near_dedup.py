@@ -19,10 +19,12 @@ that Spark can split where a band is hot, and groups formed by aggregates only:
 1. Equal bags collapse into one, whatever the number of copies.
 2. Each bag meets the earliest bag of each of its bands (linear in the rows, however large
    a family of near copies is), and their overlap is computed from the words.
-3. Components of the links. What shares a band with a document of another component and
-   isn't compared yet is enumerated in full, but for pairs that the triangle inequality of the
-   Jaccard distance to the band's first document rules out. No candidate is dropped.
-4. Components again; every document gets its class.
+3. Components of the links. Bands that hold several components meet up to ``LEADERS``
+   other documents of theirs, linear in the rows each time, and components grow together.
+   What still shares a band with a document of another component and isn't compared yet is
+   enumerated in full, but for pairs that the triangle inequality of the Jaccard distance
+   to the band's first document rules out. No candidate is dropped.
+4. Every document gets the class of its component.
 
 Defined cases: texts without words are classes of their own; a null doc_id sorts last; rows
 with equal doc_id and text are one document; other columns are ignored; no row gives none.
@@ -31,6 +33,7 @@ with equal doc_id and text are one document; other columns are ignored; no row g
 from __future__ import annotations
 
 import hashlib
+import zlib
 from collections import Counter
 
 import numpy as np
@@ -44,6 +47,10 @@ THRESHOLD = 0.8
 SHINGLE = 5
 BANDS, ROWS = 16, 4
 COMPONENTS = BANDS * ROWS
+#: Leaders that a band's documents meet after the first, before pairs are enumerated.
+LEADERS = 5
+#: Bits of the table of wanted texts: a fixed size.
+BITS = 1 << 23
 MEMO = 400_000
 LAST = (1 << 63) - 1
 _U = np.uint64
@@ -174,13 +181,30 @@ def signed(keyed: DataFrame) -> DataFrame:
 KEY = "struct<_d:long,_th:long>"
 
 
-def _compared(keyed: DataFrame, pairs: DataFrame) -> DataFrame:
+def _texts(keyed: DataFrame, wanted: DataFrame) -> DataFrame:
+    """(_k, _text) of the wanted keys, one row a key.
+
+    A pass over the documents emits those that a bit table of fixed size may name; only these are shuffled for the exact join.
+    """
+    where = F.pmod(F.col("_k._th"), F.lit(BITS))
+    hits = wanted.select(where.alias("w")).selectExpr("w div 8 AS at", "shiftleft(1, cast(w % 8 AS int)) AS bit").groupBy("at").agg(F.bit_or("bit").alias("bits")).toArrow()
+    bits = np.zeros(BITS // 8, np.uint8)
+    bits[hits.column("at").to_numpy()] = hits.column("bits").to_numpy().astype(np.uint8)
+    packed = zlib.compress(bits.tobytes(), 1)
+
+    def named(batches):
+        table_ = np.frombuffer(zlib.decompress(packed), np.uint8)
+        for batch in batches:
+            at = batch.column(1).to_numpy() % BITS
+            yield batch.filter(pa.array((table_[at >> 3] >> (at & 7).astype(np.uint8)) & 1 > 0))
+
+    found = keyed.select("_d", "_th", "_text").mapInArrow(named, "_d long, _th long, _text string")
+    return found.select(F.struct("_d", "_th").alias("_k"), "_text").join(wanted, "_k", "left_semi").dropDuplicates(["_k"])
+
+
+def _compared(texts: DataFrame, pairs: DataFrame) -> DataFrame:
     """The pairs (_a, _b: keys) with ``_sim``, the overlap of their texts' shingles."""
-    pairs = cut(pairs.select("_a", "_b").distinct(), "pairs")
-    wanted = pairs.select(F.col("_a").alias("_k")).unionAll(pairs.select(F.col("_b").alias("_k"))).distinct()
-    texts = keyed.select(F.struct("_d", "_th").alias("_k"), "_text").join(wanted, "_k", "left_semi").dropDuplicates(["_k"])
-    texts = cut(texts, "texts")
-    both = pairs.join(texts.select(F.col("_k").alias("_a"), F.col("_text").alias("_x")), "_a").join(texts.select(F.col("_k").alias("_b"), F.col("_text").alias("_y")), "_b")
+    both = pairs.select("_a", "_b").join(texts.select(F.col("_k").alias("_a"), F.col("_text").alias("_x")), "_a").join(texts.select(F.col("_k").alias("_b"), F.col("_text").alias("_y")), "_b")
 
     def run(batches):
         last, bag = None, None
@@ -203,6 +227,12 @@ def components(links: DataFrame) -> DataFrame:
     grows in sum, and rounds grow with the logarithm of the longest path.
     """
     edges = cut(links.where("_a != _b").select(F.greatest("_a", "_b").alias("_u"), F.least("_a", "_b").alias("_v")).distinct(), "edges")
+
+    def mark(e: DataFrame) -> tuple:
+        """The same for equal sets of edges."""
+        return tuple(e.agg(F.count("*"), F.sum(F.xxhash64("_u", "_v").cast("decimal(38,0)"))).first())
+
+    now = mark(edges)
     for _ in range(40):
         both = edges.unionAll(edges.select(F.col("_v").alias("_u"), F.col("_u").alias("_v")))
         least = both.groupBy("_u").agg(F.min("_v").alias("_m")).select("_u", F.least("_u", "_m").alias("_m"))
@@ -212,10 +242,9 @@ def components(links: DataFrame) -> DataFrame:
         small_m = large.groupBy("_u").agg(F.min("_v").alias("_m"))
         joined = large.join(small_m, "_u")
         small = joined.select(F.col("_v").alias("_u"), F.col("_m").alias("_v")).unionAll(small_m.select("_u", F.col("_m").alias("_v"))).where("_u != _v").distinct()
-        new = cut(small, "edges")
-        same = new.count() == edges.count() and new.join(edges, ["_u", "_v"], "left_anti").isEmpty()
-        edges = new
-        if same:
+        edges = cut(small, "edges")
+        was, now = now, mark(edges)
+        if was == now:
             break
     else:
         raise RuntimeError("components did not settle")
@@ -236,44 +265,70 @@ def near_classes(keyed: DataFrame, threshold: float = THRESHOLD) -> DataFrame:
     bags = cut(docs.groupBy("_g1", "_g2").agg(F.min(key).alias("_k"), F.first(F.struct("_n", "_bands")).alias("_f")).select("_g1", "_g2", "_k", "_f.*"), "bags")
     rows = bags.select("_k", "_n", F.posexplode("_bands").alias("_band", "_v"))
     leaders = rows.groupBy("_band", "_v").agg(F.min(F.struct("_k", "_n")).alias("_lead"), F.count("*").alias("_size")).where("_size > 1")
-    grouped = rows.join(leaders, ["_band", "_v"])
-    near = (F.col("_n") >= threshold * F.col("_lead._n")) & (F.col("_lead._n") >= threshold * F.col("_n"))
-    # pairs whose sizes alone rule a link out count as compared: their distance is at least what the sizes say
-    stars = _compared(keyed, grouped.where((F.col("_k") != F.col("_lead._k")) & near).select(F.col("_k").alias("_a"), F.col("_lead._k").alias("_b")))
-    links = stars.where(F.col("_sim") >= threshold - 1e-9).select("_a", "_b")
-    comps = cut(components(links), "comps")
-
-    # what else shares a band with another component
-    sized = F.least("_n", "_lead._n") / F.greatest("_n", "_lead._n")
-    told = (
-        grouped.select("_band", "_v", "_k", "_n", F.col("_lead._k").alias("_l"), sized.alias("_bound"))
-        .join(comps.select("_k", "_c"), "_k", "left")
-        .join(comps.select(F.col("_k").alias("_l"), F.col("_c").alias("_lc")), "_l", "left")
-        .join(stars.select(F.col("_a").alias("_k"), F.col("_b").alias("_l"), "_sim"), ["_k", "_l"], "left")
-    )
-    # near: the greatest and least the similarity to the first document can be
+    grouped = cut(rows.join(leaders, ["_band", "_v"]).select("_band", "_v", "_k", "_n", F.col("_lead._k").alias("_l"), F.col("_lead._n").alias("_ln")), "grouped")
+    texts = cut(_texts(keyed, grouped.select("_k").distinct()), "texts")
+
+    def similar(a: str, b: str):
+        return (F.col(a) >= threshold * F.col(b)) & (F.col(b) >= threshold * F.col(a))
+
+    # pairs whose sizes alone rule a link out count as compared: their similarity is at most what the sizes say
+    stars = _compared(texts, grouped.where((F.col("_k") != F.col("_l")) & similar("_n", "_ln")).select(F.col("_k").alias("_a"), F.col("_l").alias("_b")).distinct())
+    linked = F.col("_sim") >= threshold - 1e-9
+    comps = cut(components(stars.where(linked)), "comps")
+    known = stars.select("_a", "_b")
+
+    # rows of bands that hold several components; _hi and _lo bound the similarity to the band's first document
+    sized = F.least("_n", "_ln") / F.greatest("_n", "_ln")
     exact = F.when(F.col("_k") == F.col("_l"), F.lit(1.0)).otherwise(F.col("_sim"))
-    told = cut(
-        told.select(
-            "_band", "_v", "_k", "_n", "_l", F.coalesce("_c", "_k").alias("_c"), F.coalesce("_lc", "_l").alias("_lc"),
-            F.coalesce(exact, "_bound").alias("_hi"), F.coalesce(exact, F.lit(0.0)).alias("_lo"),
-        ), "told",
-    )
-    out = told.where(F.col("_c") != F.col("_lc")).alias("o")
-    mixed = told.where(F.col("_c") != F.col("_lc")).select("_band", "_v").distinct()
-    rest = told.join(mixed, ["_band", "_v"], "left_semi").where(F.col("_k") != F.col("_l")).alias("r")
+    mixed = grouped.join(comps, "_k", "left").join(stars.select(F.col("_a").alias("_k"), F.col("_b").alias("_l"), "_sim"), ["_k", "_l"], "left")
+    mixed = _several(mixed.select("_band", "_v", "_k", "_n", F.coalesce("_c", "_k").alias("_c"), F.coalesce(exact, sized).alias("_hi"), F.coalesce(exact, F.lit(0.0)).alias("_lo")))
+    moves = []
+
+    def link(pairs: DataFrame) -> bool:
+        """Compares new pairs (_a, _b) of documents in the components (_ca, _cb); joins components and tells whether any were joined."""
+        nonlocal mixed, known
+        fresh = cut(pairs.groupBy("_a", "_b").agg(F.min("_ca").alias("_ca"), F.min("_cb").alias("_cb")).join(known, ["_a", "_b"], "left_anti"), "pairs")
+        hits = _compared(texts, fresh).where(linked).select("_a", "_b")
+        known = known.unionByName(fresh.select("_a", "_b"))
+        edges = fresh.join(hits, ["_a", "_b"]).select(F.col("_ca").alias("_a"), F.col("_cb").alias("_b")).distinct()
+        if edges.isEmpty():
+            return False
+        move = cut(components(edges).select(F.col("_k").alias("_c"), F.col("_c").alias("_new")), "moves")
+        moves.append(move)
+        mixed = _several(mixed.join(move, "_c", "left").withColumn("_c", F.coalesce("_new", "_c")).drop("_new"))
+        return True
+
+    def ordered(a: str, b: str) -> list:
+        swap = F.col(f"{a}._k") > F.col(f"{b}._k")
+        pick = lambda x, y, name: F.when(swap, F.col(f"{x}.{name}")).otherwise(F.col(f"{y}.{name}"))
+        return [pick(a, b, "_k").alias("_a"), pick(b, a, "_k").alias("_b"), pick(a, b, "_c").alias("_ca"), pick(b, a, "_c").alias("_cb")]
+
+    # other leaders in turn: what one document of a component doesn't reach, another may; linear in the rows each time
+    for r in range(1, LEADERS + 1):
+        lead = mixed.groupBy("_band", "_v").agg(F.min(F.struct(F.xxhash64("_k", F.lit(r)).alias("_h"), "_k", "_n", "_c", "_hi", "_lo")).alias("_x")).select("_band", "_v", "_x.*")
+        o, x = mixed.alias("o"), lead.alias("x")
+        met = o.join(x, (F.col("o._band") == F.col("x._band")) & (F.col("o._v") == F.col("x._v")) & (F.col("o._c") != F.col("x._c")) & similar("o._n", "x._n"))
+        if not link(met.select(*ordered("o", "x"))):
+            break
+
+    # and whatever still shares a band with another component, in full
+    out = mixed.join(mixed.groupBy("_band", "_v").agg(F.mode("_c", deterministic=True).alias("_most")), ["_band", "_v"]).where("_c != _most").alias("o")
+    rest = mixed.alias("r")
     # distance to the first document is 1 - similarity; two documents are no nearer than these differ
     possible = (1 - F.col("o._lo") >= 1 - F.col("r._hi") - (1 - threshold) - 1e-9) & (1 - F.col("r._lo") >= 1 - F.col("o._hi") - (1 - threshold) - 1e-9)
-    fits = (F.col("o._n") >= threshold * F.col("r._n")) & (F.col("r._n") >= threshold * F.col("o._n"))
-    more = out.join(rest, (F.col("o._band") == F.col("r._band")) & (F.col("o._v") == F.col("r._v")) & (F.col("o._c") != F.col("r._c")) & possible & fits)
-    more = more.select(F.greatest("o._k", "r._k").alias("_a"), F.least("o._k", "r._k").alias("_b")).distinct()
-    more = more.join(stars.select("_a", "_b"), ["_a", "_b"], "left_anti")
-    found = _compared(keyed, more).where(F.col("_sim") >= threshold - 1e-9).select("_a", "_b")
-    if not found.isEmpty():
-        # between components now: the earlier ones as stars, and the new links
-        comps = cut(components(comps.select(F.col("_k").alias("_a"), F.col("_c").alias("_b")).unionAll(found)), "comps")
-    of_bag = bags.select("_g1", "_g2", "_k").join(comps, "_k", "left").select("_g1", "_g2", F.coalesce("_c", "_k").alias("_class"))
-    return docs.select("_d", "_th", "_g1", "_g2").join(of_bag, ["_g1", "_g2"]).select("_d", "_th", "_class")
+    link(out.join(rest, (F.col("o._band") == F.col("r._band")) & (F.col("o._v") == F.col("r._v")) & (F.col("o._c") != F.col("r._c")) & possible & similar("o._n", "r._n")).select(*ordered("o", "r")))
+
+    of_bag = bags.select("_g1", "_g2", "_k").join(comps, "_k", "left").select("_g1", "_g2", F.coalesce("_c", "_k").alias("_c"))
+    for move in moves:
+        of_bag = of_bag.join(move, "_c", "left").select("_g1", "_g2", F.coalesce("_new", "_c").alias("_c"))
+    return docs.select("_d", "_th", "_g1", "_g2").join(of_bag, ["_g1", "_g2"]).select("_d", "_th", F.col("_c").alias("_class"))
+
+
+def _several(rows: DataFrame) -> DataFrame:
+    """The rows of bands with more than one component, written."""
+    rows = cut(rows, "rows")
+    mixed = rows.groupBy("_band", "_v").agg(F.min("_c").alias("_x"), F.max("_c").alias("_y")).where("_x != _y").select("_band", "_v")
+    return cut(rows.join(mixed, ["_band", "_v"], "left_semi"), "mixed")
 
 
 def op8_minhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
