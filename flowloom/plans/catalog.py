@@ -2,10 +2,15 @@
 
 Each query runs a library operator on roles that the star-schema tables play (see
 ``sources.driver_tables``). The SQL states the same result independently of the operator.
+
+Some queries and their SQL look at a part of the keys only (``SLICES``). Each of them has a twin,
+``NAME_whole``, that runs over all keys, with its own SQL.
 """
 
 from __future__ import annotations
 
+import re
+
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
@@ -18,11 +23,20 @@ QUERIES: dict = {}
 ORACLE: dict[str, str] = {}
 
 
-def query(sql: str | None = None):
+#: Bounds on keys in the SQL of queries that look at a part of the rows.
+SLICES = r"\bl_orderkey < \d+|\bp_partkey <= \d+|\bdoc_id % 20 = 3|\b[lo]_orderkey % 10 = 0"
+
+
+def query(sql: str | None = None, sliced: bool = False):
+    """Registers a query. A sliced one takes ``whole``; its twin over all keys has the SQL without the bounds."""
+
     def add(f):
         QUERIES[f.__name__] = f
         if sql is not None:
             ORACLE[f.__name__] = sql
+        if sliced:
+            QUERIES[f"{f.__name__}_whole"] = lambda spark, d: f(spark, d, whole=True)
+            ORACLE[f"{f.__name__}_whole"] = re.sub(SLICES, "true", sql)
         return f
 
     return add
@@ -46,9 +60,9 @@ def node_count_by_type(spark: SparkSession, d: str) -> DataFrame:
     return out
 
 
-@query("SELECT l_orderkey AS from_id, l_partkey AS to_id, count(*) AS n FROM lineitem WHERE l_returnflag = 'N' AND l_orderkey < 500 GROUP BY ALL")
-def find_edges_by_type(spark: SparkSession, d: str) -> DataFrame:
-    e = T.read(spark, d, "lineitem").where("l_returnflag = 'N' AND l_orderkey < 500")
+@query("SELECT l_orderkey AS from_id, l_partkey AS to_id, count(*) AS n FROM lineitem WHERE l_returnflag = 'N' AND l_orderkey < 500 GROUP BY ALL", sliced=True)
+def find_edges_by_type(spark: SparkSession, d: str, whole: bool = False) -> DataFrame:
+    e = T.read(spark, d, "lineitem").where("l_returnflag = 'N'" if whole else "l_returnflag = 'N' AND l_orderkey < 500")
     return e.groupBy(F.col("l_orderkey").alias("from_id"), F.col("l_partkey").alias("to_id")).agg(F.count("*").alias("n"))
 
 
@@ -64,9 +78,9 @@ def content_ids(spark: SparkSession, d: str) -> DataFrame:
 
 
 @query("""SELECT 'CALLS_FUNCTION:' || substring(sha1('{"edgeType":"CALLS_FUNCTION","from":"' || l_orderkey || '","sourceLine":' || l_linenumber || ',"to":"' || l_suppkey || '"}'), 1, 16) AS id,
-count(*) AS n FROM lineitem WHERE l_orderkey < 3000 GROUP BY 1""")
-def edge_content_dedupe(spark: SparkSession, d: str) -> DataFrame:
-    e = T.read(spark, d, "lineitem").where("l_orderkey < 3000").select(F.lit("CALLS_FUNCTION").alias("edge_type"), F.col("l_orderkey").cast("string").alias("from_id"), F.col("l_suppkey").cast("string").alias("to_id"), F.col("l_linenumber").cast("int").alias("sourceLine"))
+count(*) AS n FROM lineitem WHERE l_orderkey < 3000 GROUP BY 1""", sliced=True)
+def edge_content_dedupe(spark: SparkSession, d: str, whole: bool = False) -> DataFrame:
+    e = T.read(spark, d, "lineitem").where("true" if whole else "l_orderkey < 3000").select(F.lit("CALLS_FUNCTION").alias("edge_type"), F.col("l_orderkey").cast("string").alias("from_id"), F.col("l_suppkey").cast("string").alias("to_id"), F.col("l_linenumber").cast("int").alias("sourceLine"))
     return e.select(ids.edge_id(e.columns).alias("id")).groupBy("id").agg(F.count("*").alias("n"))
 
 
@@ -351,9 +365,9 @@ def middleware_groups(spark: SparkSession, d: str) -> DataFrame:
 
 
 @query("""WITH a AS (SELECT p_partkey, p_name FROM part WHERE p_partkey <= 400), k AS (SELECT 'table_' || (p_partkey % 90) || 's' AS name, min(p_partkey) id FROM a GROUP BY 1),
-i AS (SELECT 1000000 + p_partkey AS old_id, 'table' || chr(95) || (p_partkey % 110) AS name FROM a) SELECT old_id::VARCHAR AS old_id, id::VARCHAR AS new_id FROM i JOIN k ON k.name = i.name || 's'""")
-def alias_merge(spark: SparkSession, d: str) -> DataFrame:
-    a = T.read(spark, d, "part").where("p_partkey <= 400")
+i AS (SELECT 1000000 + p_partkey AS old_id, 'table' || chr(95) || (p_partkey % 110) AS name FROM a) SELECT old_id::VARCHAR AS old_id, id::VARCHAR AS new_id FROM i JOIN k ON k.name = i.name || 's'""", sliced=True)
+def alias_merge(spark: SparkSession, d: str, whole: bool = False) -> DataFrame:
+    a = T.read(spark, d, "part").where("true" if whole else "p_partkey <= 400")
     known = a.groupBy(F.concat(F.lit("table_"), F.col("p_partkey") % 90, F.lit("s")).alias("name")).agg(F.min("p_partkey").cast("string").alias("id"))
     known = known.select("id", "name", F.lit("f").alias("declaredIn"), F.col("id").cast("bigint").alias("_ord"))
     guess = a.select((F.col("p_partkey") + 1000000).cast("string").alias("id"), F.concat(F.lit("table_"), F.col("p_partkey") % 110).alias("name"), F.lit(None).cast("string").alias("declaredIn"), F.lit(0).cast("bigint").alias("_ord"))
@@ -425,9 +439,9 @@ def href_normalise(spark: SparkSession, d: str) -> DataFrame:
     return _hrefs(spark, d).select(urls.normal_href(F.col("href")).alias("path")).where("path IS NOT NULL").groupBy("path").agg(F.count("*").alias("n"))
 
 
-@query("""SELECT doc_id, i AS line_no, string_split(text, chr(10))[i] AS line FROM documents, range(1, 200) r(i) WHERE doc_id % 20 = 3 AND i <= len(string_split(text, chr(10))) AND i BETWEEN 2 AND 5""")
-def line_window(spark: SparkSession, d: str) -> DataFrame:
-    docs = T.read(spark, d, "documents").where("doc_id % 20 = 3")
+@query("""SELECT doc_id, i AS line_no, string_split(text, chr(10))[i] AS line FROM documents, range(1, 200) r(i) WHERE doc_id % 20 = 3 AND i <= len(string_split(text, chr(10))) AND i BETWEEN 2 AND 5""", sliced=True)
+def line_window(spark: SparkSession, d: str, whole: bool = False) -> DataFrame:
+    docs = T.read(spark, d, "documents").where("true" if whole else "doc_id % 20 = 3")
     lines = docs.select("doc_id", F.posexplode(F.split("text", "\n", -1)).alias("i", "line"))
     return lines.select("doc_id", (F.col("i") + 1).cast("bigint").alias("line_no"), "line").where("line_no BETWEEN 2 AND 5")
 
