@@ -211,10 +211,10 @@ def prefix_mining(spark: SparkSession, d: str) -> DataFrame:
 
 @query("""WITH hit AS (SELECT DISTINCT l_orderkey FROM lineitem WHERE l_orderkey % 10 = 0 AND l_quantity >= 40)
 SELECT CASE WHEN l_orderkey IS NOT NULL THEN 'stitched' WHEN o_orderpriority = '1-URGENT' THEN 'external' WHEN o_orderstatus = 'P' THEN 'dynamic' ELSE 'unresolved' END AS state, count(*) AS n
-FROM orders LEFT JOIN hit ON o_orderkey = l_orderkey WHERE o_orderkey % 10 = 0 GROUP BY 1""")
-def stitch_report_partition(spark: SparkSession, d: str) -> DataFrame:
-    c = T.callers(spark, d).select("caller_id", (F.col("o_orderpriority") == "1-URGENT").alias("is_external"), F.lit("/x").alias("url"), F.when(F.col("o_orderstatus") == "P", "dynamic").otherwise("exact").alias("egress"))
-    return stitch.report(c, T.resolves(spark, d)).groupBy("state").agg(F.count("*").alias("n"))
+FROM orders LEFT JOIN hit ON o_orderkey = l_orderkey WHERE o_orderkey % 10 = 0 GROUP BY 1""", sliced=True)
+def stitch_report_partition(spark: SparkSession, d: str, whole: bool = False) -> DataFrame:
+    c = T.callers(spark, d, whole).select("caller_id", (F.col("o_orderpriority") == "1-URGENT").alias("is_external"), F.lit("/x").alias("url"), F.when(F.col("o_orderstatus") == "P", "dynamic").otherwise("exact").alias("egress"))
+    return stitch.report(c, T.resolves(spark, d, whole)).groupBy("state").agg(F.count("*").alias("n"))
 
 
 # --- walks --------------------------------------------------------------------------
@@ -242,20 +242,20 @@ LEFT JOIN (SELECT * FROM orders WHERE o_orderkey % 10 = 0) ON o_custkey = c_cust
 _LADDER = "CASE WHEN caller_id IS NULL THEN 'function-only' WHEN endpoint_id IS NULL THEN 'caller-only' WHEN handler_id IS NULL THEN 'endpoint-only' WHEN handler_id IN (SELECT l_suppkey FROM r) THEN 'complete' ELSE 'handler-only' END"
 
 
-def _flows(spark: SparkSession, d: str) -> DataFrame:
+def _flows(spark: SparkSession, d: str, whole: bool) -> DataFrame:
     none = spark.createDataFrame([], "src bigint, dst bigint, ord bigint")
-    return walk.flows(T.processes(spark, d), none, none, T.callers(spark, d), T.resolves(spark, d), T.endpoints(spark, d), T.interactions(spark, d))
+    return walk.flows(T.processes(spark, d), none, none, T.callers(spark, d, whole), T.resolves(spark, d, whole), T.endpoints(spark, d), T.interactions(spark, d, whole))
 
 
-@query(f"WITH {_FLOWS} SELECT {_LADDER} AS completeness, count(*) AS n FROM f GROUP BY 1")
-def flow_completeness(spark: SparkSession, d: str) -> DataFrame:
-    return _flows(spark, d).groupBy("completeness").agg(F.count("*").alias("n"))
+@query(f"WITH {_FLOWS} SELECT {_LADDER} AS completeness, count(*) AS n FROM f GROUP BY 1", sliced=True)
+def flow_completeness(spark: SparkSession, d: str, whole: bool = False) -> DataFrame:
+    return _flows(spark, d, whole).groupBy("completeness").agg(F.count("*").alias("n"))
 
 
 @query("""SELECT l_suppkey AS handler_id, CASE l_returnflag WHEN 'N' THEN 'read' WHEN 'A' THEN 'update' ELSE 'write' END AS operation, count(DISTINCT (l_orderkey, l_linenumber, l_partkey)) AS interactions, count(DISTINCT l_partkey) AS tables
-FROM lineitem WHERE l_orderkey % 10 = 0 AND l_quantity >= 40 AND l_suppkey % 7 <> 0 GROUP BY ALL""")
-def flow_db_hops(spark: SparkSession, d: str) -> DataFrame:
-    i = T.interactions(spark, d)
+FROM lineitem WHERE l_orderkey % 10 = 0 AND l_quantity >= 40 AND l_suppkey % 7 <> 0 GROUP BY ALL""", sliced=True)
+def flow_db_hops(spark: SparkSession, d: str, whole: bool = False) -> DataFrame:
+    i = T.interactions(spark, d, whole)
     none = spark.createDataFrame([], "src bigint, dst bigint")
     hops = walk.database_hops(T.endpoints(spark, d).where("handler_id IS NOT NULL").select("handler_id"), none, i.drop("table_id"), i.select("interaction_id", F.col("table_id").cast("string").alias("table_id")))
     return hops.select("handler_id", "operation", "interaction_id", F.explode("tables").alias("t")).groupBy("handler_id", "operation").agg(F.countDistinct("interaction_id").alias("interactions"), F.countDistinct("t").alias("tables"))
@@ -275,43 +275,43 @@ def service_hops_2(spark: SparkSession, d: str) -> DataFrame:
 
 
 @query(f"""WITH {_FLOWS} SELECT l_partkey AS table_id, count(DISTINCT (process_id, caller_id, endpoint_id)) AS flows, count(DISTINCT process_id) AS processes, count(DISTINCT endpoint_id) AS endpoints
-FROM f JOIN lineitem ON handler_id = l_suppkey AND l_orderkey % 10 = 0 AND l_quantity >= 40 WHERE {_LADDER} = 'complete' GROUP BY 1""")
-def impact_by_table(spark: SparkSession, d: str) -> DataFrame:
-    touched = T.interactions(spark, d).select(F.col("function_id").alias("handler_id"), "table_id").distinct()
-    complete = _flows(spark, d).where("completeness = 'complete'")
+FROM f JOIN lineitem ON handler_id = l_suppkey AND l_orderkey % 10 = 0 AND l_quantity >= 40 WHERE {_LADDER} = 'complete' GROUP BY 1""", sliced=True)
+def impact_by_table(spark: SparkSession, d: str, whole: bool = False) -> DataFrame:
+    touched = T.interactions(spark, d, whole).select(F.col("function_id").alias("handler_id"), "table_id").distinct()
+    complete = _flows(spark, d, whole).where("completeness = 'complete'")
     return complete.join(touched, "handler_id").groupBy("table_id").agg(F.countDistinct("process_id", "caller_id", "endpoint_id").alias("flows"), F.countDistinct("process_id").alias("processes"), F.countDistinct("endpoint_id").alias("endpoints"))
 
 
-@query(f"""WITH {_FLOWS} SELECT endpoint_id, count(*) AS flows, count(DISTINCT process_id) AS processes, count(DISTINCT caller_id) AS callers FROM f WHERE {_LADDER} = 'complete' GROUP BY 1""")
-def impact_by_endpoint(spark: SparkSession, d: str) -> DataFrame:
-    return _flows(spark, d).where("completeness = 'complete'").groupBy("endpoint_id").agg(F.count("*").alias("flows"), F.countDistinct("process_id").alias("processes"), F.countDistinct("caller_id").alias("callers"))
+@query(f"""WITH {_FLOWS} SELECT endpoint_id, count(*) AS flows, count(DISTINCT process_id) AS processes, count(DISTINCT caller_id) AS callers FROM f WHERE {_LADDER} = 'complete' GROUP BY 1""", sliced=True)
+def impact_by_endpoint(spark: SparkSession, d: str, whole: bool = False) -> DataFrame:
+    return _flows(spark, d, whole).where("completeness = 'complete'").groupBy("endpoint_id").agg(F.count("*").alias("flows"), F.countDistinct("process_id").alias("processes"), F.countDistinct("caller_id").alias("callers"))
 
 
-@query(f"""WITH {_FLOWS} SELECT process_id, caller_id, endpoint_id FROM f WHERE process_id % 50 = 0 OR coalesce(endpoint_id % 20 = 0, false)""")
-def diff_flows(spark: SparkSession, d: str) -> DataFrame:
+@query(f"""WITH {_FLOWS} SELECT process_id, caller_id, endpoint_id FROM f WHERE process_id % 50 = 0 OR coalesce(endpoint_id % 20 = 0, false)""", sliced=True)
+def diff_flows(spark: SparkSession, d: str, whole: bool = False) -> DataFrame:
     changed = T.read(spark, d, "customer").where("c_custkey % 50 = 0").select(F.concat(F.lit("p"), "c_custkey").alias("file")).unionAll(T.read(spark, d, "supplier").where("s_suppkey % 20 = 0").select(F.concat(F.lit("e"), "s_suppkey")))
-    f = _flows(spark, d)
+    f = _flows(spark, d, whole)
     touched = f.withColumn("file", F.explode(F.array_compact(F.array(F.concat(F.lit("p"), "process_id"), F.concat(F.lit("e"), "endpoint_id"))))).join(changed, "file", "left_semi")
     return touched.select("process_id", "caller_id", "endpoint_id").distinct()
 
 
-@query("SELECT s_suppkey FROM supplier WHERE s_suppkey NOT IN (SELECT l_suppkey FROM lineitem WHERE l_orderkey % 10 = 0 AND l_quantity = 50 AND l_linenumber = 1)")
-def uncalled_endpoints(spark: SparkSession, d: str) -> DataFrame:
-    called = T.read(spark, d, "lineitem").where("l_orderkey % 10 = 0 AND l_quantity = 50 AND l_linenumber = 1")
+@query("SELECT s_suppkey FROM supplier WHERE s_suppkey NOT IN (SELECT l_suppkey FROM lineitem WHERE l_orderkey % 10 = 0 AND l_quantity = 50 AND l_linenumber = 1)", sliced=True)
+def uncalled_endpoints(spark: SparkSession, d: str, whole: bool = False) -> DataFrame:
+    called = T.read(spark, d, "lineitem").where(f"{T.orders_seen('l_orderkey', whole)} AND l_quantity = 50 AND l_linenumber = 1")
     s = T.read(spark, d, "supplier")
     return s.join(called, s["s_suppkey"] == called["l_suppkey"], "left_anti").select("s_suppkey")
 
 
-@query("SELECT p_partkey FROM part WHERE p_partkey NOT IN (SELECT l_partkey FROM lineitem WHERE l_orderkey % 10 = 0 AND l_quantity >= 40)")
-def orphan_tables(spark: SparkSession, d: str) -> DataFrame:
-    p, used = T.read(spark, d, "part"), T.interactions(spark, d)
+@query("SELECT p_partkey FROM part WHERE p_partkey NOT IN (SELECT l_partkey FROM lineitem WHERE l_orderkey % 10 = 0 AND l_quantity >= 40)", sliced=True)
+def orphan_tables(spark: SparkSession, d: str, whole: bool = False) -> DataFrame:
+    p, used = T.read(spark, d, "part"), T.interactions(spark, d, whole)
     return p.join(used, p["p_partkey"] == used["table_id"], "left_anti").select("p_partkey")
 
 
-@query("SELECT o_orderkey FROM orders WHERE o_orderkey % 10 = 0 AND o_orderpriority <> '1-URGENT' AND o_orderkey NOT IN (SELECT l_orderkey FROM lineitem WHERE l_quantity >= 40)")
-def unmatched_callers(spark: SparkSession, d: str) -> DataFrame:
-    c = T.callers(spark, d).where("o_orderpriority <> '1-URGENT'")
-    return c.join(T.resolves(spark, d), "caller_id", "left_anti").select(F.col("caller_id").alias("o_orderkey"))
+@query("SELECT o_orderkey FROM orders WHERE o_orderkey % 10 = 0 AND o_orderpriority <> '1-URGENT' AND o_orderkey NOT IN (SELECT l_orderkey FROM lineitem WHERE l_quantity >= 40)", sliced=True)
+def unmatched_callers(spark: SparkSession, d: str, whole: bool = False) -> DataFrame:
+    c = T.callers(spark, d, whole).where("o_orderpriority <> '1-URGENT'")
+    return c.join(T.resolves(spark, d, whole), "caller_id", "left_anti").select(F.col("caller_id").alias("o_orderkey"))
 
 
 _HREF = "SELECT page_id, unnest(regexp_extract_all(html, 'href=\"([^\"]*)\"', 1)) href FROM pages"
@@ -329,9 +329,9 @@ def unreachable_screens(spark: SparkSession, d: str) -> DataFrame:
 
 
 @query("""WITH t AS (SELECT DISTINCT l_suppkey, l_partkey FROM lineitem WHERE l_orderkey % 10 = 0 AND l_quantity >= 40) SELECT a.l_suppkey AS screen, count(DISTINCT b.l_suppkey) AS others, count(DISTINCT a.l_partkey) AS tables
-FROM t a LEFT JOIN t b ON a.l_partkey = b.l_partkey AND a.l_suppkey <> b.l_suppkey GROUP BY 1""")
-def screen_impact(spark: SparkSession, d: str) -> DataFrame:
-    t = T.interactions(spark, d).select(F.col("function_id").alias("screen"), "table_id").distinct()
+FROM t a LEFT JOIN t b ON a.l_partkey = b.l_partkey AND a.l_suppkey <> b.l_suppkey GROUP BY 1""", sliced=True)
+def screen_impact(spark: SparkSession, d: str, whole: bool = False) -> DataFrame:
+    t = T.interactions(spark, d, whole).select(F.col("function_id").alias("screen"), "table_id").distinct()
     other = t.select(F.col("screen").alias("o"), "table_id")
     joined = t.join(other, "table_id")
     return joined.groupBy("screen").agg(F.countDistinct(F.when(F.col("o") != F.col("screen"), F.col("o"))).alias("others"), F.countDistinct("table_id").alias("tables"))
@@ -455,8 +455,8 @@ def page_limit_offset(spark: SparkSession, d: str) -> DataFrame:
 @query()
 def nested_flow_struct(spark: SparkSession, d: str) -> DataFrame:
     """Flows as nested records: a process with its callers, endpoints and the tables behind these."""
-    touched = T.interactions(spark, d).groupBy(F.col("function_id").alias("handler_id")).agg(F.array_sort(F.collect_set("table_id")).alias("tables"))
-    f = _flows(spark, d).join(touched, "handler_id", "left")
+    touched = T.interactions(spark, d, True).groupBy(F.col("function_id").alias("handler_id")).agg(F.array_sort(F.collect_set("table_id")).alias("tables"))
+    f = _flows(spark, d, True).join(touched, "handler_id", "left")
     one = F.struct("caller_id", "endpoint_id", "completeness", F.col("tables").alias("tables"))
     return f.groupBy("process_id").agg(F.array_sort(F.collect_list(F.struct("caller_id", "endpoint_id", "completeness"))).alias("flows"), F.count(one).alias("n"))
 

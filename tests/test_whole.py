@@ -15,6 +15,9 @@ def tables(spark, tmp_path_factory):
     made = {
         "lineitem": "SELECT 1 + i * 397 AS l_orderkey, 1 + i % 5 AS l_partkey, 1 + i % 9 AS l_suppkey, (1 + i % 3)::INT AS l_linenumber, CASE WHEN i % 4 = 0 THEN 50.0 ELSE 10.0 + i * 2 END AS l_quantity, ['N', 'A', 'R'][1 + i % 3] AS l_returnflag",
         "part": "SELECT 1 + i * 80 AS p_partkey, 'p' || i AS p_name",
+        "orders": "SELECT 1 + i * 397 AS o_orderkey, CASE WHEN i = 1 THEN 50 ELSE 1 + i % 20 END AS o_custkey, ['1-URGENT', '5-LOW', '5-LOW'][1 + i % 3] AS o_orderpriority, ['P', 'O'][1 + i % 2] AS o_orderstatus",
+        "customer": "SELECT CASE WHEN i = 20 THEN 50 ELSE 1 + i END AS c_custkey, 3 AS c_nationkey, 'X' AS c_mktsegment",
+        "supplier": "SELECT 1 + i AS s_suppkey, 3 AS s_nationkey",
         "documents": "SELECT i AS doc_id, 'a' || chr(10) || 'b' || i || chr(10) || 'c' AS text",
     }
     for name, sql in made.items():
@@ -37,3 +40,20 @@ def rows(spark, d, name, sql=None):
 def test_no_key_is_left_out(spark, tables, name, least):
     found = rows(spark, tables, f"{name}_whole")
     assert len(found) >= least and len(found) > len(rows(spark, tables, name))
+
+
+#: The classes that occur in the small tables.
+CLASSES = {"flow_completeness": {"function-only", "caller-only", "endpoint-only", "complete"}, "stitch_report_partition": {"stitched", "external", "dynamic", "unresolved"}}
+FLOWS = [*CLASSES, *"flow_db_hops impact_by_table impact_by_endpoint diff_flows screen_impact unmatched_callers uncalled_endpoints orphan_tables".split()]
+
+
+@pytest.mark.parametrize("name", FLOWS)
+def test_every_order_counts(spark, tables, name):
+    found = rows(spark, tables, f"{name}_whole")
+    assert found and {r[0] for r in found} == CLASSES.get(name, {r[0] for r in found})
+    assert sorted(map(repr, found)) != sorted(map(repr, rows(spark, tables, name)))
+
+
+def test_nested_flows_of_every_order(spark, tables):
+    found = catalog.QUERIES["nested_flow_struct"](spark, tables).collect()
+    assert {f["caller_id"] for r in found for f in r["flows"]} - {None} == {1 + i * 397 for i in range(24)}
