@@ -13,10 +13,11 @@ Join of the classes, exact:
 * Filters: prefix (lines that match share one of the first ``n - ceil(t n) + 1`` tokens;
   tokens that the whole corpus has once are left out of the index), length, position, and
   a 64-bit map of the tokens, whose differing bits bound the symmetric difference.
-* Large families of near copies would make the square of their size in pairs. So each
-  class first meets only the earliest class of two min-hash groups; where that verifies,
-  the class is settled. The prefix join then runs for the classes still unsettled, against
-  all earlier classes, and keeps every link it finds of these.
+* Where links are asked for, the prefix join runs between all classes and loses no link: a
+  family of near copies gives the square of its size in links, which is the join's result.
+* Which lines go needs one link a class. So without links, each class first meets only the
+  earliest class of two min-hash groups; where that verifies, the class is settled, and the
+  prefix join runs for the classes still unsettled, against all earlier classes.
 * Verification computes the Jaccard similarity of the very words, not of hashes. The words of
   candidate lines are fetched by a pass over the documents that emits only lines that a
   bit table of fixed size (exact keys are joined afterwards) may name.
@@ -225,11 +226,11 @@ def _verified(docs: DataFrame, pairs: DataFrame, threshold: float) -> DataFrame:
     return both.select("_a", "_b", "_x", "_y").mapInArrow(run, f"_a {kind}, _b {kind}")
 
 
-def line_links(docs: DataFrame, threshold: float = THRESHOLD) -> tuple[DataFrame, DataFrame]:
+def line_links(docs: DataFrame, threshold: float = THRESHOLD, every: bool = False) -> tuple[DataFrame, DataFrame]:
     """The lines with their class's first occurrence (_first), and links (_a: first line of a class, _b: of an earlier similar one).
 
-    Every class that has an earlier similar class has a link. Classes that the first
-    round leaves open have all their links to earlier classes.
+    With ``every`` these are all links. Else every class that has an earlier similar class has
+    a link, and classes that the first round leaves open have all their links to earlier ones.
     """
     spark = docs.sparkSession
     bound_batches(spark)
@@ -244,15 +245,21 @@ def line_links(docs: DataFrame, threshold: float = THRESHOLD) -> tuple[DataFrame
         return (nb >= threshold * na) & (na >= threshold * nb) & (F.bit_count(ba.bitwiseXOR(bb)) <= apart), apart
 
     # round 1: the earliest class of each min-hash group
-    keyed = classes.select("_first", "_n", "_bits", F.explode(F.array(*[F.struct(F.lit(k).alias("k"), F.col(f"_m{k}").alias("m")) for k in range(MINHASHES)])).alias("_key"))
-    leaders = keyed.groupBy("_key").agg(F.min(F.struct("_first", "_n", "_bits")).alias("_lead"), F.count("*").alias("_c")).where("_c > 1").select("_key", "_lead")
-    ok, _ = fits(F.col("_n"), F.col("_lead._n"), F.col("_bits"), F.col("_lead._bits"))
-    stars = keyed.join(leaders, "_key").where((F.col("_lead._first") < F.col("_first")) & ok)
-    settled = cut(_verified(docs, stars.select(F.col("_first").alias("_a"), F.col("_lead._first").alias("_b")), threshold), "settled")
-
-    # round 2: the prefix join of the classes still open with all earlier ones
-    done = settled.select(F.col("_a").alias("_first")).distinct().withColumn("_done", F.lit(True))
-    entries = classes.join(done, "_first", "left").select("_first", "_n", "_bits", F.col("_done").isNull().alias("_open"), F.explode("_prefix").alias("_e"))
+    settled = None
+    if not every:
+        keyed = classes.select("_first", "_n", "_bits", F.explode(F.array(*[F.struct(F.lit(k).alias("k"), F.col(f"_m{k}").alias("m")) for k in range(MINHASHES)])).alias("_key"))
+        leaders = keyed.groupBy("_key").agg(F.min(F.struct("_first", "_n", "_bits")).alias("_lead"), F.count("*").alias("_c")).where("_c > 1").select("_key", "_lead")
+        ok, _ = fits(F.col("_n"), F.col("_lead._n"), F.col("_bits"), F.col("_lead._bits"))
+        stars = keyed.join(leaders, "_key").where((F.col("_lead._first") < F.col("_first")) & ok)
+        settled = cut(_verified(docs, stars.select(F.col("_first").alias("_a"), F.col("_lead._first").alias("_b")), threshold), "settled")
+
+    # round 2: the prefix join of the classes still open (all without a first round) with all earlier ones
+    if settled is None:
+        entries = classes.withColumn("_open", F.lit(True))
+    else:
+        done = settled.select(F.col("_a").alias("_first")).distinct().withColumn("_done", F.lit(True))
+        entries = classes.join(done, "_first", "left").withColumn("_open", F.col("_done").isNull())
+    entries = entries.select("_first", "_n", "_bits", "_open", F.explode("_prefix").alias("_e"))
     low = F.lit(255).cast("long")
     entries = entries.select("_first", "_n", "_bits", "_open", F.col("_e").bitwiseAND(F.lit(-256).cast("long")).alias("_t"), F.col("_e").bitwiseAND(low).cast("int").alias("_p"))
     a, b = entries.alias("a"), entries.alias("b")
@@ -261,7 +268,7 @@ def line_links(docs: DataFrame, threshold: float = THRESHOLD) -> tuple[DataFrame
     # neighbouring prefix tokens may both be shared; only the first shared one needs to pass the position filter
     pairs = a.join(b, (F.col("a._t") == F.col("b._t")) & F.col("a._open") & (F.col("b._first") < F.col("a._first")) & ok & (at <= apart))
     found = cut(_verified(docs, pairs.select(F.col("a._first").alias("_a"), F.col("b._first").alias("_b")), threshold), "links")
-    return lines, settled.unionAll(found)
+    return lines, found if settled is None else settled.unionAll(found)
 
 
 def keyed_docs(docs: DataFrame) -> DataFrame:
@@ -270,36 +277,63 @@ def keyed_docs(docs: DataFrame) -> DataFrame:
     return docs.withColumns({"_d": F.coalesce(docs["doc_id"].cast("long"), F.lit(LAST)), "_th": F.xxhash64(text), "_text": text})
 
 
-def removed_lines(keyed: DataFrame, threshold: float = THRESHOLD) -> DataFrame:
-    """(_d, _th, _gone: line numbers that go, _links: how many of them for a similar line in other words)."""
-    lines, links = line_links(keyed.select("_d", "_th", "_text"), threshold)
+def removed_lines(keyed: DataFrame, threshold: float = THRESHOLD, every: bool = False) -> DataFrame:
+    """(_d, _th, _gone: line numbers that go, _links: how many of them for a similar line in other words).
+
+    With ``every`` also _of: (line number, first line of its class, links of the class where this is its first line) for the lines that go.
+    """
+    lines, links = line_links(keyed.select("_d", "_th", "_text"), threshold, every)
     key = F.struct("_d", "_th", "_no")
     firsts = lines.groupBy("_h1", "_h2").agg(F.min(key).alias("_first"), F.count("*").alias("_c"))
-    late = links.select(F.col("_a").alias("_first")).distinct().withColumn("_late", F.lit(True))
+    late = links.groupBy(F.col("_a").alias("_first")).agg(F.count("*").alias("_each")).withColumn("_late", F.lit(True))
     # classes of one line without an earlier match have nothing to remove and need not meet their lines
-    flagged = firsts.join(late, "_first", "left").where(F.col("_late") | (F.col("_c") > 1)).select("_h1", "_h2", "_first", F.coalesce("_late", F.lit(False)).alias("_late"))
+    flagged = firsts.join(late, "_first", "left").where(F.col("_late") | (F.col("_c") > 1)).select("_h1", "_h2", "_first", F.coalesce("_late", F.lit(False)).alias("_late"), F.coalesce("_each", F.lit(0)).alias("_each"))
     gone = lines.select("_d", "_th", "_no", "_h1", "_h2").join(flagged, ["_h1", "_h2"]).where(F.col("_late") | (key != F.col("_first")))
-    return gone.groupBy("_d", "_th").agg(F.collect_set("_no").alias("_gone"), F.sum((F.col("_late") & (key == F.col("_first"))).cast("long")).alias("_links"))
+    found = [F.collect_set("_no").alias("_gone"), F.sum((F.col("_late") & (key == F.col("_first"))).cast("long")).alias("_links")]
+    if every:
+        own = F.when(key == F.col("_first"), F.col("_each")).otherwise(0)
+        found.append(F.array_sort(F.collect_set(F.struct("_no", "_first", own.alias("_each")))).alias("_of"))
+    return gone.groupBy("_d", "_th").agg(*found)
 
 
-def dedup_lines(docs: DataFrame, threshold: float = THRESHOLD) -> DataFrame:
-    """``docs`` with its columns, _kept (the text without removed lines), _lines, _removed and _links."""
+def dedup_lines(docs: DataFrame, threshold: float = THRESHOLD, every: bool = False) -> DataFrame:
+    """``docs`` with its columns, _kept (the text without removed lines), _lines, _removed and _links.
+
+    With ``every`` also _all_links (links of the classes that start in the document to earlier similar
+    classes) and _classes (line number and class id of the lines that go; any other line is the first of its class).
+    A class id is the place of the class's first line: doc_id, text hash and line number.
+    """
     bound_batches(docs.sparkSession)
     keyed = keyed_docs(docs)
-    gone = removed_lines(keyed, threshold)
+    gone = removed_lines(keyed, threshold, every)
     joined = keyed.join(gone, ["_d", "_th"], "left")
     parts = F.split("_text", "\n", -1)
     kept = F.when(F.col("_gone").isNull(), F.col("_text")).otherwise(F.array_join(F.filter(parts, lambda x, i: ~F.array_contains("_gone", i)), "\n"))
     return joined.select(
         *docs.columns, kept.alias("_kept"), F.size(F.filter(parts, lambda x: x.rlike(r"\S"))).cast("long").alias("_lines"),
-        F.coalesce(F.size("_gone"), F.lit(0)).cast("long").alias("_removed"), F.coalesce("_links", F.lit(0)).alias("_links"),
+        F.coalesce(F.size("_gone"), F.lit(0)).cast("long").alias("_removed"), F.coalesce("_links", F.lit(0)).alias("_links"), *(_of_lines() if every else []),
     )
 
 
+def _of_lines() -> list:
+    """The columns _all_links and _classes from _of."""
+    of = F.filter(F.coalesce("_of", F.array(F.lit(None))), lambda x: x.isNotNull())
+
+    def class_id(x):
+        d = x["_first"]["_d"]
+        return F.concat_ws(":", F.when(d == LAST, "").otherwise(d.cast("string")), F.hex(x["_first"]["_th"]), x["_first"]["_no"].cast("string"))
+
+    return [
+        F.aggregate(of, F.lit(0).cast("long"), lambda n, x: n + x["_each"]).alias("_all_links"),
+        F.transform(of, lambda x: F.struct(x["_no"].alias("line_no"), class_id(x).alias("class_id"))).alias("_classes"),
+    ]
+
+
 def op5_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """One row a document: lines with words, lines removed, those of them that go for a similar line in other words, and the kept text's digest."""
-    found = dedup_lines(table(spark, sf_dir, "documents").select("doc_id", "text"))
+    """One row a document: lines with words, lines removed, those of them that go for a similar line in other words, all
+    links of its classes to earlier ones, the class of each removed line, and the kept text's digest."""
+    found = dedup_lines(table(spark, sf_dir, "documents").select("doc_id", "text"), every=True)
     return found.select(
         F.col("doc_id").cast("long").alias("doc_id"), F.col("_lines").alias("n_lines"), F.col("_removed").alias("n_removed"),
-        F.col("_links").alias("n_similar"), F.sha2(F.col("_kept"), 256).alias("kept_sha256"),
+        F.col("_links").alias("n_similar"), F.col("_all_links").alias("n_links"), F.col("_classes").alias("classes"), F.sha2(F.col("_kept"), 256).alias("kept_sha256"),
     )

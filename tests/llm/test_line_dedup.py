@@ -68,3 +68,30 @@ def test_family_of_near_copies_and_long_text(spark):
 
 def test_empty(spark):
     assert run(spark, []) == []
+
+
+def test_every_link_of_a_family(spark):
+    rng = random.Random(8)
+    line = [f"t{i}" for i in range(30)]
+    rows = []
+    for i in range(40):
+        w = list(line)
+        w[rng.randrange(30)] = f"x{i}"
+        rows.append((i, " ".join(w) + f"\nonly words of {i} here a{i} b{i}", "en", 0))
+    rows += [(100, rows[3][1], "en", 0), (3, rows[3][1], "en", 0), (None, rows[0][1] + "\n" + " ".join(line), "en", 0)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, lang string, _n int")
+    got = L.dedup_lines(docs.drop("_n"), every=True).withColumn("th", F.xxhash64("text")).collect()
+    places = {(r["doc_id"] if r["doc_id"] is not None else L.LAST, r["th"], no): L.words_of(t) for r in got for no, t in enumerate(r["text"].split("\n"))}
+    first: dict = {}
+    for at in sorted(places):
+        first.setdefault(places[at], at)
+    links = {a: sum(b < a and len(v & w) >= 0.8 * len(v | w) - 1e-9 for v, b in first.items()) for w, a in first.items()}
+    assert sum(links.values()) > 700
+    for r in got:
+        d = r["doc_id"] if r["doc_id"] is not None else L.LAST
+        mine = [(d, r["th"], no) for no in range(len(r["text"].split("\n")))]
+        assert r["_all_links"] == sum(links.get(at, 0) for at in mine), r
+        for x in r["_classes"]:
+            a, th, no = first[places[d, r["th"], x["line_no"]]]
+            assert x["class_id"] == f"{'' if a == L.LAST else a}:{th & (1 << 64) - 1:X}:{no}"
+        assert len(r["_classes"]) == r["_removed"]
