@@ -7,7 +7,7 @@ are summed, so what is shuffled and collected is bounded by the alphabet.
 Restoring: a token that shows signs of disguise (digits or symbols among its letters,
 stretched letters, letters spaced out) becomes a lattice in which each character may stand
 for one of several letters or for nothing. Viterbi decoding takes the path with the best
-sum of channel and language-model scores. Plain words have one path and skip the search.
+sum of channel and language-model scores, over all states. Plain words have one path and skip the search.
 
 Scoring: words whose presence goes with the label (a log-likelihood ratio test) are the
 features of a ridge logistic regression. It is fitted on the driver from at most ``SAMPLE``
@@ -119,7 +119,8 @@ class Channel:
         for drop, weight in (((0, 1), 20), ((0,), 5), ((), 2)):  # interpolated: longer contexts lean on shorter ones
             now = c.sum(drop) if drop else c
             p = (now + weight * p) / (now.sum(-1, keepdims=True) + weight)
-        self.log = np.log(p).ravel().tolist()
+        self.grams = np.log(p)
+        self.log = self.grams.ravel().tolist()
 
     def __getstate__(self):
         return {"counts": self.counts}
@@ -130,6 +131,8 @@ class Channel:
 
     def decode(self, token: str) -> str:
         """The likeliest letters behind ``token``; a state is the last three letters."""
+        if sum(map(token.count, WILDCARDS)) > 1:
+            return self._decode_dense(token)
         log, cube = self.log, A**3
         best: dict = {0: (0.0, None)}
         run = 0
@@ -157,7 +160,7 @@ class Channel:
                     s = score + skip
                     if state not in now or s > now[state][0]:
                         now[state] = (s, path)
-            best = now if len(now) <= 200 else dict(sorted(now.items(), key=lambda x: (-x[1][0], x[0]))[:200])
+            best = now
         path = max(best.items(), key=lambda x: (x[1][0] + log[x[0] * A], x[0]))[1][1]
         out = []
         while path:
@@ -165,6 +168,44 @@ class Channel:
             out.append(chr(96 + k))
         return "".join(reversed(out))
 
+    def _decode_dense(self, token: str) -> str:
+        """The same search over arrays of all ``27 ** 3`` states: masked letters reach most of them."""
+        score = np.full((A, A, A), -np.inf)
+        score[0, 0, 0] = 0.0
+        back = []
+        run = 0
+        for i, ch in enumerate(token):
+            run = run + 1 if i and token[i - 1] == ch else 1
+            stretched = run > 1 and (run > 2 or token[i + 1 : i + 2] == ch)
+            base = _codes(ch)
+            costs = {k: WILD for k in range(1, 27)} if ch in WILDCARDS else {}
+            costs |= {ord(x) - 96: SWAP for x in LEET.get(ch, "")}
+            costs |= {base[0]: 0.0} if base else {}
+            skip = None if base else SKIP_LEET if ch in LEET or ch in WILDCARDS else SKIP
+            now, origin = np.full((A, A, A), -np.inf), np.full((A, A, A), -1, np.int8)  # -1: no new letter
+            if skip is not None:
+                now = score + skip
+            if stretched and costs:
+                k = list(costs)
+                now[:, :, k] = np.maximum(now[:, :, k], score[:, :, k] + SQUEEZE)
+            if costs:
+                k = list(costs)
+                new = score[..., None] + np.array(list(costs.values())) + self.grams[..., k]
+                least = new.max(0)
+                better = least > now[:, :, k]
+                origin[:, :, k] = np.where(better, new.argmax(0), -1)
+                now[:, :, k] = np.where(better, least, now[:, :, k])
+            back.append(origin)
+            score = now
+        total = (score + self.grams[..., 0]).ravel()
+        at = np.unravel_index(len(total) - 1 - int(total[::-1].argmax()), score.shape)
+        out = []
+        for origin in reversed(back):
+            if origin[at] >= 0:
+                out.append(chr(96 + at[2]))
+                at = (int(origin[at]), at[0], at[1])
+        return "".join(reversed(out))
+
     def restore(self, token: str) -> str:
         """The plain word behind a lower-case token; the token's core where nothing is disguised."""
         if (found := self.memo.get(token)) is not None:
