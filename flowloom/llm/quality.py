@@ -8,7 +8,8 @@ its words. Fixed base rules come first: too few words, or too many words in repe
 five-word windows.
 
 The field is trained on the driver from at most ``sample`` labelled documents a class
-(``labels.quality``); a line's training label is its document's, and as lines of ordinary
+(``labels.quality``), of which all lines count, a long one in chains of ``CHAIN`` lines (the
+transition from one chain to the next isn't learnt); a line's training label is its document's, and as lines of ordinary
 prose are common in good documents, the field learns which lines set bad ones apart.
 
 Defined cases: a null text has no words and no line (base_failed, not kept). Blank lines
@@ -28,9 +29,9 @@ from pyspark.sql import DataFrame, SparkSession
 
 from flowloom.llm.common import bound_batches, labelled_sample, table, text_or_empty
 
-#: Labelled documents of each class that the driver fits the field on, and lines of each.
+#: Labelled documents of each class that the driver fits the field on, and lines of a chain they are cut into.
 SAMPLE = 1200
-SAMPLE_LINES = 64
+CHAIN = 64
 MIN_SHARE = 0.5
 MIN_WORDS = 10
 MAX_REPEAT_PERCENT = 20
@@ -131,19 +132,20 @@ def line_features(text: str) -> tuple[np.ndarray, np.ndarray]:
 def fit_field(sample: list[tuple[str, int]], steps: int = 150, rate: float = 0.15, ridge: float = 1e-3) -> LineField:
     """Maximum likelihood by forward-backward and Adam over the padded sample."""
     keep_all = LineField(np.zeros((2, N_FEATURES)), np.zeros((2, 2)))
-    docs = []
+    docs, n_docs = [], np.zeros(2)
     for text, label in sample:
         x, solid = line_features(text)
-        x = x[solid > 0][:SAMPLE_LINES]
-        if len(x):
-            docs.append((x, label))
-    if len({label for _, label in docs}) < 2:
+        x = x[solid > 0]
+        total = len(x)
+        docs += [(x[i : i + CHAIN], label, total) for i in range(0, total, CHAIN)]
+        n_docs[label] += total > 0
+    if not n_docs.all():
         return keep_all
-    n, t = len(docs), max(len(x) for x, _ in docs)
-    X, M, Y = np.zeros((n, t, N_FEATURES)), np.zeros((n, t)), np.array([label for _, label in docs])
-    for i, (x, _) in enumerate(docs):
+    n, t = len(docs), max(len(x) for x, _, _ in docs)
+    X, M, Y = np.zeros((n, t, N_FEATURES)), np.zeros((n, t)), np.array([label for _, label, _ in docs])
+    for i, (x, _, _) in enumerate(docs):
         X[i, : len(x)], M[i, : len(x)] = x, 1
-    each = 1 / np.maximum(M.sum(1), 1) / np.bincount(Y, minlength=2)[Y]  # documents of either class weigh the same
+    each = 1 / np.array([total for _, _, total in docs]) / n_docs[Y]  # documents of either class weigh the same
     w, v = np.zeros((2, N_FEATURES)), np.zeros((2, 2))
     p = np.concatenate([w.ravel(), v.ravel()])
     m1, m2 = np.zeros_like(p), np.zeros_like(p)

@@ -1,10 +1,12 @@
 """Searches that must not leave anything out, against brute force."""
 
 import itertools
+import random
 from collections import Counter
 
 import numpy as np
 
+from flowloom.llm import quality as Q
 from flowloom.llm import toxicity as T
 
 
@@ -46,3 +48,16 @@ def test_arrays_and_dictionaries_decode_alike():
     c = channel(Counter({"fuck": 30, "shit": 30, "hello": 90, "bitch": 20, "silly": 40, "class": 40, "ball": 30}))
     for token in ("sh1t", "h3ll0", "b!tch", "f*ck", "heeelllo", "s.i.l.l.y", "5i11y", "cl@$$", "ba11", "b-a-l-l", "1616161", "sh*t"):
         assert c.decode(token) == c._decode_dense(token), token
+
+
+def test_lines_far_down_teach_the_field():
+    rng = random.Random(4)
+    prose = [" ".join(rng.choice(["some", "plain", "words", "of", "a", "text", "here"]) for _ in range(9)) for _ in range(400)]
+    junk = [" | ".join("#$%&*"[rng.randrange(5)] * 3 for _ in range(4)) for _ in range(100)]
+    good = [("\n".join(rng.sample(prose, 100)), 1) for _ in range(6)]
+    bad = [("\n".join(rng.sample(prose, 64) + rng.sample(junk, 90)), 0) for _ in range(6)]
+    field = Q.fit_field(good + bad)
+    x, _ = Q.line_features("\n".join(junk[:30]))
+    assert sum(field.decode(x @ field.weights.T)) == 0
+    x, _ = Q.line_features("\n".join(prose[:30]))
+    assert sum(field.decode(x @ field.weights.T)) == 30
