@@ -20,6 +20,9 @@ however large the benchmark is. For a block:
    hold ``LCS_SURE`` of the item's words, or ``LCS_LIKE`` if the item's rare words and its
    answer (its last sentence or last quarter) are there as well: a paraphrase.
 
+Items of fewer than ``LEAST_WORDS`` words have too little for this: a document leaks one when it
+holds the item's words in a row, found by a map-only pass over all texts.
+
 Texts for the checks come from a pass that emits only documents that a bit table of fixed
 size names; exact keys are joined afterwards.
 
@@ -49,7 +52,9 @@ LEAST_TERMS = 8
 COSINE = 0.3
 LCS_SURE, LCS_LIKE = 0.8, 0.6
 COVERED = 0.6
+#: Items of fewer words are matched word for word, so many distinct ones in a pass.
 LEAST_WORDS = 6
+SHORT_BLOCK = 50_000
 BITS = 1 << 23
 MEMO = 400_000
 LAST = (1 << 63) - 1
@@ -309,10 +314,16 @@ def leaks(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
     bound_batches(spark)
     keyed = cut_keyed(docs)
     blocks, block = [], []
+    short: dict[tuple, set] = {}
     items = benchmark.select(benchmark["item_id"].cast("long").alias("item_id"), text_or_empty().alias("text")).distinct().orderBy("item_id", "text")
     for row in items.toLocalIterator():  # one block at a time is held
         words = words_of(row["text"])
         if len(words) < LEAST_WORDS:
+            if words:
+                short.setdefault(tuple(words), set()).add(row["item_id"])
+            if len(short) >= SHORT_BLOCK:
+                blocks.append(_short_leaks(keyed, short))
+                short = {}
             continue
         parts = [words[i : i + WINDOW] for i in range(0, max(1, len(words) - WINDOW // 2), WINDOW // 2)] if len(words) > WINDOW else [words]
         if block and sum(len(x["parts"]) for x in block) + len(parts) > BLOCK:
@@ -321,6 +332,8 @@ def leaks(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
         block.append({"id": row["item_id"], "words": words, "parts": parts, "answer": answer_of(row["text"])})
     if block:
         blocks.append(_leaks_of(keyed, block))
+    if short:
+        blocks.append(_short_leaks(keyed, short))
     if not blocks:
         return spark.createDataFrame([], FOUND)
     out = blocks[0]
@@ -334,6 +347,28 @@ def cut_keyed(docs: DataFrame) -> DataFrame:
     return docs.select(F.coalesce(docs["doc_id"].cast("long"), F.lit(LAST)).alias("_d"), F.xxhash64(text).alias("_th"), text.alias("_text"))
 
 
+def _short_leaks(keyed: DataFrame, items: dict[tuple, set]) -> DataFrame:
+    """``FOUND`` for items of a few words: the documents that hold just these words in a row."""
+    sizes = sorted({len(x) for x in items})
+
+    def run(batches):
+        for batch in batches:
+            out = []
+            for d, th, text in zip(*(c.to_pylist() for c in batch.columns)):
+                words = words_of(text)
+                first: dict = {}
+                for n in sizes:
+                    for i, part in enumerate(zip(*(words[k:] for k in range(n)))):
+                        for item in items.get(part, ()):
+                            first.setdefault((part, item), i)
+                out += [(d, th, item, i, 1.0, 1.0, 1.0, 1.0) for (_, item), i in first.items()]
+            if out:
+                kinds = [pa.int64()] * 3 + [pa.int32(), pa.float32()] + [pa.float64()] * 3
+                yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(zip(*out), kinds)], [c.split()[0] for c in FOUND.split(", ")])
+
+    return keyed.mapInArrow(run, FOUND)
+
+
 def _leaks_of(keyed: DataFrame, block: list[dict]) -> DataFrame:
     listed = {w: i for i, w in enumerate(sorted({w for x in block for w in x["words"]}))}
     df, n_docs = document_frequencies(keyed, listed)
