@@ -35,12 +35,13 @@ def reach(roots: DataFrame, calls: DataFrame, max_depth: int | None = MAX_DEPTH)
     return found
 
 
-def shortest_paths(roots: DataFrame, calls: DataFrame, max_depth: int = 32) -> DataFrame:
-    """(root, node, depth, path): a shortest path to every node reached; of several, the least by its nodes."""
+def shortest_paths(roots: DataFrame, calls: DataFrame, max_depth: int | None = None) -> DataFrame:
+    """(root, node, depth, path): a shortest path to every node reached; of several, the least by its nodes. Without a depth the walk ends when nothing is new."""
     calls = calls.select("src", "dst").distinct()
     frontier = keep(roots.select("root", "node").distinct().withColumns({"depth": F.lit(0), "path": F.array("node")}))
-    found = frontier
-    for depth in range(1, max_depth + 1):
+    found, depth = frontier, 0
+    while max_depth is None or depth < max_depth:
+        depth += 1
         step = frontier.join(calls, F.col("node") == F.col("src")).select("root", F.col("dst").alias("node"), F.concat("path", F.array("dst")).alias("path"))
         fresh = step.join(found.select("root", "node"), ["root", "node"], "left_anti").groupBy("root", "node").agg(F.min("path").alias("path"))
         frontier = keep(fresh.select("root", "node", F.lit(depth).alias("depth"), "path"))
