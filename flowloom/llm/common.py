@@ -6,13 +6,22 @@ import atexit
 import gc
 import tempfile
 import uuid
+import zlib
+from collections.abc import Callable
 
+import numpy as np
+import pyarrow as pa
 import pyarrow.compute as pc
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 #: Rows in an Arrow batch. Documents can be 100 KB and more, so batches stay small.
 ARROW_ROWS = 512
+#: Largest Long stands for a null doc_id in an order.
+LAST = (1 << 63) - 1
+#: Bits of a table of wanted keys, and rows that a table of counters is sent in: fixed sizes.
+BITS = 1 << 25
+SLICES = 64
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -67,8 +76,10 @@ def cut(df: DataFrame, kind: str = "table") -> DataFrame:
     spark = df.sparkSession
     path = fresh_path(spark, kind)
     df.write.option("compression", "zstd").parquet(path)
+    schema = df.schema
+    del df  # else what it has shuffled stays until the next table
     release(spark)
-    out = spark.read.schema(df.schema).parquet(path)
+    out = spark.read.schema(schema).parquet(path)
     out._flowloom_path = path
     return out
 
@@ -89,6 +100,93 @@ def text_or_empty(column: str = "text"):
     return F.coalesce(F.col(column).cast("string"), F.lit(""))
 
 
+def keyed_rows(docs: DataFrame) -> DataFrame:
+    """(_row: a struct of all columns, _d, _th, _text): whatever the columns are called, they can't clash with others.
+
+    _d is the doc_id (``LAST`` for null), _th a hash of the text (null: empty): together the key of a document.
+    """
+    text = F.coalesce(docs["text"].cast("string"), F.lit(""))
+    return docs.select(F.struct(*(f"`{c}`" for c in docs.columns)).alias("_row"), F.coalesce(docs["doc_id"].cast("long"), F.lit(LAST)).alias("_d"), F.xxhash64(text).alias("_th"), text.alias("_text"))
+
+
+def counters(rows: DataFrame, count: Callable, size: int) -> np.ndarray:
+    """The sum over all tasks of a table of ``size`` counters that ``count(batch, table)`` adds to.
+
+    Tables are summed slice by slice by as many tasks; what reaches the driver is one table.
+    """
+    width = -(-size // SLICES)
+
+    def each(batches):
+        total = np.zeros(size, np.int64)
+        for batch in batches:
+            count(batch, total)
+        found = [(k, zlib.compress(part.tobytes(), 1)) for k in range(SLICES) if (part := total[k * width : (k + 1) * width]).any()]
+        if found:
+            yield pa.RecordBatch.from_arrays([pa.array([k for k, _ in found], pa.int32()), pa.array([b for _, b in found], pa.binary())], ["k", "blob"])
+
+    def summed(batches):
+        totals: dict[int, np.ndarray] = {}
+        for batch in batches:
+            for k, blob in zip(*(c.to_pylist() for c in batch.columns)):
+                part = np.frombuffer(zlib.decompress(blob), np.int64)
+                totals[k] = totals[k] + part if k in totals else part
+        if totals:
+            yield pa.RecordBatch.from_arrays([pa.array(list(totals), pa.int32()), pa.array([zlib.compress(x.tobytes(), 1) for x in totals.values()], pa.binary())], ["k", "blob"])
+
+    out = np.zeros(size, np.int64)
+    for k, blob in rows.mapInArrow(each, "k int, blob binary").repartition("k").mapInArrow(summed, "k int, blob binary").collect():
+        part = np.frombuffer(zlib.decompress(blob), np.int64)
+        out[k * width : k * width + len(part)] = part
+    return out
+
+
+class Bits:
+    """A packed bit table, small to send to tasks."""
+
+    def __init__(self, bits: np.ndarray):
+        self.packed = zlib.compress(bits.tobytes(), 1)
+
+    def array(self) -> np.ndarray:
+        return np.frombuffer(zlib.decompress(self.packed), np.uint8)
+
+
+def bit_table(keys: DataFrame, place: Callable) -> Bits:
+    """A table of ``BITS`` bits with one set for each row; ``place`` makes hashes from the columns' numpy arrays.
+
+    It only saves shuffling: what it names is joined with the exact keys afterwards.
+    """
+
+    def run(batches):
+        table_ = np.zeros(BITS // 8, np.uint8)
+        for batch in batches:
+            at = (place(*(c.to_numpy() for c in batch.columns)) % np.uint64(BITS)).astype(np.int64)
+            np.bitwise_or.at(table_, at >> 3, np.left_shift(1, at & 7).astype(np.uint8))
+        width = BITS // 8 // SLICES
+        found = [(k, part.tobytes()) for k in range(SLICES) if (part := table_[k * width : (k + 1) * width]).any()]
+        if found:
+            yield pa.RecordBatch.from_arrays([pa.array([k for k, _ in found], pa.int32()), pa.array([zlib.compress(b, 1) for _, b in found], pa.binary())], ["k", "blob"])
+
+    def joined(batches):
+        tables: dict[int, np.ndarray] = {}
+        for batch in batches:
+            for k, blob in zip(*(c.to_pylist() for c in batch.columns)):
+                part = np.frombuffer(zlib.decompress(blob), np.uint8)
+                tables[k] = tables[k] | part if k in tables else part
+        if tables:
+            yield pa.RecordBatch.from_arrays([pa.array(list(tables), pa.int32()), pa.array([zlib.compress(x.tobytes(), 1) for x in tables.values()], pa.binary())], ["k", "blob"])
+
+    out = np.zeros(BITS // 8, np.uint8)
+    for k, blob in keys.mapInArrow(run, "k int, blob binary").repartition("k").mapInArrow(joined, "k int, blob binary").collect():
+        part = np.frombuffer(zlib.decompress(blob), np.uint8)
+        out[k * len(part) : (k + 1) * len(part)] = part
+    return Bits(out)
+
+
+def has_bit(table_: np.ndarray, hashes: np.ndarray) -> np.ndarray:
+    at = (hashes % np.uint64(BITS)).astype(np.int64)
+    return (table_[at >> 3] >> (at & 7).astype(np.uint8)) & 1 > 0
+
+
 def by_size(batches, column: int, limit: int = 4 << 20):
     """Slices of Arrow batches with at most ``limit`` bytes of text, or a single longer row."""
     for batch in batches:

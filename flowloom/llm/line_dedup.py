@@ -1,339 +1,456 @@
 """Operator 5, line dedup: an exact set-similarity join of lines; later matches go.
 
-A line's tokens are its distinct lower-case words. Lines with equal token sets form a class;
-its first occurrence, by (doc_id, text hash, line number), stands for it. A line is removed
-when an earlier line has a Jaccard similarity of at least ``THRESHOLD`` with it: all but the
-first line of a class, and the first as well when another class has an earlier, similar line.
+A line's tokens are its distinct words (``words.split_words``). Lines with equal token sets
+form a class; its first occurrence, by (doc_id, text hash, line number), stands for it. A
+line is removed when an earlier line has a Jaccard similarity of at least ``THRESHOLD``
+with it: all but the first line of a class, and the first as well when another class has an
+earlier, similar line. A link is a pair of similar classes; none is lost.
 
-Join of the classes, exact:
+The join of the classes, exact:
 
 * Order: a token's number holds its rarity (a log count over the whole corpus from a table
   of ``BUCKETS`` counters, so its size is fixed) and then its hash: one order for all lines.
   Any order gives the same result; rarity makes prefixes selective.
-* Filters: prefix (lines that match share one of the first ``n - ceil(t n) + 1`` tokens;
-  tokens that the whole corpus has once are left out of the index), length, position, and
-  a 64-bit map of the tokens, whose differing bits bound the symmetric difference.
-* Where links are asked for, the prefix join runs between all classes and loses no link: a
-  family of near copies gives the square of its size in links, which is the join's result.
-* Which lines go needs one link a class. So without links, each class first meets only the
-  earliest class of two min-hash groups; where that verifies, the class is settled, and the
-  prefix join runs for the classes still unsettled, against all earlier classes.
-* Verification computes the Jaccard similarity of the very words, not of hashes. The words of
-  candidate lines are fetched by a pass over the documents that emits only lines that a
-  bit table of fixed size (exact keys are joined afterwards) may name.
-
-Joins are equi-joins, whose hot keys Spark splits (skew join); groups are formed only
-with aggregates that combine map-side.
+* Prefix: lines that match share one of their first ``n - ceil(t n) + 1`` tokens. Each such
+  token of a class is an entry. Entries with a token go to a part by its hash, packed so that
+  a row of the shuffle holds many. Tokens that the whole corpus has once are no entries.
+* Length, position and a 64-bit map of the tokens, whose differing bits bound the symmetric
+  difference, rule pairs out; numpy walks the pairs of a part. Only the classes that still have a
+  partner in a part (not the pairs) come out of this.
+* Verification: the words of these classes are read again and sent to the parts concerned, where
+  the Jaccard similarity is computed; a pair counts where its first common token is. What
+  comes out is each class's number of links and whether an earlier class is similar: rows grow
+  with the classes, also in a family of near copies, whose links grow with its square.
+* A token with more than ``HOT`` entries (a table of fixed size counts them) has its classes
+  cut into blocks, and each two blocks meet in a part of their own: a task holds as much
+  however common the token is.
+
+Equality of token sets is that of 128-bit hashes, equality of words that of 57-bit hashes.
 
 Defined cases: null and empty texts have no lines; lines without words are kept and match
 nothing; a null doc_id sorts last; rows with equal doc_id and text are one document: each
-copy keeps what the first keeps; other columns pass through where asked for, and internal
-names start with an underscore so that they don't clash. An empty table gives no row.
+copy keeps what the first keeps; a very long text or line is treated whole; columns of the
+input come back in a struct, so that no name can clash. An empty table gives no row.
 """
 
 from __future__ import annotations
 
-import zlib
-from collections import Counter
+import hashlib
 
 import numpy as np
 import pyarrow as pa
-import xxhash
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
-from flowloom.llm.common import bound_batches, by_size, cut, table, text_or_empty
+from flowloom.llm.common import LAST, bit_table, bound_batches, by_size, counters, cut, discard, has_bit, keyed_rows, table
+from flowloom.llm.words import coded, hashes, mix, plain, split_words, word_hashes
 
 THRESHOLD = 0.8
-#: Counters of the rarity table and bits of the table of wanted lines: fixed sizes.
+#: Counters of the rarity table and of the table of hot tokens: fixed sizes.
 BUCKETS = 1 << 20
-WANTED_BITS = 1 << 23
-#: Tokens that a task remembers; a memory bound.
-MEMO = 400_000
-#: Largest Long stands for a null doc_id in the order.
-LAST = (1 << 63) - 1
-MINHASHES = 2
-
-
-def word(chunk: str) -> str:
-    """The word in a chunk of lower-case text; the chunk itself if it has no letter or digit."""
-    if chunk.isalnum():
-        return chunk
-    a, b = 0, len(chunk)
-    while a < b and not chunk[a].isalnum():
-        a += 1
-    while b > a and not chunk[b - 1].isalnum():
-        b -= 1
-    return chunk[a:b] or chunk
+#: Entries of a token that are compared in one place; more are cut into blocks.
+HOT = 8192
+#: Entries that a part holds on average, and the least number of parts.
+PART, PARTS = 500_000, 1024
+#: Entries that a task packs at a time.
+PACK = 1 << 20
+#: Text that is tokenised at a time, and tokens of pairs that are verified at a time.
+SLICE, VERIFY = 2 << 20, 4 << 20
+LEVEL_SHIFT = 57
+_U = np.uint64
 
 
 def words_of(line: str) -> frozenset[str]:
-    return frozenset(map(word, line.lower().split()))
+    return frozenset(split_words(line))
 
 
-def _hash(token: str) -> int:
-    return xxhash.xxh3_64_intdigest(token.encode("utf-8", "surrogatepass"))
+def rarity(keyed: DataFrame) -> np.ndarray:
+    """Counts of all words of all texts, by hash, in ``BUCKETS`` counters."""
 
+    def count(batch, total):
+        for part in by_size([batch], 0, SLICE):
+            numbers, distinct, _ = coded(part.column(0))
+            np.add.at(total, hashes(plain(distinct, True)) % _U(BUCKETS), np.bincount(numbers, minlength=len(distinct)))
 
-def rarity(docs: DataFrame) -> np.ndarray:
-    """Counts of all words of all texts, by hash, in ``BUCKETS`` counters."""
+    return counters(keyed.select("_text"), count, BUCKETS)
 
-    def run(batches):
-        total = np.zeros(BUCKETS, np.int64)
-        seen: Counter = Counter()
 
-        def flush():
-            for chunk, n in seen.items():
-                total[_hash(word(chunk)) % BUCKETS] += n
-            seen.clear()
+def levels(counts: np.ndarray) -> np.ndarray:
+    """A level of rarity for each counter, 0: once in the corpus."""
+    return np.minimum(63, np.ceil(np.log2(np.maximum(counts, 1)) * 2)).astype(np.uint8)
 
-        for batch in batches:
-            for text in batch.column(0).to_pylist():
-                seen.update(text.lower().split())
-                if len(seen) > MEMO:
-                    flush()
-        flush()
-        at = np.flatnonzero(total)
-        for part in np.array_split(at, max(1, len(at) // 100_000)):
-            if len(part):
-                yield pa.RecordBatch.from_arrays([pa.array(part), pa.array(total[part])], ["bucket", "n"])
-
-    counts = docs.select("_text").mapInArrow(run, "bucket long, n long").groupBy("bucket").agg(F.sum("n").alias("n"))
-    out = np.zeros(BUCKETS, np.int64)
-    found = counts.toArrow()  # at most BUCKETS rows
-    out[found.column("bucket").to_numpy()] = found.column("n").to_numpy()
-    return out
-
-
-def _mix(x: np.ndarray) -> np.ndarray:
-    x = (x ^ (x >> np.uint64(30))) * np.uint64(0xBF58476D1CE4E5B9)
-    x = (x ^ (x >> np.uint64(27))) * np.uint64(0x94D049BB133111EB)
-    return x ^ (x >> np.uint64(31))
-
-
-LINES = f"_d long, _th long, _no int, _h1 long, _h2 long, _n int, _bits long, {', '.join(f'_m{k} long' for k in range(MINHASHES))}, _prefix array<long>"
-LEVEL_SHIFT = 57
+
+class Lines:
+    """The distinct tokens of each line of an Arrow string array, in the common order."""
+
+    def __init__(self, lines: pa.StringArray, level: np.ndarray):
+        h, sizes = word_hashes(lines)
+        token = level[h % _U(BUCKETS)].astype(np.uint64) << _U(LEVEL_SHIFT) | h >> _U(64 - LEVEL_SHIFT)
+        known, local = np.unique(token, return_inverse=True)
+        key = np.repeat(np.arange(len(sizes), dtype=np.int64), sizes) << 32 | local
+        key.sort()
+        if len(key):
+            key = key[np.concatenate(([True], key[1:] != key[:-1]))]
+        line = key >> 32
+        #: Numbers of the lines that have words; the tokens, laid end to end; how many each has; where each begins.
+        n = np.bincount(line, minlength=len(sizes))
+        self.at = np.flatnonzero(n)
+        self.tokens, self.n = known[key & 0xFFFFFFFF], n[self.at]
+        self.starts = np.cumsum(self.n) - self.n
+
+    def classes(self) -> list[np.ndarray]:
+        bare = self.tokens & _U((1 << LEVEL_SHIFT) - 1)
+        return [np.add.reduceat(mix(bare + _U(seed)), self.starts).view(np.int64) for seed in (0x9E3779B97F4A7C15, 0xD1B54A32D192ED03)]
+
+    def bits(self) -> np.ndarray:
+        return token_bits(self.tokens, self.starts)
+
+    def prefixes(self, threshold: float) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """(short hashes of the prefix tokens that the corpus has more than once, how many each line has, how many come before them)."""
+        line, position, inside = _prefix(self.n, self.starts, len(self.tokens), threshold)
+        once = self.tokens >> _U(LEVEL_SHIFT) == 0
+        entry = inside & ~once
+        return short(self.tokens[entry]), np.bincount(line[entry], minlength=len(self.n)), np.bincount(line[inside & once], minlength=len(self.n))
+
+
+def token_bits(tokens: np.ndarray, starts: np.ndarray) -> np.ndarray:
+    return np.bitwise_or.reduceat(_U(1) << (mix(tokens & _U((1 << LEVEL_SHIFT) - 1)) & _U(63)), starts)
+
+
+def short(tokens: np.ndarray) -> np.ndarray:
+    """40 bits of a token: enough to find candidates, which are verified on whole tokens."""
+    return mix(tokens) >> _U(24)
+
+
+def _prefix(n, starts, size, threshold):
+    line = np.repeat(np.arange(len(n)), n)
+    position = np.arange(size) - starts[line]
+    return line, position, position < (n - np.ceil(threshold * n - 1e-9).astype(np.int64) + 1)[line]
 
 
-def line_table(docs: DataFrame, counts: np.ndarray, threshold: float = THRESHOLD) -> DataFrame:
+LINES = "_d long, _th long, _no int, _h1 long, _h2 long, _n int, _bits long, _skip int, _pre binary"
+
+
+def line_table(keyed: DataFrame, level: np.ndarray, threshold: float = THRESHOLD) -> DataFrame:
     """``LINES``: a row for each line with words of each (_d, _th, _text)."""
-    # a level of rarity for each counter, 0: once in the corpus
-    level = np.minimum(63, np.ceil(np.log2(np.maximum(counts, 1)) * 2)).astype(np.uint8)
 
     def run(batches):
-        known: dict[str, int] = {}
-
-        def number(chunk: str) -> int:
-            h = _hash(word(chunk))
-            found = int(level[h % BUCKETS]) << LEVEL_SHIFT | (h >> 7)
-            if len(known) >= MEMO:
-                known.clear()
-            known[chunk] = found
-            return found
-
-        for batch in by_size(batches, 2, 512 << 10):
-            ids: list[int] = []
-            sizes, docs_, hashes, numbers = [], [], [], []
-            for d, th, text in zip(*(c.to_pylist() for c in batch.columns)):
-                get = known.get
-                for no, line in enumerate(text.lower().split("\n")):
-                    chunks = line.split()
-                    if chunks:
-                        ids += [x if (x := get(c)) is not None else number(c) for c in chunks]
-                        sizes.append(len(chunks))
-                        docs_.append(d)
-                        hashes.append(th)
-                        numbers.append(no)
-            if not sizes:
+        for batch in by_size(batches, 2, SLICE):
+            lines = pc.split_pattern(batch.column(2), "\n")
+            count = lines.value_lengths().to_numpy()
+            found = Lines(lines.flatten(), level)
+            if not len(found.at):
                 continue
-            tokens = np.array(ids, np.uint64)
-            line_of = np.repeat(np.arange(len(sizes)), sizes)
-            order = np.lexsort((tokens, line_of))
-            tokens, line_of = tokens[order], line_of[order]
-            fresh = np.ones(len(tokens), bool)
-            fresh[1:] = (tokens[1:] != tokens[:-1]) | (line_of[1:] != line_of[:-1])
-            tokens, line_of = tokens[fresh], line_of[fresh]
-            n = np.bincount(line_of, minlength=len(sizes))
-            starts = np.cumsum(n) - n
-            bare = tokens & np.uint64((1 << LEVEL_SHIFT) - 1)
-            add = [np.add.reduceat(_mix(bare + np.uint64(seed)), starts) for seed in (0x9E3779B97F4A7C15, 0xD1B54A32D192ED03)]
-            bits = np.bitwise_or.reduceat(np.uint64(1) << (_mix(bare) & np.uint64(63)), starts)
-            least = [np.minimum.reduceat(_mix(bare ^ np.uint64(0xA5A5A5A5 * (k + 1))), starts) for k in range(MINHASHES)]
-            position = np.arange(len(tokens)) - starts[line_of]
-            prefix = n - np.ceil(threshold * n - 1e-9).astype(np.int64) + 1
-            # a position is part of the entry: the low byte; positions are below 2 ** 8 or the entry says 255
-            inside = (position < prefix[line_of]) & (tokens >> np.uint64(LEVEL_SHIFT) > 0)
-            entries = pa.ListArray.from_arrays(
-                pa.array(np.concatenate(([0], np.cumsum(np.bincount(line_of[inside], minlength=len(sizes))))).astype(np.int32)),
-                pa.array(((tokens[inside] & ~np.uint64(255)) | np.minimum(position[inside], 255).astype(np.uint64)).view(np.int64)),
-            )
-            signed = [a.view(np.int64) for a in (*add, bits, *least)]
-            cols = [pa.array(docs_, pa.int64()), pa.array(hashes, pa.int64()), pa.array(numbers, pa.int32()), pa.array(signed[0]), pa.array(signed[1]), pa.array(n.astype(np.int32)), *map(pa.array, signed[2:]), entries]
+            doc = np.repeat(np.arange(len(count)), count)[found.at]
+            no = found.at - (np.cumsum(count) - count)[doc]
+            entries, many, skip = found.prefixes(threshold)
+            data = np.ascontiguousarray(entries.view(np.uint8).reshape(-1, 8)[:, :5])
+            offsets = np.concatenate(([0], np.cumsum(many * 5))).astype(np.int32)
+            pre = pa.Array.from_buffers(pa.binary(), len(many), [None, pa.py_buffer(offsets), pa.py_buffer(data)])
+            pick = pa.array(doc)
+            cols = [batch.column(0).take(pick), batch.column(1).take(pick), pa.array(no.astype(np.int32)), *map(pa.array, found.classes()), pa.array(found.n.astype(np.int32)), pa.array(found.bits().view(np.int64)), pa.array(skip.astype(np.int32)), pre]
             yield pa.RecordBatch.from_arrays(cols, [c.split()[0] for c in LINES.split(", ")])
 
-    return docs.select("_d", "_th", "_text").mapInArrow(run, LINES)
-
+    return keyed.select("_d", "_th", "_text").mapInArrow(run, LINES)
+
+
+def _unpacked(pre: pa.BinaryArray) -> tuple[np.ndarray, np.ndarray]:
+    """(short hashes, how many each row has)."""
+    sizes = pc.binary_length(pre).to_numpy() // 5
+    data = np.frombuffer(b"".join(pre.to_pylist()), np.uint8).reshape(-1, 5)
+    out = np.zeros((len(data), 8), np.uint8)
+    out[:, :5] = data
+    return out.view(np.uint64).ravel(), sizes
+
+
+ENTRY = np.dtype([("g", "<u8"), ("id", "<i8"), ("bits", "<u8"), ("n", "<u4"), ("p", "<u2"), ("side", "u1")])
+BOTH = 2
+
+
+class Dealer:
+    """Where entries go: a group for each token, or for each two blocks of a hot one; a part holds many groups."""
+
+    def __init__(self, hot: np.ndarray, parts: int):
+        self.blocks, self.parts = np.maximum(1, -(-hot // HOT)).astype(np.int64), parts
+
+    def deal(self, t: np.ndarray, line: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """(number of the entry, group, side) of all copies; ``line`` are hashes by which the blocks are dealt."""
+        blocks = self.blocks[t % _U(BUCKETS)]
+        rows = np.repeat(np.arange(len(t)), blocks)
+        other = np.arange(len(rows)) - np.repeat(np.cumsum(blocks) - blocks, blocks)
+        own = (mix(line.view(np.uint64) + t) % blocks.astype(np.uint64)).astype(np.int64)[rows]
+        low, high = np.minimum(own, other), np.maximum(own, other)
+        group = np.where(blocks[rows] == 1, t[rows], mix(t[rows] * _U(0x9E3779B97F4A7C15) + (low << 32 | high).astype(np.uint64)))
+        return rows, group, np.where(low == high, BOTH, np.where(own == low, 0, 1)).astype(np.uint8)
+
+    def part(self, group: np.ndarray) -> np.ndarray:
+        return (mix(group + _U(0x51ED270B)) % _U(self.parts)).astype(np.int32)
+
+
+def near_pairs(e: np.ndarray, threshold: float):
+    """Places (i, j) in the entries ``e``, sorted by group and length, of pairs that the filters let through; yielded in arrays."""
+    share = threshold / (1 + threshold)
+    g, n, p, bits, side = e["g"], e["n"].astype(np.int64), e["p"].astype(np.int64), e["bits"], e["side"]
+    at, step = np.arange(len(e)), 1
+    while True:
+        at = at[at + step < len(e)]
+        a, b = at, at + step
+        on = (g[a] == g[b]) & (n[a] >= threshold * n[b] - 1e-9)
+        at = a[on]
+        if not len(at):
+            return
+        a, b = at, at + step
+        step += 1
+        apart = n[a] + n[b] - 2 * np.ceil(share * (n[a] + n[b]) - 1e-9).astype(np.int64)
+        # a token is shared at p: what comes before it, and is shared as well, only counts where it is met itself
+        on = (p[a] + p[b] <= apart) & ((side[a] != side[b]) | (side[a] == BOTH)) & (e["id"][a] != e["id"][b])
+        a, b, apart = a[on], b[on], apart[on]
+        on = np.bitwise_count(bits[a] ^ bits[b]) <= apart
+        if on.any():
+            yield a[on], b[on]
+
+
+def _sorted(e: np.ndarray) -> np.ndarray:
+    order = np.argsort(e["g"])
+    g = e["g"][order]
+    rank = np.cumsum(np.concatenate((np.zeros(min(1, len(g)), np.int64), g[1:] != g[:-1])))
+    return e[order[np.argsort(rank << 32 | e["n"][order].astype(np.int64))]]
+
+
+def _by_part(batches):
+    """(part, rows of an Arrow table) for batches sorted by their first column."""
+    held, part = [], None
+    for batch in batches:
+        keys = batch.column(0).to_numpy()
+        edges = np.flatnonzero(np.concatenate(([True], keys[1:] != keys[:-1]))) if len(keys) else []
+        for a, b in zip(edges, [*edges[1:], len(keys)]):
+            if held and keys[a] != part:
+                yield part, pa.Table.from_batches(held)
+                held = []
+            part = keys[a]
+            held.append(batch.slice(a, b - a))
+    if held:
+        yield part, pa.Table.from_batches(held)
+
+
+def partnered(classes: DataFrame, dealer: Dealer, threshold: float) -> DataFrame:
+    """(_h1, _part) of the classes that have a partner in a part."""
+
+    def pack(batches):
+        held, size = [], 0
 
-def _fetch(docs: DataFrame, wanted: DataFrame) -> DataFrame:
-    """(_d, _th, _no, _line) for the wanted (_d, _th, _no)."""
-    where = F.pmod(F.xxhash64("_th", "_no"), F.lit(WANTED_BITS))
-    bits = np.zeros(WANTED_BITS // 8, np.uint8)
-    hits = wanted.select(where.alias("w")).selectExpr("w div 8 AS at", "shiftleft(1, cast(w % 8 AS int)) AS bit").groupBy("at").agg(F.bit_or("bit").alias("bits")).toArrow()
-    bits[hits.column("at").to_numpy()] = hits.column("bits").to_numpy().astype(np.uint8)
-    packed = zlib.compress(bits.tobytes(), 1)
-    numbered = docs.select("_d", "_th", "_text", F.transform(F.sequence(F.lit(0), F.size(F.split("_text", "\n", -1)) - 1), lambda i: F.pmod(F.xxhash64("_th", i), F.lit(WANTED_BITS))).alias("_at"))
+        def flush():
+            e, parts = np.concatenate([x for x, _ in held]), np.concatenate([x for _, x in held])
+            order = np.argsort(parts)
+            e, parts = e[order], parts[order]
+            edges = np.flatnonzero(np.concatenate(([True], parts[1:] != parts[:-1])))
+            blobs = [e[a:b].tobytes() for a, b in zip(edges, [*edges[1:], len(e)])]
+            for k in range(0, len(blobs), 256):
+                yield pa.RecordBatch.from_arrays([pa.array(parts[edges][k : k + 256]), pa.array(blobs[k : k + 256], pa.binary())], ["_part", "_blob"])
 
-    def run(batches):
-        table_ = np.frombuffer(zlib.decompress(packed), np.uint8)
         for batch in batches:
-            rows = []
-            flat = batch.column(3).flatten().to_numpy()
-            hit = (table_[flat >> 3] >> (flat & 7).astype(np.uint8)) & 1
-            ends = np.cumsum(batch.column(3).value_lengths().to_numpy())
-            starts = np.concatenate(([0], ends[:-1])) if len(ends) else ends
-            for i, (a, b) in enumerate(zip(starts, ends)):
-                at = np.flatnonzero(hit[a:b])
-                if len(at):
-                    lines = batch.column(2)[i].as_py().split("\n")
-                    d, th = batch.column(0)[i].as_py(), batch.column(1)[i].as_py()
-                    rows += [(d, th, int(k), lines[k]) for k in at]
-            if rows:
-                kinds = [pa.int64(), pa.int64(), pa.int32(), pa.string()]
-                yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(zip(*rows), kinds)], ["_d", "_th", "_no", "_line"])
-
-    found = numbered.mapInArrow(run, "_d long, _th long, _no int, _line string").dropDuplicates(["_d", "_th", "_no"])
-    return found.join(wanted, ["_d", "_th", "_no"], "left_semi")
-
-
-def _verified(docs: DataFrame, pairs: DataFrame, threshold: float) -> DataFrame:
-    """The pairs (_a, _b: structs of _d, _th, _no) whose lines' words are similar enough."""
-    pairs = cut(pairs.select("_a", "_b").distinct(), "pairs")
-    wanted = pairs.select("_a.*").unionAll(pairs.select("_b.*")).distinct()
-    lines = cut(_fetch(docs, wanted), "lines")
-    key = F.struct("_d", "_th", "_no")
-    both = pairs.join(lines.select(key.alias("_a"), F.col("_line").alias("_x")), "_a").join(lines.select(key.alias("_b"), F.col("_line").alias("_y")), "_b")
+            t, sizes = _unpacked(batch.column(4))
+            row = np.repeat(np.arange(len(sizes)), sizes)
+            place = np.arange(len(t)) - np.repeat(np.cumsum(sizes) - sizes, sizes)
+            ids, n, bits, skip = (batch.column(k).to_numpy() for k in range(4))
+            copy, group, side = dealer.deal(t, ids[row])
+            e = np.zeros(len(copy), ENTRY)
+            at = row[copy]
+            e["g"], e["id"], e["bits"], e["n"], e["side"] = group, ids[at], bits[at].view(np.uint64), n[at], side
+            e["p"] = np.minimum(skip[at] + place[copy], 65535)
+            held.append((e, dealer.part(group)))
+            size += len(e)
+            if size >= PACK:
+                yield from flush()
+                held, size = [], 0
+        if size:
+            yield from flush()
+
+    def meet(batches):
+        for part, rows in _by_part(batches):
+            e = _sorted(np.frombuffer(b"".join(rows.column(1).to_pylist()), ENTRY))
+            on = np.zeros(len(e), bool)
+            for a, b in near_pairs(e, threshold):
+                on[a] = on[b] = True
+            if on.any():
+                ids = np.unique(e["id"][on])
+                yield pa.RecordBatch.from_arrays([pa.array(ids), pa.array(np.full(len(ids), part, np.int32))], ["_h1", "_part"])
+
+    packed = classes.select("_h1", "_n", "_bits", "_skip", "_pre").mapInArrow(pack, "_part int, _blob binary")
+    return packed.repartition("_part").sortWithinPartitions("_part").mapInArrow(meet, "_h1 long, _part int")
+
+
+def _tokens(keyed: DataFrame, wanted: DataFrame, level: np.ndarray) -> DataFrame:
+    """``wanted`` (_d, _th, _no, ...) with ``_tokens`` of these lines, from a pass that emits lines that a bit table of fixed size names."""
+
+    def place(th, no):
+        return mix(th.view(np.uint64) + no.astype(np.uint64) * _U(0x9E3779B97F4A7C15))
+
+    bits = bit_table(wanted.select("_th", "_no"), place)
 
     def run(batches):
-        for batch in batches:
-            keep = []
-            for x, y in zip(batch.column(2).to_pylist(), batch.column(3).to_pylist()):
-                x, y = words_of(x), words_of(y)
-                same = len(x & y)
-                keep.append(same >= threshold * (len(x) + len(y) - same) - 1e-9)
-            yield batch.select(["_a", "_b"]).filter(pa.array(keep, pa.bool_()))
-
-    kind = "struct<_d:long,_th:long,_no:int>"
-    return both.select("_a", "_b", "_x", "_y").mapInArrow(run, f"_a {kind}, _b {kind}")
-
-
-def line_links(docs: DataFrame, threshold: float = THRESHOLD, every: bool = False) -> tuple[DataFrame, DataFrame]:
-    """The lines with their class's first occurrence (_first), and links (_a: first line of a class, _b: of an earlier similar one).
+        named = bits.array()
+        for batch in by_size(batches, 2, SLICE):
+            lines = pc.split_pattern(batch.column(2), "\n")
+            count = lines.value_lengths().to_numpy()
+            doc = np.repeat(np.arange(len(count)), count)
+            no = np.arange(len(doc)) - (np.cumsum(count) - count)[doc]
+            at = np.flatnonzero(has_bit(named, place(batch.column(1).to_numpy()[doc], no)))
+            found = Lines(lines.flatten().take(pa.array(at)), level)
+            if len(found.at):
+                at = at[found.at]
+                offsets = np.concatenate(([0], np.cumsum(found.n) * 8)).astype(np.int32)
+                blobs = pa.Array.from_buffers(pa.binary(), len(at), [None, pa.py_buffer(offsets), pa.py_buffer(np.ascontiguousarray(found.tokens))])
+                pick = pa.array(doc[at])
+                yield pa.RecordBatch.from_arrays([batch.column(0).take(pick), batch.column(1).take(pick), pa.array(no[at].astype(np.int32)), blobs], ["_d", "_th", "_no", "_tokens"])
+
+    found = keyed.select("_d", "_th", "_text").mapInArrow(run, "_d long, _th long, _no int, _tokens binary").dropDuplicates(["_d", "_th", "_no"])
+    return found.join(wanted, ["_d", "_th", "_no"])
+
+
+def _linked(e, starts, n, local, shorts, threshold):
+    """Of the pairs of entries that may be similar, those that are and whose first common token is the entry's: arrays of class numbers."""
+    out = []
+
+    def verify(a, b):
+        x, y = e["id"][a], e["id"][b]
+        sizes = np.concatenate((n[x], n[y]))
+        begin = np.concatenate((starts[x], starts[y]))
+        at = np.repeat(begin - (np.cumsum(sizes) - sizes), sizes) + np.arange(sizes.sum())
+        key = np.repeat(np.concatenate((np.arange(len(x)), np.arange(len(x)))), sizes) << 32 | local[at]
+        key.sort()
+        both = key[1:][key[1:] == key[:-1]]
+        pair = both >> 32
+        same = np.bincount(pair, minlength=len(x))
+        first = np.full(len(x), -1)
+        first[pair[::-1]] = (both & 0xFFFFFFFF)[::-1]
+        ok = (same >= threshold * (n[x] + n[y] - same) - 1e-9) & (same > 0)
+        ok &= shorts[first] == e["t"][a]
+        out.append((x[ok], y[ok]))
+
+    for a, b in near_pairs(e, threshold):
+        sizes = np.cumsum(n[e["id"][a]] + n[e["id"][b]])
+        cuts = np.searchsorted(sizes, np.arange(VERIFY, sizes[-1] + VERIFY, VERIFY), "left")
+        for x, y in zip([0, *(cuts + 1)], cuts + 1):
+            if x < min(y, len(a)):
+                verify(a[x:y], b[x:y])
+    return tuple(np.concatenate([o[k] for o in out]) if out else np.zeros(0, np.int64) for k in (0, 1))
+
+
+LINKS = "_h1 long, _h2 long, _links long, _late boolean"
+
+
+def verified(lines: DataFrame, dealer: Dealer, threshold: float) -> DataFrame:
+    """``LINKS`` of the classes in each part (_part, _h1, _h2, _d, _th, _no, _tokens): a class can have several rows."""
+    wide = np.dtype([*ENTRY.descr, ("t", "<u8")])
 
-    With ``every`` these are all links. Else every class that has an earlier similar class has
-    a link, and classes that the first round leaves open have all their links to earlier ones.
-    """
-    spark = docs.sparkSession
+    def run(batches):
+        for part, rows in _by_part(batches):
+            h1, h2, d, th, no = (rows.column(k).combine_chunks().to_numpy() for k in range(1, 6))
+            blobs = rows.column(6).to_pylist()
+            n = np.array([len(b) // 8 for b in blobs])
+            tokens, starts = np.frombuffer(b"".join(blobs), np.uint64), np.cumsum(n) - n
+            known, local = np.unique(tokens, return_inverse=True)
+            shorts = short(known)
+            line, position, inside = _prefix(n, starts, len(tokens), threshold)
+            inside &= tokens >> _U(LEVEL_SHIFT) > 0
+            t, row, p = shorts[local[inside]], line[inside], position[inside]
+            copy, group, side = dealer.deal(t, h1[row])
+            here = dealer.part(group) == part
+            copy, group, side = copy[here], group[here], side[here]
+            e = np.zeros(len(copy), wide)
+            at = row[copy]
+            e["g"], e["id"], e["bits"], e["n"], e["side"], e["t"] = group, at, token_bits(tokens, starts)[at], n[at], side, t[copy]
+            e["p"] = np.minimum(p[copy], 65535)
+            x, y = _linked(_sorted(e), starts, n, local, shorts, threshold)
+            if not len(x):
+                continue
+            order = np.empty(len(n), np.int64)
+            order[np.lexsort((no, th, d))] = np.arange(len(n))
+            links = np.bincount(x, minlength=len(n)) + np.bincount(y, minlength=len(n))
+            late = np.zeros(len(n), bool)
+            late[np.where(order[x] > order[y], x, y)] = True
+            at = np.flatnonzero(links)
+            yield pa.RecordBatch.from_arrays([pa.array(h1[at]), pa.array(h2[at]), pa.array(links[at]), pa.array(late[at])], ["_h1", "_h2", "_links", "_late"])
+
+    rows = lines.select("_part", "_h1", "_h2", "_d", "_th", "_no", "_tokens").repartition("_part").sortWithinPartitions("_part")
+    return rows.mapInArrow(run, LINKS)
+
+
+def line_links(keyed: DataFrame, threshold: float = THRESHOLD) -> tuple[DataFrame, DataFrame]:
+    """Two tables: the lines (_d, _th, _no, _h1, _h2: their class), and the classes that have links or several lines
+    (_h1, _h2, _first: first line, _links: how many other classes are similar, _late: whether an earlier one is)."""
+    spark = keyed.sparkSession
     bound_batches(spark)
-    lines = cut(line_table(docs, rarity(docs), threshold), "lines")
-    features = ["_n", "_bits", *[f"_m{k}" for k in range(MINHASHES)], "_prefix"]
-    first = F.struct("_d", "_th", "_no", *features)
-    classes = cut(lines.groupBy("_h1", "_h2").agg(F.min(F.struct("_d", "_th", "_no")).alias("_first"), F.first(F.struct(*features)).alias("_f")).select("_first", "_f.*"), "classes")
-
-    def fits(na, nb, ba, bb):
-        share = threshold / (1 + threshold)
-        apart = na + nb - 2 * F.ceil(share * (na + nb) - 1e-9)
-        return (nb >= threshold * na) & (na >= threshold * nb) & (F.bit_count(ba.bitwiseXOR(bb)) <= apart), apart
-
-    # round 1: the earliest class of each min-hash group
-    settled = None
-    if not every:
-        keyed = classes.select("_first", "_n", "_bits", F.explode(F.array(*[F.struct(F.lit(k).alias("k"), F.col(f"_m{k}").alias("m")) for k in range(MINHASHES)])).alias("_key"))
-        leaders = keyed.groupBy("_key").agg(F.min(F.struct("_first", "_n", "_bits")).alias("_lead"), F.count("*").alias("_c")).where("_c > 1").select("_key", "_lead")
-        ok, _ = fits(F.col("_n"), F.col("_lead._n"), F.col("_bits"), F.col("_lead._bits"))
-        stars = keyed.join(leaders, "_key").where((F.col("_lead._first") < F.col("_first")) & ok)
-        settled = cut(_verified(docs, stars.select(F.col("_first").alias("_a"), F.col("_lead._first").alias("_b")), threshold), "settled")
-
-    # round 2: the prefix join of the classes still open (all without a first round) with all earlier ones
-    if settled is None:
-        entries = classes.withColumn("_open", F.lit(True))
-    else:
-        done = settled.select(F.col("_a").alias("_first")).distinct().withColumn("_done", F.lit(True))
-        entries = classes.join(done, "_first", "left").withColumn("_open", F.col("_done").isNull())
-    entries = entries.select("_first", "_n", "_bits", "_open", F.explode("_prefix").alias("_e"))
-    low = F.lit(255).cast("long")
-    entries = entries.select("_first", "_n", "_bits", "_open", F.col("_e").bitwiseAND(F.lit(-256).cast("long")).alias("_t"), F.col("_e").bitwiseAND(low).cast("int").alias("_p"))
-    a, b = entries.alias("a"), entries.alias("b")
-    ok, apart = fits(F.col("a._n"), F.col("b._n"), F.col("a._bits"), F.col("b._bits"))
-    at = F.when((F.col("a._p") < 255) & (F.col("b._p") < 255), F.col("a._p") + F.col("b._p")).otherwise(0)
-    # neighbouring prefix tokens may both be shared; only the first shared one needs to pass the position filter
-    pairs = a.join(b, (F.col("a._t") == F.col("b._t")) & F.col("a._open") & (F.col("b._first") < F.col("a._first")) & ok & (at <= apart))
-    found = cut(_verified(docs, pairs.select(F.col("a._first").alias("_a"), F.col("b._first").alias("_b")), threshold), "links")
-    return lines, found if settled is None else settled.unionAll(found)
-
-
-def keyed_docs(docs: DataFrame) -> DataFrame:
-    """All columns, and _d, _th, _text: the key of a document and its text."""
-    text = text_or_empty()
-    return docs.withColumns({"_d": F.coalesce(docs["doc_id"].cast("long"), F.lit(LAST)), "_th": F.xxhash64(text), "_text": text})
-
-
-def removed_lines(keyed: DataFrame, threshold: float = THRESHOLD, every: bool = False) -> DataFrame:
-    """(_d, _th, _gone: line numbers that go, _links: how many of them for a similar line in other words).
-
-    With ``every`` also _of: (line number, first line of its class, links of the class where this is its first line) for the lines that go.
-    """
-    lines, links = line_links(keyed.select("_d", "_th", "_text"), threshold, every)
-    key = F.struct("_d", "_th", "_no")
-    firsts = lines.groupBy("_h1", "_h2").agg(F.min(key).alias("_first"), F.count("*").alias("_c"))
-    late = links.groupBy(F.col("_a").alias("_first")).agg(F.count("*").alias("_each")).withColumn("_late", F.lit(True))
-    # classes of one line without an earlier match have nothing to remove and need not meet their lines
-    flagged = firsts.join(late, "_first", "left").where(F.col("_late") | (F.col("_c") > 1)).select("_h1", "_h2", "_first", F.coalesce("_late", F.lit(False)).alias("_late"), F.coalesce("_each", F.lit(0)).alias("_each"))
-    gone = lines.select("_d", "_th", "_no", "_h1", "_h2").join(flagged, ["_h1", "_h2"]).where(F.col("_late") | (key != F.col("_first")))
-    found = [F.collect_set("_no").alias("_gone"), F.sum((F.col("_late") & (key == F.col("_first"))).cast("long")).alias("_links")]
-    if every:
-        own = F.when(key == F.col("_first"), F.col("_each")).otherwise(0)
-        found.append(F.array_sort(F.collect_set(F.struct("_no", "_first", own.alias("_each")))).alias("_of"))
-    return gone.groupBy("_d", "_th").agg(*found)
-
-
-def dedup_lines(docs: DataFrame, threshold: float = THRESHOLD, every: bool = False) -> DataFrame:
-    """``docs`` with its columns, _kept (the text without removed lines), _lines, _removed and _links.
-
-    With ``every`` also _all_links (links of the classes that start in the document to earlier similar
-    classes) and _classes (line number and class id of the lines that go; any other line is the first of its class).
-    A class id is the place of the class's first line: doc_id, text hash and line number.
+    level = levels(rarity(keyed))
+    lines = cut(line_table(keyed, level, threshold), "lines")
+    place = F.struct("_d", "_th", "_no")
+    features = F.struct("_n", "_bits", "_skip", "_pre")
+    classes = cut(lines.groupBy("_h1", "_h2").agg(F.min(place).alias("_first"), (F.max(place) != F.min(place)).alias("_more"), F.first(features).alias("_f")).select("_h1", "_h2", "_first", "_more", "_f.*"), "classes")
+
+    def count(batch, total):
+        t, _ = _unpacked(batch.column(0))
+        np.add.at(total, t % _U(BUCKETS), 1)
+
+    hot = counters(classes.select("_pre"), count, BUCKETS)
+    dealer = Dealer(hot, max(PARTS, int(hot.sum()) // PART))
+    found = cut(partnered(classes, dealer, threshold).groupBy("_h1").agg(F.collect_set("_part").alias("_parts")), "partnered")
+    wanted = cut(classes.select("_h1", "_h2", "_first.*").join(found, "_h1"), "wanted")
+    tokens = _tokens(keyed, wanted, level).withColumn("_part", F.explode("_parts"))
+    links = verified(tokens, dealer, threshold).groupBy("_h1", "_h2").agg(F.sum("_links").alias("_links"), F.max("_late").alias("_late"))
+    links = cut(links, "links")
+    discard(found, wanted)
+    joined = classes.select("_h1", "_h2", "_first", "_more").join(links, ["_h1", "_h2"], "left").where("_links IS NOT NULL OR _more")
+    return lines.select("_d", "_th", "_no", "_h1", "_h2"), joined.select("_h1", "_h2", "_first", F.coalesce("_links", F.lit(0)).alias("_links"), F.coalesce("_late", F.lit(False)).alias("_late"))
+
+
+def line_marks(keyed: DataFrame, threshold: float = THRESHOLD) -> DataFrame:
+    """(_d, _th, _of: line number, whether it goes, first line and links of its class) for the documents with lines that aren't alone."""
+    lines, classes = line_links(keyed, threshold)
+    found = lines.join(classes, ["_h1", "_h2"])
+    goes = F.col("_late") | (F.struct("_d", "_th", "_no") != F.col("_first"))
+    of = F.struct("_no", goes.alias("_goes"), "_first", "_links", "_late")
+    return found.groupBy("_d", "_th").agg(F.collect_set(of).alias("_of"))
+
+
+def dedup_lines(docs: DataFrame, threshold: float = THRESHOLD) -> DataFrame:
+    """A row for each of ``docs``: ``row`` (a struct of its columns), ``kept`` (the text without removed lines), n_lines (with
+    words), n_removed, n_similar (of them, first lines of their class that go for an earlier similar class), n_links (similar
+    classes of its lines, in sum) and classes (line number and class id of each line whose class has several lines or links).
+
+    A class id is the place of the class's first line: doc_id, text hash and line number. Any other line is a class of its own.
     """
     bound_batches(docs.sparkSession)
-    keyed = keyed_docs(docs)
-    gone = removed_lines(keyed, threshold, every)
-    joined = keyed.join(gone, ["_d", "_th"], "left")
-    parts = F.split("_text", "\n", -1)
-    kept = F.when(F.col("_gone").isNull(), F.col("_text")).otherwise(F.array_join(F.filter(parts, lambda x, i: ~F.array_contains("_gone", i)), "\n"))
-    return joined.select(
-        *docs.columns, kept.alias("_kept"), F.size(F.filter(parts, lambda x: x.rlike(r"\S"))).cast("long").alias("_lines"),
-        F.coalesce(F.size("_gone"), F.lit(0)).cast("long").alias("_removed"), F.coalesce("_links", F.lit(0)).alias("_links"), *(_of_lines() if every else []),
-    )
-
+    keyed = keyed_rows(docs)
+    joined = keyed.select("_row", "_d", "_th").join(line_marks(keyed, threshold), ["_d", "_th"], "left")
+    kind = pa.list_(pa.struct([("line_no", pa.int32()), ("class_id", pa.string())]))
 
-def _of_lines() -> list:
-    """The columns _all_links and _classes from _of."""
-    of = F.filter(F.coalesce("_of", F.array(F.lit(None))), lambda x: x.isNotNull())
-
-    def class_id(x):
-        d = x["_first"]["_d"]
-        return F.concat_ws(":", F.when(d == LAST, "").otherwise(d.cast("string")), F.hex(x["_first"]["_th"]), x["_first"]["_no"].cast("string"))
-
-    return [
-        F.aggregate(of, F.lit(0).cast("long"), lambda n, x: n + x["_each"]).alias("_all_links"),
-        F.transform(of, lambda x: F.struct(x["_no"].alias("line_no"), class_id(x).alias("class_id"))).alias("_classes"),
-    ]
+    def run(batches):
+        for batch in batches:
+            texts = pc.fill_null(pc.struct_field(batch.column(0), "text").cast(pa.string()), "")
+            found = []
+            for text, d, th, of in zip(texts.to_pylist(), *(batch.column(k).to_pylist() for k in (1, 2, 3))):
+                of = sorted(of or (), key=lambda x: x["_no"])
+                gone = {x["_no"] for x in of if x["_goes"]}
+                lines = text.split("\n")
+                kept = "\n".join([line for i, line in enumerate(lines) if i not in gone]) if gone else text
+                own = lambda x: (x["_first"]["_d"], x["_first"]["_th"], x["_first"]["_no"]) == (d, th, x["_no"])
+                similar = sum(x["_late"] and own(x) for x in of)
+                ids = [{"line_no": x["_no"], "class_id": f"{'' if x['_first']['_d'] == LAST else x['_first']['_d']}:{x['_first']['_th'] & (1 << 64) - 1:X}:{x['_first']['_no']}"} for x in of]
+                found.append((kept, sum(not x.isspace() and x != "" for x in lines), len(gone), similar, sum(x["_links"] for x in of), ids))
+            kinds = [pa.string(), *[pa.int64()] * 4, kind]
+            cols = [pa.array(c, k) for c, k in zip(zip(*found) if found else [()] * 6, kinds)]
+            yield pa.RecordBatch.from_arrays([batch.column(0), *cols], ["row", "kept", "n_lines", "n_removed", "n_similar", "n_links", "classes"])
+
+    counts = "kept string, n_lines long, n_removed long, n_similar long, n_links long, classes array<struct<line_no:int,class_id:string>>"
+    schema = T.StructType([T.StructField("row", keyed.schema["_row"].dataType), *T.StructType.fromDDL(counts)])
+    return joined.select("_row", "_d", "_th", "_of").mapInArrow(run, schema)
 
 
 def op5_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """One row a document: lines with words, lines removed, those of them that go for a similar line in other words, all
-    links of its classes to earlier ones, the class of each removed line, and the kept text's digest."""
-    found = dedup_lines(table(spark, sf_dir, "documents").select("doc_id", "text"), every=True)
-    return found.select(
-        F.col("doc_id").cast("long").alias("doc_id"), F.col("_lines").alias("n_lines"), F.col("_removed").alias("n_removed"),
-        F.col("_links").alias("n_similar"), F.col("_all_links").alias("n_links"), F.col("_classes").alias("classes"), F.sha2(F.col("_kept"), 256).alias("kept_sha256"),
-    )
+    """One row a document: lines with words, lines removed, those of them that go for a similar line in other words, links of
+    its lines, the classes of its lines, and the kept text's digest."""
+    found = dedup_lines(table(spark, sf_dir, "documents").select("doc_id", "text"))
+    return found.select(F.col("row.doc_id").cast("long").alias("doc_id"), "n_lines", "n_removed", "n_similar", "n_links", "classes", F.sha2("kept", 256).alias("kept_sha256"))

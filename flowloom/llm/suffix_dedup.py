@@ -20,8 +20,8 @@ corpus is first cut down, without loss, to pieces that can hold such a string:
 4. An anchor with more than ``GROUP`` distinct windows (a very common passage whose
    contexts all differ) isn't put into one task: its windows are grouped by the ``HALF``
    bytes on either side of the anchor, one side of which any match has in common. A group
-   that is still too large has its strings hashed at each place relative to the anchor and
-   counted by an aggregate, which is exact as well.
+   that is still too large is cut into blocks of ``GROUP`` windows, and the index is built
+   for each two blocks: a task holds as much however large the group is.
 5. The marks go back to all places of their window by an equi-join that Spark can split,
    and are merged in each document.
 
@@ -49,7 +49,7 @@ from flowloom.llm.common import bound_batches, by_size, cut, discard, table, tex
 LENGTH = 200
 K = 50
 SPAN = LENGTH - K + 1
-#: Distinct windows of an anchor that one task indexes; more take the counted way.
+#: Distinct windows of an anchor that are indexed together; more are cut into blocks.
 GROUP = 3000
 #: Bytes next to an anchor by which the windows of a very common one are told apart.
 HALF = (LENGTH - K) // 2
@@ -249,6 +249,15 @@ def _place_hash(th: np.ndarray, place: np.ndarray) -> np.ndarray:
     return last(rotl(h, 23) * p2 + p3)
 
 
+def _ranks(keys: np.ndarray) -> np.ndarray:
+    """For each key, how many are less."""
+    order = np.argsort(keys)
+    s = keys[order]
+    out = np.empty(len(keys), np.int64)
+    out[order] = np.maximum.accumulate(np.where(np.concatenate((np.ones(min(1, len(s)), bool), s[1:] != s[:-1])), np.arange(len(s)), 0))
+    return out
+
+
 class RunLengthIndex:
     """A run-compressed Burrows-Wheeler index of pieces; pieces of different groups don't match."""
 
@@ -269,25 +278,29 @@ class RunLengthIndex:
         self._sort()
 
     def _sort(self):
-        """Suffix array by prefix doubling over whole pieces; equal suffixes come in the order of their pieces."""
+        """Suffix array by prefix doubling over whole pieces; equal suffixes come in the order of their pieces.
+
+        A rank is the number of suffixes that are less, so a tied group is refined on its own:
+        only suffixes that still tie are sorted again.
+        """
         n = len(self.data)
         short = np.minimum(self.left, 8)
-        order = np.lexsort((short, self.eight, self.group))
-        key = np.stack([self.group[order], self.eight[order].view(np.int64), short[order]])
-        rank = np.empty(n, np.int64)
-        rank[order] = np.cumsum(np.concatenate(([1], (key[:, 1:] != key[:, :-1]).any(0)))) if n else 0
+        rank = _ranks((self.group * (n + 1) + _ranks(self.eight)) * 9 + short)
+        tied = np.flatnonzero(np.bincount(rank, minlength=n)[rank] > 1) if n else rank
         h = 8
-        while n and h < self.left.max() and rank.max() < n:
-            after = np.zeros(n, np.int64)
-            ok = self.left > h
-            at = np.flatnonzero(ok)
-            after[at] = rank[at + h]
-            both = rank * (n + 1) + after
-            order = np.argsort(both, kind="stable")
-            s = both[order]
-            rank[order] = np.cumsum(np.concatenate(([1], s[1:] != s[:-1])))
+        while len(tied) and h < self.left.max():
+            after = np.where(self.left[tied] > h, rank[np.minimum(tied + h, n - 1)] + 1, 0)
+            both = rank[tied] * (n + 1) + after
+            order = np.argsort(both)
+            tied, both = tied[order], both[order]
+            was = rank[tied]
+            i = np.arange(len(tied))
+            fresh = np.concatenate(([True], both[1:] != both[:-1]))
+            old = np.concatenate(([True], was[1:] != was[:-1]))
+            rank[tied] = was + np.maximum.accumulate(np.where(fresh, i, 0)) - np.maximum.accumulate(np.where(old, i, 0))
+            tied = tied[~(fresh & np.concatenate((fresh[1:], [True])))]
             h *= 2
-        order = np.argsort(rank, kind="stable")
+        order = np.argsort(rank * (n + 1) + np.arange(n))
         self.sa = order
         before = self.data[np.maximum(order - 1, 0)].astype(np.int64) if n else np.zeros(0, np.int64)
         bwt = np.where(self.first[order], 256 + np.arange(n), before)  # a piece's first byte has nothing before it
@@ -392,20 +405,22 @@ def _batch(rows: list[tuple], schema: str, kinds: list) -> pa.RecordBatch:
     return pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(zip(*rows), kinds)], [c.split()[0] for c in schema.split(", ")])
 
 
-def split_groups(large: DataFrame) -> tuple[DataFrame, DataFrame]:
-    """Windows of anchors with very many, by what lies next to the anchor: groups that an index takes, and those still too large.
+def split_groups(large: DataFrame) -> DataFrame:
+    """Windows of anchors with very many, dealt to groups (_g) of at most ``2 * GROUP`` or so that an index takes.
 
     A string that holds the anchor has ``HALF`` bytes or more before it or after it. Windows
     with equal bytes there are a group; a window alone in both of its groups has no match.
+    A group still over ``GROUP`` is cut into blocks, and each two blocks are indexed together.
     """
     before = F.when(F.col("_left") >= HALF, F.xxhash64(F.expr(f"substring(_bytes, _left - {HALF - 1}, {HALF + K})")))
     after = F.when(F.octet_length("_bytes") - F.col("_left") >= HALF + K, F.xxhash64(F.expr(f"substring(_bytes, _left + 1, {HALF + K})")))
     sides = large.withColumn("_s", F.explode(F.array(F.struct(F.lit(0).alias("k"), before.alias("h")), F.struct(F.lit(1).alias("k"), after.alias("h"))))).where("_s.h IS NOT NULL")
     sides = sides.withColumn("_g", F.xxhash64("_a", "_s.k", "_s.h")).drop("_s")
     sizes = sides.groupBy("_g").agg(F.count("*").alias("_size")).where("_size > 1")
-    both = cut(sides.join(sizes, "_g"), "sides")
-    # a window can be in a large group on either side, and must be counted once
-    return both.where(F.col("_size") <= GROUP), both.where(F.col("_size") > GROUP).dropDuplicates(["_a", "_w1", "_w2"])
+    both = sides.join(sizes, "_g").withColumn("_blocks", F.ceil(F.col("_size") / GROUP).cast("int"))
+    own = F.pmod(F.xxhash64("_w1", "_w2"), F.col("_blocks")).cast("int")
+    cells = F.transform(F.sequence(F.lit(0), F.col("_blocks") - 1), lambda j: F.xxhash64("_g", F.least(own, j), F.greatest(own, j)))
+    return both.withColumn("_g", F.explode(cells)).drop("_size", "_blocks")
 
 
 def indexed_marks(grouped: DataFrame) -> DataFrame:
@@ -429,37 +444,8 @@ def indexed_marks(grouped: DataFrame) -> DataFrame:
     return rows.mapInArrow(run, MARKS)
 
 
-STRINGS = "_a long, _w1 long, _w2 long, _off int, _s1 long, _s2 long"
-
-
-def counted_marks(grouped: DataFrame) -> DataFrame:
-    """``MARKS`` of anchors with very many windows: strings of ``LENGTH`` bytes counted by place relative to the anchor."""
-
-    def run(batches):
-        kinds = [pa.int64()] * 3 + [pa.int32()] + [pa.int64()] * 2
-        for batch in batches:
-            rows = []
-            for a, w1, w2, _, _, _, left, data in zip(*(c.to_pylist() for c in batch.columns)):
-                for o in range(len(data) - LENGTH + 1):
-                    s1, s2 = np.frombuffer(xxhash.xxh3_128_digest(data[o : o + LENGTH]), np.int64).tolist()
-                    rows.append((a, w1, w2, o - left, s1, s2))
-                if len(rows) > 50_000:
-                    yield _batch(rows, STRINGS, kinds)
-                    rows = []
-            if rows:
-                yield _batch(rows, STRINGS, kinds)
-
-    rows = grouped.select("_a", "_w1", "_w2", "_d", "_th", "_pos", "_left", "_bytes")
-    strings = rows.mapInArrow(run, STRINGS)
-    # counted first without the windows, so that equal strings collapse before the shuffle
-    twice = strings.groupBy("_a", "_off", "_s1", "_s2").agg(F.count("*").alias("_n")).where("_n > 1").drop("_n")
-    hit = strings.join(twice, ["_a", "_off", "_s1", "_s2"])
-    offs = hit.groupBy("_a", "_w1", "_w2").agg(F.collect_set("_off").alias("_from"))
-    return offs.select("_a", "_w1", "_w2", "_from", F.transform("_from", lambda x: x + LENGTH).alias("_to"))
-
-
 def removed_spans(keyed: DataFrame) -> DataFrame:
-    """(_d, _th, _spans: array of (s, e), not yet merged) of documents that lose bytes."""
+    """(_d, _th, _spans: merged array of (s, e), the last of which may reach beyond the text) of documents that lose bytes."""
     bound_batches(keyed.sparkSession)
     keyed = keyed.select("_d", "_th", "_text")
     hits = cut(windows(keyed, _bit_table(repeated_anchors(keyed), "_a")), "hits")
@@ -471,42 +457,53 @@ def removed_spans(keyed: DataFrame) -> DataFrame:
     texts = cut(_window_bytes(keyed, several), "texts")
     whole = F.array(F.lit(K - LENGTH)), F.array(F.lit(LENGTH))
     marks = distinct.where("_n > 1").select("_a", "_w1", "_w2", whole[0].alias("_from"), whole[1].alias("_to"))
-    grouped = texts.where(F.col("_kinds") <= GROUP).withColumn("_g", F.col("_a"))
-    found = indexed_marks(grouped)
+    found = indexed_marks(texts.where(F.col("_kinds") <= GROUP).withColumn("_g", F.col("_a")))
     large = texts.where(F.col("_kinds") > GROUP)
-    if not large.isEmpty():
-        small, rest = split_groups(large)
-        found = found.unionByName(indexed_marks(small))
-        if not rest.isEmpty():
-            found = found.unionByName(counted_marks(rest))
-        found = found.groupBy("_a", "_w1", "_w2").agg(F.flatten(F.collect_list("_from")).alias("_from"), F.flatten(F.collect_list("_to")).alias("_to"))
+    if not large.isEmpty():  # the marks of a window's cells are gathered again
+        found = found.unionByName(indexed_marks(split_groups(large)))
+        found = found.groupBy("_a", "_w1", "_w2").agg(F.collect_set(F.struct("_from", "_to")).alias("_x"))
+        found = found.select("_a", "_w1", "_w2", F.flatten("_x._from").alias("_from"), F.flatten("_x._to").alias("_to"))
     found = cut(found, "marks")
     discard(several, texts)
     marks = marks.unionByName(found)
     # a window has up to two rows of marks, both bounded by the window's length
     found = hits.join(marks, ["_a", "_w1", "_w2"])
     spans = F.arrays_zip(F.transform("_from", lambda x: F.greatest(x + F.col("_pos"), F.lit(0))).alias("s"), F.transform("_to", lambda x: x + F.col("_pos")).alias("e"))
-    return found.select("_d", "_th", F.explode(spans).alias("_x")).groupBy("_d", "_th").agg(F.collect_set("_x").alias("_spans"))
+    spans = found.select("_d", "_th", F.explode(spans).alias("_x")).groupBy("_d", "_th").agg(F.collect_set("_x").alias("_spans"))
+
+    def merged(batches):
+        for batch in batches:
+            x = batch.column(2)
+            flat, sizes = x.flatten(), x.value_lengths().to_numpy()
+            start, end = (flat.field(k).to_numpy().astype(np.int64) for k in (0, 1))
+            doc = np.repeat(np.arange(len(sizes)), sizes)
+            order = np.lexsort((start, doc))
+            start, end, doc = start[order], end[order], doc[order]
+            # a span begins where the reach of all before it in its document ends
+            shift = doc << 40
+            reach = np.maximum.accumulate(end + shift)
+            fresh = np.concatenate(([True], start[1:] + shift[1:] > reach[:-1]))
+            at = np.flatnonzero(fresh)
+            ends = np.maximum.reduceat(end, at)
+            counts = np.bincount(doc[at], minlength=len(sizes))
+            kind = pa.struct([("s", pa.int32()), ("e", pa.int32())])
+            pairs = pa.StructArray.from_arrays([pa.array(start[at].astype(np.int32)), pa.array(ends.astype(np.int32))], fields=list(kind))
+            lists = pa.ListArray.from_arrays(pa.array(np.concatenate(([0], np.cumsum(counts))).astype(np.int32)), pairs)
+            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), lists], ["_d", "_th", "_spans"])
+
+    return spans.mapInArrow(merged, "_d long, _th long, _spans array<struct<s:int,e:int>>")
 
 
 def dedup_spans(docs: DataFrame) -> DataFrame:
-    """``docs`` with its columns, _bytes_kept (binary), _n_bytes, _from and _to (merged spans of bytes that go)."""
+    """``docs`` with its columns, _text, _n_bytes and _merged: the spans (s, e) of bytes that go, in order, apart from each other."""
     bound_batches(docs.sparkSession)
     text = text_or_empty()
     keyed = docs.withColumns({"_d": F.coalesce(docs["doc_id"].cast("long"), F.lit(LAST)), "_th": F.xxhash64(text), "_text": text})
     joined = keyed.join(removed_spans(keyed), ["_d", "_th"], "left")
-    # merged in the order of their starts: the last span grows or a new one begins
     n = F.octet_length("_text")
-    ordered = F.array_sort(F.coalesce("_spans", F.from_json(F.lit("[]"), "array<struct<s:int,e:int>>")))
-    empty = F.from_json(F.lit("[]"), "array<struct<s:int,e:int>>")
-
-    def merge(acc, x):
-        e = F.least(x["e"], n)
-        joins = (F.size(acc) > 0) & (F.try_element_at(acc, F.lit(-1))["e"] >= x["s"])
-        grown = F.struct(F.try_element_at(acc, F.lit(-1))["s"].alias("s"), F.greatest(F.try_element_at(acc, F.lit(-1))["e"], e).alias("e"))
-        return F.when(joins, F.concat(F.slice(acc, 1, F.greatest(F.size(acc) - 1, F.lit(0))), F.array(grown))).otherwise(F.array_append(acc, F.struct(x["s"].alias("s"), e.alias("e"))))
-
-    return joined.select(*docs.columns, "_text", n.cast("long").alias("_n_bytes"), F.aggregate(ordered, empty, merge).alias("_merged"))
+    spans = F.coalesce("_spans", F.from_json(F.lit("[]"), "array<struct<s:int,e:int>>"))
+    inside = F.transform(spans, lambda x: F.struct(x["s"].alias("s"), F.least(x["e"], n).alias("e")))
+    return joined.select(*docs.columns, "_text", n.cast("long").alias("_n_bytes"), inside.alias("_merged"))
 
 
 def op1_suffix_array_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -27,14 +27,39 @@ def brute(rows):
 
 
 def run(spark, rows):
-    docs = spark.createDataFrame(rows, "doc_id long, text string, lang string, _n int")
-    got = L.dedup_lines(docs.drop("_n")).withColumn("th", F.xxhash64(F.coalesce("text", F.lit("")))).collect()
+    docs = spark.createDataFrame(rows, "doc_id long, text string, _d string, _n int")
+    found = L.dedup_lines(docs)
+    got = [r.asDict() | r["row"].asDict() for r in found.withColumn("th", F.xxhash64(F.coalesce("row.text", F.lit("")))).collect()]
+    assert sorted(map(repr, ((r["doc_id"], r["text"], r["_d"], r["_n"]) for r in got))) == sorted(map(repr, rows))
     want = brute([(r["doc_id"], r["text"] or "", r["th"]) for r in got])
     for r in got:
-        assert r["_kept"] == want[r["doc_id"] if r["doc_id"] is not None else L.LAST, r["th"]], r
+        assert r["kept"] == want[r["doc_id"] if r["doc_id"] is not None else L.LAST, r["th"]], r
+    links(got)
     return got
 
 
+def links(got):
+    """Counts of links and class ids equal those of all pairs."""
+    places = {(r["doc_id"] if r["doc_id"] is not None else L.LAST, r["th"], no): w for r in got for no, t in enumerate((r["text"] or "").split("\n")) if (w := L.words_of(t))}
+    first: dict = {}
+    size: dict = {}
+    for at in sorted(places):
+        first.setdefault(places[at], at)
+        size[places[at]] = size.get(places[at], 0) + 1
+    of = {w: sum(v != w and len(v & w) >= 0.8 * len(v | w) - 1e-9 for v in first) for w in first}
+    for r in got:
+        d = r["doc_id"] if r["doc_id"] is not None else L.LAST
+        mine = [(no, places[d, r["th"], no]) for no in range(len((r["text"] or "").split("\n"))) if (d, r["th"], no) in places]
+        assert r["n_lines"] == len(mine) and r["n_links"] == sum(of[w] for _, w in mine), r
+        ids = []
+        for no, w in mine:
+            a, th, n = first[w]
+            if size[w] > 1 or of[w]:
+                ids.append((no, f"{'' if a == L.LAST else a}:{th & (1 << 64) - 1:X}:{n}"))
+        assert [(x["line_no"], x["class_id"]) for x in r["classes"]] == ids
+    return sum(of.values())
+
+
 def test_equals_brute_force(spark):
     rng = random.Random(5)
     vocab = [f"w{int(abs(rng.gauss(0, 60)))}" for _ in range(400)]
@@ -50,7 +75,7 @@ def test_equals_brute_force(spark):
     rows = [(i, t, "en", 1) for i, t in enumerate(texts)] + [(None, texts[0], None, None), (7, None, "x", 2), (8, "", "x", 2), (9, texts[9], "en", 1), (5, base[1], "x", 1)]
     got = run(spark, rows)
     assert len(got) == len(rows)
-    assert sum(r["_links"] for r in got) > 20
+    assert sum(r["n_similar"] for r in got) > 20
 
 
 def test_family_of_near_copies_and_long_text(spark):
@@ -63,14 +88,14 @@ def test_family_of_near_copies_and_long_text(spark):
         rows.append((i, " ".join(w), "en", 0))
     rows.append((500, " ".join(f"z{i}" for i in range(3000)) + "\n" + " ".join(f"z{i}" for i in range(1, 3000)), "en", 0))
     got = {r["doc_id"]: r for r in run(spark, rows)}
-    assert got[0]["_removed"] == 0 and sum(r["_removed"] for r in got.values()) == 120
+    assert got[0]["n_removed"] == 0 and sum(r["n_removed"] for r in got.values()) == 120
 
 
 def test_empty(spark):
     assert run(spark, []) == []
 
 
-def test_every_link_of_a_family(spark):
+def test_every_link_of_a_family(spark, monkeypatch):
     rng = random.Random(8)
     line = [f"t{i}" for i in range(30)]
     rows = []
@@ -79,19 +104,6 @@ def test_every_link_of_a_family(spark):
         w[rng.randrange(30)] = f"x{i}"
         rows.append((i, " ".join(w) + f"\nonly words of {i} here a{i} b{i}", "en", 0))
     rows += [(100, rows[3][1], "en", 0), (3, rows[3][1], "en", 0), (None, rows[0][1] + "\n" + " ".join(line), "en", 0)]
-    docs = spark.createDataFrame(rows, "doc_id long, text string, lang string, _n int")
-    got = L.dedup_lines(docs.drop("_n"), every=True).withColumn("th", F.xxhash64("text")).collect()
-    places = {(r["doc_id"] if r["doc_id"] is not None else L.LAST, r["th"], no): L.words_of(t) for r in got for no, t in enumerate(r["text"].split("\n"))}
-    first: dict = {}
-    for at in sorted(places):
-        first.setdefault(places[at], at)
-    links = {a: sum(b < a and len(v & w) >= 0.8 * len(v | w) - 1e-9 for v, b in first.items()) for w, a in first.items()}
-    assert sum(links.values()) > 700
-    for r in got:
-        d = r["doc_id"] if r["doc_id"] is not None else L.LAST
-        mine = [(d, r["th"], no) for no in range(len(r["text"].split("\n")))]
-        assert r["_all_links"] == sum(links.get(at, 0) for at in mine), r
-        for x in r["_classes"]:
-            a, th, no = first[places[d, r["th"], x["line_no"]]]
-            assert x["class_id"] == f"{'' if a == L.LAST else a}:{th & (1 << 64) - 1:X}:{no}"
-        assert len(r["_classes"]) == r["_removed"]
+    assert sum(r["n_links"] for r in run(spark, rows)) > 1400
+    monkeypatch.setattr(L, "HOT", 7)  # common tokens are cut into blocks
+    assert sum(r["n_links"] for r in run(spark, rows)) > 1400
