@@ -109,7 +109,7 @@ def keyed_rows(docs: DataFrame) -> DataFrame:
     return docs.select(F.struct(*(f"`{c}`" for c in docs.columns)).alias("_row"), F.coalesce(docs["doc_id"].cast("long"), F.lit(LAST)).alias("_d"), F.xxhash64(text).alias("_th"), text.alias("_text"))
 
 
-def counters(rows: DataFrame, count: Callable, size: int) -> np.ndarray:
+def counters(rows: DataFrame, count: Callable, size: int, kind: type = np.int64) -> np.ndarray:
     """The sum over all tasks of a table of ``size`` counters that ``count(batch, table)`` adds to.
 
     Tables are summed slice by slice by as many tasks; what reaches the driver is one table.
@@ -117,7 +117,7 @@ def counters(rows: DataFrame, count: Callable, size: int) -> np.ndarray:
     width = -(-size // SLICES)
 
     def each(batches):
-        total = np.zeros(size, np.int64)
+        total = np.zeros(size, kind)
         for batch in batches:
             count(batch, total)
         found = [(k, zlib.compress(part.tobytes(), 1)) for k in range(SLICES) if (part := total[k * width : (k + 1) * width]).any()]
@@ -128,14 +128,14 @@ def counters(rows: DataFrame, count: Callable, size: int) -> np.ndarray:
         totals: dict[int, np.ndarray] = {}
         for batch in batches:
             for k, blob in zip(*(c.to_pylist() for c in batch.columns)):
-                part = np.frombuffer(zlib.decompress(blob), np.int64)
+                part = np.frombuffer(zlib.decompress(blob), kind)
                 totals[k] = totals[k] + part if k in totals else part
         if totals:
             yield pa.RecordBatch.from_arrays([pa.array(list(totals), pa.int32()), pa.array([zlib.compress(x.tobytes(), 1) for x in totals.values()], pa.binary())], ["k", "blob"])
 
-    out = np.zeros(size, np.int64)
+    out = np.zeros(size, kind)
     for k, blob in rows.mapInArrow(each, "k int, blob binary").repartition("k").mapInArrow(summed, "k int, blob binary").collect():
-        part = np.frombuffer(zlib.decompress(blob), np.int64)
+        part = np.frombuffer(zlib.decompress(blob), kind)
         out[k * width : k * width + len(part)] = part
     return out
 

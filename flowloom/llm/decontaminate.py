@@ -5,75 +5,65 @@ longer ones in overlapping parts of ``WINDOW`` words), so what a task holds is b
 however large the benchmark is. For a block:
 
 1. Terms: the block's words that at most ``RARE`` of the documents have, and the rarest
-   words of an item without enough of these. Document frequencies cover the whole corpus.
+   words of an item without enough of these: a word in more documents than that says little
+   and isn't searched by, but counts in the checks. Document frequencies cover the whole corpus.
 2. Passages: windows of ``WINDOW`` words at every ``STRIDE``, as TF-IDF rows over the terms;
    rows with one distinct term or none can't reach the threshold with a whole item and
    are not written. The sparse rows are kept in the shared folder.
-3. Distributed randomised SVD of the rows: each task multiplies its rows with a random
-   test matrix and sums ``A'(A R)``; the sums have one row a term, so they are bounded. The
-   block's own passages are rows too, with a large weight, so that the latent space
-   holds every query whatever the corpus is like. A Gram matrix of the projected rows
-   gives the singular vectors.
-4. Search: cosines of all windows with all queries of the block in the latent space; every
-   pair of at least ``COSINE`` is a candidate, without a cap.
+3. Distributed randomised SVD of the corpus's rows, of rank ``RANK`` whatever the number of
+   queries: each task multiplies its rows with a random test matrix and sums ``A'(A R)``; a
+   power iteration does so again with an orthonormal basis ``Q`` of the sums, and the
+   eigenvectors of ``Q'A'A Q`` give the singular vectors. The sums have a row a term.
+4. Search: queries are folded into the latent space. Cosines of all windows with all
+   queries of the block are taken there; every pair of at least ``COSINE`` is a candidate,
+   without a cap. A window that equals a query has a cosine of 1 at any rank.
 5. Checks on the words around the candidate window: the longest common subsequence must
    hold ``LCS_SURE`` of the item's words, or ``LCS_LIKE`` if the item's rare words and its
    answer (its last sentence or last quarter) are there as well: a paraphrase.
 
 Items of fewer than ``LEAST_WORDS`` words have too little for this: a document leaks one when it
-holds the item's words in a row, found by a map-only pass over all texts.
+holds the item's words in a row, found by a map-only pass over all texts. Items of which the
+corpus has fewer than two distinct terms anywhere in a window are leaked by no document.
 
 Texts for the checks come from a pass that emits only documents that a bit table of fixed
 size names; exact keys are joined afterwards.
 
 Defined cases: null and empty texts and items leak nothing; a null doc_id or item_id stays
-null in the result; repeated rows give their pairs once for each row; an empty corpus or
-benchmark gives no row; other columns are ignored.
+null in the result; rows with equal doc_id and text give their pairs once for each row; a very
+long text is searched whole; ties in the cosine don't matter, as each candidate is checked; an
+empty corpus or benchmark gives no row; other columns are ignored.
 """
 
 from __future__ import annotations
 
 import re
-import zlib
-from collections import Counter
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from flowloom.llm.common import bound_batches, by_size, cut, table, text_or_empty
+from flowloom.llm.common import LAST, bit_table, bound_batches, by_size, counters, cut, has_bit, keyed_rows, table, text_or_empty
+from flowloom.llm.words import MARKS, coded, hashes, plain, split_words
 
 WINDOW, STRIDE = 48, 16
-BLOCK = 256
-OVERSAMPLE = 24
+BLOCK = 2048
+RANK, OVERSAMPLE = 128, 16
 RARE = 0.01
 LEAST_TERMS = 8
-COSINE = 0.3
+COSINE = 0.5
 LCS_SURE, LCS_LIKE = 0.8, 0.6
 COVERED = 0.6
 #: Items of fewer words are matched word for word, so many distinct ones in a pass.
 LEAST_WORDS = 6
 SHORT_BLOCK = 50_000
-BITS = 1 << 23
-MEMO = 400_000
-LAST = (1 << 63) - 1
-
-
-def word(chunk: str) -> str:
-    """A lower-case word without the punctuation around it."""
-    if chunk.isalnum():
-        return chunk
-    a, b = 0, len(chunk)
-    while a < b and not chunk[a].isalnum():
-        a += 1
-    while b > a and not chunk[b - 1].isalnum():
-        b -= 1
-    return chunk[a:b]
+SLICE = 2 << 20
 
 
 def words_of(text: str) -> list[str]:
-    return [w for w in map(word, text.lower().split()) if w]
+    """The words of a text; chunks of punctuation only are none."""
+    return [w for w in split_words(text) if w.strip(MARKS)]
 
 
 def lcs(a: list[str], b: list[str]) -> int:
@@ -100,85 +90,77 @@ def answer_of(text: str) -> list[str]:
     return words[-max(1, len(words) // 4) :]
 
 
-class _Terms:
-    """Numbers of the listed words; what isn't listed is -1."""
-
-    def __init__(self, terms: dict[str, int]):
-        self.terms, self.memo = terms, {}
+class Terms:
+    """Numbers of listed words."""
 
-    def __getstate__(self):
-        return self.terms
+    def __init__(self, words: list[str]):
+        h = hashes(pa.array(words, pa.string()))
+        self.order = np.argsort(h)
+        self.known = h[self.order]
 
-    def __setstate__(self, terms):
-        self.__init__(terms)
+    def places(self, texts: pa.StringArray) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+        """(text, place in its words, number) of each listed word, and how many words each text has."""
+        numbers, distinct, sizes = coded(texts)
+        words = plain(distinct, True)
+        h = hashes(words)
+        at = np.minimum(np.searchsorted(self.known, h), len(self.known) - 1)
+        listed = np.where(self.known[at] == h, self.order[at], -1)[numbers]
+        text = np.repeat(np.arange(len(sizes)), sizes)
+        word = ~pc.equal(pc.utf8_trim(words, MARKS), "").to_numpy(zero_copy_only=False)[numbers] if len(words) else np.zeros(0, bool)
+        if not word.all():
+            listed, text = listed[word], text[word]
+            sizes = np.bincount(text, minlength=len(sizes))
+        on = np.flatnonzero(listed >= 0)
+        return text[on], on - (np.cumsum(sizes) - sizes)[text[on]], listed[on], sizes
 
-    def numbers(self, text: str) -> list[int]:
-        memo, out = self.memo, []
-        for c in text.lower().split():
-            x = memo.get(c)
-            if x is None:
-                w = word(c)
-                x = self.terms.get(w, -1) if w else -2  # -2: no word, takes no place
-                if len(memo) >= MEMO:
-                    memo.clear()
-                memo[c] = x
-            out.append(x)
-        return [x for x in out if x != -2] if -2 in out else out
 
-
-def document_frequencies(keyed: DataFrame, terms: dict[str, int]) -> tuple[np.ndarray, int]:
+def document_frequencies(keyed: DataFrame, words: list[str]) -> tuple[np.ndarray, int]:
     """How many documents have each listed word, and how many documents there are."""
-    lookup = _Terms(terms)
-    n = len(terms)
+    terms, n = Terms(words), len(words)
 
-    def run(batches):
-        total = np.zeros(n + 1, np.int64)
-        for batch in batches:
-            for text in batch.column(0).to_pylist():
-                ids = set(lookup.numbers(text))
-                ids.discard(-1)
-                total[list(ids)] += 1
-            total[n] += batch.num_rows
-        at = np.flatnonzero(total)
-        if len(at):
-            yield pa.RecordBatch.from_arrays([pa.array(at), pa.array(total[at])], ["t", "n"])
-
-    out = np.zeros(n + 1, np.int64)
-    for t, k in keyed.select("_text").mapInArrow(run, "t long, n long").groupBy("t").agg(F.sum("n").alias("n")).collect():
-        out[t] = k
+    def count(batch, total):
+        for part in by_size([batch], 0, SLICE):
+            text, _, t, _ = terms.places(part.column(0))
+            total[:n] += np.bincount(np.unique(text * n + t) % n, minlength=n)
+        total[n] += batch.num_rows
+
+    out = counters(keyed.select("_text"), count, n + 1)
     return out[:n], int(out[n])
 
 
 ROWS = "_d long, _th long, _w int, _terms array<int>"
 
 
-def passages(keyed: DataFrame, terms: dict[str, int]) -> DataFrame:
+def passages(keyed: DataFrame, words: list[str]) -> DataFrame:
     """``ROWS``: windows with two distinct terms or more."""
-    lookup = _Terms(terms)
+    terms = Terms(words)
 
     def run(batches):
-        for batch in batches:
-            d_, th_, w_, t_ = [], [], [], []
-            for d, th, text in zip(*(c.to_pylist() for c in batch.columns)):
-                ids = np.array(lookup.numbers(text), np.int64)
-                at = np.flatnonzero(ids >= 0)
-                if len(at) < 2:
-                    continue
-                found = ids[at].tolist()
-                last = max(0, -(-(len(ids) - WINDOW) // STRIDE))
-                # the windows that the term at a place lies in
-                groups: dict[int, list[int]] = {}
-                for p, t in zip(at.tolist(), found):
-                    for w in range(max(0, (p - WINDOW) // STRIDE + 1), min(last, p // STRIDE) + 1):
-                        groups.setdefault(w, []).append(t)
-                for w, ts in groups.items():
-                    if len(ts) > 1 and len(set(ts)) > 1:
-                        d_.append(d)
-                        th_.append(th)
-                        w_.append(w)
-                        t_.append(ts)
-            if w_:
-                yield pa.RecordBatch.from_arrays([pa.array(d_, pa.int64()), pa.array(th_, pa.int64()), pa.array(w_, pa.int32()), pa.array(t_, pa.list_(pa.int32()))], ["_d", "_th", "_w", "_terms"])
+        for batch in by_size(batches, 2, SLICE):
+            text, place, t, sizes = terms.places(batch.column(2))
+            last = np.maximum(0, -(-(sizes - WINDOW) // STRIDE))
+            # the windows that a place lies in
+            found = []
+            for back in range(WINDOW // STRIDE):
+                w = place // STRIDE - back
+                on = (w >= 0) & (w <= last[text]) & (place < w * STRIDE + WINDOW)
+                found.append((text[on], w[on], t[on]))
+            text, w, t = (np.concatenate(x) for x in zip(*found))
+            order = np.lexsort((t, w, text))
+            text, w, t = text[order], w[order], t[order]
+            if not len(t):
+                continue
+            head = np.concatenate(([True], (text[1:] != text[:-1]) | (w[1:] != w[:-1])))
+            window = np.cumsum(head) - 1
+            distinct = np.bincount(window[head | np.concatenate(([True], t[1:] != t[:-1]))])
+            keep = (distinct > 1)[window]
+            text, w, t, head = text[keep], w[keep], t[keep], head[keep]
+            if not len(t):
+                continue
+            at = np.flatnonzero(head)
+            lists = pa.ListArray.from_arrays(pa.array(np.append(at, len(t)).astype(np.int32)), pa.array(t.astype(np.int32)))
+            pick = pa.array(text[at])
+            yield pa.RecordBatch.from_arrays([batch.column(0).take(pick), batch.column(1).take(pick), pa.array(w[at].astype(np.int32)), lists], ["_d", "_th", "_w", "_terms"])
 
     return keyed.select("_d", "_th", "_text").mapInArrow(run, ROWS)
 
@@ -223,50 +205,29 @@ def _back(sparse, idf: np.ndarray, y: np.ndarray, terms: int) -> np.ndarray:
     return out
 
 
-def latent_space(rows: DataFrame, queries: list[list[int]], idf: np.ndarray, seed: int = 11) -> np.ndarray:
-    """terms x k: right singular vectors of the corpus's rows with the queries as heavy rows."""
+def latent_space(rows: DataFrame, idf: np.ndarray, rank: int = RANK, seed: int = 11) -> np.ndarray:
+    """terms x rank: the leading right singular vectors of the rows, by a randomised SVD with a power iteration."""
     terms = len(idf)
-    k = min(terms, len(queries) + OVERSAMPLE)
-    test = np.random.default_rng(seed).standard_normal((terms, k)).astype(np.float32)
+    k = min(terms, rank + OVERSAMPLE)
 
-    def sketch(batches):
-        total = None
-        for batch in batches:
-            s = _sparse(batch.column(0))
-            y, _ = _times(s, idf, test, batch.num_rows)
-            z = _back(s, idf, y, terms)
-            total = z if total is None else total + z
-        if total is not None:
-            at = np.flatnonzero(np.abs(total).sum(1))
-            if len(at):
-                yield pa.RecordBatch.from_arrays([pa.array(at), pa.array(list(total[at]), pa.list_(pa.float64()))], ["t", "z"])
-
-    def summed(frame: DataFrame, n: int, width: int) -> np.ndarray:
-        sums = frame.groupBy("t").agg(F.array(*[F.sum(F.col("z")[i]) for i in range(width)]).alias("z"))
-        out = np.zeros((n, width))
-        for t, z in sums.collect():  # a row for each term of the block at most
-            out[t] = z
-        return out
-
-    z = summed(rows.select("_terms").mapInArrow(sketch, "t long, z array<double>"), terms, k)
-    q = _sparse(queries)
-    y, norms = _times(q, idf, test, len(queries))
-    own = _back(q, idf, y, terms)
-    heavy = 1e3 * max(1.0, np.abs(z).max() / max(np.abs(own).max(), 1e-9))
-    basis, _ = np.linalg.qr(z + heavy * own)
-    basis32 = basis.astype(np.float32)
-
-    def gram(batches):
-        total = np.zeros((k, k))
-        for batch in batches:
-            y, _ = _times(_sparse(batch.column(0)), idf, basis32, batch.num_rows)
-            total += (y.T @ y).astype(np.float64)
-        yield pa.RecordBatch.from_arrays([pa.array(np.arange(k)), pa.array(list(total), pa.list_(pa.float64()))], ["t", "z"])
+    def gathered(m: np.ndarray) -> np.ndarray:
+        """A'(A m) over all rows."""
+        m = m.astype(np.float32)
 
-    g = summed(rows.select("_terms").mapInArrow(gram, "t long, z array<double>"), k, k)
-    y, _ = _times(q, idf, basis32, len(queries))
-    _, vectors = np.linalg.eigh(g + heavy * (y.T @ y))
-    return (basis @ vectors[:, ::-1]).astype(np.float32)
+        def add(batch, total):
+            for a in range(0, batch.num_rows, 4096):
+                part = batch.slice(a, 4096)
+                s = _sparse(part.column(0))
+                y, _ = _times(s, idf, m, part.num_rows)
+                total.reshape(terms, k)[:] += _back(s, idf, y, terms)
+
+        return counters(rows.select("_terms"), add, terms * k, np.float32).reshape(terms, k).astype(np.float64)
+
+    basis, _ = np.linalg.qr(gathered(np.random.default_rng(seed).standard_normal((terms, k))))
+    images = gathered(basis)
+    gram = basis.T @ images
+    _, vectors = np.linalg.eigh((gram + gram.T) / 2)
+    return (basis @ vectors[:, ::-1][:, :rank]).astype(np.float32)
 
 
 CANDIDATES = "_d long, _th long, _w int, _q int, _cos float"
@@ -274,15 +235,17 @@ CANDIDATES = "_d long, _th long, _w int, _q int, _cos float"
 
 def search(rows: DataFrame, queries: list[list[int]], idf: np.ndarray, space: np.ndarray, least: float = COSINE) -> DataFrame:
     """``CANDIDATES``: all pairs of a window and a query with a latent cosine of ``least``."""
-    y, norms = _times(_sparse(queries), idf, space, len(queries))
-    target = (y / np.sqrt(np.maximum(norms, 1e-12))[:, None]).T.copy()
+
+    def unit(y: np.ndarray) -> np.ndarray:
+        return y / np.sqrt(np.maximum((y * y).sum(1), 1e-12))[:, None]
+
+    target = unit(_times(_sparse(queries), idf, space, len(queries))[0]).T.copy()
 
     def run(batches):
         for batch in batches:
-            for a in range(0, batch.num_rows, 4096):
-                part = batch.slice(a, 4096)
-                p, norm = _times(_sparse(part.column(3)), idf, space, part.num_rows)
-                cos = (p @ target) / np.sqrt(np.maximum(norm, 1e-12))[:, None]
+            for a in range(0, batch.num_rows, 2048):
+                part = batch.slice(a, 2048)
+                cos = unit(_times(_sparse(part.column(3)), idf, space, part.num_rows)[0]) @ target
                 r, q = np.nonzero(cos >= least)
                 if len(r):
                     pick = pa.array(r)
@@ -308,11 +271,11 @@ def _check(words: list[str], item: dict, windows: list[int]) -> tuple:
     return best
 
 
-def leaks(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
-    """``FOUND`` and _text columns: the pairs of a document (_d, _th) and an item that it leaks."""
-    spark = docs.sparkSession
+def leaks(keyed: DataFrame, benchmark: DataFrame) -> DataFrame:
+    """``FOUND``: the pairs of a document (_d, _th, _text) and an item that it leaks."""
+    spark = keyed.sparkSession
     bound_batches(spark)
-    keyed = cut_keyed(docs)
+    keyed = keyed.select("_d", "_th", "_text")
     blocks, block = [], []
     short: dict[tuple, set] = {}
     items = benchmark.select(benchmark["item_id"].cast("long").alias("item_id"), text_or_empty().alias("text")).distinct().orderBy("item_id", "text")
@@ -342,11 +305,6 @@ def leaks(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
     return out
 
 
-def cut_keyed(docs: DataFrame) -> DataFrame:
-    text = text_or_empty()
-    return docs.select(F.coalesce(docs["doc_id"].cast("long"), F.lit(LAST)).alias("_d"), F.xxhash64(text).alias("_th"), text.alias("_text"))
-
-
 def _short_leaks(keyed: DataFrame, items: dict[tuple, set]) -> DataFrame:
     """``FOUND`` for items of a few words: the documents that hold just these words in a row."""
     sizes = sorted({len(x) for x in items})
@@ -371,37 +329,37 @@ def _short_leaks(keyed: DataFrame, items: dict[tuple, set]) -> DataFrame:
 
 def _leaks_of(keyed: DataFrame, block: list[dict]) -> DataFrame:
     listed = {w: i for i, w in enumerate(sorted({w for x in block for w in x["words"]}))}
-    df, n_docs = document_frequencies(keyed, listed)
+    df, n_docs = document_frequencies(keyed, list(listed))
     rare = {w for w, i in listed.items() if df[i] <= max(RARE * n_docs, 3)}
     for x in block:
         if len(set(x["words"]) & rare) < LEAST_TERMS:
             rare |= set(sorted(set(x["words"]), key=lambda w: (df[listed[w]], w))[:LEAST_TERMS])
-    terms = {w: i for i, w in enumerate(sorted(rare))}
-    idf = np.array([np.log(1 + n_docs / (1 + df[listed[w]])) for w in sorted(rare)], np.float32)
+    # words that no document has can't be searched by
+    terms = {w: i for i, w in enumerate(sorted(w for w in rare if df[listed[w]]))}
+    if not terms:
+        return keyed.sparkSession.createDataFrame([], FOUND)
+    idf = np.array([np.log(1 + n_docs / (1 + df[listed[w]])) for w in terms], np.float32)
     queries, of_item = [], []
     for i, x in enumerate(block):
-        x["rare"] = {w: float(idf[terms[w]]) for w in set(x["words"]) if w in terms}
+        x["rare"] = {w: float(np.log(1 + n_docs / (1 + df[listed[w]]))) for w in sorted(set(x["words"]) & rare)}
         for part in x["parts"]:
             queries.append([terms[w] for w in part if w in terms])
             of_item.append(i)
-    rows = cut(passages(keyed, terms), "passages")
-    space = latent_space(rows, queries, idf)
-    found = cut(search(rows, queries, idf, space), "candidates")
-    grouped = found.groupBy("_d", "_th").agg(F.collect_list(F.struct("_w", "_q", "_cos")).alias("_found"))
+    rows = cut(passages(keyed, list(terms)), "passages")
+    found = cut(search(rows, queries, idf, latent_space(rows, idf)), "candidates")
+    grouped = found.groupBy("_d", "_th").agg(F.collect_set(F.struct("_w", "_q", "_cos")).alias("_found"))
+
+    def place(th):
+        return th.view(np.uint64)
 
-    where = F.pmod(F.col("_th"), F.lit(BITS))
-    hits = found.select(where.alias("w")).distinct().selectExpr("w div 8 AS at", "shiftleft(1, cast(w % 8 AS int)) AS bit").groupBy("at").agg(F.bit_or("bit").alias("bits")).toArrow()
-    bits = np.zeros(BITS // 8, np.uint8)
-    bits[hits.column("at").to_numpy()] = hits.column("bits").to_numpy().astype(np.uint8)
-    packed = zlib.compress(bits.tobytes(), 1)
+    bits = bit_table(found.select("_th"), place)
 
     def named(batches):
-        table_ = np.frombuffer(zlib.decompress(packed), np.uint8)
+        on = bits.array()
         for batch in batches:
-            at = batch.column(1).to_numpy() % BITS
-            yield batch.filter(pa.array((table_[at >> 3] >> (at & 7).astype(np.uint8)) & 1 > 0))
+            yield batch.filter(pa.array(has_bit(on, place(batch.column(1).to_numpy()))))
 
-    texts = keyed.mapInArrow(named, "_d long, _th long, _text string")
+    texts = keyed.select("_d", "_th", "_text").mapInArrow(named, "_d long, _th long, _text string")
 
     def run(batches):
         for batch in by_size(batches, 2):
@@ -425,5 +383,6 @@ def _leaks_of(keyed: DataFrame, block: list[dict]) -> DataFrame:
 
 def op6_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
     """A row for each pair of a document and a benchmark item that it leaks."""
-    found = leaks(table(spark, sf_dir, "documents").select("doc_id", "text"), table(spark, sf_dir, "benchmark"))
+    keyed = keyed_rows(table(spark, sf_dir, "documents").select("doc_id", "text")).select("_d", "_th", "_text")
+    found = leaks(keyed, table(spark, sf_dir, "benchmark"))
     return found.select(F.when(F.col("_d") != LAST, F.col("_d")).alias("doc_id"), "item_id", "first_word", F.round("cosine", 4).alias("cosine"), "lcs", "answer")

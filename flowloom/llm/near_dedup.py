@@ -1,71 +1,69 @@
 """Operator 8, MinHash near-dedup: BagMinHash signatures, bands, verified multiset overlap.
 
-A document is the bag of its five-word shingles (lower-case words between white space; a
+A document is the bag of its five-word shingles (lower-case chunks between white space; a
 shorter text is one shingle). Two documents are near copies when the weighted Jaccard
 similarity of their bags is at least ``THRESHOLD``; classes are the connected components.
 
 BagMinHash: the weight axis is cut into dyadic ranges (0,1], (1,2], (2,4], (4,8] ... Each
 shingle has a Poisson process on each range with the range's width as its rate, so an
 element of weight w owns the whole ranges below w and, of the range that holds w, the
-points that descend by halves into cells up to w. A point has a time and a component of
+points whose cell, found by halving, is at most w. A point has a time and a component of
 the signature; a component keeps its least time. Times are made in rounds, and a
 process stops once its time passes the document's largest component: the components
 collide with a probability equal to the weighted Jaccard similarity. Everything is done
 for many documents at once in numpy.
 
-Candidates share one of ``BANDS`` bands of ``ROWS`` components. Steps, all with equi-joins
-that Spark can split where a band is hot, and groups formed by aggregates only:
+Candidates share one of ``BANDS`` bands of ``ROWS`` components and agree in ``AGREE`` of the
+``COMPONENTS`` at least (a similarity of 0.8 falls short of that once in 50 million). No
+candidate is dropped, and no pair of documents is ever a row:
 
 1. Equal bags collapse into one, whatever the number of copies.
-2. Each bag meets the earliest bag of each of its bands (linear in the rows, however large
-   a family of near copies is), and their overlap is computed from the words.
-3. Components of the links. Bands that hold several components meet up to ``LEADERS``
-   other documents of theirs, linear in the rows each time, and components grow together.
-   What still shares a band with a document of another component and isn't compared yet is
-   enumerated in full, but for pairs that the triangle inequality of the Jaccard distance
-   to the band's first document rules out. No candidate is dropped.
-4. Every document gets the class of its component.
+2. Families: in each band, documents that candidates connect are linked to one of them, so
+   links grow with the documents. A band value of more than ``CROWD`` documents makes one
+   family of them all, by an aggregate.
+3. A family's documents are sent to a task, in blocks of ``BLOCK`` with the family's first
+   document in each. Candidates are compared there on all their shingles, unless they are in a
+   component already; out come the links that join components.
+4. In a family of several blocks, the documents outside its largest component meet, block by
+   block, each other and those inside: that is all that can still be linked.
+5. Every document gets the class of its component.
+
+Equality of shingles is that of 64-bit hashes.
 
 Defined cases: texts without words are classes of their own; a null doc_id sorts last; rows
-with equal doc_id and text are one document; other columns are ignored; no row gives none.
+with equal doc_id and text are one document; a very long text is taken whole; other columns
+are ignored; no row gives none.
 """
 
 from __future__ import annotations
 
-import hashlib
-import zlib
 from collections import Counter
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from flowloom.llm.common import bound_batches, by_size, cut, table, text_or_empty
+from flowloom.llm.common import LAST, bit_table, bound_batches, by_size, cut, discard, has_bit, keyed_rows, table
+from flowloom.llm.words import mix as _mix
+from flowloom.llm.words import word_hashes
 
 THRESHOLD = 0.8
 SHINGLE = 5
 BANDS, ROWS = 16, 4
 COMPONENTS = BANDS * ROWS
-#: Leaders that a band's documents meet after the first, before pairs are enumerated.
-LEADERS = 5
-#: Bits of the table of wanted texts: a fixed size.
-BITS = 1 << 23
-MEMO = 400_000
-LAST = (1 << 63) - 1
+#: Components in which candidates agree at least.
+AGREE = 33
+#: Documents with a band value that are paired in one place; more make a family without that.
+CROWD = 4096
+#: Documents of a family that are compared in one place.
+BLOCK = 1024
+#: Bytes of text, and shingles of pairs, that are compared at a time.
+SLICE, VERIFY = 2 << 20, 4 << 20
 _U = np.uint64
 
 
-def _word_hash(word: str) -> int:
-    return int.from_bytes(hashlib.blake2b(word.encode("utf-8", "surrogatepass"), digest_size=8).digest(), "little")
-
-
-def _mix(x: np.ndarray) -> np.ndarray:
-    x = (x ^ (x >> _U(30))) * _U(0xBF58476D1CE4E5B9)
-    x = (x ^ (x >> _U(27))) * _U(0x94D049BB133111EB)
-    return x ^ (x >> _U(31))
-
-
 def _uniform(x: np.ndarray) -> np.ndarray:
     """In (0, 1]."""
     return ((x >> _U(11)).astype(np.float64) + 1) * 2.0**-53
@@ -119,104 +117,238 @@ def overlap(a: Counter, b: Counter) -> float:
     return same / total if total else 0.0
 
 
-SIGNED = "_d long, _th long, _g1 long, _g2 long, _n long, _bands array<long>"
+def bags_of(texts: pa.StringArray) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """(document, shingle, weight) of the distinct shingles of each text, sorted, and how many shingles each text has."""
+    w, n = word_hashes(texts, trimmed=False)
+    # a short text's one shingle: its words and then nothing
+    count = np.where(n > 0, np.maximum(n - SHINGLE + 1, 1), 0)
+    doc = np.repeat(np.arange(len(n)), count)
+    first = np.arange(len(doc)) + np.repeat((np.cumsum(n) - n) - (np.cumsum(count) - count), count)
+    whole = n[doc] >= SHINGLE
+    h = np.zeros(len(doc), np.uint64)
+    for k in range(SHINGLE):
+        at = np.minimum(first + k, len(w) - 1)
+        x = w[at] if whole.all() else np.where(whole | (k < n[doc]), w[at], _U(k + 1))
+        h = _mix(h * _U(0x9E3779B97F4A7C15) + x)
+    order = np.argsort(doc.astype(np.uint64) << _U(46) | h >> _U(18))
+    h, doc = h[order], doc[order]
+    fresh = np.flatnonzero(np.concatenate((np.ones(min(1, len(h)), bool), (h[1:] != h[:-1]) | (doc[1:] != doc[:-1]))))
+    weight = np.diff(np.concatenate((fresh, [len(h)])))
+    return doc[fresh], h[fresh], weight, count
+
+
+SIGNED = "_d long, _th long, _g1 long, _g2 long, _n long, _bands array<long>, _sig binary"
 
 
 def signed(keyed: DataFrame) -> DataFrame:
-    """``SIGNED`` of each document with words (_d, _th, _text): its bag's hash and size, and its bands."""
+    """``SIGNED`` of each document (_d, _th, _text): its bag's hash and size (0: no words), its bands, and a byte of each component."""
 
     def run(batches):
-        known: dict[str, int] = {}
-
-        def number(w: str) -> int:
-            if len(known) >= MEMO:
-                known.clear()
-            known[w] = found = _word_hash(w)
-            return found
-
-        for batch in by_size(batches, 2):
-            ids: list[int] = []
-            sizes, at = [], []
-            for i, text in enumerate(batch.column(2).to_pylist()):
-                words = text.lower().split()
-                if words:
-                    get = known.get
-                    ids += [x if (x := get(w)) is not None else number(w) for w in words]
-                    sizes.append(len(words))
-                    at.append(i)
-            if not sizes:
+        for batch in by_size(batches, 2, SLICE):
+            doc, h, weight, count = bags_of(batch.column(2))
+            at, bare = np.flatnonzero(count), pa.array(np.flatnonzero(count == 0))
+            if len(bare):
+                zeros = pa.array(np.zeros(len(bare), np.int64))
+                yield pa.RecordBatch.from_arrays([batch.column(0).take(bare), batch.column(1).take(bare), zeros, zeros, zeros, pa.nulls(len(bare), pa.list_(pa.int64())), pa.nulls(len(bare), pa.binary())], [c.split()[0] for c in SIGNED.split(", ")])
+            if not len(at):
                 continue
-            w, n = np.array(ids, np.uint64), np.array(sizes)
-            # a short text's one shingle: its words and then nothing
-            count = np.maximum(n - SHINGLE + 1, 1)
-            starts = np.cumsum(n) - n
-            doc = np.repeat(np.arange(len(n)), count)
-            first = np.repeat(starts, count) + (np.arange(len(doc)) - np.repeat(np.cumsum(count) - count, count))
-            end = starts[doc] + n[doc]
-            h = np.zeros(len(doc), np.uint64)
-            for k in range(SHINGLE):
-                inside = first + k < end
-                h = _mix(h * _U(0x9E3779B97F4A7C15) + np.where(inside, w[np.minimum(first + k, len(w) - 1)], _U(k + 1)))
-            order = np.lexsort((h, doc))
-            h, doc = h[order], doc[order]
-            fresh = np.flatnonzero(np.concatenate(([True], (h[1:] != h[:-1]) | (doc[1:] != doc[:-1]))))
-            weight = np.diff(np.concatenate((fresh, [len(h)])))
-            h, doc = h[fresh], doc[fresh]
+            doc = np.searchsorted(at, doc)
             heads = np.flatnonzero(np.concatenate(([True], doc[1:] != doc[:-1])))
             bag = [np.add.reduceat(_mix(h + _U(s)) * weight.astype(np.uint64), heads) for s in (0x1234567, 0x89ABCDEF)]
-            sig = bag_signatures(doc, h, weight, len(n)).view(np.uint64).reshape(len(n), BANDS, ROWS)
-            band = np.zeros((len(n), BANDS), np.uint64)
+            sig = bag_signatures(doc, h, weight, len(at)).view(np.uint64)
+            band = np.zeros((len(at), BANDS), np.uint64)
             for k in range(ROWS):
-                band = _mix(band * _U(0x9E3779B97F4A7C15) + sig[:, :, k])
+                band = _mix(band * _U(0x9E3779B97F4A7C15) + sig.reshape(len(at), BANDS, ROWS)[:, :, k])
             pick = pa.array(at)
-            lists = pa.ListArray.from_arrays(pa.array(np.arange(len(n) + 1, dtype=np.int32) * BANDS), pa.array(band.view(np.int64).ravel()))
+            lists = pa.ListArray.from_arrays(pa.array(np.arange(len(at) + 1, dtype=np.int32) * BANDS), pa.array(band.view(np.int64).ravel()))
+            short = (_mix(sig) & _U(255)).astype(np.uint8)
             yield pa.RecordBatch.from_arrays(
-                [batch.column(0).take(pick), batch.column(1).take(pick), *(pa.array(x.view(np.int64)) for x in bag), pa.array(count.astype(np.int64)), lists],
+                [batch.column(0).take(pick), batch.column(1).take(pick), *(pa.array(x.view(np.int64)) for x in bag), pa.array(count[at].astype(np.int64)), lists, pa.array([x.tobytes() for x in short], pa.binary())],
                 [c.split()[0] for c in SIGNED.split(", ")],
             )
 
     return keyed.select("_d", "_th", "_text").mapInArrow(run, SIGNED)
 
 
-KEY = "struct<_d:long,_th:long>"
+def groups_of(batches, size_of=None, limit: int = 50_000):
+    """Arrow tables of whole groups, many at a time: batches come sorted by their first column; ``size_of`` tells a batch's rows' sizes."""
+    held, size = [], 0
+    for batch in batches:
+        keys = batch.column(0).to_numpy()
+        if not len(keys):
+            continue
+        if held and size > limit and keys[0] != held[-1].column(0)[-1].as_py():
+            yield pa.Table.from_batches(held)
+            held, size = [], 0
+        edges = np.flatnonzero(keys[1:] != keys[:-1]) + 1
+        sizes = np.cumsum(size_of(batch) if size_of else np.ones(len(keys), np.int64))
+        begin, last = 0, 0
+        for e in edges.tolist():
+            if size + sizes[e - 1] - last > limit:
+                held.append(batch.slice(begin, e - begin))
+                yield pa.Table.from_batches(held)
+                held, size, begin, last = [], 0, e, sizes[e - 1]
+        held.append(batch.slice(begin))
+        size += sizes[-1] - last
+    if held:
+        yield pa.Table.from_batches(held)
+
+
+class Union:
+    """Components of numbers 0 to n - 1."""
+
+    def __init__(self, n: int):
+        self.up = np.arange(n)
+
+    def root(self, i: int) -> int:
+        up = self.up
+        while up[i] != i:
+            up[i] = up[up[i]]
+            i = up[i]
+        return i
+
+    def roots(self) -> np.ndarray:
+        """Of all at once."""
+        up = self.up
+        while True:
+            further = up[up]
+            if (further == up).all():
+                return up
+            up[:] = further
+
+    def join(self, a: np.ndarray, b: np.ndarray) -> None:
+        for i, j in zip(a.tolist(), b.tolist()):
+            i, j = self.root(i), self.root(j)
+            if i != j:
+                self.up[max(i, j)] = min(i, j)
+
+
+def _candidates(key, n, sig, union: Union):
+    """Pairs of rows with equal keys (sorted), not in one component yet, whose sizes and signatures allow a link; in turn."""
+    at, step = np.arange(len(key)), 1
+    while len(at):
+        at = at[at + step < len(key)]
+        at = at[key[at] == key[at + step]]
+        a, b = at, at + step
+        step += 1
+        root = union.roots()
+        on = (root[a] != root[b]) & (np.minimum(n[a], n[b]) >= THRESHOLD * np.maximum(n[a], n[b]) - 1e-9)
+        a, b = a[on], b[on]
+        for k in range(0, len(a), 1 << 16):
+            x, y = a[k : k + (1 << 16)], b[k : k + (1 << 16)]
+            on = (sig[x] == sig[y]).sum(1) >= AGREE
+            if on.any():
+                yield x[on], y[on]
+
+
+def _signatures(column) -> np.ndarray:
+    return np.frombuffer(b"".join(column.to_pylist()), np.uint8).reshape(-1, COMPONENTS)
+
+
+def families(bags: DataFrame) -> DataFrame:
+    """(_id, _f: the least number of the family) of the bags that have a candidate."""
+    rows = bags.select("_id", "_n", "_sig", F.posexplode("_bands").alias("_band", "_v")).withColumn("_key", F.xxhash64("_band", "_v"))
+    crowds = rows.groupBy("_key").agg(F.count("*").alias("_size"), F.min("_id").alias("_lead")).where("_size > 1")
+    met = cut(rows.select("_key", "_id", "_n", "_sig").join(crowds, "_key"), "met")
 
+    def run(batches):
+        for group in groups_of(batches):
+            key, ids, n = (group.column(k).to_numpy() for k in range(3))
+            union = Union(len(key))
+            for a, b in _candidates(key, n, _signatures(group.column(3)), union):
+                union.join(a, b)
+            root = union.roots()
+            on = root != np.arange(len(root))
+            if on.any():
+                yield pa.RecordBatch.from_arrays([pa.array(ids[on]), pa.array(ids[root[on]])], ["_a", "_b"])
+
+    small = met.where(F.col("_size") <= CROWD).select("_key", "_id", "_n", "_sig").repartition("_key").sortWithinPartitions("_key")
+    links = small.mapInArrow(run, "_a long, _b long")
+    links = links.unionAll(met.where(F.col("_size") > CROWD).select(F.col("_id").alias("_a"), F.col("_lead").alias("_b")))
+    found = components(links).select(F.col("_k").alias("_id"), F.col("_c").alias("_f"))
+    return found
+
+
+def joined(rows: DataFrame) -> DataFrame:
+    """(_a, _b) of components that are one: rows (_cell, _c: component, _n, _sig, _text), where documents of a cell are compared."""
 
-def _texts(keyed: DataFrame, wanted: DataFrame) -> DataFrame:
-    """(_k, _text) of the wanted keys, one row a key.
-
-    A pass over the documents emits those that a bit table of fixed size may name; only these are shuffled for the exact join.
-    """
-    where = F.pmod(F.col("_k._th"), F.lit(BITS))
-    hits = wanted.select(where.alias("w")).selectExpr("w div 8 AS at", "shiftleft(1, cast(w % 8 AS int)) AS bit").groupBy("at").agg(F.bit_or("bit").alias("bits")).toArrow()
-    bits = np.zeros(BITS // 8, np.uint8)
-    bits[hits.column("at").to_numpy()] = hits.column("bits").to_numpy().astype(np.uint8)
-    packed = zlib.compress(bits.tobytes(), 1)
+    def run(batches):
+        for group in groups_of(batches, lambda b: pc.binary_length(b.column(4)).to_numpy(), 8 << 20):
+            key, comp, n = (group.column(k).to_numpy() for k in range(3))
+            doc, h, weight, count = bags_of(group.column(4).combine_chunks())
+            # each occurrence of a shingle is an element of its own: common elements are the common weight
+            rows_ = np.repeat(np.arange(len(h)), weight)
+            nth = np.arange(len(rows_)) - np.repeat(np.cumsum(weight) - weight, weight)
+            _, local = np.unique(_mix(h[rows_] + nth.astype(np.uint64) * _U(0xD1B54A32D192ED03)), return_inverse=True)
+            starts = np.cumsum(count) - count
+            known, number = np.unique(comp, return_inverse=True)
+            union = _Labelled(len(key), number)
+            for a, b in _candidates(key, n, _signatures(group.column(3)), union):
+                for x, y in _portions(a, b, count):
+                    root = union.roots()
+                    on = root[x] != root[y]
+                    x, y = x[on], y[on]
+                    if not len(x):
+                        continue
+                    sizes = np.concatenate((count[x], count[y]))
+                    at = np.repeat(np.concatenate((starts[x], starts[y])) - (np.cumsum(sizes) - sizes), sizes) + np.arange(sizes.sum())
+                    pair = np.repeat(np.concatenate((np.arange(len(x)), np.arange(len(x)))), sizes) << 32 | local[at]
+                    pair.sort()
+                    same = np.bincount(pair[1:][pair[1:] == pair[:-1]] >> 32, minlength=len(x))
+                    near = same >= THRESHOLD * (count[x] + count[y] - same) - 1e-9
+                    union.join(x[near], y[near])
+            up = union.up
+            on = up != np.arange(len(up))
+            if on.any():
+                yield pa.RecordBatch.from_arrays([pa.array(known[on]), pa.array(known[union.all()[on]])], ["_a", "_b"])
+
+    rows = rows.select("_cell", "_c", "_n", "_sig", "_text").repartition("_cell").sortWithinPartitions("_cell")
+    return rows.mapInArrow(run, "_a long, _b long")
+
+
+class _Labelled(Union):
+    """Components of rows that have labels from the start: the labels are joined."""
+
+    def __init__(self, n: int, label: np.ndarray):
+        super().__init__(int(label.max()) + 1 if n else 0)
+        self.label = label
+
+    def all(self) -> np.ndarray:
+        return super().roots()
+
+    def roots(self) -> np.ndarray:
+        return super().roots()[self.label]
+
+    def join(self, a: np.ndarray, b: np.ndarray) -> None:
+        super().join(self.label[a], self.label[b])
+
+
+def _portions(a, b, count):
+    """Pairs in portions of about ``VERIFY`` shingles."""
+    total = np.cumsum(count[a] + count[b])
+    begin = 0
+    while begin < len(a):
+        end = max(begin + 1, int(np.searchsorted(total, (total[begin - 1] if begin else 0) + VERIFY)))
+        yield a[begin:end], b[begin:end]
+        begin = end
+
+
+def _with_text(keyed: DataFrame, wanted: DataFrame) -> DataFrame:
+    """``wanted`` (_d, _th, ...) with ``_text``: from a pass that emits those that a bit table of fixed size names."""
+
+    def place(th):
+        return th.view(np.uint64)
+
+    bits = bit_table(wanted.select("_th"), place)
 
     def named(batches):
-        table_ = np.frombuffer(zlib.decompress(packed), np.uint8)
+        on = bits.array()
         for batch in batches:
-            at = batch.column(1).to_numpy() % BITS
-            yield batch.filter(pa.array((table_[at >> 3] >> (at & 7).astype(np.uint8)) & 1 > 0))
+            yield batch.filter(pa.array(has_bit(on, place(batch.column(1).to_numpy()))))
 
     found = keyed.select("_d", "_th", "_text").mapInArrow(named, "_d long, _th long, _text string")
-    return found.select(F.struct("_d", "_th").alias("_k"), "_text").join(wanted, "_k", "left_semi").dropDuplicates(["_k"])
-
-
-def _compared(texts: DataFrame, pairs: DataFrame) -> DataFrame:
-    """The pairs (_a, _b: keys) with ``_sim``, the overlap of their texts' shingles."""
-    both = pairs.select("_a", "_b").join(texts.select(F.col("_k").alias("_a"), F.col("_text").alias("_x")), "_a").join(texts.select(F.col("_k").alias("_b"), F.col("_text").alias("_y")), "_b")
-
-    def run(batches):
-        last, bag = None, None
-        for batch in by_size(batches, 2):
-            sims = []
-            for x, y in zip(batch.column(2).to_pylist(), batch.column(3).to_pylist()):
-                if y != last:  # the joined rows come in the order of _b: the same text again and again
-                    last, bag = y, shingles_of(y)
-                sims.append(overlap(shingles_of(x), bag))
-            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(sims, pa.float64())], ["_a", "_b", "_sim"])
-
-    return cut(both.select("_a", "_b", "_x", "_y").mapInArrow(run, f"_a {KEY}, _b {KEY}, _sim double"), "compared")
+    # rows with equal keys are one document: the key's rows meet in the join, and one of them stays
+    return found.join(wanted, ["_d", "_th"]).dropDuplicates(["_d", "_th"])
 
 
 def components(links: DataFrame) -> DataFrame:
@@ -251,91 +383,59 @@ def components(links: DataFrame) -> DataFrame:
     return edges.select(F.col("_u").alias("_k"), F.col("_v").alias("_c")).unionAll(edges.select(F.col("_v").alias("_k"), F.col("_v").alias("_c"))).groupBy("_k").agg(F.min("_c").alias("_c"))
 
 
-def keyed_docs(docs: DataFrame) -> DataFrame:
-    """All columns, and _d, _th, _text: the key of a document and its text."""
-    text = text_or_empty()
-    return docs.withColumns({"_d": F.coalesce(docs["doc_id"].cast("long"), F.lit(LAST)), "_th": F.xxhash64(text), "_text": text})
-
-
-def near_classes(keyed: DataFrame, threshold: float = THRESHOLD) -> DataFrame:
-    """(_d, _th, _class: the least key of the class) of every document with words."""
+def near_classes(keyed: DataFrame) -> DataFrame:
+    """(_d, _th, _class: the least key of the class) of every document (_d, _th, _text)."""
     bound_batches(keyed.sparkSession)
-    docs = cut(signed(keyed), "signed")
+    every = cut(signed(keyed), "signed")
+    docs = every.where("_n > 0")
     key = F.struct("_d", "_th")
-    bags = cut(docs.groupBy("_g1", "_g2").agg(F.min(key).alias("_k"), F.first(F.struct("_n", "_bands")).alias("_f")).select("_g1", "_g2", "_k", "_f.*"), "bags")
-    rows = bags.select("_k", "_n", F.posexplode("_bands").alias("_band", "_v"))
-    leaders = rows.groupBy("_band", "_v").agg(F.min(F.struct("_k", "_n")).alias("_lead"), F.count("*").alias("_size")).where("_size > 1")
-    grouped = cut(rows.join(leaders, ["_band", "_v"]).select("_band", "_v", "_k", "_n", F.col("_lead._k").alias("_l"), F.col("_lead._n").alias("_ln")), "grouped")
-    texts = cut(_texts(keyed, grouped.select("_k").distinct()), "texts")
-
-    def similar(a: str, b: str):
-        return (F.col(a) >= threshold * F.col(b)) & (F.col(b) >= threshold * F.col(a))
-
-    # pairs whose sizes alone rule a link out count as compared: their similarity is at most what the sizes say
-    stars = _compared(texts, grouped.where((F.col("_k") != F.col("_l")) & similar("_n", "_ln")).select(F.col("_k").alias("_a"), F.col("_l").alias("_b")).distinct())
-    linked = F.col("_sim") >= threshold - 1e-9
-    comps = cut(components(stars.where(linked)), "comps")
-    known = stars.select("_a", "_b")
-
-    # rows of bands that hold several components; _hi and _lo bound the similarity to the band's first document
-    sized = F.least("_n", "_ln") / F.greatest("_n", "_ln")
-    exact = F.when(F.col("_k") == F.col("_l"), F.lit(1.0)).otherwise(F.col("_sim"))
-    mixed = grouped.join(comps, "_k", "left").join(stars.select(F.col("_a").alias("_k"), F.col("_b").alias("_l"), "_sim"), ["_k", "_l"], "left")
-    mixed = _several(mixed.select("_band", "_v", "_k", "_n", F.coalesce("_c", "_k").alias("_c"), F.coalesce(exact, sized).alias("_hi"), F.coalesce(exact, F.lit(0.0)).alias("_lo")))
-    moves = []
-
-    def link(pairs: DataFrame) -> bool:
-        """Compares new pairs (_a, _b) of documents in the components (_ca, _cb); joins components and tells whether any were joined."""
-        nonlocal mixed, known
-        fresh = cut(pairs.groupBy("_a", "_b").agg(F.min("_ca").alias("_ca"), F.min("_cb").alias("_cb")).join(known, ["_a", "_b"], "left_anti"), "pairs")
-        hits = _compared(texts, fresh).where(linked).select("_a", "_b")
-        known = known.unionByName(fresh.select("_a", "_b"))
-        edges = fresh.join(hits, ["_a", "_b"]).select(F.col("_ca").alias("_a"), F.col("_cb").alias("_b")).distinct()
-        if edges.isEmpty():
-            return False
-        move = cut(components(edges).select(F.col("_k").alias("_c"), F.col("_c").alias("_new")), "moves")
-        moves.append(move)
-        mixed = _several(mixed.join(move, "_c", "left").withColumn("_c", F.coalesce("_new", "_c")).drop("_new"))
-        return True
-
-    def ordered(a: str, b: str) -> list:
-        swap = F.col(f"{a}._k") > F.col(f"{b}._k")
-        pick = lambda x, y, name: F.when(swap, F.col(f"{x}.{name}")).otherwise(F.col(f"{y}.{name}"))
-        return [pick(a, b, "_k").alias("_a"), pick(b, a, "_k").alias("_b"), pick(a, b, "_c").alias("_ca"), pick(b, a, "_c").alias("_cb")]
-
-    # other leaders in turn: what one document of a component doesn't reach, another may; linear in the rows each time
-    for r in range(1, LEADERS + 1):
-        lead = mixed.groupBy("_band", "_v").agg(F.min(F.struct(F.xxhash64("_k", F.lit(r)).alias("_h"), "_k", "_n", "_c", "_hi", "_lo")).alias("_x")).select("_band", "_v", "_x.*")
-        o, x = mixed.alias("o"), lead.alias("x")
-        met = o.join(x, (F.col("o._band") == F.col("x._band")) & (F.col("o._v") == F.col("x._v")) & (F.col("o._c") != F.col("x._c")) & similar("o._n", "x._n"))
-        if not link(met.select(*ordered("o", "x"))):
-            break
-
-    # and whatever still shares a band with another component, in full
-    out = mixed.join(mixed.groupBy("_band", "_v").agg(F.mode("_c", deterministic=True).alias("_most")), ["_band", "_v"]).where("_c != _most").alias("o")
-    rest = mixed.alias("r")
-    # distance to the first document is 1 - similarity; two documents are no nearer than these differ
-    possible = (1 - F.col("o._lo") >= 1 - F.col("r._hi") - (1 - threshold) - 1e-9) & (1 - F.col("r._lo") >= 1 - F.col("o._hi") - (1 - threshold) - 1e-9)
-    link(out.join(rest, (F.col("o._band") == F.col("r._band")) & (F.col("o._v") == F.col("r._v")) & (F.col("o._c") != F.col("r._c")) & possible & similar("o._n", "r._n")).select(*ordered("o", "r")))
-
-    of_bag = bags.select("_g1", "_g2", "_k").join(comps, "_k", "left").select("_g1", "_g2", F.coalesce("_c", "_k").alias("_c"))
-    for move in moves:
-        of_bag = of_bag.join(move, "_c", "left").select("_g1", "_g2", F.coalesce("_new", "_c").alias("_c"))
-    return docs.select("_d", "_th", "_g1", "_g2").join(of_bag, ["_g1", "_g2"]).select("_d", "_th", F.col("_c").alias("_class"))
-
-
-def _several(rows: DataFrame) -> DataFrame:
-    """The rows of bands with more than one component, written."""
-    rows = cut(rows, "rows")
-    mixed = rows.groupBy("_band", "_v").agg(F.min("_c").alias("_x"), F.max("_c").alias("_y")).where("_x != _y").select("_band", "_v")
-    return cut(rows.join(mixed, ["_band", "_v"], "left_semi"), "mixed")
+    one = docs.groupBy("_g1", "_g2").agg(F.min(key).alias("_k"), F.first(F.struct("_n", "_bands", "_sig")).alias("_f"))
+    bags = cut(one.select("_g1", "_g2", "_k", "_f.*", F.monotonically_increasing_id().alias("_id")), "bags")
+    found = cut(families(bags), "families")
+    sizes = found.groupBy("_f").agg(F.count("*").alias("_size"))
+    wanted = found.join(sizes, "_f").join(bags.select("_id", "_k.*", "_n", "_sig"), "_id")
+    members = cut(_with_text(keyed, cut(wanted, "wanted")), "members")
+
+    # blocks of each family, with the family's first document in each
+    blocks = F.ceil(F.col("_size") / BLOCK).cast("int")
+    own = F.pmod(F.xxhash64("_id"), blocks).cast("int")
+    at = F.when(F.col("_id") == F.col("_f"), F.sequence(F.lit(0), blocks - 1)).otherwise(F.array(own))
+    cells = members.withColumn("_at", F.explode(at)).select(F.xxhash64("_f", "_at").alias("_cell"), F.col("_id").alias("_c"), "_n", "_sig", "_text")
+    links = cut(joined(cells), "links")
+    comps = cut(components(links), "comps")
+
+    large = members.where(F.col("_size") > BLOCK)
+    if not large.isEmpty():
+        more = cut(_across(large, comps), "links")
+        comps = cut(components(links.unionAll(more)), "comps")
+    of_bag = bags.select("_g1", "_g2", "_id", "_k").join(comps.select(F.col("_k").alias("_id"), "_c"), "_id", "left").select("_g1", "_g2", "_k", F.coalesce("_c", "_id").alias("_c"))
+    least = of_bag.groupBy("_c").agg(F.min("_k").alias("_class"))
+    out = docs.select("_d", "_th", "_g1", "_g2").join(of_bag.join(least, "_c").select("_g1", "_g2", "_class"), ["_g1", "_g2"])
+    discard(members)
+    return out.select("_d", "_th", "_class").unionAll(every.where("_n = 0").select("_d", "_th", key.alias("_class")))
+
+
+def _across(large: DataFrame, comps: DataFrame) -> DataFrame:
+    """Links between components of families of several blocks: documents outside the largest component meet all others."""
+    rows = large.join(comps.select(F.col("_k").alias("_id"), "_c"), "_id", "left").withColumn("_c", F.coalesce("_c", "_id"))
+    most = rows.groupBy("_f", "_c").agg(F.count("*").alias("_in")).groupBy("_f").agg(F.max(F.struct("_in", "_c")).alias("_m"), F.sum("_in").alias("_all"))
+    most = most.select("_f", F.col("_m._c").alias("_most"), F.col("_m._in").alias("_in"), (F.col("_all") - F.col("_m._in")).alias("_out")).where("_out > 0")
+    rows = rows.join(most, "_f")
+    out_blocks, in_blocks = (F.ceil(F.col(x) / BLOCK).cast("int") for x in ("_out", "_in"))
+    h = F.xxhash64("_id")
+    outside = F.col("_c") != F.col("_most")
+    own = F.pmod(h, F.when(outside, out_blocks).otherwise(in_blocks)).cast("int")
+
+    def cell(kind, i, j):
+        return F.xxhash64("_f", F.lit(kind), i, j)
+
+    each = F.transform(F.sequence(F.lit(0), out_blocks - 1), lambda i: F.when(outside, cell(0, F.least(i, own), F.greatest(i, own))).otherwise(cell(1, i, own)))
+    others = F.when(outside, F.transform(F.sequence(F.lit(0), in_blocks - 1), lambda j: cell(1, own, j))).otherwise(F.array().cast("array<bigint>"))
+    return joined(rows.withColumn("_cell", F.explode(F.concat(each, others))))
 
 
 def op8_minhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     """One row a document: its class, named by the least doc_id in it, and whether the document is the one that stays."""
-    keyed = keyed_docs(table(spark, sf_dir, "documents").select("doc_id", "text"))
-    classes = near_classes(keyed.select("_d", "_th", "_text"))
-    wordless = keyed.where(~F.col("_text").rlike(r"\S")).select("_d", "_th", F.struct("_d", "_th").alias("_class"))
-    found = classes.unionAll(wordless)
+    found = near_classes(keyed_rows(table(spark, sf_dir, "documents").select("doc_id", "text")).select("_d", "_th", "_text"))
     doc_id = F.when(F.col("_d") != LAST, F.col("_d"))
     return found.select(doc_id.alias("doc_id"), F.when(F.col("_class._d") != LAST, F.col("_class._d")).alias("class_id"), (F.struct("_d", "_th") == F.col("_class")).alias("stays"))

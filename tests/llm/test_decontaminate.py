@@ -1,8 +1,10 @@
 import random
 
+import numpy as np
 from pyspark.sql import functions as F
 
 from flowloom.llm import decontaminate as D
+from flowloom.llm.common import keyed_rows
 
 
 def test_lcs_and_answer():
@@ -34,7 +36,7 @@ def test_planted_passages_and_paraphrases(spark, monkeypatch):
         docs.append((d, text, "en"))
     docs += [(900, None, "x"), (901, "", "x"), (None, "x " + items[3][1], "x"), (902, items[34][1], "x")]
     want |= {(D.LAST, 3), (902, None)}
-    found = D.leaks(spark.createDataFrame(docs, "doc_id long, text string, item_id string"), spark.createDataFrame(items, "item_id long, text string")).collect()
+    found = D.leaks(keyed_rows(spark.createDataFrame(docs, "doc_id long, text string, _d string")), spark.createDataFrame(items, "item_id long, text string")).collect()
     assert {(r["_d"], r["item_id"]) for r in found} == want
     # recall of the latent search against brute force on the words
     brute = set()
@@ -47,9 +49,27 @@ def test_planted_passages_and_paraphrases(spark, monkeypatch):
     assert len(brute & want) >= 0.9 * len(brute)
 
 
+def test_latent_space_is_the_leading_one(spark):
+    """The subspace holds as much of the rows as the exact singular vectors do, and is no wider than asked for."""
+    rng = np.random.default_rng(3)
+    terms = 60
+    topics = [rng.choice(terms, 8, replace=False) for _ in range(5)]
+    lists = [[int(t) for t in rng.choice(topics[rng.integers(5)], 6)] + [int(rng.integers(terms))] for _ in range(400)]
+    idf = rng.uniform(0.5, 2, terms).astype(np.float32)
+    rows = spark.createDataFrame([(x,) for x in lists], "_terms array<int>").repartition(3)
+    space = D.latent_space(rows, idf, rank=6)
+    dense = np.zeros((len(lists), terms))
+    for i, x in enumerate(lists):
+        for t in x:
+            dense[i, t] += idf[t]
+    exact = np.linalg.svd(dense, full_matrices=False)[1]
+    assert space.shape == (terms, 6)
+    assert (np.linalg.norm(dense @ space) ** 2) >= 0.98 * (exact[:6] ** 2).sum()
+
+
 def test_empty(spark):
     none = spark.createDataFrame([], "doc_id long, text string")
     items = spark.createDataFrame([(1, "a b c d e f g h")], "item_id long, text string")
-    assert D.leaks(none, items).count() == 0
+    assert D.leaks(keyed_rows(none), items).count() == 0
     docs = spark.createDataFrame([(1, "a b c d e f g h")], "doc_id long, text string")
-    assert D.leaks(docs, items.where(F.lit(False))).count() == 0
+    assert D.leaks(keyed_rows(docs), items.where(F.lit(False))).count() == 0

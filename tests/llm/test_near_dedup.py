@@ -4,6 +4,7 @@ import numpy as np
 from pyspark.sql import functions as F
 
 from flowloom.llm import near_dedup as N
+from flowloom.llm.common import keyed_rows
 
 
 def test_signature_collisions_estimate_weighted_jaccard():
@@ -24,14 +25,13 @@ def test_signature_collisions_estimate_weighted_jaccard():
 
 
 def classes(spark, rows):
-    docs = spark.createDataFrame(rows, "doc_id long, text string, lang string")
-    keyed = N.keyed_docs(docs)
+    docs = spark.createDataFrame(rows, "doc_id long, text string, _d string")
+    keyed = keyed_rows(docs)
     return {(r["_d"], r["_th"]): r["_class"]["_d"] for r in N.near_classes(keyed).collect()}, docs
 
 
 def brute(rows):
     bags = [(i if i is not None else N.LAST, N.shingles_of(t or "")) for i, t, _ in rows]
-    bags = [(i, b) for i, b in bags if b]
     up = {i: i for i, _ in bags}
 
     def root(i):
@@ -41,7 +41,7 @@ def brute(rows):
 
     for k, (i, a) in enumerate(bags):
         for j, b in bags[:k]:
-            if N.overlap(a, b) >= 0.8 - 1e-9:
+            if a and N.overlap(a, b) >= 0.8 - 1e-9:
                 x, y = sorted((root(i), root(j)))
                 up[y] = x
     return {i: root(i) for i, _ in bags}
@@ -64,6 +64,14 @@ def test_classes_equal_brute_force(spark):
     assert {d: c for (d, _), c in got.items()} == want
 
 
+def test_small_blocks_and_crowds(spark, monkeypatch):
+    """The same classes when families are cut into blocks and bands are crowded."""
+    monkeypatch.setattr(N, "BLOCK", 4)
+    monkeypatch.setattr(N, "CROWD", 3)
+    test_classes_equal_brute_force(spark)
+    test_chain_of_copies_and_empty(spark)
+
+
 def test_chain_of_copies_and_empty(spark):
     rows, w = [], [f"c{i}" for i in range(300)]
     for i in range(30):
