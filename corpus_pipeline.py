@@ -12,11 +12,11 @@ with equal doc_id and text are one document, of which near-dedup keeps one row.
 from __future__ import annotations
 
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from flowloom.llm import decontaminate, line_dedup, near_dedup, packing, quality
-from flowloom.llm.common import bound_batches, cut, table
+from flowloom.llm.common import bound_batches, cut, keyed_rows, table
 
 ORACLE_SQL = None
 
@@ -35,27 +35,35 @@ def quality_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFram
 
 
 def line_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Texts without lines that match an earlier one; a text without any line left goes."""
-    found = line_dedup.dedup_lines(docs).where((F.col("_removed") == 0) | F.col("_kept").rlike(r"\S"))
-    text = F.when(F.col("_removed") == 0, F.col("text")).otherwise(F.col("_kept"))
-    new = {"text": text} | ({"n_chars": F.length(text).cast(docs.schema["n_chars"].dataType)} if "n_chars" in docs.columns else {})
-    return found.withColumns(new).select(*docs.columns)
+    """Texts without lines that match an earlier one; a text without any line left goes.
+
+    Lines of null and empty texts: none, so they stay. Equal rows keep the same lines.
+    """
+    found = line_dedup.dedup_lines(docs).where((F.col("n_removed") == 0) | F.col("kept").rlike(r"\S"))
+    new = {"text": F.when(F.col("n_removed") == 0, F.col("row.text")).otherwise(F.col("kept"))}
+    if "n_chars" in docs.columns:
+        new["n_chars"] = F.length(new["text"]).cast(docs.schema["n_chars"].dataType)
+    return found.select(*(new.get(c, F.col(f"row.`{c}`")).alias(c) for c in docs.columns))
 
 
 def near_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document of each class of near copies."""
-    keyed = near_dedup.keyed_docs(docs)
+    """One document of each class of near copies: the one with the least (doc_id, text hash).
+
+    Of rows with equal doc_id and text the one with the least other columns, as JSON, stays. Texts without words are no copies.
+    """
+    keyed = keyed_rows(docs)
     classes = near_dedup.near_classes(keyed.select("_d", "_th", "_text"))
     go = classes.where(F.struct("_d", "_th") != F.col("_class")).select("_d", "_th").distinct()
-    # the join has dealt and sorted the rows by key, so the window needs no shuffle of its own
-    one = F.row_number().over(Window.partitionBy("_d", "_th").orderBy("_d"))
-    return keyed.join(go, ["_d", "_th"], "left_anti").withColumn("_row", one).where("_row = 1").select(*docs.columns)
+    rest = [F.col(f"_row.`{c}`").alias(c) for c in docs.columns if c not in ("doc_id", "text")]
+    one = keyed.groupBy("_d", "_th").agg(F.min_by("_row", F.to_json(F.struct(*rest)) if rest else F.lit(0)).alias("_row"))
+    return one.join(go, ["_d", "_th"], "left_anti").select("_row.*")
 
 
 def clean_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents that leak no item of the benchmark."""
-    found = decontaminate.leaks(docs, table(spark, sf_dir, "benchmark")).select("_d", "_th").distinct()
-    return near_dedup.keyed_docs(docs).join(found, ["_d", "_th"], "left_anti").select(*docs.columns)
+    """Documents that leak no item of the benchmark; an empty benchmark leaves all."""
+    keyed = keyed_rows(docs)
+    found = decontaminate.leaks(keyed.select("_d", "_th", "_text"), table(spark, sf_dir, "benchmark")).select("_d", "_th").distinct()
+    return keyed.select("_row", "_d", "_th").join(found, ["_d", "_th"], "left_anti").select("_row.*")
 
 
 def packing_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
