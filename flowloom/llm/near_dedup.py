@@ -59,6 +59,8 @@ AGREE = 33
 CROWD = 4096
 #: Documents of a family that are compared in one place.
 BLOCK = 1024
+#: Documents of a group that get bit rows, if these take no more than so many bytes.
+MANY, BIT_ROWS = 12, 128 << 20
 #: Bytes of text, and shingles of pairs, that are compared at a time.
 SLICE, VERIFY = 2 << 20, 4 << 20
 _U = np.uint64
@@ -275,28 +277,18 @@ def joined(rows: DataFrame) -> DataFrame:
     def run(batches):
         for group in groups_of(batches, lambda b: pc.binary_length(b.column(4)).to_numpy(), 8 << 20):
             key, comp, n = (group.column(k).to_numpy() for k in range(3))
-            doc, h, weight, count = bags_of(group.column(4).combine_chunks())
-            # each occurrence of a shingle is an element of its own: common elements are the common weight
-            rows_ = np.repeat(np.arange(len(h)), weight)
-            nth = np.arange(len(rows_)) - np.repeat(np.cumsum(weight) - weight, weight)
-            _, local = np.unique(_mix(h[rows_] + nth.astype(np.uint64) * _U(0xD1B54A32D192ED03)), return_inverse=True)
-            starts = np.cumsum(count) - count
+            bags, sig = _Elements(group.column(4).combine_chunks(), key), _signatures(group.column(3))
             known, number = np.unique(comp, return_inverse=True)
             union = _Labelled(len(key), number)
-            for a, b in _candidates(key, n, _signatures(group.column(3)), union):
-                for x, y in _portions(a, b, count):
+            for a, b in _candidates(key, n, sig, union):
+                for x, y in bags.portions(a, b):
                     root = union.roots()
                     on = root[x] != root[y]
                     x, y = x[on], y[on]
-                    if not len(x):
-                        continue
-                    sizes = np.concatenate((count[x], count[y]))
-                    at = np.repeat(np.concatenate((starts[x], starts[y])) - (np.cumsum(sizes) - sizes), sizes) + np.arange(sizes.sum())
-                    pair = np.repeat(np.concatenate((np.arange(len(x)), np.arange(len(x)))), sizes) << 32 | local[at]
-                    pair.sort()
-                    same = np.bincount(pair[1:][pair[1:] == pair[:-1]] >> 32, minlength=len(x))
-                    near = same >= THRESHOLD * (count[x] + count[y] - same) - 1e-9
-                    union.join(x[near], y[near])
+                    if len(x):
+                        same = bags.common(x, y)
+                        near = same >= THRESHOLD * (bags.count[x] + bags.count[y] - same) - 1e-9
+                        union.join(x[near], y[near])
             up = union.up
             on = up != np.arange(len(up))
             if on.any():
@@ -306,6 +298,64 @@ def joined(rows: DataFrame) -> DataFrame:
     return rows.mapInArrow(run, "_a long, _b long")
 
 
+class _Elements:
+    """The shingles of the documents of several groups, and how many two documents have in common.
+
+    Each occurrence of a shingle is an element of its own, so common elements are the common
+    weight. Groups of many documents are compared on bit rows of the elements that two of them have.
+    """
+
+    def __init__(self, texts: pa.StringArray, key: np.ndarray):
+        _, h, weight, self.count = bags_of(texts)
+        rows = np.repeat(np.arange(len(h)), weight)
+        nth = np.arange(len(rows)) - np.repeat(np.cumsum(weight) - weight, weight)
+        _, self.local = np.unique(_mix(h[rows] + nth.astype(np.uint64) * _U(0xD1B54A32D192ED03)), return_inverse=True)
+        self.starts = np.cumsum(self.count) - self.count
+        #: Bit rows of each group of ``MANY`` documents or more, and where a document's row is.
+        self.bits: list[np.ndarray] = []
+        self.place = np.full((2, len(key)), -1)
+        edges = np.flatnonzero(np.concatenate(([True], key[1:] != key[:-1])))
+        for a, b in zip(edges, [*edges[1:], len(key)]):
+            if b - a >= MANY:
+                self._rows(a, b)
+
+    def _rows(self, a: int, b: int) -> None:
+        ids = self.local[self.starts[a] : self.starts[b - 1] + self.count[b - 1]]
+        distinct, at, times = np.unique(ids, return_inverse=True, return_counts=True)
+        number = np.cumsum(times > 1) - 1
+        width = int((times > 1).sum()) // 64 + 1
+        if width * (b - a) * 8 > BIT_ROWS:
+            return
+        doc, on = np.repeat(np.arange(b - a), self.count[a:b]), times[at] > 1
+        bits = np.zeros((b - a) * width, np.uint64)
+        column = number[at[on]]
+        np.bitwise_or.at(bits, doc[on] * width + (column >> 6), _U(1) << (column & 63).astype(np.uint64))
+        self.place[0, a:b], self.place[1, a:b] = len(self.bits), np.arange(b - a)
+        self.bits.append(bits.reshape(b - a, width))
+
+    def portions(self, a: np.ndarray, b: np.ndarray):
+        """Pairs in portions of about ``VERIFY`` elements, those of a group with bit rows apart."""
+        of = self.place[0, a]
+        for k in np.unique(of).tolist():
+            x, y = (a[of == k], b[of == k]) if (of != k).any() else (a, b)
+            total = np.cumsum(self.count[x] + self.count[y] if k < 0 else np.full(len(x), self.bits[k].shape[1]))
+            begin = 0
+            while begin < len(x):
+                end = max(begin + 1, int(np.searchsorted(total, (total[begin - 1] if begin else 0) + VERIFY)))
+                yield x[begin:end], y[begin:end]
+                begin = end
+
+    def common(self, x: np.ndarray, y: np.ndarray) -> np.ndarray:
+        k = int(self.place[0, x[0]])
+        if k >= 0:
+            return np.bitwise_count(self.bits[k][self.place[1, x]] & self.bits[k][self.place[1, y]]).sum(1, dtype=np.int64)
+        sizes = np.concatenate((self.count[x], self.count[y]))
+        at = np.repeat(np.concatenate((self.starts[x], self.starts[y])) - (np.cumsum(sizes) - sizes), sizes) + np.arange(sizes.sum())
+        pair = np.repeat(np.concatenate((np.arange(len(x)), np.arange(len(x)))), sizes) << 32 | self.local[at]
+        pair.sort()
+        return np.bincount(pair[1:][pair[1:] == pair[:-1]] >> 32, minlength=len(x))
+
+
 class _Labelled(Union):
     """Components of rows that have labels from the start: the labels are joined."""
 
@@ -323,16 +373,6 @@ class _Labelled(Union):
         super().join(self.label[a], self.label[b])
 
 
-def _portions(a, b, count):
-    """Pairs in portions of about ``VERIFY`` shingles."""
-    total = np.cumsum(count[a] + count[b])
-    begin = 0
-    while begin < len(a):
-        end = max(begin + 1, int(np.searchsorted(total, (total[begin - 1] if begin else 0) + VERIFY)))
-        yield a[begin:end], b[begin:end]
-        begin = end
-
-
 def _with_text(keyed: DataFrame, wanted: DataFrame) -> DataFrame:
     """``wanted`` (_d, _th, ...) with ``_text``: from a pass that emits those that a bit table of fixed size names."""
 
