@@ -14,16 +14,16 @@ The join of the classes, exact:
 * Prefix: lines that match share one of their first ``n - ceil(t n) + 1`` tokens. Each such
   token of a class is an entry. Entries with a token go to a part by its hash, packed so that
   a row of the shuffle holds many. Tokens that the whole corpus has once are no entries.
-* Length, position and a 64-bit map of the tokens, whose differing bits bound the symmetric
-  difference, rule pairs out; numpy walks the pairs of a part. Only the classes that still have a
-  partner in a part (not the pairs) come out of this.
-* Verification: the words of these classes are read again and sent to the parts concerned, where
-  the Jaccard similarity is computed; a pair counts where its first common token is. What
+* Length, position and a 128-bit map of the tokens, whose differing bits bound the symmetric
+  difference, rule pairs out; numpy walks the pairs of a part. What comes out are not the pairs but
+  families: each class that has a partner is linked to one of those its partners connect.
+* Verification: the words of these classes are read again, a family's classes are sent to one
+  task, and the Jaccard similarity of all pairs that the length allows is computed. What
   comes out is each class's number of links and whether an earlier class is similar: rows grow
   with the classes, also in a family of near copies, whose links grow with its square.
 * A token with more than ``HOT`` entries (a table of fixed size counts them) has its classes
-  cut into blocks, and each two blocks meet in a part of their own: a task holds as much
-  however common the token is.
+  cut into blocks, and each two blocks meet in a part of their own; so has a family of more than
+  ``BLOCK`` classes. A task holds as much however common a token or large a family is.
 
 Equality of token sets is that of 128-bit hashes, equality of words that of 57-bit hashes.
 
@@ -45,6 +45,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from flowloom.llm.common import LAST, bit_table, bound_batches, by_size, counters, cut, discard, has_bit, keyed_rows, table
+from flowloom.llm.groups import Sets, Union, components, groups_of
 from flowloom.llm.words import coded, hashes, mix, plain, split_words, word_hashes
 
 THRESHOLD = 0.8
@@ -52,12 +53,14 @@ THRESHOLD = 0.8
 BUCKETS = 1 << 20
 #: Entries of a token that are compared in one place; more are cut into blocks.
 HOT = 8192
+#: Classes of a family that are compared in one place.
+BLOCK = 2048
 #: Entries that a part holds on average, and the least number of parts.
 PART, PARTS = 500_000, 1024
 #: Entries that a task packs at a time.
 PACK = 1 << 20
-#: Text that is tokenised at a time, and tokens of pairs that are verified at a time.
-SLICE, VERIFY = 2 << 20, 4 << 20
+#: Text that is tokenised at a time.
+SLICE = 2 << 20
 LEVEL_SHIFT = 57
 _U = np.uint64
 
@@ -104,19 +107,23 @@ class Lines:
         bare = self.tokens & _U((1 << LEVEL_SHIFT) - 1)
         return [np.add.reduceat(mix(bare + _U(seed)), self.starts).view(np.int64) for seed in (0x9E3779B97F4A7C15, 0xD1B54A32D192ED03)]
 
-    def bits(self) -> np.ndarray:
+    def bits(self) -> tuple[np.ndarray, np.ndarray]:
         return token_bits(self.tokens, self.starts)
 
     def prefixes(self, threshold: float) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
         """(short hashes of the prefix tokens that the corpus has more than once, how many each line has, how many come before them)."""
-        line, position, inside = _prefix(self.n, self.starts, len(self.tokens), threshold)
+        line = np.repeat(np.arange(len(self.n)), self.n)
+        inside = np.arange(len(line)) - self.starts[line] < (self.n - np.ceil(threshold * self.n - 1e-9).astype(np.int64) + 1)[line]
         once = self.tokens >> _U(LEVEL_SHIFT) == 0
         entry = inside & ~once
         return short(self.tokens[entry]), np.bincount(line[entry], minlength=len(self.n)), np.bincount(line[inside & once], minlength=len(self.n))
 
 
-def token_bits(tokens: np.ndarray, starts: np.ndarray) -> np.ndarray:
-    return np.bitwise_or.reduceat(_U(1) << (mix(tokens & _U((1 << LEVEL_SHIFT) - 1)) & _U(63)), starts)
+def token_bits(tokens: np.ndarray, starts: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Two words of 64 bits for each line: every token sets one of the 128 bits."""
+    h = mix(tokens & _U((1 << LEVEL_SHIFT) - 1))
+    bit, word = _U(1) << (h & _U(63)), h >> _U(6) & _U(1)
+    return np.bitwise_or.reduceat(bit * (_U(1) - word), starts), np.bitwise_or.reduceat(bit * word, starts)
 
 
 def short(tokens: np.ndarray) -> np.ndarray:
@@ -124,13 +131,7 @@ def short(tokens: np.ndarray) -> np.ndarray:
     return mix(tokens) >> _U(24)
 
 
-def _prefix(n, starts, size, threshold):
-    line = np.repeat(np.arange(len(n)), n)
-    position = np.arange(size) - starts[line]
-    return line, position, position < (n - np.ceil(threshold * n - 1e-9).astype(np.int64) + 1)[line]
-
-
-LINES = "_d long, _th long, _no int, _h1 long, _h2 long, _n int, _bits long, _skip int, _pre binary"
+LINES = "_d long, _th long, _no int, _h1 long, _h2 long, _n int, _b0 long, _b1 long, _skip int, _pre binary"
 
 
 def line_table(keyed: DataFrame, level: np.ndarray, threshold: float = THRESHOLD) -> DataFrame:
@@ -150,7 +151,7 @@ def line_table(keyed: DataFrame, level: np.ndarray, threshold: float = THRESHOLD
             offsets = np.concatenate(([0], np.cumsum(many * 5))).astype(np.int32)
             pre = pa.Array.from_buffers(pa.binary(), len(many), [None, pa.py_buffer(offsets), pa.py_buffer(data)])
             pick = pa.array(doc)
-            cols = [batch.column(0).take(pick), batch.column(1).take(pick), pa.array(no.astype(np.int32)), *map(pa.array, found.classes()), pa.array(found.n.astype(np.int32)), pa.array(found.bits().view(np.int64)), pa.array(skip.astype(np.int32)), pre]
+            cols = [batch.column(0).take(pick), batch.column(1).take(pick), pa.array(no.astype(np.int32)), *map(pa.array, found.classes()), pa.array(found.n.astype(np.int32)), *(pa.array(x.view(np.int64)) for x in found.bits()), pa.array(skip.astype(np.int32)), pre]
             yield pa.RecordBatch.from_arrays(cols, [c.split()[0] for c in LINES.split(", ")])
 
     return keyed.select("_d", "_th", "_text").mapInArrow(run, LINES)
@@ -165,7 +166,7 @@ def _unpacked(pre: pa.BinaryArray) -> tuple[np.ndarray, np.ndarray]:
     return out.view(np.uint64).ravel(), sizes
 
 
-ENTRY = np.dtype([("g", "<u8"), ("id", "<i8"), ("bits", "<u8"), ("n", "<u4"), ("p", "<u2"), ("side", "u1")])
+ENTRY = np.dtype([("g", "<u8"), ("id", "<i8"), ("b0", "<u8"), ("b1", "<u8"), ("n", "<u4"), ("p", "<u2"), ("side", "u1")])
 BOTH = 2
 
 
@@ -189,10 +190,19 @@ class Dealer:
         return (mix(group + _U(0x51ED270B)) % _U(self.parts)).astype(np.int32)
 
 
+def _apart(na: np.ndarray, nb: np.ndarray, threshold: float) -> np.ndarray:
+    """How many tokens two similar lines can differ in."""
+    return na + nb - 2 * np.ceil(threshold / (1 + threshold) * (na + nb) - 1e-9).astype(np.int64)
+
+
+def _differing(b0, b1, a, b) -> np.ndarray:
+    """Differing bits of the lines' maps: at most as many as differing tokens."""
+    return np.bitwise_count(b0[a] ^ b0[b]).astype(np.int64) + np.bitwise_count(b1[a] ^ b1[b])
+
+
 def near_pairs(e: np.ndarray, threshold: float):
     """Places (i, j) in the entries ``e``, sorted by group and length, of pairs that the filters let through; yielded in arrays."""
-    share = threshold / (1 + threshold)
-    g, n, p, bits, side = e["g"], e["n"].astype(np.int64), e["p"].astype(np.int64), e["bits"], e["side"]
+    g, n, p, b0, b1, side, ids = e["g"].copy(), e["n"].astype(np.int64), e["p"].astype(np.int64), e["b0"].copy(), e["b1"].copy(), e["side"], e["id"]
     at, step = np.arange(len(e)), 1
     while True:
         at = at[at + step < len(e)]
@@ -203,11 +213,11 @@ def near_pairs(e: np.ndarray, threshold: float):
             return
         a, b = at, at + step
         step += 1
-        apart = n[a] + n[b] - 2 * np.ceil(share * (n[a] + n[b]) - 1e-9).astype(np.int64)
+        apart = _apart(n[a], n[b], threshold)
         # a token is shared at p: what comes before it, and is shared as well, only counts where it is met itself
-        on = (p[a] + p[b] <= apart) & ((side[a] != side[b]) | (side[a] == BOTH)) & (e["id"][a] != e["id"][b])
+        on = (p[a] + p[b] <= apart) & ((side[a] != side[b]) | (side[a] == BOTH)) & (ids[a] != ids[b])
         a, b, apart = a[on], b[on], apart[on]
-        on = np.bitwise_count(bits[a] ^ bits[b]) <= apart
+        on = _differing(b0, b1, a, b) <= apart
         if on.any():
             yield a[on], b[on]
 
@@ -236,7 +246,7 @@ def _by_part(batches):
 
 
 def partnered(classes: DataFrame, dealer: Dealer, threshold: float) -> DataFrame:
-    """(_h1, _part) of the classes that have a partner in a part."""
+    """(_a, _b: first hashes) of classes that partners connect: each is linked to one of those, part by part."""
 
     def pack(batches):
         held, size = [], 0
@@ -251,14 +261,14 @@ def partnered(classes: DataFrame, dealer: Dealer, threshold: float) -> DataFrame
                 yield pa.RecordBatch.from_arrays([pa.array(parts[edges][k : k + 256]), pa.array(blobs[k : k + 256], pa.binary())], ["_part", "_blob"])
 
         for batch in batches:
-            t, sizes = _unpacked(batch.column(4))
+            t, sizes = _unpacked(batch.column(5))
             row = np.repeat(np.arange(len(sizes)), sizes)
             place = np.arange(len(t)) - np.repeat(np.cumsum(sizes) - sizes, sizes)
-            ids, n, bits, skip = (batch.column(k).to_numpy() for k in range(4))
+            ids, n, b0, b1, skip = (batch.column(k).to_numpy() for k in range(5))
             copy, group, side = dealer.deal(t, ids[row])
             e = np.zeros(len(copy), ENTRY)
             at = row[copy]
-            e["g"], e["id"], e["bits"], e["n"], e["side"] = group, ids[at], bits[at].view(np.uint64), n[at], side
+            e["g"], e["id"], e["b0"], e["b1"], e["n"], e["side"] = group, ids[at], b0[at].view(np.uint64), b1[at].view(np.uint64), n[at], side
             e["p"] = np.minimum(skip[at] + place[copy], 65535)
             held.append((e, dealer.part(group)))
             size += len(e)
@@ -271,15 +281,17 @@ def partnered(classes: DataFrame, dealer: Dealer, threshold: float) -> DataFrame
     def meet(batches):
         for part, rows in _by_part(batches):
             e = _sorted(np.frombuffer(b"".join(rows.column(1).to_pylist()), ENTRY))
-            on = np.zeros(len(e), bool)
+            ids, local = np.unique(e["id"], return_inverse=True)
+            union = Union(len(ids))
             for a, b in near_pairs(e, threshold):
-                on[a] = on[b] = True
+                union.join(local[a], local[b])
+            root = union.roots()
+            on = root != np.arange(len(ids))
             if on.any():
-                ids = np.unique(e["id"][on])
-                yield pa.RecordBatch.from_arrays([pa.array(ids), pa.array(np.full(len(ids), part, np.int32))], ["_h1", "_part"])
+                yield pa.RecordBatch.from_arrays([pa.array(ids[on]), pa.array(ids[root[on]])], ["_a", "_b"])
 
-    packed = classes.select("_h1", "_n", "_bits", "_skip", "_pre").mapInArrow(pack, "_part int, _blob binary")
-    return packed.repartition("_part").sortWithinPartitions("_part").mapInArrow(meet, "_h1 long, _part int")
+    packed = classes.select("_h1", "_n", "_b0", "_b1", "_skip", "_pre").mapInArrow(pack, "_part int, _blob binary")
+    return packed.repartition("_part").sortWithinPartitions("_part").mapInArrow(meet, "_a long, _b long")
 
 
 def _tokens(keyed: DataFrame, wanted: DataFrame, level: np.ndarray) -> DataFrame:
@@ -310,75 +322,51 @@ def _tokens(keyed: DataFrame, wanted: DataFrame, level: np.ndarray) -> DataFrame
     return found.join(wanted, ["_d", "_th", "_no"])
 
 
-def _linked(e, starts, n, local, shorts, threshold):
-    """Of the pairs of entries that may be similar, those that are and whose first common token is the entry's: arrays of class numbers."""
-    out = []
-
-    def verify(a, b):
-        x, y = e["id"][a], e["id"][b]
-        sizes = np.concatenate((n[x], n[y]))
-        begin = np.concatenate((starts[x], starts[y]))
-        at = np.repeat(begin - (np.cumsum(sizes) - sizes), sizes) + np.arange(sizes.sum())
-        key = np.repeat(np.concatenate((np.arange(len(x)), np.arange(len(x)))), sizes) << 32 | local[at]
-        key.sort()
-        both = key[1:][key[1:] == key[:-1]]
-        pair = both >> 32
-        same = np.bincount(pair, minlength=len(x))
-        first = np.full(len(x), -1)
-        first[pair[::-1]] = (both & 0xFFFFFFFF)[::-1]
-        ok = (same >= threshold * (n[x] + n[y] - same) - 1e-9) & (same > 0)
-        ok &= shorts[first] == e["t"][a]
-        out.append((x[ok], y[ok]))
-
-    for a, b in near_pairs(e, threshold):
-        sizes = np.cumsum(n[e["id"][a]] + n[e["id"][b]])
-        cuts = np.searchsorted(sizes, np.arange(VERIFY, sizes[-1] + VERIFY, VERIFY), "left")
-        for x, y in zip([0, *(cuts + 1)], cuts + 1):
-            if x < min(y, len(a)):
-                verify(a[x:y], b[x:y])
-    return tuple(np.concatenate([o[k] for o in out]) if out else np.zeros(0, np.int64) for k in (0, 1))
-
-
 LINKS = "_h1 long, _h2 long, _links long, _late boolean"
 
 
-def verified(lines: DataFrame, dealer: Dealer, threshold: float) -> DataFrame:
-    """``LINKS`` of the classes in each part (_part, _h1, _h2, _d, _th, _no, _tokens): a class can have several rows."""
-    wide = np.dtype([*ENTRY.descr, ("t", "<u8")])
+def verified(lines: DataFrame, threshold: float) -> DataFrame:
+    """``LINKS`` of the classes in each cell (_cell, _side, _h1, _h2, _d, _th, _no, _tokens): a class can have several rows."""
 
     def run(batches):
-        for part, rows in _by_part(batches):
-            h1, h2, d, th, no = (rows.column(k).combine_chunks().to_numpy() for k in range(1, 6))
-            blobs = rows.column(6).to_pylist()
+        for group in groups_of(batches, lambda b: pc.binary_length(b.column(7)).to_numpy(), 8 << 20):
+            cell, side, h1, h2, d, th, no = (group.column(k).combine_chunks().to_numpy() for k in range(7))
+            blobs = group.column(7).to_pylist()
             n = np.array([len(b) // 8 for b in blobs])
-            tokens, starts = np.frombuffer(b"".join(blobs), np.uint64), np.cumsum(n) - n
-            known, local = np.unique(tokens, return_inverse=True)
-            shorts = short(known)
-            line, position, inside = _prefix(n, starts, len(tokens), threshold)
-            inside &= tokens >> _U(LEVEL_SHIFT) > 0
-            t, row, p = shorts[local[inside]], line[inside], position[inside]
-            copy, group, side = dealer.deal(t, h1[row])
-            here = dealer.part(group) == part
-            copy, group, side = copy[here], group[here], side[here]
-            e = np.zeros(len(copy), wide)
-            at = row[copy]
-            e["g"], e["id"], e["bits"], e["n"], e["side"], e["t"] = group, at, token_bits(tokens, starts)[at], n[at], side, t[copy]
-            e["p"] = np.minimum(p[copy], 65535)
-            x, y = _linked(_sorted(e), starts, n, local, shorts, threshold)
-            if not len(x):
-                continue
+            tokens = np.frombuffer(b"".join(blobs), np.uint64)
+            sets, (b0, b1) = Sets(tokens, n, cell), token_bits(tokens, np.cumsum(n) - n)
             order = np.empty(len(n), np.int64)
             order[np.lexsort((no, th, d))] = np.arange(len(n))
-            links = np.bincount(x, minlength=len(n)) + np.bincount(y, minlength=len(n))
-            late = np.zeros(len(n), bool)
-            late[np.where(order[x] > order[y], x, y)] = True
+            links, late = np.zeros(len(n), np.int64), np.zeros(len(n), bool)
+            at, step = np.arange(len(n)), 1
+            while len(at):
+                at = at[at + step < len(n)]
+                at = at[(cell[at] == cell[at + step]) & (n[at] >= threshold * n[at + step] - 1e-9)]  # lines of a cell come by length
+                a, b = at, at + step
+                on = ((side[a] != side[b]) | (side[a] == BOTH)) & (_differing(b0, b1, a, b) <= _apart(n[a], n[b], threshold))
+                for x, y in sets.portions(a[on], b[on]):
+                    same = sets.common(x, y)
+                    near = same >= threshold * (n[x] + n[y] - same) - 1e-9
+                    x, y = x[near], y[near]
+                    links += np.bincount(x, minlength=len(n)) + np.bincount(y, minlength=len(n))
+                    late[np.where(order[x] > order[y], x, y)] = True
+                step += 1
             at = np.flatnonzero(links)
-            yield pa.RecordBatch.from_arrays([pa.array(h1[at]), pa.array(h2[at]), pa.array(links[at]), pa.array(late[at])], ["_h1", "_h2", "_links", "_late"])
+            if len(at):
+                yield pa.RecordBatch.from_arrays([pa.array(h1[at]), pa.array(h2[at]), pa.array(links[at]), pa.array(late[at])], ["_h1", "_h2", "_links", "_late"])
 
-    rows = lines.select("_part", "_h1", "_h2", "_d", "_th", "_no", "_tokens").repartition("_part").sortWithinPartitions("_part")
+    rows = lines.select("_cell", "_side", "_h1", "_h2", "_d", "_th", "_no", "_tokens").repartition("_cell").sortWithinPartitions("_cell", F.octet_length("_tokens"))
     return rows.mapInArrow(run, LINKS)
 
 
+def cells(found: DataFrame) -> DataFrame:
+    """The rows of families (_f) with _cell and _side: a family is a cell, one over ``BLOCK`` is cut into blocks, and each two blocks are a cell."""
+    sizes = found.groupBy("_f").agg(F.ceil(F.count("*") / BLOCK).cast("int").alias("_blocks"))
+    own = F.pmod(F.xxhash64("_h1", "_h2"), F.col("_blocks")).cast("int")
+    at = F.transform(F.sequence(F.lit(0), F.col("_blocks") - 1), lambda j: F.struct(F.xxhash64("_f", F.least(own, j), F.greatest(own, j)).alias("_cell"), F.when(own == j, BOTH).when(own < j, 0).otherwise(1).alias("_side")))
+    return found.join(sizes, "_f").withColumn("_at", F.explode(at)).select("*", "_at.*").drop("_at", "_blocks")
+
+
 def line_links(keyed: DataFrame, threshold: float = THRESHOLD) -> tuple[DataFrame, DataFrame]:
     """Two tables: the lines (_d, _th, _no, _h1, _h2: their class), and the classes that have links or several lines
     (_h1, _h2, _first: first line, _links: how many other classes are similar, _late: whether an earlier one is)."""
@@ -387,7 +375,7 @@ def line_links(keyed: DataFrame, threshold: float = THRESHOLD) -> tuple[DataFram
     level = levels(rarity(keyed))
     lines = cut(line_table(keyed, level, threshold), "lines")
     place = F.struct("_d", "_th", "_no")
-    features = F.struct("_n", "_bits", "_skip", "_pre")
+    features = F.struct("_n", "_b0", "_b1", "_skip", "_pre")
     classes = cut(lines.groupBy("_h1", "_h2").agg(F.min(place).alias("_first"), (F.max(place) != F.min(place)).alias("_more"), F.first(features).alias("_f")).select("_h1", "_h2", "_first", "_more", "_f.*"), "classes")
 
     def count(batch, total):
@@ -396,12 +384,12 @@ def line_links(keyed: DataFrame, threshold: float = THRESHOLD) -> tuple[DataFram
 
     hot = counters(classes.select("_pre"), count, BUCKETS)
     dealer = Dealer(hot, max(PARTS, int(hot.sum()) // PART))
-    found = cut(partnered(classes, dealer, threshold).groupBy("_h1").agg(F.collect_set("_part").alias("_parts")), "partnered")
+    found = cut(components(partnered(classes, dealer, threshold)).select(F.col("_k").alias("_h1"), F.col("_c").alias("_f")), "families")
     wanted = cut(classes.select("_h1", "_h2", "_first.*").join(found, "_h1"), "wanted")
-    tokens = _tokens(keyed, wanted, level).withColumn("_part", F.explode("_parts"))
-    links = verified(tokens, dealer, threshold).groupBy("_h1", "_h2").agg(F.sum("_links").alias("_links"), F.max("_late").alias("_late"))
+    tokens = cut(_tokens(keyed, wanted, level), "tokens")
+    links = verified(cells(tokens), threshold).groupBy("_h1", "_h2").agg(F.sum("_links").alias("_links"), F.max("_late").alias("_late"))
     links = cut(links, "links")
-    discard(found, wanted)
+    discard(found, wanted, tokens)
     joined = classes.select("_h1", "_h2", "_first", "_more").join(links, ["_h1", "_h2"], "left").where("_links IS NOT NULL OR _more")
     return lines.select("_d", "_th", "_no", "_h1", "_h2"), joined.select("_h1", "_h2", "_first", F.coalesce("_links", F.lit(0)).alias("_links"), F.coalesce("_late", F.lit(False)).alias("_late"))
 

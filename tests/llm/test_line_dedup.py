@@ -105,5 +105,6 @@ def test_every_link_of_a_family(spark, monkeypatch):
         rows.append((i, " ".join(w) + f"\nonly words of {i} here a{i} b{i}", "en", 0))
     rows += [(100, rows[3][1], "en", 0), (3, rows[3][1], "en", 0), (None, rows[0][1] + "\n" + " ".join(line), "en", 0)]
     assert sum(r["n_links"] for r in run(spark, rows)) > 1400
-    monkeypatch.setattr(L, "HOT", 7)  # common tokens are cut into blocks
+    monkeypatch.setattr(L, "HOT", 7)  # common tokens and families are cut into blocks
+    monkeypatch.setattr(L, "BLOCK", 6)
     assert sum(r["n_links"] for r in run(spark, rows)) > 1400
