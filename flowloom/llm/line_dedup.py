@@ -15,15 +15,15 @@ The join of the classes, exact:
   token of a class is an entry. Entries with a token go to a part by its hash, packed so that
   a row of the shuffle holds many. Tokens that the whole corpus has once are no entries.
 * Length, position and a 128-bit map of the tokens, whose differing bits bound the symmetric
-  difference, rule pairs out; numpy walks the pairs of a part. What comes out are not the pairs but
-  families: each class that has a partner is linked to one of those its partners connect.
-* Verification: the words of these classes are read again, a family's classes are sent to one
-  task, and the Jaccard similarity of all pairs that the length allows is computed. What
+  difference, rule pairs out; numpy walks the pairs of a part. Only the classes that still have a
+  partner in a part (not the pairs) come out of this.
+* Verification: the words of these classes are read again and sent to the parts concerned, where
+  the Jaccard similarity is computed; a pair counts where its first common token is. What
   comes out is each class's number of links and whether an earlier class is similar: rows grow
   with the classes, also in a family of near copies, whose links grow with its square.
 * A token with more than ``HOT`` entries (a table of fixed size counts them) has its classes
-  cut into blocks, and each two blocks meet in a part of their own; so has a family of more than
-  ``BLOCK`` classes. A task holds as much however common a token or large a family is.
+  cut into blocks, and each two blocks meet in a part of their own: a task holds as much
+  however common the token is.
 
 Equality of token sets is that of 128-bit hashes, equality of words that of 57-bit hashes.
 
@@ -44,8 +44,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from flowloom.llm.common import LAST, bit_table, bound_batches, by_size, counters, cut, discard, has_bit, keyed_rows, table
-from flowloom.llm.groups import Sets, Union, components, groups_of
+from flowloom.llm.common import LAST, bit_table, bound_batches, by_size, counters, cut, discard, has_bit, keyed_rows, release, table
 from flowloom.llm.words import coded, hashes, mix, plain, split_words, word_hashes
 
 THRESHOLD = 0.8
@@ -53,14 +52,12 @@ THRESHOLD = 0.8
 BUCKETS = 1 << 20
 #: Entries of a token that are compared in one place; more are cut into blocks.
 HOT = 8192
-#: Classes of a family that are compared in one place.
-BLOCK = 2048
 #: Entries that a part holds on average, and the least number of parts.
 PART, PARTS = 500_000, 1024
 #: Entries that a task packs at a time.
 PACK = 1 << 20
-#: Text that is tokenised at a time.
-SLICE = 2 << 20
+#: Text that is tokenised at a time, and tokens of pairs that are verified at a time.
+SLICE, VERIFY = 2 << 20, 4 << 20
 LEVEL_SHIFT = 57
 _U = np.uint64
 
@@ -246,7 +243,7 @@ def _by_part(batches):
 
 
 def partnered(classes: DataFrame, dealer: Dealer, threshold: float) -> DataFrame:
-    """(_a, _b: first hashes) of classes that partners connect: each is linked to one of those, part by part."""
+    """(_h1, _part) of the classes that have a partner in a part."""
 
     def pack(batches):
         held, size = [], 0
@@ -281,17 +278,15 @@ def partnered(classes: DataFrame, dealer: Dealer, threshold: float) -> DataFrame
     def meet(batches):
         for part, rows in _by_part(batches):
             e = _sorted(np.frombuffer(b"".join(rows.column(1).to_pylist()), ENTRY))
-            ids, local = np.unique(e["id"], return_inverse=True)
-            union = Union(len(ids))
+            on = np.zeros(len(e), bool)
             for a, b in near_pairs(e, threshold):
-                union.join(local[a], local[b])
-            root = union.roots()
-            on = root != np.arange(len(ids))
+                on[a] = on[b] = True
             if on.any():
-                yield pa.RecordBatch.from_arrays([pa.array(ids[on]), pa.array(ids[root[on]])], ["_a", "_b"])
+                ids = np.unique(e["id"][on])
+                yield pa.RecordBatch.from_arrays([pa.array(ids), pa.array(np.full(len(ids), part, np.int32))], ["_h1", "_part"])
 
     packed = classes.select("_h1", "_n", "_b0", "_b1", "_skip", "_pre").mapInArrow(pack, "_part int, _blob binary")
-    return packed.repartition("_part").sortWithinPartitions("_part").mapInArrow(meet, "_a long, _b long")
+    return packed.repartition("_part").sortWithinPartitions("_part").mapInArrow(meet, "_h1 long, _part int")
 
 
 def _tokens(keyed: DataFrame, wanted: DataFrame, level: np.ndarray) -> DataFrame:
@@ -322,51 +317,83 @@ def _tokens(keyed: DataFrame, wanted: DataFrame, level: np.ndarray) -> DataFrame
     return found.join(wanted, ["_d", "_th", "_no"])
 
 
+def _linked(e, starts, n, prefix, local, shorts, threshold):
+    """Of the pairs of entries that may be similar, those that are and whose first common token is the entry's: arrays of class numbers."""
+    out = []
+
+    def common(x, y, sizes):
+        """(pair, local number) of the common ones among the first ``sizes`` tokens of the pairs' lines, in order."""
+        begin = np.concatenate((starts[x], starts[y]))
+        at = np.repeat(begin - (np.cumsum(sizes) - sizes), sizes) + np.arange(sizes.sum())
+        key = np.repeat(np.concatenate((np.arange(len(x)), np.arange(len(x)))), sizes) << 32 | local[at]
+        key.sort()
+        both = key[1:][key[1:] == key[:-1]]
+        return both >> 32, both & 0xFFFFFFFF
+
+    def verify(a, b):
+        x, y, t = e["id"][a], e["id"][b], e["t"][a]
+        pair, token = common(x, y, np.concatenate((prefix[x], prefix[y])))
+        first = np.full(len(x), -1)
+        first[pair[::-1]] = token[::-1]
+        on = (first >= 0) & (shorts[first] == t)
+        x, y = x[on], y[on]
+        pair, _ = common(x, y, np.concatenate((n[x], n[y])))
+        same = np.bincount(pair, minlength=len(x))
+        ok = same >= threshold * (n[x] + n[y] - same) - 1e-9
+        out.append((x[ok], y[ok]))
+
+    for a, b in near_pairs(e, threshold):
+        sizes = np.cumsum(prefix[e["id"][a]] + prefix[e["id"][b]] + 16)
+        cuts = np.searchsorted(sizes, np.arange(VERIFY, sizes[-1] + VERIFY, VERIFY), "left")
+        for x, y in zip([0, *(cuts + 1)], cuts + 1):
+            if x < min(y, len(a)):
+                verify(a[x:y], b[x:y])
+    return tuple(np.concatenate([o[k] for o in out]) if out else np.zeros(0, np.int64) for k in (0, 1))
+
+
 LINKS = "_h1 long, _h2 long, _links long, _late boolean"
 
 
-def verified(lines: DataFrame, threshold: float) -> DataFrame:
-    """``LINKS`` of the classes in each cell (_cell, _side, _h1, _h2, _d, _th, _no, _tokens): a class can have several rows."""
+def verified(lines: DataFrame, dealer: Dealer, threshold: float) -> DataFrame:
+    """``LINKS`` of the classes in each part (_part, _h1, _h2, _d, _th, _no, _tokens): a class can have several rows."""
+    wide = np.dtype([*ENTRY.descr, ("t", "<u8")])
 
     def run(batches):
-        for group in groups_of(batches, lambda b: pc.binary_length(b.column(7)).to_numpy(), 8 << 20):
-            cell, side, h1, h2, d, th, no = (group.column(k).combine_chunks().to_numpy() for k in range(7))
-            blobs = group.column(7).to_pylist()
+        for part, rows in _by_part(batches):
+            h1, h2, d, th, no = (rows.column(k).combine_chunks().to_numpy() for k in range(1, 6))
+            blobs = rows.column(6).to_pylist()
             n = np.array([len(b) // 8 for b in blobs])
-            tokens = np.frombuffer(b"".join(blobs), np.uint64)
-            sets, (b0, b1) = Sets(tokens, n, cell), token_bits(tokens, np.cumsum(n) - n)
+            tokens, starts = np.frombuffer(b"".join(blobs), np.uint64), np.cumsum(n) - n
+            known, local = np.unique(tokens, return_inverse=True)
+            shorts = short(known)
+            prefix = n - np.ceil(threshold * n - 1e-9).astype(np.int64) + 1
+            line = np.repeat(np.arange(len(n)), n)
+            position = np.arange(len(line)) - starts[line]
+            inside = (position < prefix[line]) & (tokens >> _U(LEVEL_SHIFT) > 0)
+            t, row, p = shorts[local[inside]], line[inside], position[inside]
+            copy, group, side = dealer.deal(t, h1[row])
+            here = dealer.part(group) == part
+            copy, group, side = copy[here], group[here], side[here]
+            e = np.zeros(len(copy), wide)
+            at = row[copy]
+            b0, b1 = token_bits(tokens, starts)
+            e["g"], e["id"], e["b0"], e["b1"], e["n"], e["side"], e["t"] = group, at, b0[at], b1[at], n[at], side, t[copy]
+            e["p"] = np.minimum(p[copy], 65535)
+            x, y = _linked(_sorted(e), starts, n, prefix, local, shorts, threshold)
+            if not len(x):
+                continue
             order = np.empty(len(n), np.int64)
             order[np.lexsort((no, th, d))] = np.arange(len(n))
-            links, late = np.zeros(len(n), np.int64), np.zeros(len(n), bool)
-            at, step = np.arange(len(n)), 1
-            while len(at):
-                at = at[at + step < len(n)]
-                at = at[(cell[at] == cell[at + step]) & (n[at] >= threshold * n[at + step] - 1e-9)]  # lines of a cell come by length
-                a, b = at, at + step
-                on = ((side[a] != side[b]) | (side[a] == BOTH)) & (_differing(b0, b1, a, b) <= _apart(n[a], n[b], threshold))
-                for x, y in sets.portions(a[on], b[on]):
-                    same = sets.common(x, y)
-                    near = same >= threshold * (n[x] + n[y] - same) - 1e-9
-                    x, y = x[near], y[near]
-                    links += np.bincount(x, minlength=len(n)) + np.bincount(y, minlength=len(n))
-                    late[np.where(order[x] > order[y], x, y)] = True
-                step += 1
+            links = np.bincount(x, minlength=len(n)) + np.bincount(y, minlength=len(n))
+            late = np.zeros(len(n), bool)
+            late[np.where(order[x] > order[y], x, y)] = True
             at = np.flatnonzero(links)
-            if len(at):
-                yield pa.RecordBatch.from_arrays([pa.array(h1[at]), pa.array(h2[at]), pa.array(links[at]), pa.array(late[at])], ["_h1", "_h2", "_links", "_late"])
+            yield pa.RecordBatch.from_arrays([pa.array(h1[at]), pa.array(h2[at]), pa.array(links[at]), pa.array(late[at])], ["_h1", "_h2", "_links", "_late"])
 
-    rows = lines.select("_cell", "_side", "_h1", "_h2", "_d", "_th", "_no", "_tokens").repartition("_cell").sortWithinPartitions("_cell", F.octet_length("_tokens"))
+    rows = lines.select("_part", "_h1", "_h2", "_d", "_th", "_no", "_tokens").repartition("_part").sortWithinPartitions("_part")
     return rows.mapInArrow(run, LINKS)
 
 
-def cells(found: DataFrame) -> DataFrame:
-    """The rows of families (_f) with _cell and _side: a family is a cell, one over ``BLOCK`` is cut into blocks, and each two blocks are a cell."""
-    sizes = found.groupBy("_f").agg(F.ceil(F.count("*") / BLOCK).cast("int").alias("_blocks"))
-    own = F.pmod(F.xxhash64("_h1", "_h2"), F.col("_blocks")).cast("int")
-    at = F.transform(F.sequence(F.lit(0), F.col("_blocks") - 1), lambda j: F.struct(F.xxhash64("_f", F.least(own, j), F.greatest(own, j)).alias("_cell"), F.when(own == j, BOTH).when(own < j, 0).otherwise(1).alias("_side")))
-    return found.join(sizes, "_f").withColumn("_at", F.explode(at)).select("*", "_at.*").drop("_at", "_blocks")
-
-
 def line_links(keyed: DataFrame, threshold: float = THRESHOLD) -> tuple[DataFrame, DataFrame]:
     """Two tables: the lines (_d, _th, _no, _h1, _h2: their class), and the classes that have links or several lines
     (_h1, _h2, _first: first line, _links: how many other classes are similar, _late: whether an earlier one is)."""
@@ -384,14 +411,18 @@ def line_links(keyed: DataFrame, threshold: float = THRESHOLD) -> tuple[DataFram
 
     hot = counters(classes.select("_pre"), count, BUCKETS)
     dealer = Dealer(hot, max(PARTS, int(hot.sum()) // PART))
-    found = cut(components(partnered(classes, dealer, threshold)).select(F.col("_k").alias("_h1"), F.col("_c").alias("_f")), "families")
+    found = cut(partnered(classes, dealer, threshold).groupBy("_h1").agg(F.collect_set("_part").alias("_parts")), "partnered")
     wanted = cut(classes.select("_h1", "_h2", "_first.*").join(found, "_h1"), "wanted")
     tokens = cut(_tokens(keyed, wanted, level), "tokens")
-    links = verified(cells(tokens), threshold).groupBy("_h1", "_h2").agg(F.sum("_links").alias("_links"), F.max("_late").alias("_late"))
-    links = cut(links, "links")
-    discard(found, wanted, tokens)
+    discard(found, wanted)
+    links = cut(verified(tokens.withColumn("_part", F.explode("_parts")), dealer, threshold).groupBy("_h1", "_h2").agg(F.sum("_links").alias("_links"), F.max("_late").alias("_late")), "links")
     joined = classes.select("_h1", "_h2", "_first", "_more").join(links, ["_h1", "_h2"], "left").where("_links IS NOT NULL OR _more")
-    return lines.select("_d", "_th", "_no", "_h1", "_h2"), joined.select("_h1", "_h2", "_first", F.coalesce("_links", F.lit(0)).alias("_links"), F.coalesce("_late", F.lit(False)).alias("_late"))
+    flagged = cut(joined.select("_h1", "_h2", "_first", F.coalesce("_links", F.lit(0)).alias("_links"), F.coalesce("_late", F.lit(False)).alias("_late")), "flagged")
+    places = cut(lines.select("_d", "_th", "_no", "_h1", "_h2"), "places")
+    discard(classes, tokens, links, lines)
+    del joined, classes, tokens, links, lines
+    release(spark)
+    return places, flagged
 
 
 def line_marks(keyed: DataFrame, threshold: float = THRESHOLD) -> DataFrame:
