@@ -10,12 +10,12 @@ from pyspark.sql import functions as F
 from flowloom.llm.common import cut
 
 #: Sets of a group that get bit rows, if these take no more than so many bytes.
-MANY, BIT_ROWS = 12, 128 << 20
+MANY, BIT_ROWS = 12, 32 << 20
 #: Elements of pairs that are compared at a time.
-VERIFY = 4 << 20
+VERIFY = 1 << 20
 
 
-def groups_of(batches, size_of=None, limit: int = 50_000):
+def groups_of(batches, size_of=None, limit: int = 20_000):
     """Arrow tables of whole groups, many at a time: batches come sorted by their first column; ``size_of`` tells a batch's rows' sizes."""
     held, size = [], 0
     for batch in batches:

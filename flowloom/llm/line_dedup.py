@@ -44,7 +44,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from flowloom.llm.common import LAST, bit_table, bound_batches, by_size, counters, cut, discard, has_bit, keyed_rows, release, table
+from flowloom.llm.common import LAST, bit_table, bound_batches, by_size, counters, cut, discard, has_bit, keyed_rows, table
 from flowloom.llm.words import coded, hashes, mix, plain, split_words, word_hashes
 
 THRESHOLD = 0.8
@@ -55,9 +55,9 @@ HOT = 8192
 #: Entries that a part holds on average, and the least number of parts.
 PART, PARTS = 500_000, 1024
 #: Entries that a task packs at a time.
-PACK = 1 << 20
+PACK = 1 << 19
 #: Text that is tokenised at a time, and tokens of pairs that are verified at a time.
-SLICE, VERIFY = 2 << 20, 4 << 20
+SLICE, VERIFY = 1 << 20, 2 << 20
 LEVEL_SHIFT = 57
 _U = np.uint64
 
@@ -414,24 +414,29 @@ def line_links(keyed: DataFrame, threshold: float = THRESHOLD) -> tuple[DataFram
     found = cut(partnered(classes, dealer, threshold).groupBy("_h1").agg(F.collect_set("_part").alias("_parts")), "partnered")
     wanted = cut(classes.select("_h1", "_h2", "_first.*").join(found, "_h1"), "wanted")
     tokens = cut(_tokens(keyed, wanted, level), "tokens")
-    discard(found, wanted)
+    # what is needed no more goes before the words are dealt
+    slim = cut(classes.select("_h1", "_h2", "_first", "_more"), "slim")
+    places = cut(lines.select("_d", "_th", "_no", "_h1", "_h2"), "places")
+    discard(found, wanted, classes, lines)
     links = cut(verified(tokens.withColumn("_part", F.explode("_parts")), dealer, threshold).groupBy("_h1", "_h2").agg(F.sum("_links").alias("_links"), F.max("_late").alias("_late")), "links")
-    joined = classes.select("_h1", "_h2", "_first", "_more").join(links, ["_h1", "_h2"], "left").where("_links IS NOT NULL OR _more")
+    discard(tokens)
+    joined = slim.join(links, ["_h1", "_h2"], "left").where("_links IS NOT NULL OR _more")
     flagged = cut(joined.select("_h1", "_h2", "_first", F.coalesce("_links", F.lit(0)).alias("_links"), F.coalesce("_late", F.lit(False)).alias("_late")), "flagged")
-    places = cut(lines.select("_d", "_th", "_no", "_h1", "_h2"), "places")
-    discard(classes, tokens, links, lines)
-    del joined, classes, tokens, links, lines
-    release(spark)
+    discard(slim, links)
     return places, flagged
 
 
 def line_marks(keyed: DataFrame, threshold: float = THRESHOLD) -> DataFrame:
-    """(_d, _th, _of: line number, whether it goes, first line and links of its class) for the documents with lines that aren't alone."""
-    lines, classes = line_links(keyed, threshold)
-    found = lines.join(classes, ["_h1", "_h2"])
-    goes = F.col("_late") | (F.struct("_d", "_th", "_no") != F.col("_first"))
-    of = F.struct("_no", goes.alias("_goes"), "_first", "_links", "_late")
-    return found.groupBy("_d", "_th").agg(F.collect_set(of).alias("_of"))
+    """Of the documents (_d, _th) with lines that aren't alone: _gone (lines that go), n_similar, n_links and classes as in ``dedup_lines``."""
+    places, flagged = line_links(keyed, threshold)
+    first = F.col("_first")
+    own = F.struct("_d", "_th", "_no") == first
+    class_id = F.concat_ws(":", F.when(first["_d"] == LAST, "").otherwise(first["_d"].cast("string")), F.hex(first["_th"]), first["_no"].cast("string"))
+    rows = places.join(flagged, ["_h1", "_h2"]).dropDuplicates(["_d", "_th", "_no"]).select(
+        "_d", "_th", F.when(F.col("_late") | ~own, F.col("_no")).alias("_go"), (F.col("_late") & own).cast("long").alias("_similar"), "_links",
+        F.struct(F.col("_no").alias("line_no"), class_id.alias("class_id")).alias("_class"),
+    )
+    return rows.groupBy("_d", "_th").agg(F.collect_list("_go").alias("_gone"), F.sum("_similar").alias("n_similar"), F.sum("_links").alias("n_links"), F.sort_array(F.collect_list("_class")).alias("classes"))
 
 
 def dedup_lines(docs: DataFrame, threshold: float = THRESHOLD) -> DataFrame:
@@ -444,28 +449,24 @@ def dedup_lines(docs: DataFrame, threshold: float = THRESHOLD) -> DataFrame:
     bound_batches(docs.sparkSession)
     keyed = keyed_rows(docs)
     joined = keyed.select("_row", "_d", "_th").join(line_marks(keyed, threshold), ["_d", "_th"], "left")
-    kind = pa.list_(pa.struct([("line_no", pa.int32()), ("class_id", pa.string())]))
 
     def run(batches):
         for batch in batches:
             texts = pc.fill_null(pc.struct_field(batch.column(0), "text").cast(pa.string()), "")
-            found = []
-            for text, d, th, of in zip(texts.to_pylist(), *(batch.column(k).to_pylist() for k in (1, 2, 3))):
-                of = sorted(of or (), key=lambda x: x["_no"])
-                gone = {x["_no"] for x in of if x["_goes"]}
+            kept, lines_, removed = [], [], []
+            for text, gone in zip(texts.to_pylist(), batch.column(1).to_pylist()):
                 lines = text.split("\n")
-                kept = "\n".join([line for i, line in enumerate(lines) if i not in gone]) if gone else text
-                own = lambda x: (x["_first"]["_d"], x["_first"]["_th"], x["_first"]["_no"]) == (d, th, x["_no"])
-                similar = sum(x["_late"] and own(x) for x in of)
-                ids = [{"line_no": x["_no"], "class_id": f"{'' if x['_first']['_d'] == LAST else x['_first']['_d']}:{x['_first']['_th'] & (1 << 64) - 1:X}:{x['_first']['_no']}"} for x in of]
-                found.append((kept, sum(not x.isspace() and x != "" for x in lines), len(gone), similar, sum(x["_links"] for x in of), ids))
-            kinds = [pa.string(), *[pa.int64()] * 4, kind]
-            cols = [pa.array(c, k) for c, k in zip(zip(*found) if found else [()] * 6, kinds)]
-            yield pa.RecordBatch.from_arrays([batch.column(0), *cols], ["row", "kept", "n_lines", "n_removed", "n_similar", "n_links", "classes"])
+                lines_.append(len(lines) - sum(map(str.isspace, lines)) - lines.count(""))
+                gone = frozenset(gone or ())
+                kept.append("\n".join([line for i, line in enumerate(lines) if i not in gone]) if gone else text)
+                removed.append(len(gone))
+            counts = [pa.array(lines_, pa.int64()), pa.array(removed, pa.int64())]
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(kept, pa.string()), *counts, *batch.columns[2:]], ["row", "kept", "n_lines", "n_removed", "n_similar", "n_links", "classes"])
 
     counts = "kept string, n_lines long, n_removed long, n_similar long, n_links long, classes array<struct<line_no:int,class_id:string>>"
     schema = T.StructType([T.StructField("row", keyed.schema["_row"].dataType), *T.StructType.fromDDL(counts)])
-    return joined.select("_row", "_d", "_th", "_of").mapInArrow(run, schema)
+    none = F.from_json(F.lit("[]"), "array<struct<line_no:int,class_id:string>>")
+    return joined.select("_row", "_gone", F.coalesce("n_similar", F.lit(0)), F.coalesce("n_links", F.lit(0)), F.coalesce("classes", none)).mapInArrow(run, schema)
 
 
 def op5_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -61,7 +61,7 @@ CROWD = 4096
 #: Documents of a family that are compared in one place.
 BLOCK = 1024
 #: Bytes of text that are read at a time.
-SLICE = 2 << 20
+SLICE = 1 << 20
 _U = np.uint64
 
 
@@ -221,7 +221,7 @@ def joined(rows: DataFrame) -> DataFrame:
     """(_a, _b) of components that are one: rows (_cell, _c: component, _n, _sig, _text), where documents of a cell are compared."""
 
     def run(batches):
-        for group in groups_of(batches, lambda b: pc.binary_length(b.column(4)).to_numpy(), 8 << 20):
+        for group in groups_of(batches, lambda b: pc.binary_length(b.column(4)).to_numpy(), 2 << 20):
             key, comp, n = (group.column(k).to_numpy() for k in range(3))
             bags, sig = _elements(group.column(4).combine_chunks(), key), _signatures(group.column(3))
             known, number = np.unique(comp, return_inverse=True)
