@@ -46,6 +46,8 @@ def shared_dir(spark: SparkSession) -> str:
         found = sc._jsc.sc().getCheckpointDir()
         where = found.get() if found.isDefined() else None
     if where is None:
+        if not sc.master.startswith("local") or sc.master.startswith("local-cluster"):
+            raise ValueError("spark.checkpoint.dir must name a folder that driver and executors share")
         where = "file://" + tempfile.mkdtemp(prefix="flowloom-")
         sc.setCheckpointDir(where)
     return where
@@ -228,12 +230,7 @@ def labelled_sample(docs: DataFrame, labels: DataFrame, label: str, per_class: i
         ids = ok.where(F.col(label) == k).select(F.col("doc_id").alias("_id"), F.lit(k).alias("_label"))
         chosen.append(hashed_sample(ids, "_id", per_class, counts.get(k, 0)))
     ids = chosen[0].unionAll(chosen[1]).dropDuplicates(["_id"])
-    rows = (
-        docs.select(F.col("doc_id").alias("_id"), text_or_empty().alias("_text"))
-        .join(F.broadcast(ids), "_id")
-        .select("_id", "_text", "_label")
-        .limit(4 * per_class)  # an id can be repeated
-        .collect()
-    )
+    # an id can be repeated: its least text stands for it
+    rows = docs.select(F.col("doc_id").alias("_id"), text_or_empty().alias("_text")).join(F.broadcast(ids), "_id").groupBy("_id", "_label").agg(F.min("_text").alias("_text")).collect()
     rows.sort(key=lambda r: (r["_id"], r["_text"]))
     return [(r["_text"], r["_label"]) for r in rows]

@@ -14,8 +14,9 @@ text runs of the sampled pages are dealt into generated layouts whose parts are
 pages with an article element count with that element as the content.
 
 Defined cases: null html gives an empty text; so does a page without any content. Broken
-markup is closed at the end of the page. A line break element is white space inside its
-block. Repeated rows are extracted one by one; other columns are ignored; without pages to
+markup is closed at the end of the page; very long pages are parsed whole, in linear time. A
+line break element is white space inside its block. Of nodes that score alike the upper one
+decides. An empty table gives no row. Repeated rows are extracted one by one; other columns are ignored; without pages to
 sample the layouts are filled with made-up words. Map-only: no shuffle, no key can be hot.
 """
 
@@ -39,12 +40,18 @@ TREES, DEPTH, RATE, BINS = 80, 4, 0.25, 24
 
 #: Fixed by HTML: elements that have no end tag, whose content is no markup, that are inline.
 VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
-RAW = frozenset("script style textarea title noscript template iframe svg math select option button object canvas audio video".split())
-INLINE = frozenset("a abbr acronym b bdi bdo big cite code data del dfn em font i ins kbd label mark q rp rt ruby s samp small span strike strong sub sup time tt u var br wbr img".split())
+RAW = frozenset("script style textarea title xmp iframe noembed noframes".split())
+HEAD = frozenset("title meta link script style base noscript template".split())
+#: Elements whose content is no text of the page; the second kind also ends where a block of the third begins.
+DROPPED = frozenset("noscript template svg select datalist button object canvas audio video".split())
+SHORT = frozenset("select datalist button".split())
+BLOCKS = frozenset("article main section header footer nav aside form table h1 h2 h3 h4 h5 h6 p ul ol dl blockquote pre".split())
+INLINE = frozenset("math mi mn mo ms mtext mrow mfrac msup msub msqrt semantics option optgroup a abbr acronym b bdi bdo big cite code data del dfn em font i ins kbd label mark q rp rt ruby s samp small span strike strong sub sup time tt u var br wbr img".split())
 #: Fixed by HTML: an open element of the first kind ends where one of the second begins.
 P_ENDS = frozenset("address article aside blockquote details div dl fieldset figcaption figure footer form h1 h2 h3 h4 h5 h6 header hgroup hr main menu nav ol p pre section table ul li".split())
 
-_TOKEN = re.compile(r"<!--.*?(?:-->|\Z)|<![^>]*>|<\?[^>]*>|<(/?)([a-zA-Z][^\s/>]*)((?:[^>\"']|\"[^\"]*\"|'[^']*')*)>", re.S)
+#: A quoted value ends at a quote that white space, a slash or the tag's end follows; any other quote is a letter like any.
+_TAG = re.compile(r"""<(/?)([a-zA-Z][^\s/>]*)((?:[^>"']|"[^"]*"(?=[\s/>])|'[^']*'(?=[\s/>])|["'])*+)>""", re.S)
 _ATTR = re.compile(r"(?:class|id|role|itemprop|aria-label)\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s>]+))", re.I)
 _WORD = re.compile(r"[A-Z]?[a-z]+|[A-Z]+")
 
@@ -79,12 +86,47 @@ class Dom:
     linked: list  # characters of the run inside links
 
 
+class _Ends:
+    """Where an element's end tag comes next; each text is searched once for a name that has none left."""
+
+    def __init__(self, source: str):
+        self.source, self.last, self.next = source, {}, {}
+
+    def after(self, name: str, at: int) -> int:
+        """The place of the next end tag from ``at``, -1 if there is none."""
+        last = self.last.get(name)
+        if last is not None and last < at:
+            return -1
+        if name not in self.last:
+            self.last[name] = max((m.start() for m in _end(name).finditer(self.source, at)), default=-1)
+            if self.last[name] < at:
+                return -1
+        if self.next.get(name, -1) < at:
+            self.next[name] = _end(name).search(self.source, at).start()
+        return self.next[name]
+
+
+_END: dict[str, re.Pattern] = {}
+
+
+def _end(name: str) -> re.Pattern:
+    if name not in _END:
+        _END[name] = re.compile(f"</{name}(?=[\\s/>])", re.I)
+    return _END[name]
+
+
 def parse(source: str) -> Dom:
+    """The tree of a page, in time linear in its length.
+
+    Raw elements (scripts and the like) end at their end tag, whatever they hold; a dropped element ends at its own
+    end tag, where an element around it ends or, for controls, where a block begins, and isn't dropped if it has no end tag.
+    """
     tag, parent, cats, text, linked = ["#root"], [-1], [0], [""], [0]
     stack = [0]
+    open_: dict[str, int] = {"#root": 1}
     run: list[str] = []
     run_link = link_depth = 0
-    raw = None
+    ends = _Ends(source)
 
     def end_run():
         nonlocal run_link
@@ -100,42 +142,91 @@ def parse(source: str) -> Dom:
         run_link = 0
 
     def close(names, until=()):
+        if not any(open_.get(t) for t in names):
+            return
         for i in range(len(stack) - 1, 0, -1):
             t = tag[stack[i]]
             if t in names:
+                for k in stack[i:]:
+                    open_[tag[k]] -= 1
                 del stack[i:]
                 return
             if t in until:
                 return
 
-    at = 0
+    def add(piece):
+        nonlocal run_link
+        run.append(piece)
+        if link_depth:
+            run_link += len(piece.strip())
+
+    at, last = 0, source.rfind(">")
     in_head = False
-    for m in _TOKEN.finditer(source):
-        if m.start() > at and raw is None and not in_head:
-            piece = source[at : m.start()]
-            run.append(piece)
-            if link_depth:
-                run_link += len(piece.strip())
-        at = m.end()
-        name = m[2]
-        if name is None:
+    dropped: list[str] = []  # a dropped element and the blocks open in it
+    while at < len(source):
+        begin = source.find("<", at)
+        piece = source[at : begin if begin >= 0 else len(source)]
+        if piece and not dropped:
+            if in_head and piece.strip():
+                in_head = False
+            if not in_head:
+                add(piece)
+        if begin < 0:
+            break
+        follows = source[begin + 1 : begin + 2]
+        if follows in ("!", "?"):
+            comment = source.startswith("<!--", begin)
+            end = source.find("-->" if comment else ">", begin + 2)
+            if end < 0:  # without an end it is the rest of the page
+                break
+            at = end + (3 if comment else 1)
             continue
-        name = name.lower()
-        if raw is not None:
-            if m[1] and name == raw:
-                raw = None
+        m = _TAG.match(source, begin) if begin < last and (follows == "/" or follows.isalpha()) else None
+        if m is None:
+            if begin > last and (follows == "/" or follows.isalpha()):
+                break  # a tag that the page's end cuts off
+            if not dropped:
+                add("<")
+            at = begin + 1
             continue
+        at = m.end()
+        ending, name, attributes = bool(m[1]), m[2].lower(), m[3]
+        if not ending and name in RAW:
+            end = ends.after(name, at)
+            if end >= 0:
+                at = source.find(">", end) + 1 or len(source)
+            elif name in ("script", "style"):
+                break
+            continue
+        if dropped:
+            if ending:
+                if name in dropped:
+                    del dropped[len(dropped) - 1 - dropped[::-1].index(name) :]
+                    continue
+                if name in INLINE or not open_.get(name):
+                    continue
+            elif dropped[0] in SHORT and name in BLOCKS:
+                pass
+            else:
+                if name not in VOID and name not in INLINE and not attributes.rstrip().endswith("/"):
+                    dropped.append(name)
+                continue
+            dropped.clear()
         if name == "head":
-            in_head = not m[1]
+            in_head = not ending
             continue
-        if name == "body":
+        if not ending and name not in HEAD:
             in_head = False
-        if not m[1]:
-            if name in RAW:
-                if not m[3].rstrip().endswith("/"):
-                    raw = name
-                if name == "button" or name == "select":
+        if in_head:
+            if name in DROPPED and not ending and ends.after(name, at) >= 0:
+                dropped.append(name)
+            continue
+        if not ending:
+            if name in DROPPED:
+                if name in SHORT:
                     run.append(" ")
+                if not attributes.rstrip().endswith("/") and ends.after(name, at) >= 0:
+                    dropped.append(name)
                 continue
             if name in INLINE:
                 if name == "a":
@@ -158,8 +249,8 @@ def parse(source: str) -> Dom:
             if name in VOID:
                 continue
             mask = 0
-            if m[3]:
-                for a in _ATTR.finditer(m[3]):
+            if attributes:
+                for a in _ATTR.finditer(attributes):
                     for w in _WORD.findall(a[1] or a[2] or a[3] or ""):
                         c = CATEGORY.get(w.lower())
                         if c is not None:
@@ -169,17 +260,15 @@ def parse(source: str) -> Dom:
             cats.append(mask)
             text.append("")
             linked.append(0)
-            if not m[3].rstrip().endswith("/"):
+            if not attributes.rstrip().endswith("/"):
                 stack.append(len(tag) - 1)
+                open_[name] = open_.get(name, 0) + 1
         elif name in INLINE:
             if name == "a":
                 link_depth = 0
-        elif name not in RAW:
+        elif name not in DROPPED:
             end_run()
-            if any(tag[i] == name for i in stack):
-                close((name,))
-    if raw is None and not in_head and at < len(source):
-        run.append(re.sub(r"<[a-zA-Z/!][^>]*\Z", "", source[at:]))
+            close((name,))
     end_run()
     return Dom(tag, parent, cats, text, linked)
 

@@ -4,19 +4,23 @@
    cut into pieces of ``CAPACITY``. Map-only; the pieces (not their ids) are written to the
    shared folder.
 2. Plan: the histogram of piece lengths (``CAPACITY`` rows whatever the input) goes to the
-   driver. Multiplicative weights over the lengths price configurations by an exact
-   knapsack dynamic program; each round's program yields the best completion for every
-   length, and configurations are taken in whole multiples (the rounding). What the
-   rounding leaves, and the room left in the configurations, is filled by best fit
-   decreasing over the histogram. Work and plan size depend on the number of distinct
-   lengths only, never on the number of documents.
+   driver. The configuration program is to cover every length as often as it occurs by the
+   least sum of configurations (contents of a sequence), in fractions. Multiplicative
+   weights over the lengths price the configurations; an exact knapsack dynamic program
+   finds the dearest one, which bounds the optimum from below, and the dearest completion of
+   each length. Demand is covered in ``SLICES``: completions enter the solution with fractional
+   amounts up to the slice's demand, longest lengths first, and lengths that lag behind become
+   dearer; what is left in the end enters by best fit in fractions. The solution is rounded down to whole multiples,
+   and what the rounding leaves is put by best fit decreasing into the room left. Work
+   and plan size depend on the number of distinct lengths only, never on the number of documents.
 3. Place: pieces of one length are ranked by (bucket, row number in the bucket) with bucket
    counts added up, so a length that a third of all rows share is ranked by many tasks.
    A piece's rank and the plan's table of that length give its sequence and offset.
 
 Defined cases: null and empty texts are one piece that holds the closing id; a null
 doc_id is packed like any other; repeated rows are packed each; other columns are ignored;
-an empty table gives no row.
+an empty table gives no row. Pieces of equal length are interchangeable; they are ranked by
+doc_id, piece and checksum. A very long text is tokenised whole.
 """
 
 from __future__ import annotations
@@ -26,7 +30,7 @@ import os
 import re
 import unicodedata
 import zlib
-from dataclasses import dataclass
+from dataclasses import dataclass, replace
 
 import numpy as np
 import pyarrow as pa
@@ -38,7 +42,8 @@ from flowloom.llm.common import bound_batches, cut, table, text_or_empty
 CAPACITY = 4096
 END_ID = 1
 TOKENIZER = "word_bpe_49k.json"
-ROUNDS = 24
+#: Slices of the demand that are covered in turn, passes over each, and how fast lengths that lag behind become dearer.
+SLICES, PASSES, RATE = 12, 3, 0.3
 #: Entries that a task remembers of chunks and of tokens; memory bounds only.
 MEMO_CHUNKS, MEMO_TOKENS = 250_000, 300_000
 
@@ -134,6 +139,9 @@ class Plan:
     tables: dict[int, tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]]
     sequences: int
     tokens: int
+    #: Sum of the fractional solution, and the lower bound that the prices prove.
+    fractional: float = 0.0
+    bound: float = 0.0
 
     def place(self, length: int, ranks: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         starts, first, copies, offsets = self.tables[length]
@@ -164,6 +172,8 @@ class _Knapsack:
             better = with_it > best[size:] + 1e-12
             self.taken[i, size:] = better
             best[size:] = np.where(better, with_it, best[size:])
+        #: Of the dearest configuration.
+        self.value = float(best[capacity])
 
     def fill(self, room: int) -> dict[int, int]:
         out: dict[int, int] = {}
@@ -180,47 +190,60 @@ class _Knapsack:
             column = self.taken[:, room]
 
 
-def solve(histogram: dict[int, int], capacity: int = CAPACITY, rounds: int = ROUNDS) -> Plan:
+def fractional(need: dict[int, int], capacity: int = CAPACITY, slices: int = SLICES) -> tuple[list[tuple[dict[int, int], float]], float]:
+    """A solution of the configuration program (configurations and amounts that cover each length exactly), and a lower bound of the optimum."""
+    lengths = sorted(need)
+    weight, covered = dict.fromkeys(lengths, 1.0), dict.fromkeys(lengths, 0.0)
+    found: dict[tuple, float] = {}
+    # prices are feasible for the dual once divided by the dearest configuration; pieces over half a sequence never share one
+    bound = float(sum(c for n, c in need.items() if 2 * n > capacity))
+    for r in range(slices):
+        target = {n: need[n] * (r + 1) / slices for n in lengths}
+        for _ in range(PASSES):
+            open_ = [n for n in lengths if target[n] - covered[n] > 1e-9 * need[n]]
+            if not open_:
+                break
+            price = {n: n * weight[n] / capacity for n in open_}
+            program = _Knapsack(open_, need, price, capacity)
+            if len(open_) == len(lengths):
+                bound = max(bound, sum(need[n] * price[n] for n in open_) / program.value)
+            for n in reversed(open_):
+                config = program.fill(capacity - n)
+                config[n] = config.get(n, 0) + 1
+                amount = min((target[a] - covered[a]) / k for a, k in config.items())
+                if amount > 0:
+                    key = tuple(sorted(config.items()))
+                    found[key] = found.get(key, 0.0) + amount
+                    for a, k in key:
+                        covered[a] += k * amount
+        # lengths that lag behind become dearer
+        for n in lengths:
+            weight[n] *= float(np.exp(RATE * (1 - covered[n] / target[n])))
+    rest = {n: need[n] - covered[n] for n in lengths if need[n] - covered[n] > 1e-9 * need[n]}
+    return _best_fit([(dict(k), x) for k, x in found.items()], rest, capacity, whole=False), bound
+
+
+def solve(histogram: dict[int, int], capacity: int = CAPACITY, slices: int = SLICES) -> Plan:
     """Configurations for the histogram, as few sequences as they come to."""
     need = {n: c for n, c in histogram.items() if c > 0}
-    left = dict(need)
-    weight = {n: 1.0 for n in need}
-    taken: list[tuple[dict[int, int], int]] = []
-    for r in range(rounds):
-        open_ = sorted(n for n in left if left[n] > 0)
-        if not open_:
-            break
-        # dual prices: the length times its weight; lengths that lag behind have become dearer
-        value = {n: n * weight[n] for n in open_}
-        program = _Knapsack(open_, left, value, capacity)
-        waste = 0 if r < rounds // 2 else capacity // 512 if r < rounds - 4 else capacity // 128
-        share = 0.5 if r < rounds - 6 else 1.0
-        for n in reversed(open_):
-            if left[n] <= 0:
-                continue
-            config = program.fill(capacity - n)
-            config[n] = config.get(n, 0) + 1
-            total = sum(a * b for a, b in config.items())
-            if total < capacity - waste:
-                continue
-            times = min(left[a] // b for a, b in config.items())
-            if times < 1:
-                continue
-            times = max(1, int(times * share))
-            taken.append((config, times))
-            for a, b in config.items():
-                left[a] -= b * times
-        covered = {n: 1 - left[n] / need[n] for n in open_}
-        mean = sum(covered.values()) / len(covered)
-        for n in open_:
-            weight[n] = min(1.5, max(0.67, weight[n] * float(np.exp(0.1 * (mean - covered[n])))))
-    rounded, plain = _best_fit(taken, left, capacity), _best_fit([], need, capacity)
-    # few pieces round badly: best fit alone is taken where it needs fewer sequences
-    return _plan(min(rounded, plain, key=lambda x: sum(times for _, times in x)), capacity)
-
-
-def _best_fit(taken, left, capacity):
-    """Adds the lengths left over, longest first, to the fullest configurations that have room."""
+    solution, bound = fractional(need, capacity, slices)
+    merged: dict[tuple, float] = {}
+    for config, amount in solution:
+        key = tuple(sorted(config.items()))
+        merged[key] = merged.get(key, 0.0) + amount
+    left, taken = dict(need), []
+    for key, amount in sorted(merged.items(), key=lambda x: (-x[1], x[0])):
+        times = min([int(amount + 1e-9), *(left[n] // k for n, k in key)])
+        if times > 0:
+            taken.append((dict(key), times))
+            for n, k in key:
+                left[n] -= k * times
+    plan = _plan(_best_fit(taken, left, capacity), capacity)
+    return replace(plan, fractional=sum(merged.values()), bound=bound)
+
+
+def _best_fit(taken, left, capacity, whole=True):
+    """Adds the lengths left over, longest first, to the fullest configurations that have room; amounts are ``whole`` or fractions."""
     rooms: dict[int, list] = {}
     done = []
 
@@ -245,12 +268,16 @@ def _best_fit(taken, left, capacity):
                 config, times = rooms[room].pop()
                 if not rooms[room]:
                     del rooms[room]
-            each = min(room // n, have)
-            use = min(times, have // each)
+            if whole:
+                each = min(room // n, have)
+                use = min(times, have // each)
+            else:
+                each = room // n
+                use = min(times, have / each)
             if times > use and config:
                 put(config, times - use)
             put(config | {n: config.get(n, 0) + each}, use)
-            have -= each * use
+            have = 0 if use * each >= have else have - each * use
     return done + [x for group in rooms.values() for x in group]
 
 
@@ -287,11 +314,11 @@ def ranked(pieces: DataFrame) -> DataFrame:
 PLACED = PIECES + ", sequence_id long, offset long"
 
 
-def pack(docs: DataFrame, capacity: int = CAPACITY, rounds: int = ROUNDS) -> DataFrame:
+def pack(docs: DataFrame, capacity: int = CAPACITY, slices: int = SLICES) -> DataFrame:
     """``PLACED``: where each piece of ``docs`` (doc_id, text) goes."""
     pieces = cut(tokenised(docs, capacity), "pieces")
     histogram = {r["length"]: r["n"] for r in pieces.groupBy("length").agg(F.count("*").alias("n")).collect()}
-    plan = solve(histogram, capacity, rounds)
+    plan = solve(histogram, capacity, slices)
 
     def run(batches):
         for batch in batches:

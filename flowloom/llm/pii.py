@@ -46,13 +46,13 @@ PATTERNS = {
     "phone": r"\+[0-9][\x20().0-9-]+[0-9]",
 }
 _FURTHER_PATTERNS = {
-    "email_obfuscated": r"(?<![A-Za-z0-9._%+-])[A-Za-z0-9._%+-]{1,64}+ ?[\[({](?i:at)[\])}] ?[A-Za-z0-9-]{1,63}+(?: ?[\[({](?i:dot)[\])}] ?[A-Za-z0-9-]{2,63}+|\.[A-Za-z0-9-]{2,63}+){1,5}+",
+    "email_obfuscated": r"(?<![A-Za-z0-9._%+-])[A-Za-z0-9._%+-]++ ?[\[({](?i:at)[\])}] ?[A-Za-z0-9-]++(?: ?[\[({](?i:dot)[\])}] ?[A-Za-z0-9-]{2,}+|\.[A-Za-z0-9-]{2,}+)++",
     "phone_local": r"(?<![0-9+.()-])\(?[0-9]{3}\)?[ .-][0-9]{3}[ .-][0-9]{4}(?![0-9])",
     "national_id": r"(?<![0-9-])[0-9]{3}-[0-9]{2}-[0-9]{4}(?![0-9-])",
     "iban": r"(?<![A-Za-z0-9])[A-Z]{2}[0-9]{2}(?: ?[A-Z0-9]{4}){3,7}+(?: ?[A-Z0-9]{1,3}+)?(?![A-Za-z0-9])",
-    "secret": r"(?<![A-Za-z])(?i:password|passwd|pwd|secret|token|api[_-]?key)\s{0,3}[=:]\s{0,3}[^\s]{6,256}+",
-    "name": r"(?<![A-Za-z])(?:Mrs?|Ms|Dr|Prof|Herr|Frau|Mme|Sra?)\.? [A-Z][a-zà-ÿ]{1,30}+(?: [A-Z][a-zà-ÿ]{1,30}+){0,2}",
-    "address": r"(?<![0-9A-Za-z])[0-9]{1,5}+ (?:[A-Z][a-z]{1,20}+ ){1,3}(?:Street|St|Avenue|Ave|Road|Rd|Lane|Ln|Drive|Boulevard|Blvd|Court|Square)(?![a-z])",
+    "secret": r"(?<![A-Za-z])(?i:password|passwd|pwd|secret|token|api[_-]?key)\s{0,3}[=:]\s{0,3}[^\s]{6,}+",
+    "name": r"(?<![A-Za-z])(?:Mrs?|Ms|Dr|Prof|Herr|Frau|Mme|Sra?)\.? [A-Z][a-zà-ÿ]++(?: [A-Z][a-zà-ÿ]++){0,2}",
+    "address": r"(?<![0-9A-Za-z])[0-9]{1,6}+ (?:[A-Z][a-z]++ ){1,4}(?:Street|St|Avenue|Ave|Road|Rd|Lane|Ln|Drive|Boulevard|Blvd|Court|Square)(?![a-z])",
 }
 #: One pass finds every further kind: leftmost, then in the listed order.
 PATTERNS["further"] = "|".join(f"(?:{p})" for p in _FURTHER_PATTERNS.values())

@@ -40,8 +40,6 @@ MIN_LLR = 18.0
 THRESHOLD = 0.3
 #: Distinct tokens that a task remembers before it starts afresh; a memory bound, results don't depend on it.
 MEMO = 300_000
-#: Tokens longer than this are decoded in pieces of this length.
-PIECE = 48
 
 #: Fixed: what a character may stand for besides itself.
 LEET = {
@@ -221,8 +219,7 @@ class Channel:
         if _DOTTED.fullmatch(word):
             word = word[::2]
         if not word.isalpha() and any(c.isalpha() for c in word) or _STRETCH.search(word):
-            pieces = [word[i : i + PIECE] for i in range(0, len(word), PIECE)]
-            word = "".join(map(self.decode, pieces))
+            word = self.decode(word)
         if len(self.memo) > MEMO:
             self.memo.clear()
         self.memo[token] = word

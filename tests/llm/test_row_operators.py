@@ -109,6 +109,61 @@ def test_extraction_edge_cases(spark, trees):
     assert html.unescape("&am") == "&am"
 
 
+ARTICLE = "<article><h1>Title here</h1>" + "".join(f"<p>This is paragraph {i} of the article.</p>" for i in range(5)) + "</article>"
+BEFORE = [
+    "<script>if(a<b&&c)d()</script>", "<script>if(a<b){x=\"it's\"}</script>", "<script>var a='<!--';</script>", "<select><option>One<option>Two</select>", "<option>",
+    "<div><button>Go</div>", "<button>Go", "<textarea>", "<noscript>", '<div class="x>', "<a title='it>", "<svg><path d='x'/><title>t</title></svg>", "<video><source src=x><p>none</p></video>",
+]
+
+
+@pytest.mark.parametrize("before", BEFORE)
+@pytest.mark.parametrize("head", ["<html><head><title>x</title></head><body>", "<head><meta charset=utf-8><title>x</title>"])
+def test_what_stands_before_an_article_loses_none_of_it(head, before):
+    want = ["Title here", *(f"This is paragraph {i} of the article." for i in range(5))]
+    runs = [t for t in H.parse(head + before + ARTICLE).text if t]
+    assert [t for t in runs if t in want] == want
+    assert not {"none", "One", "x", "t"} & set(runs)
+
+
+@pytest.mark.parametrize("part", ['<a "', "<div>", "<textarea>", "<p><button>", "<!", "</p>", '<p title="x'])
+def test_long_pages_take_linear_time(part):
+    import time
+
+    took = []
+    for n in (100_000, 1_000_000):
+        began = time.process_time()
+        H.parse(part * (n // len(part)))
+        took.append(time.process_time() - began)
+    assert took[1] < 30 * max(took[0], 0.02)
+
+
+def test_math_is_text():
+    assert [t for t in H.parse("<p>So <math><mi>x</mi><mo>=</mo><mn>2</mn></math>, 1 < 2 and a<3.</p>").text if t] == ["So x=2, 1 < 2 and a<3."]
+
+
+def test_decoding_equals_the_best_of_all_cuts():
+    """Against all consistent choices: each node is taken whole, left whole, or split for a cost."""
+    rng = np.random.default_rng(5)
+
+    def best(dom, s, i):
+        """(score, runs taken) of the best choice for the subtree of i."""
+        below = [j for j in range(len(dom.tag)) if _under(dom, j, i)]
+        kids = [j for j in range(len(dom.tag)) if dom.parent[j] == i]
+        whole = sum(H.OWN_WEIGHT * s[j] for j in below)
+        runs = {j for j in below if dom.tag[j] == "#text"}
+        options = [(whole, runs), (-whole, set())]
+        if dom.tag[i] != "#text":
+            parts = [best(dom, s, k) for k in kids]
+            options.append((sum(p[0] for p in parts) - H.SPLIT, set().union(*(p[1] for p in parts)) if parts else set()))
+        return max(options, key=lambda x: x[0])
+
+    for _ in range(40):
+        dom = H.parse("<div><p>a</p><div><p>b</p>c</div></div><ul><li>d<li>e</ul><p>f")
+        s = rng.normal(size=len(dom.tag)) * 2
+        got = {i for i, y in enumerate(H.decode(dom, s)) if y and dom.tag[i] == "#text"}
+        assert got == best(dom, s, 0)[1]
+
+
 def test_tree_decoding_is_consistent_and_best():
     rng = np.random.default_rng(4)
     for _ in range(30):
@@ -174,11 +229,26 @@ def test_pieces_and_places(spark):
 
 @pytest.mark.parametrize("histogram", [{}, {4096: 7}, {1: 10000}, {3000: 5, 2000: 5}, {2049: 9, 2047: 9}, {1366: 3}])
 def test_plan_is_near_the_bound(histogram):
-    plan = P.solve(histogram, rounds=8)
+    plan = P.solve(histogram, slices=8)
     total = sum(a * b for a, b in histogram.items())
     assert plan.tokens == total
     big = sum(c for n, c in histogram.items() if n > 2048)
     assert plan.sequences <= max(-(-total // 4096), big) + 3
+    # the prices prove a bound, and the fractional solution covers every length exactly
+    assert plan.bound <= plan.fractional + 1e-6 and plan.bound <= plan.sequences + 1e-6
+    cover: dict = {}
+    for config, amount in P.fractional({n: c for n, c in histogram.items() if c}, slices=8)[0]:
+        assert sum(n * k for n, k in config.items()) <= 4096 and amount > 0
+        for n, k in config.items():
+            cover[n] = cover.get(n, 0) + k * amount
+    assert cover == pytest.approx({n: c for n, c in histogram.items() if c})
+
+
+def test_fractional_solution_is_near_the_optimum():
+    rng = np.random.default_rng(6)
+    histogram = {int(n): int(c) for n, c in zip(rng.choice(np.arange(50, 3500), 300, replace=False), rng.integers(1, 5000, 300))}
+    plan = P.solve(histogram)
+    assert plan.fractional <= 1.01 * plan.bound and plan.sequences <= 1.01 * plan.bound + 1
 
 
 # --- WARC --------------------------------------------------------------------------------
