@@ -7,6 +7,7 @@ from collections import Counter
 import numpy as np
 
 from flowloom.llm import decontaminate as D
+from flowloom.llm.common import keyed_rows
 from flowloom.llm import quality as Q
 from flowloom.llm import toxicity as T
 
@@ -68,6 +69,6 @@ def test_short_items_are_matched_word_for_word(spark):
     docs = [(1, "Well: the capital, of France is Paris."), (2, "capital of Spain"), (3, "france"), (None, "x capital of FRANCE and capital of france")]
     items = [(7, "Capital of France?"), (8, "is paris"), (None, "capital of"), (9, "no such words"), (10, "..."), (11, "capital of france")]
     made = spark.createDataFrame(docs, "doc_id long, text string"), spark.createDataFrame(items, "item_id long, text string")
-    found = {(r["_d"], r["item_id"], r["first_word"], r["lcs"]) for r in D.leaks(*made).collect()}
+    found = {(r["_d"], r["item_id"], r["first_word"], r["lcs"]) for r in D.leaks(keyed_rows(made[0]), made[1]).collect()}
     want = {(1, 7, 2, 1.0), (1, 11, 2, 1.0), (1, 8, 5, 1.0), (1, None, 2, 1.0), (2, None, 0, 1.0)}
     assert found == want | {(D.LAST, 7, 1, 1.0), (D.LAST, 11, 1, 1.0), (D.LAST, None, 1, 1.0)}

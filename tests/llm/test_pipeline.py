@@ -47,6 +47,37 @@ def test_near_stage_keeps_one_of_each_class(spark):
     assert sorted(r["doc_id"] for r in got) == [1, 3]
 
 
+def test_which_of_equal_rows_stays_is_defined(spark):
+    text = " ".join(f"a{i}" for i in range(100))
+    rows = [(1, text, lang, "s", 1) for lang in ("fr", "en", "de")]
+    for order in (rows, rows[::-1]):
+        got = C.near_stage(spark, spark.createDataFrame(order, COLUMNS).repartition(3), "").collect()
+        assert [(r["doc_id"], r["lang"]) for r in got] == [(1, "de")]
+
+
+def test_clashing_columns_long_texts_and_nulls_pass_through_the_stages(spark, tmp_path):
+    long_text = "\n".join(" ".join(f"long{i}x{k}" for k in range(20)) for i in range(20_000))
+    prose = "\n".join(" ".join(f"w{i}x{k}" for k in range(30)) for i in range(4))
+    rows = [(1, long_text, "K1", "r", 5), (2, prose, "K2", "r", 6), (3, prose + "\n" + prose.replace("w", "v"), "K3", None, 7), (None, prose.replace("w", "u"), None, None, None)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, _d string, _row string, _th long")
+    got = C.line_stage(spark, docs, "")
+    assert got.columns == docs.columns
+    assert {(r["doc_id"], r["_d"], r["_row"], r["_th"]) for r in got.collect()} == {(r[0], r[2], r[3], r[4]) for r in rows}
+    near = C.near_stage(spark, docs, "")
+    assert near.columns == docs.columns and {r["doc_id"] for r in near.collect()} == {1, 2, 3, None}
+    spark.createDataFrame([(1, " ".join(f"w0x{k}" for k in range(20)))], "item_id long, text string").write.parquet(str(tmp_path / "benchmark.parquet"))
+    clean = C.clean_stage(spark, docs, str(tmp_path))
+    assert clean.columns == docs.columns and {(r["doc_id"], r["_d"]) for r in clean.collect()} == {(1, "K1"), (None, None)}
+
+
+def test_stages_on_an_empty_table(spark, tmp_path):
+    docs = spark.createDataFrame([], COLUMNS)
+    spark.createDataFrame([], "doc_id long, quality int, toxic int").write.parquet(str(tmp_path / "labels.parquet"))
+    spark.createDataFrame([], "item_id long, text string").write.parquet(str(tmp_path / "benchmark.parquet"))
+    for _, stage in C.STAGES:
+        assert stage(spark, docs, str(tmp_path)).count() == 0
+
+
 def test_every_operator_is_registered():
     assert sorted(int(q[2:].split("_")[0]) for q in registry.QUERIES) == list(range(1, 11))
     assert line_dedup.THRESHOLD == near_dedup.THRESHOLD == 0.8 and near_dedup.SHINGLE == 5
