@@ -15,6 +15,9 @@ import pyarrow.compute as pc
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+# Workers give freed memory back instead of keeping it for the next stage.
+pa.set_memory_pool(pa.system_memory_pool())
+
 #: Rows in an Arrow batch. Documents can be 100 KB and more, so batches stay small.
 ARROW_ROWS = 512
 #: Largest Long stands for a null doc_id in an order.
@@ -189,10 +192,11 @@ def has_bit(table_: np.ndarray, hashes: np.ndarray) -> np.ndarray:
     return (table_[at >> 3] >> (at & 7).astype(np.uint8)) & 1 > 0
 
 
-def by_size(batches, column: int, limit: int = 4 << 20):
-    """Slices of Arrow batches with at most ``limit`` bytes of text, or a single longer row."""
+def by_size(batches, column: int | Callable, limit: int = 4 << 20):
+    """Slices of Arrow batches with at most ``limit`` bytes of text, or a single longer row; ``column`` is a number or gets the texts of a batch."""
     for batch in batches:
-        sizes = pc.binary_length(batch.column(column)).fill_null(0).to_pylist()
+        texts = column(batch) if callable(column) else batch.column(column)
+        sizes = pc.binary_length(texts).fill_null(0).to_pylist()
         first = held = 0
         for i, n in enumerate(sizes):
             if held and held + n > limit:

@@ -49,10 +49,10 @@ from flowloom.llm.words import MARKS, coded, hashes, plain, split_words
 
 WINDOW, STRIDE = 48, 16
 BLOCK = 2048
-RANK, OVERSAMPLE = 128, 16
+RANK, OVERSAMPLE = 256, 16
 RARE = 0.01
 LEAST_TERMS = 8
-COSINE = 0.5
+COSINE = 0.6
 LCS_SURE, LCS_LIKE = 0.8, 0.6
 COVERED = 0.6
 #: Items of fewer words are matched word for word, so many distinct ones in a pass.
@@ -257,12 +257,17 @@ def search(rows: DataFrame, queries: list[list[int]], idf: np.ndarray, space: np
 FOUND = "_d long, _th long, item_id long, first_word int, cosine float, lcs double, answer double, covered double"
 
 
-def _check(words: list[str], item: dict, windows: list[int]) -> tuple:
+def chunks_of(text: str) -> list[str]:
+    """The chunks of a text that are words, as they stand there."""
+    return [c for c in text.split() if c[0].isalnum() or c.strip(MARKS)]
+
+
+def _check(chunks: list[str], item: dict, windows: list[int]) -> tuple:
     """The best (first word, lcs, answer, covered) around the windows."""
     n, best = len(item["words"]), (0, 0.0, 0.0, 0.0)
     for w in windows:
         a = max(0, w * STRIDE - n)
-        part = words[a : w * STRIDE + WINDOW + n]
+        part = split_words(" ".join(chunks[a : w * STRIDE + WINDOW + n]))
         share = lcs(item["words"], part) / n
         if share > best[1]:
             have = set(part)
@@ -365,7 +370,7 @@ def _leaks_of(keyed: DataFrame, block: list[dict]) -> DataFrame:
         for batch in by_size(batches, 2):
             out = []
             for d, th, text, pairs in zip(*(c.to_pylist() for c in batch.columns)):
-                words = words_of(text)
+                words = chunks_of(text)
                 by_item: dict[int, list] = {}
                 for p in pairs:
                     by_item.setdefault(of_item[p["_q"]], []).append(p)

@@ -53,11 +53,11 @@ BUCKETS = 1 << 20
 #: Entries of a token that are compared in one place; more are cut into blocks.
 HOT = 8192
 #: Entries that a part holds on average, and the least number of parts.
-PART, PARTS = 500_000, 1024
+PART, PARTS = 100_000, 2048
 #: Entries that a task packs at a time.
-PACK = 1 << 19
+PACK = 1 << 18
 #: Text that is tokenised at a time, and tokens of pairs that are verified at a time.
-SLICE, VERIFY = 1 << 20, 2 << 20
+SLICE, VERIFY = 1 << 20, 1 << 20
 LEVEL_SHIFT = 57
 _U = np.uint64
 
@@ -451,7 +451,7 @@ def dedup_lines(docs: DataFrame, threshold: float = THRESHOLD) -> DataFrame:
     joined = keyed.select("_row", "_d", "_th").join(line_marks(keyed, threshold), ["_d", "_th"], "left")
 
     def run(batches):
-        for batch in batches:
+        for batch in by_size(batches, lambda b: pc.struct_field(b.column(0), "text").cast(pa.string()), SLICE):
             texts = pc.fill_null(pc.struct_field(batch.column(0), "text").cast(pa.string()), "")
             kept, lines_, removed = [], [], []
             for text, gone in zip(texts.to_pylist(), batch.column(1).to_pylist()):
