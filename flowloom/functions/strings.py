@@ -76,10 +76,11 @@ def env_category(name: Column) -> Column:
     return out.otherwise("unknown")
 
 
-_NAME = r"[`\"\[]?(?:[A-Za-z_][\w$]*[`\"\]]?\.[`\"\[]?)?([A-Za-z_][\w$]*)"
+#: The last part of a name of one or several parts, quoted or not.
+_NAME = r"(?:[`\"\[]?[A-Za-z_][\w$]*[`\"\]]?\.)*+[`\"\[]?([A-Za-z_][\w$]*)[`\"\]]?"
 #: Statements in the order in which they are looked for.
 SQL_FORMS = (
-    ("write", rf"(?is)\binsert\s+(?:or\s+\w+\s+)?into\s+{_NAME}"),
+    ("insert", rf"(?is)\binsert\s+(?:or\s+\w+\s+)?into\s+{_NAME}"),
     ("update", rf"(?is)\bupdate\s+(?:only\s+)?{_NAME}(?:\s+(?:as\s+)?\w+)?\s+set\b"),
     ("delete", rf"(?is)\bdelete\s+from\s+{_NAME}"),
     ("read", rf"(?is)\bselect\b.*?\bfrom\s+{_NAME}"),
@@ -96,14 +97,16 @@ def sql_table_op(sql: Column) -> Column:
     return out
 
 
-#: Fixed: the sniff for vendored and minified bundles.
-VENDORED_NAME = r"(?:\.min\.[cm]?js|[.-]bundle\.js|\.umd\.js)$"
-KNOWN_BUNDLES = r"(?:^|/)(?:jquery|lodash|moment|d3|three|angular|react|vue|bootstrap|codemirror|ace|monaco|pdf)(?:[.-][\w.]*)?\.js$"
+#: Fixed: names of vendored and minified bundles, by their end and in full.
+VENDORED_NAME = r"(?i)(?:\.min|-min|-vendor|\.umd)\.(?:js|mjs)$"
+KNOWN_BUNDLES = ("jquery.js", "jquery-ui.js", "moment.js", "moment-with-locales.js", "vue.global.js", "vue.runtime.global.js", "angular.js", "react.development.js", "react.production.min.js")
 
 
 def looks_vendored(path: Column, size: Column, head: Column) -> Column:
-    """By name; by a known name of 50 KB or more; by 100 KB or more with lines of over 200 in the first 4096 characters."""
+    """By name; else for plain scripts by a known name of 50 KB or more, or by 100 KB or more with lines of over 200 in the first 4096 characters."""
+    name = F.element_at(F.split(path, "/"), -1)
     start = F.substring(head, 1, 4096)
-    lines = F.length(start) - F.length(F.replace(start, F.lit("\n"), F.lit(""))) + 1
-    long_lines = F.length(start) / lines > 200
-    return path.rlike(VENDORED_NAME) | (path.rlike(KNOWN_BUNDLES) & (size >= 50 * 1024)) | ((size >= 100 * 1024) & long_lines)
+    breaks = F.length(start) - F.length(F.replace(start, F.lit("\n"), F.lit("")))
+    long_lines = (F.length(start) > 0) & ((breaks == 0) | (F.length(start) > 200 * breaks))
+    known = F.lower(name).isin(*KNOWN_BUNDLES) & (size >= 50 * 1024)
+    return name.rlike(VENDORED_NAME) | (name.rlike(r"(?i)\.(?:js|mjs)$") & (known | ((size >= 100 * 1024) & long_lines)))

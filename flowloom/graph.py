@@ -200,7 +200,11 @@ class Graph:
         kept = self.node("DatabaseTable").join(moved, F.col("id") == F.col("old_id"), "left_anti")
         e = self.edge.join(moved.select(F.col("old_id").alias("_f"), F.col("new_id").alias("_nf")), F.col("from_id") == F.col("_f"), "left")
         e = e.join(moved.select(F.col("old_id").alias("_t"), F.col("new_id").alias("_nt")), F.col("to_id") == F.col("_t"), "left")
-        e = e.withColumns({"from_id": F.coalesce("_nf", "from_id"), "to_id": F.coalesce("_nt", "to_id")}).drop("_f", "_nf", "_t", "_nt")
+        columns = self.edge.columns
+        e = e.withColumns({"from_id": F.coalesce("_nf", "from_id"), "to_id": F.coalesce("_nt", "to_id"), "_moved": F.col("_nf").isNotNull() | F.col("_nt").isNotNull()})
+        # an edge that moves gets the id of its new content, so what has become the same edge is one
+        e = e.withColumn("id", F.when(F.col("_moved"), ids.edge_id(columns)).otherwise(F.col("id"))).select(*columns)
+        e = last_write_wins(e, ["id"], ["_ord"])
         return replace(self, nodes=self.nodes | {"DatabaseTable": kept}, edges=e), moved
 
     def prune_empty_systems(self) -> tuple[Graph, DataFrame]:
@@ -220,8 +224,10 @@ class Graph:
 
     def save(self, path: str) -> None:
         """Parquet: a folder a node type, edges partitioned by type."""
-        for t, df in self.nodes.items():
-            df.write.mode("overwrite").parquet(f"{path}/nodes/{t}")
+        for t in schema.NODES:
+            self.node(t).write.mode("overwrite").parquet(f"{path}/nodes/{t}")
+        meta = self.meta if self.meta is not None else self.spark.createDataFrame([], "key STRING, value STRING")
+        meta.write.mode("overwrite").parquet(f"{path}/meta")
         self.edge.write.mode("overwrite").partitionBy("edge_type").parquet(f"{path}/edges")
         self.batch_list().write.mode("overwrite").parquet(f"{path}/batches")
         self.file_hashes().write.mode("overwrite").parquet(f"{path}/hashes")
@@ -229,7 +235,7 @@ class Graph:
     @classmethod
     def load(cls, spark: SparkSession, path: str, types: list[str] | None = None) -> Graph:
         read = {t: spark.read.parquet(f"{path}/nodes/{t}") for t in (types or list(schema.NODES))}
-        return cls(spark, read, spark.read.parquet(f"{path}/edges"), spark.read.parquet(f"{path}/batches"), spark.read.parquet(f"{path}/hashes"))
+        return cls(spark, read, spark.read.parquet(f"{path}/edges"), spark.read.parquet(f"{path}/batches"), spark.read.parquet(f"{path}/hashes"), spark.read.parquet(f"{path}/meta"))
 
     def keep(self) -> Graph:
         """The same graph with its frames checkpointed: short plans, and no work done twice."""

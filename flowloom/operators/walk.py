@@ -22,7 +22,7 @@ def reach(roots: DataFrame, calls: DataFrame, max_depth: int | None = MAX_DEPTH)
 
     ``roots``: (root, node). ``calls``: (src, dst). Without a depth the walk ends when nothing is new.
     """
-    calls = calls.select("src", "dst").distinct()
+    calls = keep(calls.select("src", "dst").distinct())  # read at every step
     frontier = keep(roots.select("root", "node").distinct().withColumn("depth", F.lit(0)))
     found, depth = frontier, 0
     while max_depth is None or depth < max_depth:
@@ -37,7 +37,7 @@ def reach(roots: DataFrame, calls: DataFrame, max_depth: int | None = MAX_DEPTH)
 
 def shortest_paths(roots: DataFrame, calls: DataFrame, max_depth: int | None = None) -> DataFrame:
     """(root, node, depth, path): a shortest path to every node reached; of several, the least by its nodes. Without a depth the walk ends when nothing is new."""
-    calls = calls.select("src", "dst").distinct()
+    calls = keep(calls.select("src", "dst").distinct())  # read at every step
     frontier = keep(roots.select("root", "node").distinct().withColumns({"depth": F.lit(0), "path": F.array("node")}))
     found, depth = frontier, 0
     while max_depth is None or depth < max_depth:

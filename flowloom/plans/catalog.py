@@ -2,15 +2,10 @@
 
 Each query runs a library operator on roles that the star-schema tables play (see
 ``sources.driver_tables``). The SQL states the same result independently of the operator.
-
-Some queries and their SQL look at a part of the keys only (``SLICES``). Each of them has a twin,
-``NAME_whole``, that runs over all keys, with its own SQL.
 """
 
 from __future__ import annotations
 
-import re
-
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
@@ -23,20 +18,13 @@ QUERIES: dict = {}
 ORACLE: dict[str, str] = {}
 
 
-#: Bounds on keys in the SQL of queries that look at a part of the rows.
-SLICES = r"\bl_orderkey < \d+|\bp_partkey <= \d+|\bdoc_id % 20 = 3|\b[lo]_orderkey % 10 = 0"
-
-
-def query(sql: str | None = None, sliced: bool = False):
-    """Registers a query. A sliced one takes ``whole``; its twin over all keys has the SQL without the bounds."""
+def query(sql: str | None = None):
+    """Registers a query and the SQL that gives the same rows."""
 
     def add(f):
         QUERIES[f.__name__] = f
         if sql is not None:
             ORACLE[f.__name__] = sql
-        if sliced:
-            QUERIES[f"{f.__name__}_whole"] = lambda spark, d: f(spark, d, whole=True)
-            ORACLE[f"{f.__name__}_whole"] = re.sub(SLICES, "true", sql)
         return f
 
     return add
@@ -60,9 +48,9 @@ def node_count_by_type(spark: SparkSession, d: str) -> DataFrame:
     return out
 
 
-@query("SELECT l_orderkey AS from_id, l_partkey AS to_id, count(*) AS n FROM lineitem WHERE l_returnflag = 'N' AND l_orderkey < 500 GROUP BY ALL", sliced=True)
-def find_edges_by_type(spark: SparkSession, d: str, whole: bool = False) -> DataFrame:
-    e = T.read(spark, d, "lineitem").where("l_returnflag = 'N'" if whole else "l_returnflag = 'N' AND l_orderkey < 500")
+@query("SELECT l_orderkey AS from_id, l_partkey AS to_id, count(*) AS n FROM lineitem WHERE l_returnflag = 'N' GROUP BY ALL")
+def find_edges_by_type(spark: SparkSession, d: str) -> DataFrame:
+    e = T.read(spark, d, "lineitem").where("l_returnflag = 'N'")
     return e.groupBy(F.col("l_orderkey").alias("from_id"), F.col("l_partkey").alias("to_id")).agg(F.count("*").alias("n"))
 
 
@@ -78,9 +66,9 @@ def content_ids(spark: SparkSession, d: str) -> DataFrame:
 
 
 @query("""SELECT 'CALLS_FUNCTION:' || substring(sha1('{"edgeType":"CALLS_FUNCTION","from":"' || l_orderkey || '","sourceLine":' || l_linenumber || ',"to":"' || l_suppkey || '"}'), 1, 16) AS id,
-count(*) AS n FROM lineitem WHERE l_orderkey < 3000 GROUP BY 1""", sliced=True)
-def edge_content_dedupe(spark: SparkSession, d: str, whole: bool = False) -> DataFrame:
-    e = T.read(spark, d, "lineitem").where("true" if whole else "l_orderkey < 3000").select(F.lit("CALLS_FUNCTION").alias("edge_type"), F.col("l_orderkey").cast("string").alias("from_id"), F.col("l_suppkey").cast("string").alias("to_id"), F.col("l_linenumber").cast("int").alias("sourceLine"))
+count(*) AS n FROM lineitem GROUP BY 1""")
+def edge_content_dedupe(spark: SparkSession, d: str) -> DataFrame:
+    e = T.read(spark, d, "lineitem").select(F.lit("CALLS_FUNCTION").alias("edge_type"), F.col("l_orderkey").cast("string").alias("from_id"), F.col("l_suppkey").cast("string").alias("to_id"), F.col("l_linenumber").cast("int").alias("sourceLine"))
     return e.select(ids.edge_id(e.columns).alias("id")).groupBy("id").agg(F.count("*").alias("n"))
 
 
@@ -209,12 +197,12 @@ def prefix_mining(spark: SparkSession, d: str) -> DataFrame:
     return stitch.mine_prefixes(calls, target)
 
 
-@query("""WITH hit AS (SELECT DISTINCT l_orderkey FROM lineitem WHERE l_orderkey % 10 = 0 AND l_quantity >= 40)
+@query("""WITH hit AS (SELECT DISTINCT l_orderkey FROM lineitem WHERE l_quantity >= 40)
 SELECT CASE WHEN l_orderkey IS NOT NULL THEN 'stitched' WHEN o_orderpriority = '1-URGENT' THEN 'external' WHEN o_orderstatus = 'P' THEN 'dynamic' ELSE 'unresolved' END AS state, count(*) AS n
-FROM orders LEFT JOIN hit ON o_orderkey = l_orderkey WHERE o_orderkey % 10 = 0 GROUP BY 1""", sliced=True)
-def stitch_report_partition(spark: SparkSession, d: str, whole: bool = False) -> DataFrame:
-    c = T.callers(spark, d, whole).select("caller_id", (F.col("o_orderpriority") == "1-URGENT").alias("is_external"), F.lit("/x").alias("url"), F.when(F.col("o_orderstatus") == "P", "dynamic").otherwise("exact").alias("egress"))
-    return stitch.report(c, T.resolves(spark, d, whole)).groupBy("state").agg(F.count("*").alias("n"))
+FROM orders LEFT JOIN hit ON o_orderkey = l_orderkey GROUP BY 1""")
+def stitch_report_partition(spark: SparkSession, d: str) -> DataFrame:
+    c = T.callers(spark, d).select("caller_id", (F.col("o_orderpriority") == "1-URGENT").alias("is_external"), F.lit("/x").alias("url"), F.when(F.col("o_orderstatus") == "P", "dynamic").otherwise("exact").alias("egress"))
+    return stitch.report(c, T.resolves(spark, d)).groupBy("state").agg(F.count("*").alias("n"))
 
 
 # --- walks --------------------------------------------------------------------------
@@ -236,26 +224,26 @@ def shortest_path(spark: SparkSession, d: str) -> DataFrame:
     return walk.shortest_paths(root, T.call_graph(spark, d)).select("node", "depth")
 
 
-_FLOWS = """r AS (SELECT DISTINCT l_orderkey, l_suppkey FROM lineitem WHERE l_orderkey % 10 = 0 AND l_quantity >= 40),
+_FLOWS = """r AS (SELECT DISTINCT l_orderkey, l_suppkey FROM lineitem WHERE l_quantity >= 40),
 f AS (SELECT c_custkey process_id, o_orderkey caller_id, l_suppkey endpoint_id, CASE WHEN l_suppkey % 7 <> 0 THEN l_suppkey END handler_id FROM customer
-LEFT JOIN (SELECT * FROM orders WHERE o_orderkey % 10 = 0) ON o_custkey = c_custkey LEFT JOIN r ON l_orderkey = o_orderkey)"""
+LEFT JOIN orders ON o_custkey = c_custkey LEFT JOIN r ON l_orderkey = o_orderkey)"""
 _LADDER = "CASE WHEN caller_id IS NULL THEN 'function-only' WHEN endpoint_id IS NULL THEN 'caller-only' WHEN handler_id IS NULL THEN 'endpoint-only' WHEN handler_id IN (SELECT l_suppkey FROM r) THEN 'complete' ELSE 'handler-only' END"
 
 
-def _flows(spark: SparkSession, d: str, whole: bool) -> DataFrame:
+def _flows(spark: SparkSession, d: str) -> DataFrame:
     none = spark.createDataFrame([], "src bigint, dst bigint, ord bigint")
-    return walk.flows(T.processes(spark, d), none, none, T.callers(spark, d, whole), T.resolves(spark, d, whole), T.endpoints(spark, d), T.interactions(spark, d, whole))
+    return walk.flows(T.processes(spark, d), none, none, T.callers(spark, d), T.resolves(spark, d), T.endpoints(spark, d), T.interactions(spark, d))
 
 
-@query(f"WITH {_FLOWS} SELECT {_LADDER} AS completeness, count(*) AS n FROM f GROUP BY 1", sliced=True)
-def flow_completeness(spark: SparkSession, d: str, whole: bool = False) -> DataFrame:
-    return _flows(spark, d, whole).groupBy("completeness").agg(F.count("*").alias("n"))
+@query(f"WITH {_FLOWS} SELECT {_LADDER} AS completeness, count(*) AS n FROM f GROUP BY 1")
+def flow_completeness(spark: SparkSession, d: str) -> DataFrame:
+    return _flows(spark, d).groupBy("completeness").agg(F.count("*").alias("n"))
 
 
 @query("""SELECT l_suppkey AS handler_id, CASE l_returnflag WHEN 'N' THEN 'read' WHEN 'A' THEN 'update' ELSE 'write' END AS operation, count(DISTINCT (l_orderkey, l_linenumber, l_partkey)) AS interactions, count(DISTINCT l_partkey) AS tables
-FROM lineitem WHERE l_orderkey % 10 = 0 AND l_quantity >= 40 AND l_suppkey % 7 <> 0 GROUP BY ALL""", sliced=True)
-def flow_db_hops(spark: SparkSession, d: str, whole: bool = False) -> DataFrame:
-    i = T.interactions(spark, d, whole)
+FROM lineitem WHERE l_quantity >= 40 AND l_suppkey % 7 <> 0 GROUP BY ALL""")
+def flow_db_hops(spark: SparkSession, d: str) -> DataFrame:
+    i = T.interactions(spark, d)
     none = spark.createDataFrame([], "src bigint, dst bigint")
     hops = walk.database_hops(T.endpoints(spark, d).where("handler_id IS NOT NULL").select("handler_id"), none, i.drop("table_id"), i.select("interaction_id", F.col("table_id").cast("string").alias("table_id")))
     return hops.select("handler_id", "operation", "interaction_id", F.explode("tables").alias("t")).groupBy("handler_id", "operation").agg(F.countDistinct("interaction_id").alias("interactions"), F.countDistinct("t").alias("tables"))
@@ -275,43 +263,43 @@ def service_hops_2(spark: SparkSession, d: str) -> DataFrame:
 
 
 @query(f"""WITH {_FLOWS} SELECT l_partkey AS table_id, count(DISTINCT (process_id, caller_id, endpoint_id)) AS flows, count(DISTINCT process_id) AS processes, count(DISTINCT endpoint_id) AS endpoints
-FROM f JOIN lineitem ON handler_id = l_suppkey AND l_orderkey % 10 = 0 AND l_quantity >= 40 WHERE {_LADDER} = 'complete' GROUP BY 1""", sliced=True)
-def impact_by_table(spark: SparkSession, d: str, whole: bool = False) -> DataFrame:
-    touched = T.interactions(spark, d, whole).select(F.col("function_id").alias("handler_id"), "table_id").distinct()
-    complete = _flows(spark, d, whole).where("completeness = 'complete'")
+FROM f JOIN lineitem ON handler_id = l_suppkey AND l_quantity >= 40 WHERE {_LADDER} = 'complete' GROUP BY 1""")
+def impact_by_table(spark: SparkSession, d: str) -> DataFrame:
+    touched = T.interactions(spark, d).select(F.col("function_id").alias("handler_id"), "table_id").distinct()
+    complete = _flows(spark, d).where("completeness = 'complete'")
     return complete.join(touched, "handler_id").groupBy("table_id").agg(F.countDistinct("process_id", "caller_id", "endpoint_id").alias("flows"), F.countDistinct("process_id").alias("processes"), F.countDistinct("endpoint_id").alias("endpoints"))
 
 
-@query(f"""WITH {_FLOWS} SELECT endpoint_id, count(*) AS flows, count(DISTINCT process_id) AS processes, count(DISTINCT caller_id) AS callers FROM f WHERE {_LADDER} = 'complete' GROUP BY 1""", sliced=True)
-def impact_by_endpoint(spark: SparkSession, d: str, whole: bool = False) -> DataFrame:
-    return _flows(spark, d, whole).where("completeness = 'complete'").groupBy("endpoint_id").agg(F.count("*").alias("flows"), F.countDistinct("process_id").alias("processes"), F.countDistinct("caller_id").alias("callers"))
+@query(f"""WITH {_FLOWS} SELECT endpoint_id, count(*) AS flows, count(DISTINCT process_id) AS processes, count(DISTINCT caller_id) AS callers FROM f WHERE {_LADDER} = 'complete' GROUP BY 1""")
+def impact_by_endpoint(spark: SparkSession, d: str) -> DataFrame:
+    return _flows(spark, d).where("completeness = 'complete'").groupBy("endpoint_id").agg(F.count("*").alias("flows"), F.countDistinct("process_id").alias("processes"), F.countDistinct("caller_id").alias("callers"))
 
 
-@query(f"""WITH {_FLOWS} SELECT process_id, caller_id, endpoint_id FROM f WHERE process_id % 50 = 0 OR coalesce(endpoint_id % 20 = 0, false)""", sliced=True)
-def diff_flows(spark: SparkSession, d: str, whole: bool = False) -> DataFrame:
+@query(f"""WITH {_FLOWS} SELECT process_id, caller_id, endpoint_id FROM f WHERE process_id % 50 = 0 OR coalesce(endpoint_id % 20 = 0, false)""")
+def diff_flows(spark: SparkSession, d: str) -> DataFrame:
     changed = T.read(spark, d, "customer").where("c_custkey % 50 = 0").select(F.concat(F.lit("p"), "c_custkey").alias("file")).unionAll(T.read(spark, d, "supplier").where("s_suppkey % 20 = 0").select(F.concat(F.lit("e"), "s_suppkey")))
-    f = _flows(spark, d, whole)
+    f = _flows(spark, d)
     touched = f.withColumn("file", F.explode(F.array_compact(F.array(F.concat(F.lit("p"), "process_id"), F.concat(F.lit("e"), "endpoint_id"))))).join(changed, "file", "left_semi")
     return touched.select("process_id", "caller_id", "endpoint_id").distinct()
 
 
-@query("SELECT s_suppkey FROM supplier WHERE s_suppkey NOT IN (SELECT l_suppkey FROM lineitem WHERE l_orderkey % 10 = 0 AND l_quantity = 50 AND l_linenumber = 1)", sliced=True)
-def uncalled_endpoints(spark: SparkSession, d: str, whole: bool = False) -> DataFrame:
-    called = T.read(spark, d, "lineitem").where(f"{T.orders_seen('l_orderkey', whole)} AND l_quantity = 50 AND l_linenumber = 1")
+@query("SELECT s_suppkey FROM supplier WHERE s_suppkey NOT IN (SELECT l_suppkey FROM lineitem WHERE l_quantity = 50 AND l_linenumber = 1)")
+def uncalled_endpoints(spark: SparkSession, d: str) -> DataFrame:
+    called = T.read(spark, d, "lineitem").where("l_quantity = 50 AND l_linenumber = 1")
     s = T.read(spark, d, "supplier")
     return s.join(called, s["s_suppkey"] == called["l_suppkey"], "left_anti").select("s_suppkey")
 
 
-@query("SELECT p_partkey FROM part WHERE p_partkey NOT IN (SELECT l_partkey FROM lineitem WHERE l_orderkey % 10 = 0 AND l_quantity >= 40)", sliced=True)
-def orphan_tables(spark: SparkSession, d: str, whole: bool = False) -> DataFrame:
-    p, used = T.read(spark, d, "part"), T.interactions(spark, d, whole)
+@query("SELECT p_partkey FROM part WHERE p_partkey NOT IN (SELECT l_partkey FROM lineitem WHERE l_quantity >= 40)")
+def orphan_tables(spark: SparkSession, d: str) -> DataFrame:
+    p, used = T.read(spark, d, "part"), T.interactions(spark, d)
     return p.join(used, p["p_partkey"] == used["table_id"], "left_anti").select("p_partkey")
 
 
-@query("SELECT o_orderkey FROM orders WHERE o_orderkey % 10 = 0 AND o_orderpriority <> '1-URGENT' AND o_orderkey NOT IN (SELECT l_orderkey FROM lineitem WHERE l_quantity >= 40)", sliced=True)
-def unmatched_callers(spark: SparkSession, d: str, whole: bool = False) -> DataFrame:
-    c = T.callers(spark, d, whole).where("o_orderpriority <> '1-URGENT'")
-    return c.join(T.resolves(spark, d, whole), "caller_id", "left_anti").select(F.col("caller_id").alias("o_orderkey"))
+@query("SELECT o_orderkey FROM orders WHERE o_orderpriority <> '1-URGENT' AND o_orderkey NOT IN (SELECT l_orderkey FROM lineitem WHERE l_quantity >= 40)")
+def unmatched_callers(spark: SparkSession, d: str) -> DataFrame:
+    c = T.callers(spark, d).where("o_orderpriority <> '1-URGENT'")
+    return c.join(T.resolves(spark, d), "caller_id", "left_anti").select(F.col("caller_id").alias("o_orderkey"))
 
 
 _HREF = "SELECT page_id, unnest(regexp_extract_all(html, 'href=\"([^\"]*)\"', 1)) href FROM pages"
@@ -328,10 +316,10 @@ def unreachable_screens(spark: SparkSession, d: str) -> DataFrame:
     return T.page_paths(spark, d).select(path).distinct().join(linked, "path", "left_anti")
 
 
-@query("""WITH t AS (SELECT DISTINCT l_suppkey, l_partkey FROM lineitem WHERE l_orderkey % 10 = 0 AND l_quantity >= 40) SELECT a.l_suppkey AS screen, count(DISTINCT b.l_suppkey) AS others, count(DISTINCT a.l_partkey) AS tables
-FROM t a LEFT JOIN t b ON a.l_partkey = b.l_partkey AND a.l_suppkey <> b.l_suppkey GROUP BY 1""", sliced=True)
-def screen_impact(spark: SparkSession, d: str, whole: bool = False) -> DataFrame:
-    t = T.interactions(spark, d, whole).select(F.col("function_id").alias("screen"), "table_id").distinct()
+@query("""WITH t AS (SELECT DISTINCT l_suppkey, l_partkey FROM lineitem WHERE l_quantity >= 40) SELECT a.l_suppkey AS screen, count(DISTINCT b.l_suppkey) AS others, count(DISTINCT a.l_partkey) AS tables
+FROM t a LEFT JOIN t b ON a.l_partkey = b.l_partkey AND a.l_suppkey <> b.l_suppkey GROUP BY 1""")
+def screen_impact(spark: SparkSession, d: str) -> DataFrame:
+    t = T.interactions(spark, d).select(F.col("function_id").alias("screen"), "table_id").distinct()
     other = t.select(F.col("screen").alias("o"), "table_id")
     joined = t.join(other, "table_id")
     return joined.groupBy("screen").agg(F.countDistinct(F.when(F.col("o") != F.col("screen"), F.col("o"))).alias("others"), F.countDistinct("table_id").alias("tables"))
@@ -364,10 +352,10 @@ def middleware_groups(spark: SparkSession, d: str) -> DataFrame:
     return e.groupBy(F.col("m.name").alias("name")).agg(F.countDistinct("user_id").alias("endpoints"), F.count("*").alias("uses"), F.min("m.order").alias("first_use"))
 
 
-@query("""WITH a AS (SELECT p_partkey, p_name FROM part WHERE p_partkey <= 400), k AS (SELECT 'table_' || (p_partkey % 90) || 's' AS name, min(p_partkey) id FROM a GROUP BY 1),
-i AS (SELECT 1000000 + p_partkey AS old_id, 'table' || chr(95) || (p_partkey % 110) AS name FROM a) SELECT old_id::VARCHAR AS old_id, id::VARCHAR AS new_id FROM i JOIN k ON k.name = i.name || 's'""", sliced=True)
-def alias_merge(spark: SparkSession, d: str, whole: bool = False) -> DataFrame:
-    a = T.read(spark, d, "part").where("true" if whole else "p_partkey <= 400")
+@query("""WITH a AS (SELECT p_partkey, p_name FROM part), k AS (SELECT 'table_' || (p_partkey % 90) || 's' AS name, min(p_partkey) id FROM a GROUP BY 1),
+i AS (SELECT 1000000 + p_partkey AS old_id, 'table' || chr(95) || (p_partkey % 110) AS name FROM a) SELECT old_id::VARCHAR AS old_id, id::VARCHAR AS new_id FROM i JOIN k ON k.name = i.name || 's'""")
+def alias_merge(spark: SparkSession, d: str) -> DataFrame:
+    a = T.read(spark, d, "part")
     known = a.groupBy(F.concat(F.lit("table_"), F.col("p_partkey") % 90, F.lit("s")).alias("name")).agg(F.min("p_partkey").cast("string").alias("id"))
     known = known.select("id", "name", F.lit("f").alias("declaredIn"), F.col("id").cast("bigint").alias("_ord"))
     guess = a.select((F.col("p_partkey") + 1000000).cast("string").alias("id"), F.concat(F.lit("table_"), F.col("p_partkey") % 110).alias("name"), F.lit(None).cast("string").alias("declaredIn"), F.lit(0).cast("bigint").alias("_ord"))
@@ -413,10 +401,10 @@ def asof_enclosing_function(spark: SparkSession, d: str) -> DataFrame:
 
 
 #: Fixed: statements around a table name.
-_SQL = ("SELECT a FROM {}", "insert into db.{} values (1)", "UPDATE {} SET a = 1", "/* from x */ delete from {}", "select 1 -- from y", "INSERT INTO {} SELECT * FROM z")
+_SQL = ("SELECT a FROM {}", "insert into db.{} values (1)", "UPDATE {} SET a = 1", "/* from x */ delete from {}", "select 1 -- from y", "INSERT INTO {} SELECT * FROM z", "select 1 from db.schema.{}")
 
 
-@query("""SELECT n_nationkey, i, CASE WHEN i = 4 THEN NULL ELSE 't' || n_nationkey END AS "table", (['read', 'write', 'update', 'delete', NULL, 'write'])[i + 1] AS operation FROM nation, range(6) x(i)""")
+@query("""SELECT n_nationkey, i, CASE WHEN i = 4 THEN NULL ELSE 't' || n_nationkey END AS "table", (['read', 'insert', 'update', 'delete', NULL, 'insert', 'read'])[i + 1] AS operation FROM nation, range(7) x(i)""")
 def sql_table_op(spark: SparkSession, d: str) -> DataFrame:
     name = F.concat(F.lit("t"), "n_nationkey")
     made = F.array(*[F.replace(F.lit(s), F.lit("{}"), name) for s in _SQL])
@@ -424,11 +412,13 @@ def sql_table_op(spark: SparkSession, d: str) -> DataFrame:
     return n.select("n_nationkey", F.col("i").cast("bigint").alias("i"), strings.sql_table_op(F.col("sql")).alias("x")).select("n_nationkey", "i", "x.*")
 
 
-@query("""SELECT doc_id, path, regexp_matches(path, '(\\.min\\.[cm]?js|[.-]bundle\\.js|\\.umd\\.js)$') OR (regexp_matches(path, '(^|/)(jquery|lodash|moment)([.-][a-zA-Z0-9_.]*)?\\.js$') AND size >= 51200)
-OR (size >= 102400 AND length(head) / (length(head) - length(replace(head, chr(10), '')) + 1) > 200) AS vendored
-FROM (SELECT doc_id, source || '/' || (['a.min.js', 'jquery-3.js', 'x.ts', 'b-bundle.js', 'lodash.js'])[1 + doc_id % 5] AS path, n_chars * 16 AS size, substring(text, 1, 4096) AS head FROM documents)""")
+@query("""SELECT doc_id, path, regexp_matches(lower(name), '(\\.min|-min|-vendor|\\.umd)\\.m?js$') OR (regexp_matches(lower(name), '\\.m?js$') AND ((lower(name) IN ('jquery.js', 'moment.js') AND size >= 51200)
+OR (size >= 102400 AND length(head) > 0 AND (NOT contains(head, chr(10)) OR length(head) > 200 * (length(head) - length(replace(head, chr(10), '')))))))  AS vendored
+FROM (SELECT doc_id, source || '/' || name AS path, name, size, head FROM (SELECT doc_id, source, (['a.min.js', 'b-Vendor.MJS', 'x.ts', 'jquery.js', 'jquery-3.js', 'moment.JS', 'c-min.js', 'd.bundle.js'])[1 + doc_id % 8] AS name,
+n_chars * 16 AS size, substring(text, 1, 4096) AS head FROM documents))""")
 def vendored_sniff(spark: SparkSession, d: str) -> DataFrame:
-    name = F.element_at(F.array(*map(F.lit, ("a.min.js", "jquery-3.js", "x.ts", "b-bundle.js", "lodash.js"))), (1 + F.col("doc_id") % 5).cast("int"))
+    names = ("a.min.js", "b-Vendor.MJS", "x.ts", "jquery.js", "jquery-3.js", "moment.JS", "c-min.js", "d.bundle.js")
+    name = F.element_at(F.array(*map(F.lit, names)), (1 + F.col("doc_id") % 8).cast("int"))
     path = F.concat("source", F.lit("/"), name)
     docs = T.read(spark, d, "documents").select("doc_id", path.alias("path"), "n_chars", "text")
     return docs.select("doc_id", "path", strings.looks_vendored(F.col("path"), F.col("n_chars") * 16, F.col("text")).alias("vendored"))
@@ -439,9 +429,9 @@ def href_normalise(spark: SparkSession, d: str) -> DataFrame:
     return _hrefs(spark, d).select(urls.normal_href(F.col("href")).alias("path")).where("path IS NOT NULL").groupBy("path").agg(F.count("*").alias("n"))
 
 
-@query("""SELECT doc_id, i AS line_no, string_split(text, chr(10))[i] AS line FROM documents, range(1, 200) r(i) WHERE doc_id % 20 = 3 AND i <= len(string_split(text, chr(10))) AND i BETWEEN 2 AND 5""", sliced=True)
-def line_window(spark: SparkSession, d: str, whole: bool = False) -> DataFrame:
-    docs = T.read(spark, d, "documents").where("true" if whole else "doc_id % 20 = 3")
+@query("""SELECT doc_id, i AS line_no, string_split(text, chr(10))[i] AS line FROM documents, range(1, 200) r(i) WHERE i <= len(string_split(text, chr(10))) AND i BETWEEN 2 AND 5""")
+def line_window(spark: SparkSession, d: str) -> DataFrame:
+    docs = T.read(spark, d, "documents")
     lines = docs.select("doc_id", F.posexplode(F.split("text", "\n", -1)).alias("i", "line"))
     return lines.select("doc_id", (F.col("i") + 1).cast("bigint").alias("line_no"), "line").where("line_no BETWEEN 2 AND 5")
 
@@ -452,16 +442,21 @@ def page_limit_offset(spark: SparkSession, d: str) -> DataFrame:
     return p.orderBy("p_partkey").offset(40).limit(20).select("p_partkey", "p_name").crossJoin(p.agg(F.count("*").alias("total")))
 
 
-@query()
+@query(f"""WITH {_FLOWS}, t AS (SELECT l_suppkey, string_agg(DISTINCT l_partkey::VARCHAR, ',' ORDER BY l_partkey::VARCHAR) AS tables FROM lineitem WHERE l_quantity >= 40 GROUP BY 1)
+SELECT process_id, string_agg(x, ' ' ORDER BY x) AS flows, count(*) AS n FROM (SELECT process_id, coalesce(caller_id::VARCHAR, '-') || ':' || coalesce(endpoint_id::VARCHAR, '-') || ':' || {_LADDER} || ':' || coalesce(tables, '-') AS x
+FROM f LEFT JOIN t ON handler_id = l_suppkey) GROUP BY 1""")
 def nested_flow_struct(spark: SparkSession, d: str) -> DataFrame:
-    """Flows as nested records: a process with its callers, endpoints and the tables behind these."""
-    touched = T.interactions(spark, d, True).groupBy(F.col("function_id").alias("handler_id")).agg(F.array_sort(F.collect_set("table_id")).alias("tables"))
-    f = _flows(spark, d, True).join(touched, "handler_id", "left")
-    one = F.struct("caller_id", "endpoint_id", "completeness", F.col("tables").alias("tables"))
-    return f.groupBy("process_id").agg(F.array_sort(F.collect_list(F.struct("caller_id", "endpoint_id", "completeness"))).alias("flows"), F.count(one).alias("n"))
+    """Flows as nested records, as text: a process with its callers, endpoints and the tables behind these."""
+    name = F.col("table_id").cast("string")
+    touched = T.interactions(spark, d).groupBy(F.col("function_id").alias("handler_id")).agg(F.array_join(F.array_sort(F.collect_set(name)), ",").alias("tables"))
+    f = _flows(spark, d).join(touched, "handler_id", "left")
+    text = lambda c: F.coalesce(F.col(c).cast("string"), F.lit("-"))
+    one = F.concat_ws(":", text("caller_id"), text("endpoint_id"), "completeness", text("tables"))
+    return f.groupBy("process_id").agg(F.array_join(F.array_sort(F.collect_list(one)), " ").alias("flows"), F.count(F.lit(1)).alias("n"))
 
 
-@query()
+@query("""SELECT user_id, min(ts) AS "start", max(ts) + INTERVAL 1 HOUR AS "end", count(*) AS n FROM (SELECT *, sum(fresh) OVER (PARTITION BY user_id ORDER BY ts, event_id) AS cycle FROM
+(SELECT *, CASE WHEN ts - lag(ts) OVER (PARTITION BY user_id ORDER BY ts, event_id) <= INTERVAL 1 HOUR THEN 0 ELSE 1 END AS fresh FROM events)) GROUP BY user_id, cycle""")
 def session_debounce(spark: SparkSession, d: str) -> DataFrame:
     """Events of a user that come within an hour of each other are one cycle."""
     e = T.read(spark, d, "events")

@@ -1,6 +1,6 @@
 """The graph's roles played by the star-schema tables, as plain selects.
 
-process = customer, caller = order (every tenth unless ``whole``), endpoint = supplier (its handler is itself),
+process = customer, caller = order, endpoint = supplier (its handler is itself),
 table = part, repository = nation, application = region.
 """
 
@@ -18,26 +18,21 @@ def processes(spark: SparkSession, d: str) -> DataFrame:
     return read(spark, d, "customer").select(F.col("c_custkey").alias("process_id"), F.col("c_custkey").alias("function_id"), F.col("c_mktsegment").alias("kind"), F.col("c_nationkey").alias("nation"))
 
 
-def orders_seen(key: str, whole: bool) -> str:
-    """The condition on an order's key: none, or every tenth."""
-    return "true" if whole else f"{key} % 10 = 0"
+def callers(spark: SparkSession, d: str) -> DataFrame:
+    return read(spark, d, "orders").select(F.col("o_orderkey").alias("caller_id"), F.col("o_custkey").alias("function_id"), "o_orderpriority", "o_orderstatus")
 
 
-def callers(spark: SparkSession, d: str, whole: bool = False) -> DataFrame:
-    return read(spark, d, "orders").where(orders_seen("o_orderkey", whole)).select(F.col("o_orderkey").alias("caller_id"), F.col("o_custkey").alias("function_id"), "o_orderpriority", "o_orderstatus")
-
-
-def resolves(spark: SparkSession, d: str, whole: bool = False) -> DataFrame:
-    return read(spark, d, "lineitem").where(f"{orders_seen('l_orderkey', whole)} AND l_quantity >= 40").select(F.col("l_orderkey").alias("caller_id"), F.col("l_suppkey").alias("endpoint_id")).distinct()
+def resolves(spark: SparkSession, d: str) -> DataFrame:
+    return read(spark, d, "lineitem").where("l_quantity >= 40").select(F.col("l_orderkey").alias("caller_id"), F.col("l_suppkey").alias("endpoint_id")).distinct()
 
 
 def endpoints(spark: SparkSession, d: str) -> DataFrame:
     return read(spark, d, "supplier").select(F.col("s_suppkey").alias("endpoint_id"), F.when(F.col("s_suppkey") % 7 != 0, F.col("s_suppkey")).alias("handler_id"), F.col("s_nationkey").alias("nation"))
 
 
-def interactions(spark: SparkSession, d: str, whole: bool = False) -> DataFrame:
+def interactions(spark: SparkSession, d: str) -> DataFrame:
     """The orders' large lines: an access of the supplier's handler to a part."""
-    line = read(spark, d, "lineitem").where(f"{orders_seen('l_orderkey', whole)} AND l_quantity >= 40")
+    line = read(spark, d, "lineitem").where("l_quantity >= 40")
     return line.select(
         F.concat_ws(":", "l_orderkey", "l_linenumber", "l_suppkey", "l_partkey").alias("interaction_id"), F.col("l_suppkey").alias("function_id"), F.col("l_partkey").alias("table_id"),
         F.when(F.col("l_returnflag") == "N", "read").when(F.col("l_returnflag") == "A", "update").otherwise("write").alias("operation"),

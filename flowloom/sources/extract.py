@@ -19,6 +19,9 @@ from flowloom.functions import strings, urls
 _Q = r"""["'`]([^"'`\n]*)["'`]"""
 _VERBS = "get|post|put|patch|delete|head|options|all"
 
+#: The method of routes that name several in a chain, in the second group.
+EACH = "each"
+
 #: (framework, language, pattern, group of the method or a fixed method, group of the route)
 ENDPOINTS: list[tuple[str, str, str, int | str, int]] = [
     ("express", "ts", rf"(?:app|router|server|api)\w*\.({_VERBS})\(\s*{_Q}", 1, 2),
@@ -34,7 +37,7 @@ ENDPOINTS: list[tuple[str, str, str, int | str, int]] = [
     ("chi", "go", r"\br\.(Get|Post|Put|Patch|Delete|Head|Options)\(\s*\"([^\"]*)\"", 1, 2),
     ("gohttp", "go", r"\.HandleFunc\(\s*\"(?:[A-Z]+ )?([^\"]*)\"", "ALL", 1),
     ("actix", "rust", r"#\[(get|post|put|patch|delete|head)\(\s*\"([^\"]*)\"", 1, 2),
-    ("axum", "rust", r"\.route\(\s*\"([^\"]*)\"\s*,\s*(?:\w+::)*(?:get|post|put|patch|delete)", "GET", 1),
+    ("axum", "rust", r"\.route\(\s*\"([^\"]*)\"\s*,\s*((?:(?:\w+::)*\.?\s*(?:get|post|put|patch|delete|head|options|any)\([^()]*(?:\([^()]*\)[^()]*)*\)\s*)+)", EACH, 1),
     ("spring", "java", r"@(Get|Post|Put|Patch|Delete)Mapping\(\s*(?:value\s*=\s*|path\s*=\s*)?\"([^\"]*)\"", 1, 2),
     ("laravel", "php", rf"Route::({_VERBS})\(\s*{_Q}", 1, 2),
 ]
@@ -80,14 +83,30 @@ def operation(verb: Column) -> Column:
     return F.when(v.rlike("^upsert"), "upsert").when(v.rlike("^(?:create|insert|bulk_create|save|add)"), "write").when(v.rlike("^update"), "update").when(v.rlike("^(?:del|remove)"), "delete").otherwise("read")
 
 
-def line_of(text: Column, match: Column) -> Column:
-    """The line on which the first place of a match is."""
-    before = F.left(text, F.position(match, text) - 1)
-    return F.length(before) - F.length(F.replace(before, F.lit("\n"), F.lit(""))) + 1
+def lines_of(text: Column, pattern: str) -> Column:
+    """array<struct<hit, line>> of all matches in turn, each with the line on which it begins."""
+    hits = F.regexp_extract_all(text, F.lit(pattern), F.lit(0))
+    pairs = F.arrays_zip(hits.alias("hit"), F.slice(F.split(text, pattern, -1), F.lit(1), F.size(hits)).alias("gap"))
+
+    def breaks(x: Column) -> Column:
+        return F.length(x) - F.length(F.replace(x, F.lit("\n"), F.lit("")))
+
+    def step(acc: Column, x: Column) -> Column:
+        line = acc["line"] + breaks(x["gap"])
+        return F.struct((line + breaks(x["hit"])).alias("line"), F.array_append(acc["out"], F.struct(x["hit"].alias("hit"), line.alias("line"))).alias("out"))
+
+    none = F.from_json(F.lit("[]"), "array<struct<hit:string,line:int>>")
+    return F.aggregate(pairs, F.struct(F.lit(1).alias("line"), none.alias("out")), step, lambda acc: acc["out"])
 
 
-def _hits(files: DataFrame, languages: str, pattern: str) -> DataFrame:
-    return files.where((F.col("language") == languages) & F.col("content").rlike(pattern)).select("repository", "path", "content", F.posexplode(F.array_distinct(F.regexp_extract_all("content", F.lit(pattern), F.lit(0)))).alias("ord", "hit"))
+def matches(files: DataFrame, pattern: str) -> DataFrame:
+    """(repository, path, content, ord, hit, line): a row for each match."""
+    rows = files.where(F.col("content").rlike(pattern)).select("repository", "path", "content", F.posexplode(lines_of(F.col("content"), pattern)).alias("ord", "_hit"))
+    return rows.select("repository", "path", "content", "ord", "_hit.hit", "_hit.line")
+
+
+def _hits(files: DataFrame, language: str, pattern: str) -> DataFrame:
+    return matches(files.where(F.col("language") == language), pattern)
 
 
 def normal_route(route: Column) -> Column:
@@ -103,12 +122,16 @@ def endpoints(files: DataFrame) -> DataFrame:
     out = []
     for framework, language, pattern, method, route in ENDPOINTS:
         h = _hits(files, language, pattern)
-        m = F.lit(method) if isinstance(method, str) else F.upper(F.regexp_extract("hit", pattern, method))
-        out.append(h.select("repository", "path", line_of(F.col("content"), F.col("hit")).alias("line"), F.lit(framework).alias("framework"), F.when(m == "ANY", "ALL").otherwise(m).alias("method"), normal_route(F.regexp_extract("hit", pattern, route)).alias("route")))
+        if method == EACH:  # a chain of verbs: an endpoint each
+            h = h.withColumn("_verb", F.explode(F.regexp_extract_all(F.regexp_extract("hit", pattern, 2), F.lit(r"(?:^|::|\.\s*)(\w+)\("), F.lit(1))))
+            m = F.upper("_verb")
+        else:
+            m = F.lit(method) if isinstance(method, str) else F.upper(F.regexp_extract("hit", pattern, method))
+        out.append(h.select("repository", "path", "line", F.lit(framework).alias("framework"), F.when(m == "ANY", "ALL").otherwise(m).alias("method"), normal_route(F.regexp_extract("hit", pattern, route)).alias("route")))
     for framework, language, pattern, side, prefix, name in MESSAGES:
         if side == "endpoint":
             h = _hits(files, language, pattern)
-            out.append(h.select("repository", "path", line_of(F.col("content"), F.col("hit")).alias("line"), F.lit(framework).alias("framework"), F.lit("JOB").alias("method"), F.concat(F.lit(f"{prefix}:"), F.regexp_extract("hit", pattern, name)).alias("route")))
+            out.append(h.select("repository", "path", "line", F.lit(framework).alias("framework"), F.lit("JOB").alias("method"), F.concat(F.lit(f"{prefix}:"), F.regexp_extract("hit", pattern, name)).alias("route")))
     return reduce(DataFrame.unionByName, out)
 
 
@@ -118,11 +141,11 @@ def callers(files: DataFrame) -> DataFrame:
     for framework, language, pattern, method, url in CALLERS:
         h = _hits(files, language, pattern)
         m = F.lit(method) if isinstance(method, str) else F.upper(F.regexp_extract("hit", pattern, method))
-        out.append(h.select("repository", "path", line_of(F.col("content"), F.col("hit")).alias("line"), F.lit(framework).alias("framework"), m.alias("method"), F.regexp_extract("hit", pattern, url).alias("raw")))
+        out.append(h.select("repository", "path", "line", F.lit(framework).alias("framework"), m.alias("method"), F.regexp_extract("hit", pattern, url).alias("raw")))
     for framework, language, pattern, side, prefix, name in MESSAGES:
         if side == "caller":
             h = _hits(files, language, pattern)
-            out.append(h.select("repository", "path", line_of(F.col("content"), F.col("hit")).alias("line"), F.lit(framework).alias("framework"), F.lit("JOB").alias("method"), F.concat(F.lit(f"{prefix}:"), F.regexp_extract("hit", pattern, name)).alias("raw")))
+            out.append(h.select("repository", "path", "line", F.lit(framework).alias("framework"), F.lit("JOB").alias("method"), F.concat(F.lit(f"{prefix}:"), F.regexp_extract("hit", pattern, name)).alias("raw")))
     rows = reduce(DataFrame.unionByName, out)
     holes = F.regexp_count("raw", F.lit(r"\$\{[^}]*\}|\{\w+\}"))
     pieces = F.split(F.regexp_replace("raw", r"\$\{[^}]*\}|\{\w+\}", "\x00"), "\x00", -1)
@@ -135,10 +158,10 @@ def interactions(files: DataFrame) -> DataFrame:
     out = []
     for orm, language, pattern, table, verb in DATABASES:
         h = _hits(files, language, pattern)
-        out.append(h.select("repository", "path", line_of(F.col("content"), F.col("hit")).alias("line"), F.lit(orm).alias("orm"), F.regexp_extract("hit", pattern, table).alias("table"), operation(F.regexp_extract("hit", pattern, verb)).alias("operation")))
+        out.append(h.select("repository", "path", "line", F.lit(orm).alias("orm"), F.regexp_extract("hit", pattern, table).alias("table"), operation(F.regexp_extract("hit", pattern, verb)).alias("operation")))
     literal = r"""(?is)["'`](\s*(?:select|insert|update|delete)\b[^"'`]*)["'`]"""
-    h = files.where(F.col("content").rlike(literal)).select("repository", "path", "content", F.explode(F.array_distinct(F.regexp_extract_all("content", F.lit(literal), F.lit(1)))).alias("hit"))
-    sql = h.select("repository", "path", line_of(F.col("content"), F.col("hit")).alias("line"), F.lit("sql").alias("orm"), strings.sql_table_op(F.col("hit")).alias("x")).where("x IS NOT NULL")
+    h = matches(files, literal).withColumn("hit", F.regexp_extract("hit", literal, 1))
+    sql = h.select("repository", "path", "line", F.lit("sql").alias("orm"), strings.sql_table_op(F.col("hit")).alias("x")).where("x IS NOT NULL")
     out.append(sql.select("repository", "path", "line", "orm", "x.table", "x.operation"))
     return reduce(DataFrame.unionByName, out)
 
@@ -148,9 +171,9 @@ _ENV = r"process\.env\.([A-Z_][A-Z0-9_]*)|process\.env\[[\"']([A-Z_][A-Z0-9_]*)[
 
 def env_vars(files: DataFrame) -> DataFrame:
     """(repository, path, line, name, category, has_default)."""
-    h = files.where(F.col("content").rlike(_ENV)).select("repository", "path", "content", F.explode(F.array_distinct(F.regexp_extract_all("content", F.lit(rf"(?:{_ENV})[^\n]{{0,6}}"), F.lit(0)))).alias("hit"))
+    h = matches(files, rf"(?:{_ENV})[^\n]{{0,6}}")
     name = F.coalesce(*[F.when(F.regexp_extract("hit", _ENV, i) != "", F.regexp_extract("hit", _ENV, i)) for i in range(1, 6)])
-    return h.select("repository", "path", line_of(F.col("content"), F.col("hit")).alias("line"), name.alias("name"), strings.env_category(name).alias("category"), F.col("hit").rlike(r"(?:\?\?|\|\||,)\s*\S?$|(?:\?\?|\|\|)").alias("has_default"))
+    return h.select("repository", "path", "line", name.alias("name"), strings.env_category(name).alias("category"), F.col("hit").rlike(r"(?:\?\?|\|\||,)\s*\S?$|(?:\?\?|\|\|)").alias("has_default"))
 
 
 def compose_prefix(found: DataFrame, prefixes: DataFrame) -> DataFrame:

@@ -7,7 +7,7 @@ from functools import reduce
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from flowloom.sources.extract import _Q, _hits, line_of, normal_route
+from flowloom.sources.extract import _Q, _hits, normal_route
 
 #: (framework, language, pattern, kind, group of the name, group of the function that it runs or 0)
 PROCESSES: list[tuple[str, str, str, str, int, int]] = [
@@ -57,7 +57,7 @@ RPC: list[tuple[str, str, str, int, int]] = [
 
 
 def _base(h: DataFrame, framework: str, *cols) -> DataFrame:
-    return h.select("repository", "path", line_of(F.col("content"), F.col("hit")).alias("line"), F.lit(framework).alias("framework"), *cols)
+    return h.select("repository", "path", "line", F.lit(framework).alias("framework"), *cols)
 
 
 def processes(files: DataFrame) -> DataFrame:

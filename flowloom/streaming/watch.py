@@ -23,9 +23,15 @@ DEBOUNCE = "1 second"
 
 
 def route(events: DataFrame, repositories: DataFrame) -> DataFrame:
-    """Each event's path with the repository whose root is its longest prefix. ``repositories``: (repository, root), a short list."""
-    hit = events.join(F.broadcast(repositories), F.col("path").startswith(F.concat(F.regexp_replace("root", "/+$", ""), F.lit("/"))))
-    return hit.groupBy("path").agg(F.max_by("repository", F.length("root")).alias("repository"))
+    """Each event's path with the repository whose root is its longest prefix. ``repositories``: (repository, root).
+
+    A path looks each of its folders up, so this is an equi-join however many repositories there are.
+    """
+    parts = F.split("path", "/", -1)
+    folders = F.transform(F.sequence(F.lit(1), F.size(parts) - 1), lambda i: F.array_join(F.slice(parts, F.lit(1), i), "/"))
+    looked = events.where(F.size(parts) > 1).select("path", F.explode(folders).alias("_folder")).distinct()
+    roots = repositories.select("repository", F.regexp_replace("root", "/+$", "").alias("_folder"))
+    return looked.join(roots, "_folder").groupBy("path").agg(F.max_by("repository", F.length("_folder")).alias("repository"))
 
 
 def debounced(events: DataFrame, gap: str = DEBOUNCE, late: str = "10 seconds") -> DataFrame:

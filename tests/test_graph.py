@@ -61,6 +61,9 @@ def test_save_and_load(spark, tmp_path):
     g.save(str(tmp_path))
     back = Graph.load(spark, str(tmp_path), ["SourceFile", "FunctionDefinition"])
     assert back.edge.count() == 3 and back.node("SourceFile").count() == 2
+    g.set_meta("root", "/w").save(str(tmp_path / "all"))
+    every = Graph.load(spark, str(tmp_path / "all"))
+    assert every.node("SourceFile").count() == 2 and every.node("DatabaseTable").count() == 0 and every.get_meta("root") == "/w"
 
 
 def test_names(spark):
@@ -81,6 +84,9 @@ def test_alias_merge_and_prune(spark):
     g = Graph(spark).commit({"DatabaseTable": t, "DatabaseSystem": s}, e)
     merged, moved = g.merge_aliased_tables()
     assert [tuple(r) for r in moved.collect()] == [("t2", "t1")]
+    assert {r["id"] for r in merged.edge.collect()} == {r["id"] for r in Graph(spark).commit({"DatabaseTable": t, "DatabaseSystem": s}, e.replace("t2", "t1")).edge.collect()}
+    twice, _ = Graph(spark).commit({"DatabaseTable": t, "DatabaseSystem": s}, e.unionAll(spark.createDataFrame([("READS", "i", "t1")], e.schema))).merge_aliased_tables()
+    assert twice.edge.count() == 3  # both reads are of one table now
     assert {(r["from_id"], r["to_id"]) for r in merged.edge.collect()} == {("i", "t1"), ("t1", "s"), ("zz", "s2")}
     pruned, gone = merged.prune_empty_systems()
     assert [r[0] for r in gone.collect()] == ["s2"] and pruned.edge.count() == 2

@@ -1,6 +1,7 @@
 import pytest
 from pyspark.sql import functions as F
 
+from flowloom.functions import strings
 from flowloom.sources import extract, files, html, records
 from flowloom.streaming import watch
 
@@ -31,7 +32,7 @@ def test_extractors(tree):
     got = {(r["method"], r["url"], r["egress"], r["external_host"]) for r in extract.callers(tree).collect()}
     assert got == {("GET", "/api/users", "exact", None), ("POST", "/api/users/:p0/x", "pattern", None), ("GET", "https://x.example.org/a", "exact", "x.example.org"), ("JOB", "bullmq:mail", "exact", None), ("GET", "http://localhost/a", "exact", None)}
     got = {(r["orm"], r["table"], r["operation"]) for r in extract.interactions(tree).collect()}
-    assert got == {("prisma", "user", "read"), ("pymongo", "items", "read"), ("sql", "logs", "write")}
+    assert got == {("prisma", "user", "read"), ("pymongo", "items", "read"), ("sql", "logs", "insert")}
     assert {(r["name"], r["category"]) for r in extract.env_vars(tree).collect()} == {("PORT", "config"), ("JWT_KEY", "auth")}
 
 
@@ -82,3 +83,24 @@ def test_stream(spark, tmp_path):
         raise RuntimeError
 
     watch.refresh_stream(changes, fails, str(tmp_path / "d"), None).awaitTermination()  # a failing cycle doesn't end it
+
+
+def test_every_match_has_its_own_line(spark):
+    files = spark.createDataFrame([("r", "a.ts", "ts", "fetch('/api/users')\nconst x = 1\nfetch('/api/users')\n")], "repository string, path string, language string, content string")
+    assert sorted(r["line"] for r in extract.callers(files).collect() if r["framework"] == "fetch") == [1, 3]
+
+
+def test_chained_verbs_are_an_endpoint_each(spark):
+    code = 'let app = Router::new()\n  .route("/x", post(make))\n  .route("/y/:id", get(show).post(change))\n  .route("/z", axum::routing::delete(drop_it));'
+    files = spark.createDataFrame([("r", "a.rs", "rust", code)], "repository string, path string, language string, content string")
+    got = {(r["line"], r["method"], r["route"]) for r in extract.endpoints(files).collect() if r["framework"] == "axum"}
+    assert got == {(2, "POST", "/x"), (3, "GET", "/y/:id"), (3, "POST", "/y/:id"), (4, "DELETE", "/z")}
+
+
+def test_statements_and_bundles(spark):
+    rows = [("INSERT INTO a.b.logs SELECT * FROM events", ("logs", "insert")), ("select 1 from db.schema.t", ("t", "read")), ('update "x" set a = 1', ("x", "update"))]
+    got = spark.createDataFrame([(s,) for s, _ in rows], "sql string").select(strings.sql_table_op(F.col("sql")).alias("x")).collect()
+    assert [tuple(r["x"]) for r in got] == [want for _, want in rows]
+    big = [("lib/a-Vendor.mjs", 1, "", True), ("x/jquery.js", 51200, "a\n", True), ("x/jquery-3.js", 51200, "a\n", False), ("x/jquery.js", 51199, "a\n", False), ("x/b.bundle.js", 10, "a", False), ("x/b.js", 102400, "a" * 300, True), ("x/b.ts", 999999, "a" * 300, False)]
+    got = spark.createDataFrame([x[:3] for x in big], "p string, n int, t string").select(strings.looks_vendored(F.col("p"), F.col("n"), F.col("t")).alias("v")).collect()
+    assert [r["v"] for r in got] == [x[3] for x in big]

@@ -38,7 +38,7 @@ def rows(spark, d, name, sql=None):
 
 @pytest.mark.parametrize("name, least", [("find_edges_by_type", 8), ("edge_content_dedupe", 24), ("alias_merge", 1), ("line_window", 48)])
 def test_no_key_is_left_out(spark, tables, name, least):
-    found = rows(spark, tables, f"{name}_whole")
+    found = rows(spark, tables, name)
     assert len(found) >= least and len(found) > len(rows(spark, tables, name))
 
 
@@ -49,7 +49,7 @@ FLOWS = [*CLASSES, *"flow_db_hops impact_by_table impact_by_endpoint diff_flows
 
 @pytest.mark.parametrize("name", FLOWS)
 def test_every_order_counts(spark, tables, name):
-    found = rows(spark, tables, f"{name}_whole")
+    found = rows(spark, tables, name)
     assert found and {r[0] for r in found} == CLASSES.get(name, {r[0] for r in found})
     assert sorted(map(repr, found)) != sorted(map(repr, rows(spark, tables, name)))
 
