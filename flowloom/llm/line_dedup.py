@@ -17,8 +17,11 @@ The join of the classes, exact:
 * Length, position and a 128-bit map of the tokens, whose differing bits bound the symmetric
   difference, rule pairs out; numpy walks the pairs of a part. Only the classes that still have a
   partner in a part (not the pairs) come out of this.
+* A pair is met at every common token of its prefixes, but counts at the first one only. An entry
+  holds the two entries of its line before it: where two lines have one of these in common, the pair
+  is met there as well and is passed over here. So few parts get the words of a class.
 * Verification: the words of these classes are read again and sent to the parts concerned, where
-  the Jaccard similarity is computed; a pair counts where its first common token is. What
+  the Jaccard similarity is computed; a pair counts where its first common entry is. What
   comes out is each class's number of links and whether an earlier class is similar: rows grow
   with the classes, also in a family of near copies, whose links grow with its square.
 * A token with more than ``HOT`` entries (a table of fixed size counts them) has its classes
@@ -35,8 +38,6 @@ input come back in a struct, so that no name can clash. An empty table gives no
 
 from __future__ import annotations
 
-import hashlib
-
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
@@ -45,7 +46,8 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from flowloom.llm.common import LAST, bit_table, bound_batches, by_size, counters, cut, discard, has_bit, keyed_rows, table
-from flowloom.llm.words import coded, hashes, mix, plain, split_words, word_hashes
+from flowloom.llm.groups import groups_of
+from flowloom.llm.words import mix, spans, split_words
 
 THRESHOLD = 0.8
 #: Counters of the rarity table and of the table of hot tokens: fixed sizes.
@@ -56,8 +58,8 @@ HOT = 8192
 PART, PARTS = 100_000, 2048
 #: Entries that a task packs at a time.
 PACK = 1 << 18
-#: Text that is tokenised at a time, and tokens of pairs that are verified at a time.
-SLICE, VERIFY = 1 << 20, 1 << 20
+#: Text that is tokenised at a time, tokens of pairs that are verified at a time, and bytes of whole parts that are walked at a time.
+SLICE, VERIFY, WALK = 1 << 18, 1 << 20, 4 << 20
 LEVEL_SHIFT = 57
 _U = np.uint64
 
@@ -71,8 +73,7 @@ def rarity(keyed: DataFrame) -> np.ndarray:
 
     def count(batch, total):
         for part in by_size([batch], 0, SLICE):
-            numbers, distinct, _ = coded(part.column(0))
-            np.add.at(total, hashes(plain(distinct, True)) % _U(BUCKETS), np.bincount(numbers, minlength=len(distinct)))
+            np.add.at(total, spans(part.column(0))[0] % _U(BUCKETS), 1)
 
     return counters(keyed.select("_text"), count, BUCKETS)
 
@@ -83,19 +84,19 @@ def levels(counts: np.ndarray) -> np.ndarray:
 
 
 class Lines:
-    """The distinct tokens of each line of an Arrow string array, in the common order."""
+    """The distinct tokens of each line of the texts of an Arrow string array, in the common order."""
 
-    def __init__(self, lines: pa.StringArray, level: np.ndarray):
-        h, sizes = word_hashes(lines)
-        token = level[h % _U(BUCKETS)].astype(np.uint64) << _U(LEVEL_SHIFT) | h >> _U(64 - LEVEL_SHIFT)
-        known, local = np.unique(token, return_inverse=True)
-        key = np.repeat(np.arange(len(sizes), dtype=np.int64), sizes) << 32 | local
+    def __init__(self, texts: pa.StringArray, level: np.ndarray):
+        #: ``count``: how many lines each text has.
+        h, line, self.count = spans(texts)
+        known, local = np.unique(level[h % _U(BUCKETS)].astype(np.uint64) << _U(LEVEL_SHIFT) | h >> _U(64 - LEVEL_SHIFT), return_inverse=True)
+        key = line << 32 | local
         key.sort()
         if len(key):
             key = key[np.concatenate(([True], key[1:] != key[:-1]))]
         line = key >> 32
         #: Numbers of the lines that have words; the tokens, laid end to end; how many each has; where each begins.
-        n = np.bincount(line, minlength=len(sizes))
+        n = np.bincount(line, minlength=self.count.sum())
         self.at = np.flatnonzero(n)
         self.tokens, self.n = known[key & 0xFFFFFFFF], n[self.at]
         self.starts = np.cumsum(self.n) - self.n
@@ -109,11 +110,25 @@ class Lines:
 
     def prefixes(self, threshold: float) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
         """(short hashes of the prefix tokens that the corpus has more than once, how many each line has, how many come before them)."""
-        line = np.repeat(np.arange(len(self.n)), self.n)
-        inside = np.arange(len(line)) - self.starts[line] < (self.n - np.ceil(threshold * self.n - 1e-9).astype(np.int64) + 1)[line]
-        once = self.tokens >> _U(LEVEL_SHIFT) == 0
-        entry = inside & ~once
-        return short(self.tokens[entry]), np.bincount(line[entry], minlength=len(self.n)), np.bincount(line[inside & once], minlength=len(self.n))
+        shorts = short(self.tokens)
+        line, inside, entry = prefix_entries(self.tokens, shorts, self.starts, self.n, threshold)
+        return shorts[entry], np.bincount(line[entry], minlength=len(self.n)), np.bincount(line[inside & (self.tokens >> _U(LEVEL_SHIFT) == 0)], minlength=len(self.n))
+
+
+def prefix_entries(tokens: np.ndarray, shorts: np.ndarray, starts: np.ndarray, n: np.ndarray, threshold: float) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Of each token: its line, whether it is in the line's prefix, whether it is an entry. A short hash is an entry of a line once."""
+    line = np.repeat(np.arange(len(n)), n)
+    inside = np.arange(len(line)) - starts[line] < (n - np.ceil(threshold * n - 1e-9).astype(np.int64) + 1)[line]
+    again = np.concatenate((np.zeros(min(1, len(line)), bool), shorts[1:] == shorts[:-1]))
+    again[starts] = False
+    return line, inside, inside & ~again & (tokens >> _U(LEVEL_SHIFT) > 0)
+
+
+def before(t: np.ndarray, place: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """The entries one and two places before each entry ``t`` of a line; 0, which is no entry, where there is none."""
+    one, two = np.zeros(len(t), np.uint64), np.zeros(len(t), np.uint64)
+    one[1:], two[2:] = t[:-1], t[:-2]
+    return np.where(place > 0, one, _U(0)), np.where(place > 1, two, _U(0))
 
 
 def token_bits(tokens: np.ndarray, starts: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -124,8 +139,14 @@ def token_bits(tokens: np.ndarray, starts: np.ndarray) -> tuple[np.ndarray, np.n
 
 
 def short(tokens: np.ndarray) -> np.ndarray:
-    """40 bits of a token: enough to find candidates, which are verified on whole tokens."""
-    return mix(tokens) >> _U(24)
+    """The first 40 bits of a token, in the same order: enough to find candidates, which are verified on whole tokens."""
+    return tokens >> _U(24)
+
+
+def places_of(count: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """(number of the text, line number in it) of all lines of texts that have ``count`` lines."""
+    doc = np.repeat(np.arange(len(count)), count)
+    return doc, np.arange(len(doc)) - (np.cumsum(count) - count)[doc]
 
 
 LINES = "_d long, _th long, _no int, _h1 long, _h2 long, _n int, _b0 long, _b1 long, _skip int, _pre binary"
@@ -136,13 +157,11 @@ def line_table(keyed: DataFrame, level: np.ndarray, threshold: float = THRESHOLD
 
     def run(batches):
         for batch in by_size(batches, 2, SLICE):
-            lines = pc.split_pattern(batch.column(2), "\n")
-            count = lines.value_lengths().to_numpy()
-            found = Lines(lines.flatten(), level)
+            found = Lines(batch.column(2), level)
             if not len(found.at):
                 continue
-            doc = np.repeat(np.arange(len(count)), count)[found.at]
-            no = found.at - (np.cumsum(count) - count)[doc]
+            doc, no = places_of(found.count)
+            doc, no = doc[found.at], no[found.at]
             entries, many, skip = found.prefixes(threshold)
             data = np.ascontiguousarray(entries.view(np.uint8).reshape(-1, 8)[:, :5])
             offsets = np.concatenate(([0], np.cumsum(many * 5))).astype(np.int32)
@@ -156,17 +175,33 @@ def line_table(keyed: DataFrame, level: np.ndarray, threshold: float = THRESHOLD
 
 def _unpacked(pre: pa.BinaryArray) -> tuple[np.ndarray, np.ndarray]:
     """(short hashes, how many each row has)."""
-    sizes = pc.binary_length(pre).to_numpy() // 5
-    data = np.frombuffer(b"".join(pre.to_pylist()), np.uint8).reshape(-1, 5)
-    out = np.zeros((len(data), 8), np.uint8)
-    out[:, :5] = data
-    return out.view(np.uint64).ravel(), sizes
+    data, offsets = _bytes(pre)
+    out = np.zeros((len(data) // 5, 8), np.uint8)
+    out[:, :5] = data.reshape(-1, 5)
+    return out.view(np.uint64).ravel(), np.diff(offsets) // 5
+
 
+def _bytes(blobs: pa.BinaryArray) -> tuple[np.ndarray, np.ndarray]:
+    """(the bytes of all rows, laid end to end, offsets of the rows in them)."""
+    offsets = np.frombuffer(blobs.buffers()[1], np.int32, len(blobs) + 1, blobs.offset * 4).astype(np.int64) if len(blobs) else np.zeros(1, np.int64)
+    data = np.frombuffer(blobs.buffers()[2], np.uint8)[offsets[0] : offsets[-1]] if offsets[-1] > offsets[0] else np.zeros(0, np.uint8)
+    return data, offsets - offsets[0]
 
-ENTRY = np.dtype([("g", "<u8"), ("id", "<i8"), ("b0", "<u8"), ("b1", "<u8"), ("n", "<u4"), ("p", "<u2"), ("side", "u1")])
+
+#: q0, q1 and q2 hold the entries before (``before``): their first 32 bits, and the other 8 of both.
+ENTRY = np.dtype([("g", "<u8"), ("id", "<i8"), ("b0", "<u8"), ("b1", "<u8"), ("n", "<u4"), ("p", "<u2"), ("side", "u1"), ("q0", "<u4"), ("q1", "<u4"), ("q2", "<u2")])
 BOTH = 2
 
 
+def put_before(e: np.ndarray, one: np.ndarray, two: np.ndarray) -> None:
+    e["q0"], e["q1"], e["q2"] = one & _U(0xFFFFFFFF), two & _U(0xFFFFFFFF), one >> _U(32) | two >> _U(32) << _U(8)
+
+
+def get_before(e: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    high = e["q2"].astype(np.uint64)
+    return e["q0"] | (high & _U(255)) << _U(32), e["q1"] | high >> _U(8) << _U(32)
+
+
 class Dealer:
     """Where entries go: a group for each token, or for each two blocks of a hot one; a part holds many groups."""
 
@@ -180,7 +215,8 @@ class Dealer:
         other = np.arange(len(rows)) - np.repeat(np.cumsum(blocks) - blocks, blocks)
         own = (mix(line.view(np.uint64) + t) % blocks.astype(np.uint64)).astype(np.int64)[rows]
         low, high = np.minimum(own, other), np.maximum(own, other)
-        group = np.where(blocks[rows] == 1, t[rows], mix(t[rows] * _U(0x9E3779B97F4A7C15) + (low << 32 | high).astype(np.uint64)))
+        # 48 bits, of which a short hash takes 40
+        group = np.where(blocks[rows] == 1, t[rows], mix(t[rows] * _U(0x9E3779B97F4A7C15) + (low << 32 | high).astype(np.uint64)) >> _U(17) | _U(1 << 47))
         return rows, group, np.where(low == high, BOTH, np.where(own == low, 0, 1)).astype(np.uint8)
 
     def part(self, group: np.ndarray) -> np.ndarray:
@@ -198,7 +234,13 @@ def _differing(b0, b1, a, b) -> np.ndarray:
 
 
 def near_pairs(e: np.ndarray, threshold: float):
-    """Places (i, j) in the entries ``e``, sorted by group and length, of pairs that the filters let through; yielded in arrays."""
+    """Places (i, j) in the entries ``e``, sorted by group and length, of pairs that the filters let through; yielded in arrays.
+
+    Pairs with a common one among the two entries before are left to the groups of those.
+    """
+    one, two = get_before(e)
+    none = _U((1 << 64) - 1)  # where a line has no entry before, that is nothing in common
+    one_b, two_b = np.where(one == 0, none, one), np.where(two == 0, none, two)
     g, n, p, b0, b1, side, ids = e["g"].copy(), e["n"].astype(np.int64), e["p"].astype(np.int64), e["b0"].copy(), e["b1"].copy(), e["side"], e["id"]
     at, step = np.arange(len(e)), 1
     while True:
@@ -215,31 +257,16 @@ def near_pairs(e: np.ndarray, threshold: float):
         on = (p[a] + p[b] <= apart) & ((side[a] != side[b]) | (side[a] == BOTH)) & (ids[a] != ids[b])
         a, b, apart = a[on], b[on], apart[on]
         on = _differing(b0, b1, a, b) <= apart
+        a, b = a[on], b[on]
+        on = (one[a] != one_b[b]) & (one[a] != two_b[b]) & (two[a] != one_b[b]) & (two[a] != two_b[b])
         if on.any():
             yield a[on], b[on]
 
 
 def _sorted(e: np.ndarray) -> np.ndarray:
-    order = np.argsort(e["g"])
-    g = e["g"][order]
-    rank = np.cumsum(np.concatenate((np.zeros(min(1, len(g)), np.int64), g[1:] != g[:-1])))
-    return e[order[np.argsort(rank << 32 | e["n"][order].astype(np.int64))]]
-
-
-def _by_part(batches):
-    """(part, rows of an Arrow table) for batches sorted by their first column."""
-    held, part = [], None
-    for batch in batches:
-        keys = batch.column(0).to_numpy()
-        edges = np.flatnonzero(np.concatenate(([True], keys[1:] != keys[:-1]))) if len(keys) else []
-        for a, b in zip(edges, [*edges[1:], len(keys)]):
-            if held and keys[a] != part:
-                yield part, pa.Table.from_batches(held)
-                held = []
-            part = keys[a]
-            held.append(batch.slice(a, b - a))
-    if held:
-        yield part, pa.Table.from_batches(held)
+    if len(e) and e["n"].max() >= 1 << 16:
+        return e[np.lexsort((e["n"], e["g"]))]
+    return e[np.argsort(e["g"] << _U(16) | e["n"])]
 
 
 def partnered(classes: DataFrame, dealer: Dealer, threshold: float) -> DataFrame:
@@ -267,6 +294,7 @@ def partnered(classes: DataFrame, dealer: Dealer, threshold: float) -> DataFrame
             at = row[copy]
             e["g"], e["id"], e["b0"], e["b1"], e["n"], e["side"] = group, ids[at], b0[at].view(np.uint64), b1[at].view(np.uint64), n[at], side
             e["p"] = np.minimum(skip[at] + place[copy], 65535)
+            put_before(e, *(x[copy] for x in before(t, place)))
             held.append((e, dealer.part(group)))
             size += len(e)
             if size >= PACK:
@@ -276,14 +304,17 @@ def partnered(classes: DataFrame, dealer: Dealer, threshold: float) -> DataFrame
             yield from flush()
 
     def meet(batches):
-        for part, rows in _by_part(batches):
+        for rows in groups_of(batches, lambda batch: pc.binary_length(batch.column(1)).to_numpy(), WALK):
             e = _sorted(np.frombuffer(b"".join(rows.column(1).to_pylist()), ENTRY))
             on = np.zeros(len(e), bool)
             for a, b in near_pairs(e, threshold):
                 on[a] = on[b] = True
             if on.any():
-                ids = np.unique(e["id"][on])
-                yield pa.RecordBatch.from_arrays([pa.array(ids), pa.array(np.full(len(ids), part, np.int32))], ["_h1", "_part"])
+                ids, parts = e["id"][on], dealer.part(e["g"][on])
+                order = np.lexsort((parts, ids))
+                ids, parts = ids[order], parts[order]
+                new = np.concatenate(([True], (ids[1:] != ids[:-1]) | (parts[1:] != parts[:-1])))
+                yield pa.RecordBatch.from_arrays([pa.array(ids[new]), pa.array(parts[new])], ["_h1", "_part"])
 
     packed = classes.select("_h1", "_n", "_b0", "_b1", "_skip", "_pre").mapInArrow(pack, "_part int, _blob binary")
     return packed.repartition("_part").sortWithinPartitions("_part").mapInArrow(meet, "_h1 long, _part int")
@@ -301,9 +332,7 @@ def _tokens(keyed: DataFrame, wanted: DataFrame, level: np.ndarray) -> DataFrame
         named = bits.array()
         for batch in by_size(batches, 2, SLICE):
             lines = pc.split_pattern(batch.column(2), "\n")
-            count = lines.value_lengths().to_numpy()
-            doc = np.repeat(np.arange(len(count)), count)
-            no = np.arange(len(doc)) - (np.cumsum(count) - count)[doc]
+            doc, no = places_of(lines.value_lengths().to_numpy())
             at = np.flatnonzero(has_bit(named, place(batch.column(1).to_numpy()[doc], no)))
             found = Lines(lines.flatten().take(pa.array(at)), level)
             if len(found.at):
@@ -317,33 +346,36 @@ def _tokens(keyed: DataFrame, wanted: DataFrame, level: np.ndarray) -> DataFrame
     return found.join(wanted, ["_d", "_th", "_no"])
 
 
-def _linked(e, starts, n, prefix, local, shorts, threshold):
-    """Of the pairs of entries that may be similar, those that are and whose first common token is the entry's: arrays of class numbers."""
-    out = []
+def _linked(e, tokens, entries, threshold):
+    """Of the pairs of entries that may be similar, those that are and whose first common entry is this one: arrays of line numbers.
+
+    ``tokens`` and ``entries`` of the lines: numbers laid end to end, in order, where each line begins, how many it has.
+    """
+    out, many = [], tokens[2]
 
-    def common(x, y, sizes):
-        """(pair, local number) of the common ones among the first ``sizes`` tokens of the pairs' lines, in order."""
-        begin = np.concatenate((starts[x], starts[y]))
-        at = np.repeat(begin - (np.cumsum(sizes) - sizes), sizes) + np.arange(sizes.sum())
-        key = np.repeat(np.concatenate((np.arange(len(x)), np.arange(len(x)))), sizes) << 32 | local[at]
+    def common(x, y, numbers, starts, count):
+        """(pair, number) of what the lines of the pairs have in common, in order."""
+        sizes = np.concatenate((count[x], count[y]))
+        at = np.repeat(np.concatenate((starts[x], starts[y])) - (np.cumsum(sizes) - sizes), sizes) + np.arange(sizes.sum())
+        key = np.repeat(np.concatenate((np.arange(len(x)), np.arange(len(x)))), sizes) << 32 | numbers[at]
         key.sort()
         both = key[1:][key[1:] == key[:-1]]
         return both >> 32, both & 0xFFFFFFFF
 
     def verify(a, b):
-        x, y, t = e["id"][a], e["id"][b], e["t"][a]
-        pair, token = common(x, y, np.concatenate((prefix[x], prefix[y])))
+        x, y = e["id"][a], e["id"][b]
+        pair, number = common(x, y, *entries)
         first = np.full(len(x), -1)
-        first[pair[::-1]] = token[::-1]
-        on = (first >= 0) & (shorts[first] == t)
+        first[pair[::-1]] = number[::-1]
+        on = (first == e["t"][a]) & (first == e["t"][b])
         x, y = x[on], y[on]
-        pair, _ = common(x, y, np.concatenate((n[x], n[y])))
+        pair, _ = common(x, y, *tokens)
         same = np.bincount(pair, minlength=len(x))
-        ok = same >= threshold * (n[x] + n[y] - same) - 1e-9
+        ok = same >= threshold * (many[x] + many[y] - same) - 1e-9
         out.append((x[ok], y[ok]))
 
     for a, b in near_pairs(e, threshold):
-        sizes = np.cumsum(prefix[e["id"][a]] + prefix[e["id"][b]] + 16)
+        sizes = np.cumsum(many[e["id"][a]] + many[e["id"][b]] + 16)
         cuts = np.searchsorted(sizes, np.arange(VERIFY, sizes[-1] + VERIFY, VERIFY), "left")
         for x, y in zip([0, *(cuts + 1)], cuts + 1):
             if x < min(y, len(a)):
@@ -356,30 +388,31 @@ LINKS = "_h1 long, _h2 long, _links long, _late boolean"
 
 def verified(lines: DataFrame, dealer: Dealer, threshold: float) -> DataFrame:
     """``LINKS`` of the classes in each part (_part, _h1, _h2, _d, _th, _no, _tokens): a class can have several rows."""
-    wide = np.dtype([*ENTRY.descr, ("t", "<u8")])
+    wide = np.dtype([*ENTRY.descr, ("t", "<i8")])
 
     def run(batches):
-        for part, rows in _by_part(batches):
-            h1, h2, d, th, no = (rows.column(k).combine_chunks().to_numpy() for k in range(1, 6))
-            blobs = rows.column(6).to_pylist()
-            n = np.array([len(b) // 8 for b in blobs])
-            tokens, starts = np.frombuffer(b"".join(blobs), np.uint64), np.cumsum(n) - n
+        for rows in groups_of(batches, lambda batch: pc.binary_length(batch.column(6)).to_numpy(), WALK):
+            part, h1, h2, d, th, no = (rows.column(k).combine_chunks().to_numpy() for k in range(6))
+            data, offsets = _bytes(rows.column(6).combine_chunks())
+            tokens, n = data.view(np.uint64), np.diff(offsets) // 8
+            starts = np.cumsum(n) - n
             known, local = np.unique(tokens, return_inverse=True)
             shorts = short(known)
-            prefix = n - np.ceil(threshold * n - 1e-9).astype(np.int64) + 1
-            line = np.repeat(np.arange(len(n)), n)
-            position = np.arange(len(line)) - starts[line]
-            inside = (position < prefix[line]) & (tokens >> _U(LEVEL_SHIFT) > 0)
-            t, row, p = shorts[local[inside]], line[inside], position[inside]
+            number = np.cumsum(np.concatenate(([0], shorts[1:] != shorts[:-1])))
+            line, _, entry = prefix_entries(tokens, shorts[local], starts, n, threshold)
+            t, row, p = shorts[local[entry]], line[entry], (np.arange(len(line)) - starts[line])[entry]
+            many = np.bincount(row, minlength=len(n))
+            begin = np.cumsum(many) - many
             copy, group, side = dealer.deal(t, h1[row])
-            here = dealer.part(group) == part
+            here = dealer.part(group) == part[row[copy]]
             copy, group, side = copy[here], group[here], side[here]
             e = np.zeros(len(copy), wide)
             at = row[copy]
             b0, b1 = token_bits(tokens, starts)
-            e["g"], e["id"], e["b0"], e["b1"], e["n"], e["side"], e["t"] = group, at, b0[at], b1[at], n[at], side, t[copy]
-            e["p"] = np.minimum(p[copy], 65535)
-            x, y = _linked(_sorted(e), starts, n, prefix, local, shorts, threshold)
+            e["g"], e["id"], e["b0"], e["b1"], e["n"], e["side"] = group, at, b0[at], b1[at], n[at], side
+            e["p"], e["t"] = np.minimum(p[copy], 65535), number[local[entry]][copy]
+            put_before(e, *(x[copy] for x in before(t, np.arange(len(t)) - begin[row])))
+            x, y = _linked(_sorted(e), (local, starts, n), (number[local[entry]], begin, many), threshold)
             if not len(x):
                 continue
             order = np.empty(len(n), np.int64)
@@ -405,6 +438,10 @@ def line_links(keyed: DataFrame, threshold: float = THRESHOLD) -> tuple[DataFram
     features = F.struct("_n", "_b0", "_b1", "_skip", "_pre")
     classes = cut(lines.groupBy("_h1", "_h2").agg(F.min(place).alias("_first"), (F.max(place) != F.min(place)).alias("_more"), F.first(features).alias("_f")).select("_h1", "_h2", "_first", "_more", "_f.*"), "classes")
 
+    # what is needed no more goes before entries and words are dealt
+    places = cut(lines.select("_d", "_th", "_no", "_h1", "_h2"), "places")
+    discard(lines)
+
     def count(batch, total):
         t, _ = _unpacked(batch.column(0))
         np.add.at(total, t % _U(BUCKETS), 1)
@@ -414,10 +451,8 @@ def line_links(keyed: DataFrame, threshold: float = THRESHOLD) -> tuple[DataFram
     found = cut(partnered(classes, dealer, threshold).groupBy("_h1").agg(F.collect_set("_part").alias("_parts")), "partnered")
     wanted = cut(classes.select("_h1", "_h2", "_first.*").join(found, "_h1"), "wanted")
     tokens = cut(_tokens(keyed, wanted, level), "tokens")
-    # what is needed no more goes before the words are dealt
     slim = cut(classes.select("_h1", "_h2", "_first", "_more"), "slim")
-    places = cut(lines.select("_d", "_th", "_no", "_h1", "_h2"), "places")
-    discard(found, wanted, classes, lines)
+    discard(found, wanted, classes)
     links = cut(verified(tokens.withColumn("_part", F.explode("_parts")), dealer, threshold).groupBy("_h1", "_h2").agg(F.sum("_links").alias("_links"), F.max("_late").alias("_late")), "links")
     discard(tokens)
     joined = slim.join(links, ["_h1", "_h2"], "left").where("_links IS NOT NULL OR _more")
@@ -429,14 +464,22 @@ def line_links(keyed: DataFrame, threshold: float = THRESHOLD) -> tuple[DataFram
 def line_marks(keyed: DataFrame, threshold: float = THRESHOLD) -> DataFrame:
     """Of the documents (_d, _th) with lines that aren't alone: _gone (lines that go), n_similar, n_links and classes as in ``dedup_lines``."""
     places, flagged = line_links(keyed, threshold)
-    first = F.col("_first")
-    own = F.struct("_d", "_th", "_no") == first
-    class_id = F.concat_ws(":", F.when(first["_d"] == LAST, "").otherwise(first["_d"].cast("string")), F.hex(first["_th"]), first["_no"].cast("string"))
-    rows = places.join(flagged, ["_h1", "_h2"]).dropDuplicates(["_d", "_th", "_no"]).select(
-        "_d", "_th", F.when(F.col("_late") | ~own, F.col("_no")).alias("_go"), (F.col("_late") & own).cast("long").alias("_similar"), "_links",
-        F.struct(F.col("_no").alias("line_no"), class_id.alias("class_id")).alias("_class"),
+    # equal documents have equal lines
+    rows = places.join(flagged, ["_h1", "_h2"]).groupBy("_d", "_th").agg(F.sort_array(F.collect_set(F.struct("_no", "_first", "_links", "_late"))).alias("_lines"))
+
+    def own(x):
+        return x["_first"] == F.struct(F.col("_d"), F.col("_th"), x["_no"].alias("_no"))
+
+    def line_class(x):
+        first = x["_first"]
+        class_id = F.concat_ws(":", F.when(first["_d"] == LAST, "").otherwise(first["_d"].cast("string")), F.hex(first["_th"]), first["_no"].cast("string"))
+        return F.struct(x["_no"].alias("line_no"), class_id.alias("class_id"))
+
+    return rows.select(
+        "_d", "_th", F.transform(F.filter("_lines", lambda x: x["_late"] | ~own(x)), lambda x: x["_no"]).alias("_gone"),
+        F.size(F.filter("_lines", lambda x: x["_late"] & own(x))).cast("long").alias("n_similar"),
+        F.aggregate("_lines", F.lit(0).cast("long"), lambda total, x: total + x["_links"]).alias("n_links"), F.transform("_lines", line_class).alias("classes"),
     )
-    return rows.groupBy("_d", "_th").agg(F.collect_list("_go").alias("_gone"), F.sum("_similar").alias("n_similar"), F.sum("_links").alias("n_links"), F.sort_array(F.collect_list("_class")).alias("classes"))
 
 
 def dedup_lines(docs: DataFrame, threshold: float = THRESHOLD) -> DataFrame:
@@ -451,7 +494,7 @@ def dedup_lines(docs: DataFrame, threshold: float = THRESHOLD) -> DataFrame:
     joined = keyed.select("_row", "_d", "_th").join(line_marks(keyed, threshold), ["_d", "_th"], "left")
 
     def run(batches):
-        for batch in by_size(batches, lambda b: pc.struct_field(b.column(0), "text").cast(pa.string()), SLICE):
+        for batch in by_size(batches, lambda b: pc.struct_field(b.column(0), "text").cast(pa.string()), 1 << 20):
             texts = pc.fill_null(pc.struct_field(batch.column(0), "text").cast(pa.string()), "")
             kept, lines_, removed = [], [], []
             for text, gone in zip(texts.to_pylist(), batch.column(1).to_pylist()):

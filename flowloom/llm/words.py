@@ -83,6 +83,50 @@ def word_hashes(texts: pa.StringArray, trimmed: bool = True) -> tuple[np.ndarray
     return hashes(plain(distinct, trimmed))[numbers], sizes
 
 
+#: What a character outside a word's core is, by code point: white space parts words, marks are trimmed. What a byte is: the same, or where such a character may begin.
+_MARK, _WHITE, _LEAD = 1, 2, 3
+_KIND = np.zeros(1 << 16, np.uint8)
+_KIND[[ord(c) for c in MARKS]] = _MARK
+_KIND[[c for c in range(1 << 16) if chr(c).isspace()]] = _WHITE
+_BYTE = np.where(np.arange(256) < 128, _KIND[:256], 0).astype(np.uint8)
+_BYTE[[chr(c).encode()[0] for c in np.flatnonzero(_KIND) if c >= 128]] = _LEAD
+
+
+def spans(texts: pa.StringArray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    r"""(hash of each trimmed word, number of its line among the lines of all texts, how many lines each text has).
+
+    The words and hashes of ``word_hashes`` over the lines between \n, without a string for each chunk.
+    """
+    low = pc.utf8_lower(pc.binary_join_element_wise(texts, "", "\n"))  # each text ends with a \n
+    offsets = np.frombuffer(low.buffers()[1], np.int32, len(low) + 1, low.offset * 4).astype(np.int64)
+    data = np.frombuffer(low.buffers()[2], np.uint8)[offsets[0] : offsets[-1]] if len(low) else np.zeros(0, np.uint8)
+    kind = _BYTE[data]
+    at = np.flatnonzero(kind == _LEAD)
+    long = data[at] >= 0xE0
+    for first, more in ((at[~long], 1), (at[long], 2)):
+        code = data[first].astype(np.int64) & (0x1F if more == 1 else 0x0F)
+        for k in range(1, more + 1):
+            code = code << 6 | data[first + k] & 0x3F
+        for k in range(more + 1):
+            kind[first + k] = _KIND[code]
+    edges = np.flatnonzero(np.diff(kind != _WHITE, prepend=False))
+    begin, end = edges[::2].copy(), edges[1::2].copy()
+    marked = np.flatnonzero((kind[begin] == _MARK) | (kind[end - 1] == _MARK))
+    if len(marked):
+        edges = np.flatnonzero(np.diff(kind == 0, prepend=False))
+        first, last = edges[::2], edges[1::2]  # of runs without marks
+        a, b = np.searchsorted(last, begin[marked], "right"), np.searchsorted(first, end[marked])
+        marked, a, b = marked[a < b], a[a < b], b[a < b]
+        begin[marked], end[marked] = first[a], last[b - 1]
+    up, down = powers(max(len(data) + 1, 1 << 21))
+    total = np.zeros(len(data) + 1, np.uint64)
+    np.cumsum(_LETTER[data] * up[: len(data)], out=total[1:])
+    h = mix((total[end] - total[begin]) * down[begin] + (end - begin).astype(np.uint64))
+    stops = np.flatnonzero(data == 10)
+    count = np.diff(np.searchsorted(stops, offsets - offsets[0]))
+    return np.where(h == 0, _U(1), h), np.searchsorted(stops, begin), count
+
+
 def split_words(text: str, trimmed: bool = True) -> list[str]:
     """The same words of a single text, one by one."""
     found = []

@@ -1,8 +1,11 @@
 import random
 
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import functions as F
 
 from flowloom.llm import line_dedup as L
+from flowloom.llm.words import hashes, spans, split_words
 
 
 def brute(rows):
@@ -107,3 +110,45 @@ def test_every_link_of_a_family(spark, monkeypatch):
     assert sum(r["n_links"] for r in run(spark, rows)) > 1400
     monkeypatch.setattr(L, "HOT", 7)  # common tokens are cut into blocks
     assert sum(r["n_links"] for r in run(spark, rows)) > 1400
+
+
+def test_words_go_to_few_parts(spark, monkeypatch):
+    """A pair is verified where its first common entry is, not in a part of each common entry."""
+    rng = random.Random(9)
+    rows = []
+    for i in range(12):
+        w = [f"w{i}x{k}" for k in range(100)]
+        v = list(w)
+        v[rng.randrange(100)] = f"other{i}"
+        rows += [(2 * i, " ".join(w), "en", 0), (2 * i + 1, " ".join(v), "en", 0)]
+    sent, verified = [], L.verified
+
+    def counted(lines, *rest):
+        sent.append(lines.count())
+        return verified(lines, *rest)
+
+    monkeypatch.setattr(L, "verified", counted)
+    assert sum(r["n_links"] for r in run(spark, rows)) == 24
+    assert 24 <= sent[0] <= 60
+
+
+def test_spans_are_the_words_of_the_lines():
+    rng = random.Random(10)
+    letters = list("abZÉßİК漢😀.,-«»“”…°'\"\n\n \t\x85\xa0  　\x1c") + ["..", "— ", "x"]
+    for _ in range(300):
+        texts = ["".join(rng.choices(letters, k=rng.randint(0, 40))) for _ in range(rng.randint(0, 9))] + ["a ", "«　"]
+        found = pa.array(["left out", *texts]).slice(1)
+        h, line, count = spans(found)
+        words = [split_words(x) for t in texts for x in t.split("\n")]
+        assert h.tolist() == hashes(pa.array([w for x in words for w in x], pa.string())).tolist()
+        assert line.tolist() == [i for i, x in enumerate(words) for _ in x]
+        assert count.tolist() == [t.count("\n") + 1 for t in texts]
+
+
+def test_entries_are_sorted_by_group_and_length():
+    rng = np.random.default_rng(11)
+    for most in (100, 1 << 17):
+        e = np.zeros(5000, L.ENTRY)
+        e["g"], e["n"] = rng.integers(1 << 47, (1 << 47) + 50, 5000), rng.integers(1, most, 5000)
+        found = L._sorted(e)
+        assert sorted(zip(e["g"].tolist(), e["n"].tolist())) == list(zip(found["g"].tolist(), found["n"].tolist()))
