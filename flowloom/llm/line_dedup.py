@@ -89,16 +89,18 @@ class Lines:
     def __init__(self, texts: pa.StringArray, level: np.ndarray):
         #: ``count``: how many lines each text has.
         h, line, self.count = spans(texts)
-        known, local = np.unique(level[h % _U(BUCKETS)].astype(np.uint64) << _U(LEVEL_SHIFT) | h >> _U(64 - LEVEL_SHIFT), return_inverse=True)
-        key = line << 32 | local
+        token = level[h % _U(BUCKETS)].astype(np.uint64) << _U(LEVEL_SHIFT) | h >> _U(64 - LEVEL_SHIFT)
+        order = np.argsort(token)
+        key = line[order] << 32 | np.arange(len(order))
         key.sort()
+        line, token = key >> 32, token[order[key & 0xFFFFFFFF]]
         if len(key):
-            key = key[np.concatenate(([True], key[1:] != key[:-1]))]
-        line = key >> 32
+            new = np.concatenate(([True], (token[1:] != token[:-1]) | (line[1:] != line[:-1])))
+            line, token = line[new], token[new]
         #: Numbers of the lines that have words; the tokens, laid end to end; how many each has; where each begins.
         n = np.bincount(line, minlength=self.count.sum())
         self.at = np.flatnonzero(n)
-        self.tokens, self.n = known[key & 0xFFFFFFFF], n[self.at]
+        self.tokens, self.n = token, n[self.at]
         self.starts = np.cumsum(self.n) - self.n
 
     def classes(self) -> list[np.ndarray]:
@@ -132,10 +134,10 @@ def before(t: np.ndarray, place: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
 
 
 def token_bits(tokens: np.ndarray, starts: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """Two words of 64 bits for each line: every token sets one of the 128 bits."""
+    """Two words of 64 bits for each line: every token flips one of the 128 bits, so that long lines don't fill them."""
     h = mix(tokens & _U((1 << LEVEL_SHIFT) - 1))
     bit, word = _U(1) << (h & _U(63)), h >> _U(6) & _U(1)
-    return np.bitwise_or.reduceat(bit * (_U(1) - word), starts), np.bitwise_or.reduceat(bit * word, starts)
+    return np.bitwise_xor.reduceat(bit * (_U(1) - word), starts), np.bitwise_xor.reduceat(bit * word, starts)
 
 
 def short(tokens: np.ndarray) -> np.ndarray:
@@ -229,7 +231,7 @@ def _apart(na: np.ndarray, nb: np.ndarray, threshold: float) -> np.ndarray:
 
 
 def _differing(b0, b1, a, b) -> np.ndarray:
-    """Differing bits of the lines' maps: at most as many as differing tokens."""
+    """Differing bits of the lines' maps, those that differing tokens flip: at most as many as these."""
     return np.bitwise_count(b0[a] ^ b0[b]).astype(np.int64) + np.bitwise_count(b1[a] ^ b1[b])
 
 
@@ -482,8 +484,8 @@ def line_marks(keyed: DataFrame, threshold: float = THRESHOLD) -> DataFrame:
     )
 
 
-def dedup_lines(docs: DataFrame, threshold: float = THRESHOLD) -> DataFrame:
-    """A row for each of ``docs``: ``row`` (a struct of its columns), ``kept`` (the text without removed lines), n_lines (with
+def dedup_lines(docs: DataFrame, threshold: float = THRESHOLD, back: list[str] | None = None) -> DataFrame:
+    """A row for each of ``docs``: ``row`` (a struct of its columns, or of those in ``back``), ``kept`` (the text without removed lines), n_lines (with
     words), n_removed, n_similar (of them, first lines of their class that go for an earlier similar class), n_links (similar
     classes of its lines, in sum) and classes (line number and class id of each line whose class has several lines or links).
 
@@ -504,10 +506,12 @@ def dedup_lines(docs: DataFrame, threshold: float = THRESHOLD) -> DataFrame:
                 kept.append("\n".join([line for i, line in enumerate(lines) if i not in gone]) if gone else text)
                 removed.append(len(gone))
             counts = [pa.array(lines_, pa.int64()), pa.array(removed, pa.int64())]
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(kept, pa.string()), *counts, *batch.columns[2:]], ["row", "kept", "n_lines", "n_removed", "n_similar", "n_links", "classes"])
+            row = batch.column(0) if back is None else pa.StructArray.from_arrays([pc.struct_field(batch.column(0), c) for c in back], back)
+            yield pa.RecordBatch.from_arrays([row, pa.array(kept, pa.string()), *counts, *batch.columns[2:]], ["row", "kept", "n_lines", "n_removed", "n_similar", "n_links", "classes"])
 
     counts = "kept string, n_lines long, n_removed long, n_similar long, n_links long, classes array<struct<line_no:int,class_id:string>>"
-    schema = T.StructType([T.StructField("row", keyed.schema["_row"].dataType), *T.StructType.fromDDL(counts)])
+    given = keyed.schema["_row"].dataType
+    schema = T.StructType([T.StructField("row", given if back is None else T.StructType([given[c] for c in back])), *T.StructType.fromDDL(counts)])
     none = F.from_json(F.lit("[]"), "array<struct<line_no:int,class_id:string>>")
     return joined.select("_row", "_gone", F.coalesce("n_similar", F.lit(0)), F.coalesce("n_links", F.lit(0)), F.coalesce("classes", none)).mapInArrow(run, schema)
 
@@ -515,5 +519,5 @@ def dedup_lines(docs: DataFrame, threshold: float = THRESHOLD) -> DataFrame:
 def op5_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     """One row a document: lines with words, lines removed, those of them that go for a similar line in other words, links of
     its lines, the classes of its lines, and the kept text's digest."""
-    found = dedup_lines(table(spark, sf_dir, "documents").select("doc_id", "text"))
+    found = dedup_lines(table(spark, sf_dir, "documents").select("doc_id", "text"), back=["doc_id"])
     return found.select(F.col("row.doc_id").cast("long").alias("doc_id"), "n_lines", "n_removed", "n_similar", "n_links", "classes", F.sha2("kept", 256).alias("kept_sha256"))

@@ -152,3 +152,17 @@ def test_entries_are_sorted_by_group_and_length():
         e["g"], e["n"] = rng.integers(1 << 47, (1 << 47) + 50, 5000), rng.integers(1, most, 5000)
         found = L._sorted(e)
         assert sorted(zip(e["g"].tolist(), e["n"].tolist())) == list(zip(found["g"].tolist(), found["n"].tolist()))
+
+
+def test_maps_rule_out_long_lines():
+    rng = np.random.default_rng(12)
+    n, lines = 220, 40
+    words = rng.integers(1, 1 << 62, 400 * lines, dtype=np.uint64)
+    a, b = np.triu_indices(lines, 1)
+    for vocabulary, bound in ((words, 0.95), (words[:240], 0)):
+        sets = [rng.choice(vocabulary, n, replace=False) for _ in range(lines)]
+        b0, b1 = L.token_bits(np.concatenate(sets), np.arange(lines) * n)
+        differing = L._differing(b0, b1, a, b)
+        true = np.array([len(set(sets[i].tolist()) ^ set(sets[j].tolist())) for i, j in zip(a, b)])
+        assert (differing <= true).all()
+        assert (differing > L._apart(np.array(n), np.array(n), 0.8)).mean() >= bound
