@@ -11,7 +11,7 @@ from pyspark.sql import functions as F
 
 from flowloom.functions import ids, strings, urls
 from flowloom.graph import alias_moves, last_write_wins
-from flowloom.operators import stitch, walk
+from flowloom.operators import packed, stitch, walk
 from flowloom.sources import driver_tables as T
 
 QUERIES: dict = {}
@@ -266,8 +266,7 @@ def service_hops_2(spark: SparkSession, d: str) -> DataFrame:
 FROM f JOIN lineitem ON handler_id = l_suppkey AND l_quantity >= 40 WHERE {_LADDER} = 'complete' GROUP BY 1""")
 def impact_by_table(spark: SparkSession, d: str) -> DataFrame:
     touched = T.interactions(spark, d).select(F.col("function_id").alias("handler_id"), "table_id").distinct()
-    complete = _flows(spark, d).where("completeness = 'complete'")
-    return complete.join(touched, "handler_id").groupBy("table_id").agg(F.countDistinct("process_id", "caller_id", "endpoint_id").alias("flows"), F.countDistinct("process_id").alias("processes"), F.countDistinct("endpoint_id").alias("endpoints"))
+    return packed.impact(_flows(spark, d).where("completeness = 'complete'"), touched)
 
 
 @query(f"""WITH {_FLOWS} SELECT endpoint_id, count(*) AS flows, count(DISTINCT process_id) AS processes, count(DISTINCT caller_id) AS callers FROM f WHERE {_LADDER} = 'complete' GROUP BY 1""")
