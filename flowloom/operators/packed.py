@@ -15,13 +15,15 @@ from pyspark.sql import DataFrame
 
 #: Members that a group holds before they are merged, bytes of text in a batch of results.
 MERGE, TEXT = 1 << 21, 1 << 23
+#: Up to 200 partitions Spark's map tasks open a file for each.
+ONE_FILE = 201
 
 
-def spread(df: DataFrame, *keys: str) -> DataFrame:
-    """``df`` dealt by ``keys`` to so many tasks that what a task makes or sorts stays in memory; not fewer where the rows are still short."""
+def spread(df: DataFrame, *keys: str, by_range: bool = False) -> DataFrame:
+    """``df`` dealt by ``keys``, or ranges of them, to so many tasks that what a task makes or sorts stays in memory; not fewer where the rows are still short."""
     spark = df.sparkSession
-    n = max(int(spark.conf.get("spark.sql.shuffle.partitions")), 16 * spark.sparkContext.defaultParallelism)
-    return df.repartition(n, *keys)
+    n = max(int(spark.conf.get("spark.sql.shuffle.partitions")), 24 * spark.sparkContext.defaultParallelism, ONE_FILE)
+    return df.repartitionByRange(n, *keys) if by_range else df.repartition(n, *keys)
 
 
 def pack(ids: np.ndarray) -> bytes:
@@ -135,8 +137,8 @@ def impact(flows: DataFrame, touched: DataFrame) -> DataFrame:
         def add(state, piece):
             state[0] += sum(piece.column("flows").to_pylist())
             state[1] += sum(piece.column("endpoints").to_pylist())
-            for blob in piece.column("processes"):
-                state[2].add(blob.as_py())
+            for blob in piece.column("processes").to_pylist():
+                state[2].add(blob)
 
         for k, (n, e, p) in groups(batches, "table_id", lambda: [0, 0, Union()], add):
             yield k, n, len(p), e
@@ -147,3 +149,32 @@ def impact(flows: DataFrame, touched: DataFrame) -> DataFrame:
     of = whole.mapInArrow(lambda b: batched(lists(b), listed, lambda r: len(r[3])), "handler_id long, flows long, endpoints long, processes binary")
     sent = spread(touched, "handler_id").join(of, "handler_id").select("table_id", "flows", "endpoints", "processes")
     return spread(sent, "table_id").sortWithinPartitions("table_id").mapInArrow(lambda b: batched(united(b), result), "table_id long, flows long, processes long, endpoints long")
+
+
+def nested(flows: DataFrame, texts: DataFrame) -> DataFrame:
+    """(process_id, flows, n): each flow's head and its handler's text, or ``-``; sorted, with a space between.
+
+    flows (process_id, head, handler_id): heads of a process that are the same have the same handler, and
+    none is the beginning of another, so that heads sort as the whole would. texts (handler_id, text), each
+    handler once. Ranges of processes, not hashes of them: where the ids of a handler's processes lie
+    close together, its text goes to few tasks, and copies that follow each other are compressed away.
+    """
+
+    def small(batches):
+        for b in batches:
+            for k, text in zip(b.column("handler_id").to_pylist(), b.column("text")):
+                yield k, deflate(text.as_py())
+
+    def joined(batches):
+        def add(state, piece):
+            for head, blob in zip(piece.column("head").to_pylist(), piece.column("text").to_pylist()):
+                state.append(head + ("-" if blob is None else inflate(blob)))
+
+        for k, found in groups(batches, "process_id", list, add):
+            yield k, " ".join(found), len(found)
+
+    texted = pa.schema([("handler_id", pa.int64()), ("text", pa.binary())])
+    result = pa.schema([("process_id", pa.int64()), ("flows", pa.string()), ("n", pa.int64())])
+    of = texts.where("text IS NOT NULL").select("handler_id", "text").mapInArrow(lambda b: batched(small(b), texted, lambda r: len(r[1])), "handler_id long, text binary")
+    sent = spread(flows, "handler_id").join(of, "handler_id", "left").select("process_id", "head", "text")
+    return spread(sent, "process_id", by_range=True).sortWithinPartitions("process_id", "head").mapInArrow(lambda b: batched(joined(b), result, lambda r: len(r[1])), "process_id long, flows string, n long")

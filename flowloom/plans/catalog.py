@@ -447,11 +447,10 @@ FROM f LEFT JOIN t ON handler_id = l_suppkey) GROUP BY 1""")
 def nested_flow_struct(spark: SparkSession, d: str) -> DataFrame:
     """Flows as nested records, as text: a process with its callers, endpoints and the tables behind these."""
     name = F.col("table_id").cast("string")
-    touched = T.interactions(spark, d).groupBy(F.col("function_id").alias("handler_id")).agg(F.array_join(F.array_sort(F.collect_set(name)), ",").alias("tables"))
-    f = _flows(spark, d).join(touched, "handler_id", "left")
+    touched = T.interactions(spark, d).groupBy(F.col("function_id").alias("handler_id")).agg(F.nullif(F.array_join(F.array_sort(F.collect_set(name)), ","), F.lit("")).alias("text"))
     text = lambda c: F.coalesce(F.col(c).cast("string"), F.lit("-"))
-    one = F.concat_ws(":", text("caller_id"), text("endpoint_id"), "completeness", text("tables"))
-    return f.groupBy("process_id").agg(F.array_join(F.array_sort(F.collect_list(one)), " ").alias("flows"), F.count(F.lit(1)).alias("n"))
+    head = F.concat_ws(":", text("caller_id"), text("endpoint_id"), "completeness", F.lit(""))
+    return packed.nested(_flows(spark, d).select("process_id", head.alias("head"), "handler_id"), touched)
 
 
 @query("""SELECT user_id, min(ts) AS "start", max(ts) + INTERVAL 1 HOUR AS "end", count(*) AS n FROM (SELECT *, sum(fresh) OVER (PARTITION BY user_id ORDER BY ts, event_id) AS cycle FROM

@@ -26,13 +26,13 @@ def many(spark, tmp_path_factory):
     return d
 
 
-def shuffled(spark) -> int:
-    """Rows that the session's stages have written to shuffles so far."""
+def shuffled(spark, what: str = "shuffleWriteRecords") -> int:
+    """Rows, or bytes, that the session's stages have written to shuffles so far."""
     sc = spark.sparkContext._jsc.sc()
     sc.listenerBus().waitUntilEmpty(30_000)
     stages, none = sc.statusStore(), spark.sparkContext._gateway.new_array(spark._jvm.double, 0)
     seen = stages.stageList(None, False, False, none, None)
-    return sum(seen.apply(i).shuffleWriteRecords() for i in range(seen.size()))
+    return sum(getattr(seen.apply(i), what)() for i in range(seen.size()))
 
 
 def test_round_trip():
@@ -68,3 +68,41 @@ def test_impact_ships_lists_and_not_each_flow_to_each_table(spark, many):
     got = rows(spark, many, "impact_by_table")
     assert len(got) > 500 and None in {r[0] for r in got}
     assert shuffled(spark) - before < 40_000  # with a row for each flow and table it was 271,043
+
+
+@pytest.fixture(scope="module")
+def wide(spark, tmp_path_factory):
+    """Thirty suppliers with 200 large lines each, of processes that follow each other; supplier 5 has no part, process 2 is there twice."""
+    d = str(tmp_path_factory.mktemp("wide"))
+    made = {
+        "lineitem": "SELECT i AS l_orderkey, CASE WHEN i // 200 <> 5 THEN 1000000 + i * 7919 % 6000 * 3571 END AS l_partkey, i // 200 AS l_suppkey, 1 AS l_linenumber, 45.0 AS l_quantity, 'N' AS l_returnflag FROM range(6000) r(i)",
+        "orders": "SELECT i AS o_orderkey, i // 2 * 2 AS o_custkey, '5-LOW' AS o_orderpriority, 'O' AS o_orderstatus FROM range(6000) r(i)",
+        "customer": "SELECT i AS c_custkey, 3 AS c_nationkey, 'X' AS c_mktsegment FROM (SELECT unnest(range(6010)) UNION ALL SELECT 2) r(i)",
+        "supplier": "SELECT i AS s_suppkey, 3 AS s_nationkey FROM range(30) r(i)",
+    }
+    for name, sql in made.items():
+        duckdb.sql(f"COPY ({sql}) TO '{d}/{name}.parquet' (FORMAT parquet)")
+    return d
+
+
+def test_nested_flows_ship_a_text_once_to_a_range(spark, wide):
+    large = {"spark.sql.shuffle.partitions": "300", "spark.sql.autoBroadcastJoinThreshold": "-1"}
+    held = {k: spark.conf.get(k) for k in large}
+    try:
+        for k, v in large.items():
+            spark.conf.set(k, v)
+        before = shuffled(spark, "shuffleWriteBytes")
+        got = {r[0]: r for r in rows(spark, wide, "nested_flow_struct")}
+        assert shuffled(spark, "shuffleWriteBytes") - before < 2_500_000  # 4.5 MB with the text in each flow
+    finally:
+        for k, v in held.items():
+            spark.conf.set(k, v)
+    assert len(got) == 6010
+    assert got[1][1:] == ("-:-:function-only:-", 1) and got[1000][1] == "1000:5:complete:- 1001:5:complete:-" and got[2][2] == 4
+
+
+def test_nested_keeps_what_has_no_process_or_handler(spark):
+    flows = spark.createDataFrame([(None, "-:-:x:", None), (4, "10:1:x:", 1), (4, "1:1:x:", 1), (-4, "2:2:x:", 2), (None, "3:9:x:", 9)], "process_id long, head string, handler_id long")
+    texts = spark.createDataFrame([(1, "5,6"), (2, None)], "handler_id long, text string")
+    got = {tuple(r) for r in packed.nested(flows, texts).collect()}
+    assert got == {(None, "-:-:x:- 3:9:x:-", 2), (4, "10:1:x:5,6 1:1:x:5,6", 2), (-4, "2:2:x:-", 1)}
