@@ -148,7 +148,7 @@ def impact(flows: DataFrame, touched: DataFrame) -> DataFrame:
     whole = flows.select("handler_id", "endpoint_id", "process_id", "caller_id").repartition("handler_id").distinct().drop("caller_id").sortWithinPartitions("handler_id")
     of = whole.mapInArrow(lambda b: batched(lists(b), listed, lambda r: len(r[3])), "handler_id long, flows long, endpoints long, processes binary")
     sent = spread(touched, "handler_id").join(of, "handler_id").select("table_id", "flows", "endpoints", "processes")
-    return spread(sent, "table_id").sortWithinPartitions("table_id").mapInArrow(lambda b: batched(united(b), result), "table_id long, flows long, processes long, endpoints long")
+    return spread(sent, "table_id", by_range=True).sortWithinPartitions("table_id").mapInArrow(lambda b: batched(united(b), result), "table_id long, flows long, processes long, endpoints long")
 
 
 def nested(flows: DataFrame, texts: DataFrame) -> DataFrame:
