@@ -12,6 +12,7 @@ import zlib
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
+from pyspark.sql import functions as F
 
 #: Members that a group holds before they are merged, bytes of text in a batch of results.
 MERGE, TEXT = 1 << 21, 1 << 23
@@ -176,5 +177,8 @@ def nested(flows: DataFrame, texts: DataFrame) -> DataFrame:
     texted = pa.schema([("handler_id", pa.int64()), ("text", pa.binary())])
     result = pa.schema([("process_id", pa.int64()), ("flows", pa.string()), ("n", pa.int64())])
     of = texts.where("text IS NOT NULL").select("handler_id", "text").mapInArrow(lambda b: batched(small(b), texted, lambda r: len(r[1])), "handler_id long, text binary")
-    sent = spread(flows, "handler_id").join(of, "handler_id", "left").select("process_id", "head", "text")
+    # flows without a handler, a third or more, are dealt by what they are
+    keyed = flows.select("process_id", "head", F.coalesce("handler_id", F.pmod(F.xxhash64("process_id", "head"), F.lit(4096))).alias("_h"), F.col("handler_id").isNull().alias("_none"))
+    of = of.select(F.col("handler_id").alias("_h"), F.lit(False).alias("_none"), "text")
+    sent = spread(keyed, "_h", "_none").join(of, ["_h", "_none"], "left").select("process_id", "head", "text")
     return spread(sent, "process_id", by_range=True).sortWithinPartitions("process_id", "head").mapInArrow(lambda b: batched(joined(b), result, lambda r: len(r[1])), "process_id long, flows string, n long")

@@ -4,6 +4,7 @@ import duckdb
 import numpy as np
 import pyarrow as pa
 import pytest
+from pyspark.sql import functions as F
 from test_whole import rows
 
 from flowloom.operators import packed
@@ -106,3 +107,24 @@ def test_nested_keeps_what_has_no_process_or_handler(spark):
     texts = spark.createDataFrame([(1, "5,6"), (2, None)], "handler_id long, text string")
     got = {tuple(r) for r in packed.nested(flows, texts).collect()}
     assert got == {(None, "-:-:x:- 3:9:x:-", 2), (4, "10:1:x:5,6 1:1:x:5,6", 2), (-4, "2:2:x:-", 1)}
+
+
+def test_flows_without_a_handler_are_not_one_task(spark):
+    flows = spark.range(20_000).selectExpr("id AS process_id", "concat('-:', id, ':x:') AS head", "CAST(NULL AS long) AS handler_id")
+    texts = spark.createDataFrame([(1, "5")], "handler_id long, text string")
+    held = spark.conf.get("spark.sql.autoBroadcastJoinThreshold")
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    seen, spread = [], packed.spread
+
+    def watched(df, *keys, by_range=False):
+        out = spread(df, *keys, by_range=by_range)
+        seen.append(out.groupBy(F.spark_partition_id()).count().agg(F.max("count")).first()[0])
+        return out
+
+    packed.spread = watched
+    try:
+        assert packed.nested(flows, texts).count() == 20_000
+    finally:
+        packed.spread = spread
+        spark.conf.set("spark.sql.autoBroadcastJoinThreshold", held)
+    assert len(seen) == 2 and max(seen) < 1_000
